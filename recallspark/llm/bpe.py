@@ -28,9 +28,15 @@ from recallspark.llm.rows import batches, texts
 #: Fixed value: the pattern that cuts text before merges apply.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Pieces that a process remembers; when full the table starts anew, which changes no result.
+#: Pieces, and as many chunks, that a process remembers; a full table starts anew, which changes no result.
 REMEMBERED = 400_000
 
+#: Fragments of more bytes are merged with a heap.
+LONG = 48
+
+#: Stands for a pair that never merges; larger than every rank.
+NEVER = 1 << 62
+
 
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in vocabulary files: itself where printable, else from U+0100 on."""
@@ -39,6 +45,13 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def _remember(table: dict[str, tuple[int, ...]], said: str, ids: tuple[int, ...]) -> None:
+    if len(said) <= 64:
+        if len(table) >= REMEMBERED:
+            table.clear()
+        table[said] = ids
+
+
 class BytePairs:
     """Encoder and decoder over one vocabulary file."""
 
@@ -52,56 +65,111 @@ class BytePairs:
         raw = lambda token: bytes(value[c] for c in token)
         self.ids = {raw(token): i for token, i in model["vocab"].items()}
         self.bytes_of = {i: token for token, i in self.ids.items()}
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.size = max(self.ids.values()) + 1
+        self.rank: dict[int, int] = {}  # of a pair: its rank and the id it makes, in one number
         for rank, merge in enumerate(model["merges"]):
             left, right = map(raw, merge.split(" ") if isinstance(merge, str) else merge)
-            self.rank[self.ids[left], self.ids[right]] = (rank, self.ids[left + right])
+            self.rank[self.ids[left] * self.size + self.ids[right]] = rank * self.size + self.ids[left + right]
         self.single = [self.ids[bytes([b])] for b in range(256)]
-        self.inside = {token[i : i + 2] for token in self.ids for i in range(len(token) - 1)}
+        self.inside = bytearray(1 << 16)
+        for token in self.ids:
+            for a, b in zip(token, token[1:]):
+                self.inside[a << 8 | b] = 1
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes_of.update({i: content.encode() for content, i in self.added.items()})
         self.added_at = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.pattern = regex.compile(PATTERN)
         self.digits = {i: str(i) for i in self.bytes_of}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, tuple[int, ...]] = {}
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """The piece cut at every byte pair that no vocabulary entry holds."""
-        cuts = [0, *(i for i in range(1, len(piece)) if piece[i - 1 : i + 1] not in self.inside), len(piece)]
-        return [piece[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
+        inside = self.inside
+        cuts = [i for i, (a, b) in enumerate(zip(piece, piece[1:]), 1) if not inside[a << 8 | b]]
+        if not cuts:
+            return [piece]
+        return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)])]
 
     def merged(self, fragment: bytes) -> list[int]:
         """Ids of one fragment: the pair of least rank merges first, the leftmost of equal ones."""
+        if len(fragment) > LONG:
+            return self._merged_long(fragment)
+        single, get, size = self.single, self.rank.get, self.size
+        ids = [single[b] for b in fragment]
+        ranks = [get(a * size + b, NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < NEVER:
+            i = ranks.index(best)
+            ids[i : i + 2] = (best % size,)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] * size + ids[i], NEVER)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] * size + ids[i + 1], NEVER)
+        return ids
+
+    def _merged_long(self, fragment: bytes) -> list[int]:
+        """The same by a heap of waiting pairs, for fragments whose pairs are too many to search each time."""
         ids = [self.single[b] for b in fragment]
-        n = len(ids)
+        n, size, get = len(ids), self.size, self.rank.get
         following, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), [False] * n
         waiting = []
         for i in range(n - 1):
-            if found := self.rank.get((ids[i], ids[i + 1])):
-                waiting.append((found[0], i, found[1], ids[i], ids[i + 1]))
+            if (found := get(ids[i] * size + ids[i + 1])) is not None:
+                waiting.append((found, i, ids[i], ids[i + 1]))
         heapq.heapify(waiting)
         while waiting:
-            _, i, new, left, right = heapq.heappop(waiting)
+            best, i, left, right = heapq.heappop(waiting)
             j = following[i]
             if gone[i] or j >= n or ids[i] != left or ids[j] != right:
                 continue
-            ids[i], gone[j], following[i] = new, True, following[j]
+            ids[i], gone[j], following[i] = best % size, True, following[j]
             if following[i] < n:
                 before[following[i]] = i
             for a, b in ((before[i], i), (i, following[i])):
-                if a >= 0 and b < n and (found := self.rank.get((ids[a], ids[b]))):
-                    heapq.heappush(waiting, (found[0], a, found[1], ids[a], ids[b]))
+                if a >= 0 and b < n and (found := get(ids[a] * size + ids[b])) is not None:
+                    heapq.heappush(waiting, (found, a, ids[a], ids[b]))
         return [x for x, dead in zip(ids, gone) if not dead]
 
     def piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece of the pattern."""
-        raw = piece.encode("utf-8")
-        whole = tuple(chain.from_iterable(map(self.merged, self.fragments(raw))))
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        if len(piece) <= 64:
-            self.known[piece] = whole
-        return whole
+        if (ids := self.known.get(piece)) is None:
+            ids = tuple(chain.from_iterable(map(self.merged, self.fragments(piece.encode("utf-8")))))
+            _remember(self.known, piece, ids)
+        return ids
+
+    def pieces(self, text: str) -> list[int]:
+        """Ids of ordinary text, cut by the pattern alone."""
+        return list(chain.from_iterable(map(self.piece, self.pattern.findall(text))))
+
+    def chunk(self, chunk: str) -> tuple[int, ...] | None:
+        """Ids of a blank and what stands up to the next one; None unless both are certain cuts.
+
+        A blank between two characters that are no white space always begins a piece of the pattern.
+        """
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            return None
+        ids = tuple(self.pieces(" " + chunk))
+        _remember(self.chunks, chunk, ids)
+        return ids
+
+    def plain(self, text: str) -> list[int]:
+        """Ids of ordinary text: by chunks between single blanks if it has no other white space beside them."""
+        first, *rest = text.split(" ")
+        if not rest:
+            return self.pieces(text)
+        if not first or first[-1].isspace():
+            return self.pieces(text)
+        found = list(map(self.chunks.get, rest))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    if (ids := self.chunk(rest[i])) is None:
+                        return self.pieces(text)
+                    found[i] = ids
+        out = self.pieces(first)
+        out.extend(chain.from_iterable(found))
+        return out
 
     def sections(self, text: str) -> Iterator[tuple[str, int | None]]:
         """Stretches of ordinary text (with None) and the added tokens between them (with their id)."""
@@ -115,14 +183,11 @@ class BytePairs:
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        get = self.known.get
         for section, added in self.sections(text):
-            if added is not None:
+            if added is None:
+                out.extend(self.plain(section))
+            else:
                 out.append(added)
-                continue
-            for piece in self.pattern.findall(section):
-                ids = get(piece)
-                out.extend(self.piece(piece) if ids is None else ids)
         return out
 
     def decode(self, ids: list[int]) -> str:
