@@ -23,14 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from recallspark.llm.chunks import BlankChunks, remember
 from recallspark.llm.rows import batches, texts
 
 #: Fixed value: the pattern that cuts text before merges apply.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Pieces, and as many chunks, that a process remembers; a full table starts anew, which changes no result.
-REMEMBERED = 400_000
-
 #: Fragments of more bytes are merged with a heap.
 LONG = 48
 
@@ -45,13 +43,6 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
-def _remember(table: dict[str, tuple[int, ...]], said: str, ids: tuple[int, ...]) -> None:
-    if len(said) <= 64:
-        if len(table) >= REMEMBERED:
-            table.clear()
-        table[said] = ids
-
-
 class BytePairs:
     """Encoder and decoder over one vocabulary file."""
 
@@ -81,7 +72,7 @@ class BytePairs:
         self.pattern = regex.compile(PATTERN)
         self.digits = {i: str(i) for i in self.bytes_of}
         self.known: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.plain = BlankChunks(self.pieces)
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """The piece cut at every byte pair that no vocabulary entry holds."""
@@ -135,42 +126,13 @@ class BytePairs:
         """Ids of one piece of the pattern."""
         if (ids := self.known.get(piece)) is None:
             ids = tuple(chain.from_iterable(map(self.merged, self.fragments(piece.encode("utf-8")))))
-            _remember(self.known, piece, ids)
+            remember(self.known, piece, ids)
         return ids
 
     def pieces(self, text: str) -> list[int]:
         """Ids of ordinary text, cut by the pattern alone."""
         return list(chain.from_iterable(map(self.piece, self.pattern.findall(text))))
 
-    def chunk(self, chunk: str) -> tuple[int, ...] | None:
-        """Ids of a blank and what stands up to the next one; None unless both are certain cuts.
-
-        A blank between two characters that are no white space always begins a piece of the pattern.
-        """
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            return None
-        ids = tuple(self.pieces(" " + chunk))
-        _remember(self.chunks, chunk, ids)
-        return ids
-
-    def plain(self, text: str) -> list[int]:
-        """Ids of ordinary text: by chunks between single blanks if it has no other white space beside them."""
-        first, *rest = text.split(" ")
-        if not rest:
-            return self.pieces(text)
-        if not first or first[-1].isspace():
-            return self.pieces(text)
-        found = list(map(self.chunks.get, rest))
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    if (ids := self.chunk(rest[i])) is None:
-                        return self.pieces(text)
-                    found[i] = ids
-        out = self.pieces(first)
-        out.extend(chain.from_iterable(found))
-        return out
-
     def sections(self, text: str) -> Iterator[tuple[str, int | None]]:
         """Stretches of ordinary text (with None) and the added tokens between them (with their id)."""
         at = 0
@@ -185,7 +147,7 @@ class BytePairs:
         out: list[int] = []
         for section, added in self.sections(text):
             if added is None:
-                out.extend(self.plain(section))
+                out.extend(self.plain.encode(section))
             else:
                 out.append(added)
         return out

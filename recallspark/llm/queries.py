@@ -7,11 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recallspark.llm import bpe
+from recallspark.llm import bpe, mixing, token_files
+from recallspark.session import new_folder
 from recallspark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Id that ends each document in token files.
+END_ID = 2
+
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -19,5 +23,43 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES: dict[str, Query] = {"op3_bpe": op3_bpe}
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), BYTE_BPE, END_ID, path)
+    return token_files.summary(spark, path)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES: dict[str, Query] = {"op1_token_files": op1_token_files, "op3_bpe": op3_bpe, "op8_mixing": op8_mixing}
 ORACLES: dict[str, str] = {}
+
+ORACLES["op8_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents
+), s0 AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS s FROM d GROUP BY source
+), s1 AS (
+  SELECT *, [3, 1, 2][((s - 1) % 3 + 1)::INT]::BIGINT AS weight, sum(source_size) OVER ()::BIGINT AS total, source_size * 2 AS most FROM s0
+), s2 AS (
+  SELECT *, most::DOUBLE / weight AS ratio,
+    (total::DOUBLE * 150 / 100 - coalesce(sum(most) OVER (ORDER BY most::DOUBLE / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+      / (sum(weight) OVER (ORDER BY most::DOUBLE / weight, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS lev
+  FROM s1
+), lv AS (
+  SELECT lev AS level FROM s2 WHERE lev <= ratio ORDER BY ratio, s LIMIT 1
+), s3 AS (
+  SELECT source, source_size, s, weight, total, least(most::DOUBLE, coalesce((SELECT level FROM lv) * weight, most::DOUBLE)) AS target FROM s2
+), q AS (
+  SELECT d.doc_id, d.size, d.key, s3.*, sum(d.size) OVER (PARTITION BY s3.s ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING)::BIGINT AS cum
+  FROM d JOIN s3 ON d.source IS NOT DISTINCT FROM s3.source
+), c AS (
+  SELECT *, (cum + (round - 1) * source_size)::DOUBLE / weight AS finish FROM q, (VALUES (1), (2)) r(round)
+), t AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, s, key, doc_id, size, round ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM c
+)
+SELECT doc_id, size, source_size, target, sum(CASE WHEN running * 100 <= total * 150 THEN size ELSE 0 END)::BIGINT AS taken
+FROM t GROUP BY doc_id, size, source_size, target, key
+"""

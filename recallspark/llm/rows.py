@@ -14,10 +14,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one Arrow batch holds at most; long texts make batches large.
 ROWS_A_BATCH = 256
 
+#: Bytes that one Arrow batch holds at most, but for a single longer document.
+BYTES_A_BATCH = 16 << 20
+
 
 def batches(df: DataFrame) -> DataFrame:
-    """Sets the session's Arrow batches to a number of rows that also suits long texts."""
+    """Sets the session's Arrow batches to numbers of rows and bytes that also suit long texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_A_BATCH))
     return df
 
 
