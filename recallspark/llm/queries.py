@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recallspark.llm import bpe, mixing, token_files
+from recallspark.llm import bpe, mixing, quality, token_files
 from recallspark.session import new_folder
 from recallspark.sources.tables import table
 
@@ -29,11 +30,17 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.summary(spark, path)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"]
+    return found.select("doc_id", *[F.col(f"_{c}").alias(c) for c in counts])
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {"op1_token_files": op1_token_files, "op3_bpe": op3_bpe, "op8_mixing": op8_mixing}
+QUERIES: dict[str, Query] = {"op1_token_files": op1_token_files, "op3_bpe": op3_bpe, "op5_quality_rules": op5_quality_rules, "op8_mixing": op8_mixing}
 ORACLES: dict[str, str] = {}
 
 ORACLES["op8_mixing"] = r"""
