@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm import bpe, mixing, quality, token_files
+from recallspark.llm import bpe, mixing, quality, simhash, token_files
 from recallspark.session import new_folder
 from recallspark.sources.tables import table
 
@@ -40,7 +40,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {"op1_token_files": op1_token_files, "op3_bpe": op3_bpe, "op5_quality_rules": op5_quality_rules, "op8_mixing": op8_mixing}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.grouped(table(spark, sf_dir, "documents"), shingle=3, blocks=1, radius=2, keys=simhash.exact_keys(2, 1))
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Query] = {"op1_token_files": op1_token_files, "op3_bpe": op3_bpe, "op5_quality_rules": op5_quality_rules, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash}
 ORACLES: dict[str, str] = {}
 
 ORACLES["op8_mixing"] = r"""

@@ -18,9 +18,9 @@ ROWS_A_BATCH = 256
 BYTES_A_BATCH = 16 << 20
 
 
-def batches(df: DataFrame) -> DataFrame:
+def batches(df: DataFrame, rows: int = ROWS_A_BATCH) -> DataFrame:
     """Sets the session's Arrow batches to numbers of rows and bytes that also suit long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_A_BATCH))
     return df
 
