@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm import bpe, mixing, quality, simhash, token_files
+from recallspark.llm import bpe, mixing, quality, simhash, substrings, token_files
 from recallspark.session import new_folder
 from recallspark.sources.tables import table
 
@@ -30,6 +30,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.summary(spark, path)
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.removed_words(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"]
@@ -45,7 +50,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {"op1_token_files": op1_token_files, "op3_bpe": op3_bpe, "op5_quality_rules": op5_quality_rules, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash}
+QUERIES: dict[str, Query] = {"op1_token_files": op1_token_files, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op5_quality_rules": op5_quality_rules, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash}
 ORACLES: dict[str, str] = {}
 
 ORACLES["op8_mixing"] = r"""
