@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm import bpe, mixing, quality, simhash, substrings, token_files
+from recallspark.llm import bpe, mixing, neighbours, quality, simhash, substrings, token_files
 from recallspark.session import new_folder
 from recallspark.sources.tables import table
 
@@ -20,6 +20,11 @@ END_ID = 2
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.search(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
@@ -50,7 +55,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {"op1_token_files": op1_token_files, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op5_quality_rules": op5_quality_rules, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash}
+QUERIES: dict[str, Query] = {"op1_token_files": op1_token_files, "op2_neighbours": op2_neighbours, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op5_quality_rules": op5_quality_rules, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash}
 ORACLES: dict[str, str] = {}
 
 ORACLES["op8_mixing"] = r"""

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recallspark.llm.rows import batches, texts
 from recallspark.session import written
@@ -202,7 +203,7 @@ def removed_words(docs: DataFrame, window: int = 50) -> DataFrame:
                 stays.append(b" ".join(words if not n else [w for w, m in zip(words, mask) if not m]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(lost, pa.int64()), pa.array(stays, pa.binary()).cast(pa.string())], [*names, "n_words", "n_removed", "kept"])
 
-    schema = docs.schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     return batches(rows).join(told, "doc", "left").select(*names, "gone", "copies").mapInArrow(cut, schema)
 
 
