@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm import bpe, mixing, neighbours, quality, simhash, substrings, token_files
+from recallspark.llm import bpe, mixing, neighbours, quality, simhash, substrings, token_files, urls
 from recallspark.session import new_folder
 from recallspark.sources.tables import table
 
@@ -46,6 +46,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"_{c}").alias(c) for c in counts])
 
 
+#: The contract's rules: verdict, host, beginning of the path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judged(pages, urls.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,7 +64,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {"op1_token_files": op1_token_files, "op2_neighbours": op2_neighbours, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op5_quality_rules": op5_quality_rules, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash}
+QUERIES: dict[str, Query] = {"op1_token_files": op1_token_files, "op2_neighbours": op2_neighbours, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op5_quality_rules": op5_quality_rules, "op6_urls": op6_urls, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash}
 ORACLES: dict[str, str] = {}
 
 ORACLES["op8_mixing"] = r"""
@@ -85,3 +94,19 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, sum(CASE WHEN running * 100 <= total * 150 THEN size ELSE 0 END)::BIGINT AS taken
 FROM t GROUP BY doc_id, size, source_size, target, key
 """
+
+ORACLES["op6_urls"] = r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), u AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h0, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), v AS (
+  SELECT page_id, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u
+), r(verdict, h, pre) AS (
+  VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), m AS (
+  SELECT v.page_id, v.host, v.path, h || pre AS rule, verdict, row_number() OVER (PARTITION BY v.page_id, v.host, v.path ORDER BY length(h || pre) DESC NULLS LAST) AS k
+  FROM v LEFT JOIN r ON (v.host = h OR ends_with(v.host, '.' || h)) AND starts_with(v.path, pre)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
+"""
