@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm import bpe, mixing, neighbours, quality, simhash, substrings, token_files, urls
+from recallspark.llm import bpe, line_crf, mixing, neighbours, quality, simhash, substrings, token_files, urls
 from recallspark.session import new_folder
 from recallspark.sources.tables import table
 
@@ -64,7 +64,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {"op1_token_files": op1_token_files, "op2_neighbours": op2_neighbours, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op5_quality_rules": op5_quality_rules, "op6_urls": op6_urls, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash}
+def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.scored(docs, line_crf.learned(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Query] = {"op1_token_files": op1_token_files, "op2_neighbours": op2_neighbours, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op5_quality_rules": op5_quality_rules, "op6_urls": op6_urls, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_line_crf": op10_line_crf}
 ORACLES: dict[str, str] = {}
 
 ORACLES["op8_mixing"] = r"""
