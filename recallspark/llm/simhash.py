@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.llm.components import components
@@ -247,32 +247,51 @@ def whole_shards(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def grouped(docs: DataFrame, *, shingle: int, blocks: int, radius: int, keys: list[list[int]], text: str = "text") -> DataFrame:
-    """Per row of ``docs`` (``doc_id`` and a text) ``doc_id, fp, component_id``."""
-    marked = written(fingerprints(docs.select("doc_id", text), shingle, blocks, text), "fingerprints")
+def _grouped(docs: DataFrame, shingle: int, blocks: int, radius: int, keys: list[list[int]], text: str) -> DataFrame:
+    """``docs`` without its text and with ``fp, component``; nameless groups have numbers from ``NAMELESS`` on."""
+    marked = written(fingerprints(docs, shingle, blocks, text), "fingerprints")
     spare = F.conv(F.substring(F.hex("fp"), 1, 16), 16, 10).cast("decimal(20,0)")
     groups = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", F.floor(spare / 4).cast("long") + F.lit(NAMELESS)).alias("rep"))
     groups = written(groups, "fingerprint-groups")
     links = components(_links(_sharded(batches(groups), keys), radius))
-    named = groups.join(links, groups.rep == links.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", F.when(F.col("component_id") < NAMELESS, F.col("component_id")).alias("component_id"))
+    named = groups.join(links, groups.rep == links.id, "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    return marked.join(named, "fp")
+
+
+def grouped(docs: DataFrame, *, shingle: int, blocks: int, radius: int, keys: list[list[int]], text: str = "text") -> DataFrame:
+    """Per row of ``docs`` (``doc_id`` and a text) ``doc_id, fp, component_id``."""
+    found = _grouped(docs.select("doc_id", text), shingle, blocks, radius, keys, text)
+    return found.select("doc_id", "fp", F.when(F.col("component") < NAMELESS, F.col("component")).alias("component_id"))
 
 
 #: Fingerprints of so many 64-bit blocks tell similarities apart well enough to thin a corpus.
 FINE_BLOCKS = 4
 
 
-def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, tables: int = 40, bits: int = 14, text: str = "text") -> DataFrame:
-    """Per row ``doc_id, fp, component_id``: linked where the cosine of shingle counts is at least ``similarity``.
+def fine(similarity: float, shingle: int, tables: int, bits: int) -> dict:
+    """Settings that link texts whose cosine of shingle counts is at least ``similarity``.
 
     The cosine is read off the share of differing bits of a 256-bit fingerprint. A pair at cosine 0.89
-    (a Jaccard similarity of 0.8) shares one of the sampled keys with probability 0.99.
+    (a Jaccard similarity of 0.8) shares one of 40 sampled keys of 14 bits with probability 0.99.
     """
     radius = math.floor(64 * FINE_BLOCKS * math.acos(similarity) / math.pi)
-    return grouped(docs, shingle=shingle, blocks=FINE_BLOCKS, radius=radius, keys=sampled_keys(tables, bits, FINE_BLOCKS), text=text)
+    return {"shingle": shingle, "blocks": FINE_BLOCKS, "radius": radius, "keys": sampled_keys(tables, bits, FINE_BLOCKS)}
+
+
+def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, tables: int = 40, bits: int = 14, text: str = "text") -> DataFrame:
+    """Per row ``doc_id, fp, component_id`` under the settings of ``fine``."""
+    return grouped(docs, **fine(similarity, shingle, tables, bits), text=text)
+
 
+def thinned(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, tables: int = 40, bits: int = 14) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of smallest ``doc_id``, null ones last.
 
-def thinned(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of each group of near copies, the one of smallest ``doc_id``."""
-    least = near_copies(docs, **how).where("doc_id = component_id").select(F.col("doc_id").alias("_least")).distinct()
-    return docs.join(least, F.col("doc_id") == F.col("_least"), "left_semi")
+    Rows of equal ``doc_id`` and text are one row.
+    """
+    columns = docs.columns
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("_k"), F.xxhash64("text").alias("_h"))
+    found = _grouped(slim, **fine(similarity, shingle, tables, bits), text="text")
+    first = found.groupBy("component").agg(F.min(F.struct("_k", "_h")).alias("f")).select("f._k", "f._h")
+    rows = docs.withColumn("_k", key).withColumn("_h", F.xxhash64("text")).join(first, ["_k", "_h"], "left_semi")
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_h").orderBy("_k"))).where("_n = 1").select(*columns)
