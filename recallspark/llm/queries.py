@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm import bpe, line_crf, mixing, neighbours, quality, simhash, substrings, token_files, urls
+from recallspark.llm import bpe, edit_counts, line_crf, mixing, neighbours, quality, simhash, substrings, token_files, urls
 from recallspark.session import new_folder
 from recallspark.sources.tables import table
 
@@ -55,6 +55,15 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(pages, urls.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document edited twice: a remark put in at its middle, then 24 characters from a quarter on replaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.coalesce(F.char_length("text"), F.lit(0))
+    edit = lambda start, removed, inserted: F.struct(F.floor(start).cast("long").alias("start"), F.lit(removed).cast("long").alias("removed"), F.lit(inserted).alias("inserted"))
+    edits = F.array(edit(n / 2, 0, " (see the note of 2024-02-01) "), edit(n / 4, 24, "changed here,"))
+    return edit_counts.recounted(docs.withColumn("edits", edits), BYTE_BPE)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,7 +78,7 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.scored(docs, line_crf.learned(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {"op1_token_files": op1_token_files, "op2_neighbours": op2_neighbours, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op5_quality_rules": op5_quality_rules, "op6_urls": op6_urls, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_line_crf": op10_line_crf}
+QUERIES: dict[str, Query] = {"op1_token_files": op1_token_files, "op2_neighbours": op2_neighbours, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op5_quality_rules": op5_quality_rules, "op6_urls": op6_urls, "op7_edit_counts": op7_edit_counts, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_line_crf": op10_line_crf}
 ORACLES: dict[str, str] = {}
 
 ORACLES["op8_mixing"] = r"""
