@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from recallspark.plans import vectors
-
-Query = Callable[[SparkSession, str], DataFrame]
+from recallspark.plans import rollups, vectors
+from recallspark.plans.book import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _module in (vectors,):
-    QUERIES.update(_module.QUERIES)
-    ORACLES.update(_module.ORACLES)
+for _module in (vectors, rollups):
+    QUERIES.update(_module.BOOK.queries)
+    ORACLES.update(_module.BOOK.oracles)
 
 FLAGSHIP: Query = QUERIES["vector_topk"]
