@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallspark.llm.components import components
+from recallspark.operators.components import components
 from recallspark.llm.rows import batches, texts
 from recallspark.session import written
 
