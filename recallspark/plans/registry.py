@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from recallspark.plans import graph, rollups, vectors
+from recallspark.plans import graph, links, rollups, vectors
 from recallspark.plans.book import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _module in (vectors, rollups, graph):
+for _module in (vectors, rollups, graph, links):
     QUERIES.update(_module.BOOK.queries)
     ORACLES.update(_module.BOOK.oracles)
 

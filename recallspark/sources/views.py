@@ -68,7 +68,7 @@ def thoughts(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "completed").otherwise("archived")
     kind = F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2"), "task").otherwise("note")
     o = table(spark, d, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("created_at"), status.alias("lifecycle"), kind.alias("category"), F.col("o_totalprice").alias("price"), F.round(F.col("o_totalprice") / 100000, 6).alias("salience"))
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("created_at"), status.alias("lifecycle"), kind.alias("category"), F.col("o_totalprice").alias("price"), (F.col("o_totalprice") / 70001).alias("salience"))
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +104,7 @@ SQL: dict[str, str] = {
     "v_chat": "SELECT conv_id AS session_id, turn, role, text AS content FROM conversations",
     "v_note": "SELECT doc_id AS id, source AS tenant, lang AS category, text FROM documents",
     "v_vec": "SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings",
-    "v_thought": "SELECT o_orderkey AS id, o_custkey AS user_id, o_orderdate AS created_at, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'completed' ELSE 'archived' END AS lifecycle, CASE WHEN o_orderpriority[1] IN ('1', '2') THEN 'task' ELSE 'note' END AS category, o_totalprice AS price, round(o_totalprice / 100000, 6) AS salience FROM orders",
+    "v_thought": "SELECT o_orderkey AS id, o_custkey AS user_id, o_orderdate AS created_at, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'completed' ELSE 'archived' END AS lifecycle, CASE WHEN o_orderpriority[1] IN ('1', '2') THEN 'task' ELSE 'note' END AS category, o_totalprice AS price, o_totalprice / 70001 AS salience FROM orders",
     "v_entity": "SELECT p_partkey AS id, p_name AS label, p_brand AS entity_type, CASE WHEN p_size <= 5 THEN 'active' WHEN p_size <= 10 THEN 'someday' END AS project_status, p_type AS l1, p_type || '/' || p_brand AS l2 FROM part",
     "v_mention": "SELECT l_orderkey AS thought_id, l_partkey AS entity_id, 1 - max(l_discount) AS salience, CASE WHEN min(l_linenumber) = 1 THEN 'manual' ELSE 'ingest' END AS source FROM lineitem GROUP BY 1, 2",
     "v_event": "SELECT l_orderkey || '-' || n AS event_id, l_orderkey AS thought_id, o_custkey AS user_id, CASE l_returnflag WHEN 'A' THEN 'deadline' WHEN 'N' THEN 'appointment' ELSE 'period' END AS kind, o_orderdate AS start_at, l_shipdate AS end_at, l_quantity::INT AS minutes FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount) AS n FROM lineitem) JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate",
