@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from recallspark.plans import graph, links, rollups, timeline, vectors
+from recallspark.plans import graph, links, retrieval, rollups, timeline, vectors
 from recallspark.plans.book import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _module in (vectors, rollups, graph, links, timeline):
+for _module in (vectors, rollups, retrieval, graph, links, timeline):
     QUERIES.update(_module.BOOK.queries)
     ORACLES.update(_module.BOOK.oracles)
 
-FLAGSHIP: Query = QUERIES["vector_topk"]
+FLAGSHIP: Query = QUERIES["hybrid_search"]
