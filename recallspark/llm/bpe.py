@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from recallspark.llm.chunks import BlankChunks, remember
+from recallspark.llm.chunks import BlankChunks, Memory
 from recallspark.llm.rows import batches, texts
 
 #: Fixed value: the pattern that cuts text before merges apply.
@@ -71,7 +71,7 @@ class BytePairs:
         self.added_at = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.pattern = regex.compile(PATTERN)
         self.digits = {i: str(i) for i in self.bytes_of}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Memory()
         self.plain = BlankChunks(self.pieces)
 
     def fragments(self, piece: bytes) -> list[bytes]:
@@ -126,7 +126,7 @@ class BytePairs:
         """Ids of one piece of the pattern."""
         if (ids := self.known.get(piece)) is None:
             ids = tuple(chain.from_iterable(map(self.merged, self.fragments(piece.encode("utf-8")))))
-            remember(self.known, piece, ids)
+            self.known.put(piece, ids)
         return ids
 
     def pieces(self, text: str) -> list[int]:

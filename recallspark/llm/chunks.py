@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from itertools import chain
+from typing import Any
 
-#: Entries a table holds at most; a full one starts anew, which changes no result.
+#: Entries one of the two tables holds at most; when it is full it becomes the older one, and what stands
+#: only in the one before it is forgotten, which changes no result.
 REMEMBERED = 400_000
 
 #: Longer keys are not remembered.
@@ -18,40 +20,62 @@ KEY_CHARACTERS = 64
 Ids = Sequence[int]
 
 
-def remember(table: dict[str, Ids], said: str, ids: Ids) -> None:
-    if len(said) <= KEY_CHARACTERS:
-        if len(table) >= REMEMBERED:
-            table.clear()
-        table[said] = ids
+class Memory:
+    """A bounded table of what was worked out before."""
+
+    def __init__(self, size: int = REMEMBERED):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, said: str) -> Any:
+        found = self.young.get(said)
+        if found is None and (found := self.old.get(said)) is not None:
+            self.put(said, found)
+        return found
+
+    def put(self, said: str, found: Any) -> None:
+        if len(said) <= KEY_CHARACTERS:
+            if len(self.young) >= self.size:
+                self.young, self.old = {}, self.young
+            self.young[said] = found
+
+
+def flat(parts: list[tuple[int, ...]]) -> list[int]:
+    return list(chain.from_iterable(parts))
 
 
 class BlankChunks:
-    """Encodes by chunks, each with the blank before it; ``encode`` gives the ids of any text."""
-
-    def __init__(self, encode: Callable[[str], Ids]):
-        self.whole = encode
-        self.known: dict[str, Ids] = {}
-
-    def _chunk(self, chunk: str) -> Ids | None:
-        """Ids of a blank and what stands up to the next one; None unless both are certain cuts."""
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            return None
-        ids = tuple(self.whole(" " + chunk))
-        remember(self.known, chunk, ids)
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of the text; as a whole where white space stands beside a blank."""
+    """Encodes by chunks, each with the blank before it; ``encode`` gives what any text comes to.
+
+    ``whole`` encodes a text by itself, ``pack`` makes of its ids what is remembered, and ``join`` puts
+    remembered parts one after another.
+    """
+
+    def __init__(self, whole: Callable[[str], Ids], pack: Callable[[Ids], Any] = tuple, join: Callable[[list], Any] = flat):
+        self.whole, self.pack, self.join = whole, pack, join
+        self.known = Memory()
+
+    def _chunk(self, chunk: str) -> Any:
+        """A blank and what stands up to the next one; None unless both are certain cuts."""
+        if (found := self.known.get(chunk)) is None:
+            if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                return None
+            found = self.pack(self.whole(" " + chunk))
+            self.known.put(chunk, found)
+        return found
+
+    def alone(self, text: str) -> Any:
+        return self.join([self.pack(self.whole(text))])
+
+    def encode(self, text: str) -> Any:
+        """The text by its chunks; as a whole where white space stands beside a blank."""
         first, *rest = text.split(" ")
         if not rest or not first or first[-1].isspace():
-            return list(self.whole(text))
-        found = list(map(self.known.get, rest))
+            return self.alone(text)
+        found = list(map(self.known.young.get, rest))
         if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    if (ids := self._chunk(rest[i])) is None:
-                        return list(self.whole(text))
-                    found[i] = ids
-        out = list(self.whole(first))
-        out.extend(chain.from_iterable(found))
-        return out
+            for i, one in enumerate(found):
+                if one is None:
+                    if (one := self._chunk(rest[i])) is None:
+                        return self.alone(text)
+                    found[i] = one
+        return self.join([self.pack(self.whole(first)), *found])

@@ -14,24 +14,34 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallspark.llm.chunks import BlankChunks
+from recallspark.llm.bpe import PATTERN, byte_letters
+from recallspark.llm.chunks import BlankChunks, Ids, Memory
 from recallspark.llm.rows import batches, texts
 
 SCHEMA = "doc_id long, row long, start_in_file long, n_tokens long, ids array<int>"
 
 
+def packed(ids: Ids) -> bytes:
+    return array("i", ids).tobytes()
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> BlankChunks:
-    """The library's tokenizer, one a process; by chunks where its kind lets blanks cut for certain."""
+    """The library's tokenizer, one a process, giving ids as 32-bit integers.
+
+    Where its kind lets blanks and its pattern cut for certain, its model is asked for each piece that was
+    not met before; other kinds, and texts that hold names of added tokens, are encoded as a whole.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -40,10 +50,27 @@ def tokenizer(path: str) -> BlankChunks:
     coder = Tokenizer.from_file(path)
     coder.no_truncation()
     coder.no_padding()
-    found = BlankChunks(lambda text: coder.encode(text, add_special_tokens=False).ids)
+    model, pattern, added = coder.model, regex.compile(PATTERN), [x["content"] for x in spec["added_tokens"]]
+    letters = {b: ord(letter) for b, letter in enumerate(byte_letters())}
+    pieces = Memory()
+
+    def piece(said: str) -> Ids:
+        if (ids := pieces.get(said)) is None:
+            ids = [x.id for x in model.tokenize(said.encode("utf-8").decode("latin-1").translate(letters))]
+            pieces.put(said, ids)
+        return ids
+
+    def whole(text: str) -> Ids:
+        if any(name in text for name in added):
+            return coder.encode(text, add_special_tokens=False).ids
+        return [i for said in pattern.findall(text) for i in piece(said)]
+
     pre = spec["pre_tokenizer"] or {}
-    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec["normalizer"] or any(" " in x["content"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"]):
-        found.encode = found.whole
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"] and spec["model"]["type"] == "BPE"
+    if plain and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"]):
+        return BlankChunks(whole, packed, b"".join)
+    found = BlankChunks(lambda text: coder.encode(text, add_special_tokens=False).ids, packed, b"".join)
+    found.encode = found.alone
     return found
 
 
@@ -55,13 +82,15 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, *, strip
     """
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, before = tokenizer(tokenizer_path), 0
+        coder, before, end = tokenizer(tokenizer_path), 0, packed([end_id])
         for batch in found:
-            coded = [[*coder.encode(x), end_id] for x in texts(batch)]
-            sizes = [len(x) for x in coded]
-            starts = list(accumulate(sizes, initial=before))
-            before = starts.pop()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(coded, pa.list_(pa.int32()))], ["doc_id", "row", "start_in_file", "n_tokens", "ids"])
+            coded = [coder.encode(x) + end for x in texts(batch)]
+            sizes = np.array([len(x) // 4 for x in coded], dtype=np.int64)
+            ends = np.cumsum(sizes)
+            starts = before + ends - sizes
+            before += int(sizes.sum())
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(starts), pa.array(sizes), ids], ["doc_id", "row", "start_in_file", "n_tokens", "ids"])
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = ["doc_id", F.xxhash64("text")]
