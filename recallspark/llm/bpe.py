@@ -22,6 +22,7 @@ from itertools import chain
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from recallspark.llm.chunks import BlankChunks, Memory
 from recallspark.llm.rows import batches, texts
@@ -174,7 +175,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids")
             coded = pa.array([coder.encode(x) for x in texts(batch, text)], type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, coded], [*names, ids])
 
-    return batches(kept).mapInArrow(run, kept.schema.add(ids, "array<int>"))
+    return batches(kept).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(coded: DataFrame, path: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -188,7 +189,7 @@ def decode(coded: DataFrame, path: str, *, ids: str = "ids", text: str = "decode
             said = [None if x is None else coder.decode(x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, type=pa.string())], [*names, text])
 
-    return batches(kept).mapInArrow(run, kept.schema.add(text, "string"))
+    return batches(kept).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
