@@ -17,6 +17,9 @@ REMEMBERED = 400_000
 #: Longer keys are not remembered.
 KEY_CHARACTERS = 64
 
+#: Marks that stand as a piece of their own after letters.
+MARKS = ",.;:!?"
+
 Ids = Sequence[int]
 
 
@@ -47,19 +50,28 @@ class BlankChunks:
     """Encodes by chunks, each with the blank before it; ``encode`` gives what any text comes to.
 
     ``whole`` encodes a text by itself, ``pack`` makes of its ids what is remembered, and ``join`` puts
-    remembered parts one after another.
+    remembered parts one after another. ``word``, where it is given, encodes a blank and a run of letters.
     """
 
-    def __init__(self, whole: Callable[[str], Ids], pack: Callable[[Ids], Any] = tuple, join: Callable[[list], Any] = flat):
-        self.whole, self.pack, self.join = whole, pack, join
+    def __init__(self, whole: Callable[[str], Ids], pack: Callable[[Ids], Any] = tuple, join: Callable[[list], Any] = flat, word: Callable[[str], Ids] | None = None):
+        self.whole, self.pack, self.join, self.word = whole, pack, join, word
         self.known = Memory()
+        self.marks = {x: pack(whole(x)) for x in MARKS} if word else {}
 
     def _chunk(self, chunk: str) -> Any:
         """A blank and what stands up to the next one; None unless both are certain cuts."""
         if (found := self.known.get(chunk)) is None:
             if not chunk or chunk[0].isspace() or chunk[-1].isspace():
                 return None
-            found = self.pack(self.whole(" " + chunk))
+            if self.word is None:
+                found = self.pack(self.whole(" " + chunk))
+            elif chunk.isalpha():
+                found = self.pack(self.word(" " + chunk))
+            elif (mark := self.marks.get(chunk[-1])) is not None and chunk[:-1].isalpha():
+                # A run of letters and the mark after it are two pieces of the pattern.
+                found = self.join([self._chunk(chunk[:-1]), mark])
+            else:
+                found = self.pack(self.whole(" " + chunk))
             self.known.put(chunk, found)
         return found
 

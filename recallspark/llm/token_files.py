@@ -54,9 +54,12 @@ def tokenizer(path: str) -> BlankChunks:
     letters = {b: ord(letter) for b, letter in enumerate(byte_letters())}
     pieces = Memory()
 
+    def asked(said: str) -> Ids:
+        return [x.id for x in model.tokenize(said.encode("utf-8").decode("latin-1").translate(letters))]
+
     def piece(said: str) -> Ids:
         if (ids := pieces.get(said)) is None:
-            ids = [x.id for x in model.tokenize(said.encode("utf-8").decode("latin-1").translate(letters))]
+            ids = asked(said)
             pieces.put(said, ids)
         return ids
 
@@ -68,7 +71,7 @@ def tokenizer(path: str) -> BlankChunks:
     pre = spec["pre_tokenizer"] or {}
     plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"] and spec["model"]["type"] == "BPE"
     if plain and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"]):
-        return BlankChunks(whole, packed, b"".join)
+        return BlankChunks(whole, packed, b"".join, asked)
     found = BlankChunks(lambda text: coder.encode(text, add_special_tokens=False).ids, packed, b"".join)
     found.encode = found.alone
     return found
