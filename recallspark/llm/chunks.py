@@ -78,16 +78,21 @@ class BlankChunks:
     def alone(self, text: str) -> Any:
         return self.join([self.pack(self.whole(text))])
 
-    def encode(self, text: str) -> Any:
-        """The text by its chunks; as a whole where white space stands beside a blank."""
+    def parts(self, text: str) -> list | None:
+        """What each chunk comes to, the first without a blank before it; None where white space stands beside a blank."""
         first, *rest = text.split(" ")
         if not rest or not first or first[-1].isspace():
-            return self.alone(text)
+            return None
         found = list(map(self.known.young.get, rest))
         if None in found:
             for i, one in enumerate(found):
                 if one is None:
                     if (one := self._chunk(rest[i])) is None:
-                        return self.alone(text)
+                        return None
                     found[i] = one
-        return self.join([self.pack(self.whole(first)), *found])
+        return [self.pack(self.whole(first)), *found]
+
+    def encode(self, text: str) -> Any:
+        """The text by its chunks, or as a whole where these are not certain."""
+        found = self.parts(text)
+        return self.alone(text) if found is None else self.join(found)

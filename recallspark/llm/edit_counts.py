@@ -24,16 +24,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallspark.llm.bpe import BytePairs, byte_pairs
+from recallspark.llm.bpe import byte_pairs
+from recallspark.llm.chunks import BlankChunks
 from recallspark.llm.rows import batches, texts
 
-#: Pre-tokens of one leaf; the last before a cut may make it longer.
+#: Pre-tokens, or words with what hangs on them, of one leaf.
 LEAF = 32
 
 
+class Counter:
+    """Byte pairs, and a table of how many tokens chunks between blanks come to."""
+
+    def __init__(self, path: str):
+        self.pairs = byte_pairs(path)
+        self.counts = BlankChunks(self.pairs.pieces, len, sum, self.pairs.piece)
+
+
 @lru_cache(maxsize=2)
-def coder(path: str) -> BytePairs:
-    return byte_pairs(path)
+def coder(path: str) -> Counter:
+    """One a process."""
+    return Counter(path)
 
 
 class Leaf:
@@ -99,11 +109,17 @@ class CountTree:
 class CountedText:
     """A text with its tree; ``encoded`` counts the characters that edits have had encoded."""
 
-    def __init__(self, text: str, pairs: BytePairs):
-        self.text, self.pairs, self.encoded = text, pairs, 0
+    def __init__(self, text: str, counter: Counter):
+        self.text, self.counter, self.pairs, self.encoded = text, counter, counter.pairs, 0
         self.tree = CountTree(self._leaves(text))
 
     def _leaves(self, text: str) -> list[Leaf]:
+        """Leaves end where a pre-token ends: at a certain blank, or else as the pattern cuts."""
+        counts = self.counter.counts.parts(text)
+        if counts is not None:
+            sizes = [len(x) + 1 for x in text.split(" ")]
+            sizes[0] -= 1
+            return [Leaf(sum(sizes[i : i + LEAF]), sum(counts[i : i + LEAF])) for i in range(0, len(counts), LEAF)]
         pieces = self.pairs.pattern.findall(text)
         return [Leaf(sum(map(len, part)), sum(len(self.pairs.piece(p)) for p in part)) for part in (pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF))]
 
@@ -170,11 +186,11 @@ def recounted(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
     out = [c for c in names if c not in (text, "edits")]
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = coder(path)
+        counter = coder(path)
         for batch in found:
             counts = []
             for said, edits in zip(texts(batch, text), batch.column("edits").to_pylist()):
-                counted = CountedText(said, pairs)
+                counted = CountedText(said, counter)
                 before = counted.tree.total
                 for e in edits or []:
                     if e is not None:

@@ -17,6 +17,7 @@ from tests.llm.helpers import DOCS, docs, key
 
 LIBRARY = Tokenizer.from_file(BYTE_BPE)
 PAIRS = bpe.byte_pairs(BYTE_BPE)
+COUNTER = edit_counts.coder(BYTE_BPE)
 PARTS = ["a", " ", "  ", "\n", "\t", "'s", "'", "\x1c", "\x85", "\xa0", "é", "ß", "<|endoftext|>", "<|", "1", "²", "!", "漢", "́", "\U0001f600", "\r", "the ", "ing", ",", " ", "x.", "\x00"]
 
 
@@ -95,7 +96,7 @@ def test_counts_follow_edits(seed):
     plain = Tokenizer.from_file(BYTE_BPE)
     plain.encode_special_tokens = True
     for _ in range(30):
-        counted = edit_counts.CountedText("".join(r.choice(PARTS) for _ in range(r.choice([0, 5, 200]))), PAIRS)
+        counted = edit_counts.CountedText("".join(r.choice(PARTS) for _ in range(r.choice([0, 5, 200]))), COUNTER)
         for _ in range(4):
             counted.edit(r.randrange(-2, len(counted.text) + 3), r.choice([0, 1, 40]), "".join(r.choice(PARTS) for _ in range(r.choice([0, 2, 50]))))
             assert counted.tree.total == len(plain.encode(counted.text, add_special_tokens=False).ids)
@@ -103,7 +104,7 @@ def test_counts_follow_edits(seed):
 
 
 def test_an_edit_encodes_a_small_part():
-    counted = edit_counts.CountedText("some plain words in a row. " * 4000, PAIRS)
+    counted = edit_counts.CountedText("some plain words in a row. " * 4000, COUNTER)
     counted.edit(50_000, 3, "xyz")
     assert counted.encoded < 2000
 
