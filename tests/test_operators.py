@@ -101,3 +101,19 @@ def test_pages_beyond_the_end(spark):
     rows = spark.range(7)
     assert [r["id"] for r in rollups.page(rows, [F.asc("id")], 3, 99).collect()] == [6]
     assert rollups.page(rows.where("id < 0"), [F.asc("id")], 3, 5).count() == 0
+
+
+def test_engine(spark, sf):
+    from recallspark.api import Engine
+    from recallspark.plans.retrieval import memory
+    from recallspark.plans.vectors import query_vector
+    from recallspark.sources import views as v
+
+    mentions = v.mentions(spark, sf)
+    engine = Engine.of_tenant(7, memory(spark, sf), thoughts=v.thoughts(spark, sf), events=v.events(spark, sf), mentions=mentions, entities=v.entities(spark, sf), edges=graph.comentions(mentions), calls=v.calls(spark, sf))
+    assert {r["user_id"] for r in engine.events.select("user_id").distinct().collect()} <= {7}
+    found = engine.search(query_vector(spark, sf), "the und para")
+    assert "vec" not in found.columns and found.count() <= 20
+    assert engine.nearest(query_vector(spark, sf), 3).count() == 3
+    assert engine.solve("span", "2001-09-01").count() <= 1
+    assert engine.graph_search("red ring", 5).count() == 5
