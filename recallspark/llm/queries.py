@@ -124,3 +124,24 @@ WITH p AS (
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
 """
+
+ORACLES["op4_substrings"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), x AS (
+  SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d
+), p AS (
+  SELECT doc_id, n, pos, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS h FROM x
+), s AS (
+  SELECT * FROM p WHERE pos + 49 <= n
+), m AS (
+  SELECT h, min(doc_id) AS low FROM s GROUP BY h
+), g AS (
+  SELECT DISTINCT doc_id, s.pos + k.k AS pos FROM s JOIN m USING (h), range(50) k(k) WHERE low < doc_id
+), t AS (
+  SELECT x.doc_id, x.pos, x.word, g.pos IS NOT NULL AS gone FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.pos = x.pos
+), a AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS kept FROM t GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+"""
