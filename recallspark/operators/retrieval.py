@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.operators import fuse, lexical, vector
+from recallspark.session import written
 
 #: Weights of the score's parts.
 WEIGHTS = {"thought": 0.42, "community": 0.25, "entity": 0.10, "centrality": 0.08, "specificity": 0.05, "salience": 0.04, "recency": 0.06, "temporal": 0.18}
@@ -92,7 +93,8 @@ def scored(rows: DataFrame, notes: DataFrame, weights: dict[str, float] | None =
     """Hydrates (ids that are no active note vanish) and scores."""
     w = WEIGHTS | (weights or {})
     features = notes.where("active").select("id", "salience", "centrality", "specificity", "recency", "communities")
-    h = rows.join(features, "id")
+    # At most MERGED rows, read several times below: written once, so that no channel is searched again.
+    h = written(rows.join(features, "id"), "candidates")
     has = lambda name: F.array_contains("channels", CHANNELS.index(name))
     sim = lambda c: F.coalesce(vector.similarity(F.col(c)), F.lit(0.0))
     thought = F.when(F.col("distance").isNotNull() | (F.col("rank") > 0), F.greatest(vector.similarity(F.col("distance")), F.when(F.col("rank") > 0, F.col("rank")))).when(has("lexical"), 0.35).otherwise(0.2)
