@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from recallspark.functions import calendar as c
 
-#: Kinds of note that never grow stale; when a question about oneself is due again.
-NEVER_STALE, EVERY_NOTES, EVERY_DAYS = ("identity", "preference"), 10, 7
+#: After how many notes, and how many days, a question about oneself is due again.
+EVERY_NOTES, EVERY_DAYS = 10, 7
 
 
 def is_active(lifecycle: Column, metadata: Column) -> Column:
@@ -17,12 +19,14 @@ def is_active(lifecycle: Column, metadata: Column) -> Column:
     return (lifecycle == "open") & (status.isNull() | ~status.isin("completed", "archived"))
 
 
-def never_stale(category: Column, metadata: Column) -> Column:
-    return F.coalesce(category.isin(*NEVER_STALE), F.lit(False)) | F.get_json_object(metadata, "$.neverStale").eqNullSafe("true")
+def never_stale(category: Column, metadata: Column, durable: Sequence[str] = ()) -> Column:
+    """Of a durable kind, which the tenant's ontology names, or marked so."""
+    kind = F.coalesce(category.isin(*durable), F.lit(False)) if durable else F.lit(False)
+    return kind | F.get_json_object(metadata, "$.neverStale").eqNullSafe("true")
 
 
-def is_stale(created: Column, category: Column, metadata: Column, now: str, days: int) -> Column:
-    return (c.plus_days(created, days) < c.at(now)) & ~never_stale(category, metadata)
+def is_stale(created: Column, category: Column, metadata: Column, now: str, days: int, durable: Sequence[str] = ()) -> Column:
+    return (c.plus_days(created, days) < c.at(now)) & ~never_stale(category, metadata, durable)
 
 
 def author_layer(author: Column, key_id: Column, label: Column) -> Column:
