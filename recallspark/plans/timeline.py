@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recallspark.functions import calendar as c
-from recallspark.operators import graph, timeline as op
+from recallspark.operators import graph, planner, timeline as op
 from recallspark.operators.rollups import keyset_page
 from recallspark.plans.book import Book
 from recallspark.sources import views as v
@@ -266,3 +266,12 @@ def task_sequence_append(spark, d):
 def merged_projects(spark, d):
     merges = v.entities(spark, d).where("id % 10 = 9").select(F.col("id").alias("old_id"), (F.col("id") - 9).alias("new_id"))
     return op.merged_projects(v.mentions(spark, d), merges)
+
+
+@BOOK.query()
+def week_plan(spark, d):
+    """Events without a date, every seventh of them here, put between the others of a week."""
+    e = v.events(spark, d)
+    n = F.col("thought_id") % 7
+    undated = e.where(n == 0).select("user_id", "event_id", (F.col("minutes") * 10).alias("minutes"), (F.col("thought_id") % 100).alias("focus"))
+    return planner.plan_week(undated, e.where(n != 0), "2000-06-05")

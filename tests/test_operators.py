@@ -117,3 +117,17 @@ def test_engine(spark, sf):
     assert engine.nearest(query_vector(spark, sf), 3).count() == 3
     assert engine.solve("span", "2001-09-01").count() <= 1
     assert engine.graph_search("red ring", 5).count() == 5
+
+
+def test_week_plan(spark):
+    from recallspark.operators import planner
+
+    nine = 9 * 60
+    assert planner.placed([("a", 90), ("b", 60)], [], 480) == [("a", nine, nine + 90), ("b", nine + 120, nine + 180)]
+    # Nine o'clock is taken: the first item waits for the next day, the second takes ten.
+    assert planner.placed([("a", 60), ("b", 60)], [(nine, nine + 30)], 480) == [("b", nine + 60, nine + 120), ("a", 1440 + nine, 1440 + nine + 60)]
+    assert planner.placed([("a", 500)], [], 480) == []
+    undated = spark.createDataFrame([(1, "x", None, 2), (1, "y", 30, 1), (2, "z", 30, 1)], "user_id long, event_id string, minutes int, focus int")
+    busy = spark.createDataFrame([(2, "2024-01-01 08:00:00", "2024-01-06 00:00:00")], "user_id long, s string, e string").selectExpr("user_id", "cast(s as timestamp_ntz) start_at", "cast(e as timestamp_ntz) end_at")
+    got = [(r["user_id"], r["event_id"], r["start_at"].strftime("%d %H:%M"), r["end_at"].strftime("%H:%M")) for r in planner.plan_week(undated, busy, "2024-01-01").orderBy("start_at").collect()]
+    assert got == [(1, "y", "01 09:00", "09:30"), (1, "x", "01 10:00", "11:00")]
