@@ -6,6 +6,10 @@ fingerprint under its parent by their Hamming distance, and only edges whose dis
 fingerprint within the radius are followed. A shard gives a spanning forest of its links, never all
 pairs; components of these are the groups of near copies.
 
+Near copies by a similarity (``near_copies``, ``thinned``) take such groups as candidates alone: shards are
+made by least hashes of shingles, the radius is wide, and all texts of a candidate group are then compared
+by their sets of shingles. Only pairs that reach the similarity are links.
+
 Shards meet their trees in the tasks that hold them. Trees of all fingerprints would have to be gathered
 on the driver to be broadcast, and would grow with the corpus.
 
@@ -48,18 +52,24 @@ def _mixed(h: np.ndarray, times: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def fingerprint(text: str, shingle: int, blocks: int) -> bytes:
-    """``blocks`` times 64 bits, the most significant first; the first block is that of the hashes themselves."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """A hash for each place of a shingle, repeats included."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return bytes(8 * blocks)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     n = max(1, len(words) - shingle + 1)
     starts, stops = [0, *ends[: n - 1].tolist()], (ends[-n:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64)
-    out = []
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray, blocks: int) -> bytes:
+    """``blocks`` times 64 bits, the most significant first; the first block is that of the hashes themselves."""
+    n, out = len(hashes), []
+    if not n:
+        return bytes(8 * blocks)
     for k in range(blocks):
         block = _mixed(hashes, k) if k else hashes
         counts = np.zeros(64, dtype=np.int64)
@@ -70,6 +80,11 @@ def fingerprint(text: str, shingle: int, blocks: int) -> bytes:
     return b"".join(out)
 
 
+def fingerprint(text: str, shingle: int, blocks: int) -> bytes:
+    """The fingerprint of all shingles, repeats included."""
+    return majority(shingle_hashes(text, shingle), blocks)
+
+
 def fingerprints(docs: DataFrame, shingle: int, blocks: int, text: str = "text") -> DataFrame:
     """``docs`` without its text and with ``fp``, in the order of rows."""
     kept = docs.drop("fp")
@@ -177,12 +192,6 @@ def exact_keys(radius: int, blocks: int, cuts: int = 5) -> list[list[int]]:
     return [np.concatenate(chosen).tolist() for chosen in combinations(parts, cuts - radius)]
 
 
-def sampled_keys(tables: int, bits: int, blocks: int, seed: int = 7) -> list[list[int]]:
-    """Bit places of each key drawn at random: likely, not certain, to be shared by near fingerprints."""
-    rng = np.random.default_rng(seed)
-    return [sorted(rng.choice(64 * blocks, bits, replace=False).tolist()) for _ in range(tables)]
-
-
 def _sharded(groups: DataFrame, keys: list[list[int]]) -> DataFrame:
     """``shard, fp, rep``: each fingerprint once a key."""
 
@@ -264,34 +273,144 @@ def grouped(docs: DataFrame, *, shingle: int, blocks: int, radius: int, keys: li
     return found.select("doc_id", "fp", F.when(F.col("component") < NAMELESS, F.col("component")).alias("component_id"))
 
 
-#: Fingerprints of so many 64-bit blocks tell similarities apart well enough to thin a corpus.
+#: Candidates for near copies: blocks of 64 bits of a fingerprint, and the radius, a cosine of 0.6.
 FINE_BLOCKS = 4
+FINE_RADIUS = math.floor(64 * FINE_BLOCKS * math.acos(0.6) / math.pi)
+
+#: Texts of a candidate group are compared by pairs of blocks of so many.
+BLOCK = 256
+
+#: Stands for a null doc_id, behind all others.
+LAST = (1 << 63) - 1
+
+
+class LeastHashes:
+    """Keys of a set of hashes: each the least hashes under ``rows`` orders.
+
+    Sets of Jaccard similarity s share a key with probability ``1 - (1 - s ** rows) ** tables``, whatever
+    their sizes: 0.99999 at 0.8 for 16 tables of 3 rows.
+    """
+
+    def __init__(self, tables: int, rows: int, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        self.shape = tables, rows
+        self.turns = rng.integers(0, 1 << 64, tables * rows, np.uint64)
+        self.factors = rng.integers(0, 1 << 64, tables * rows, np.uint64) | np.uint64(1)
+
+    def keys(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(hashes):
+            return np.zeros(0, np.int64)
+        least = np.full(len(self.turns), np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(hashes), 1 << 11):
+            least = np.minimum(least, ((hashes[at : at + (1 << 11), None] ^ self.turns) * self.factors).min(axis=0))
+        out = np.arange(self.shape[0], dtype=np.uint64)
+        for row in least.reshape(self.shape).T:
+            out = _mixed(out ^ row, 1)
+        return out.view(np.int64)
+
+
+def _marked(slim: DataFrame, shingle: int, tables: int, rows: int) -> DataFrame:
+    """``_k, _h, sid, fp, keys`` of each row; ``sid`` stands for the set of shingles."""
+    made = LeastHashes(tables, rows)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            sets = [np.unique(shingle_hashes(x, shingle)) for x in texts(batch)]
+            sid = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            columns = [batch.column("_k"), batch.column("_h"), pa.array(sid), pa.array([majority(x, FINE_BLOCKS) for x in sets], pa.binary()), pa.array([made.keys(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["_k", "_h", "sid", "fp", "keys"])
+
+    return batches(slim.select("_k", "_h", "text")).mapInArrow(run, "_k long, _h long, sid long, fp binary, keys array<long>")
 
 
-def fine(similarity: float, shingle: int, tables: int, bits: int) -> dict:
-    """Settings that link texts whose cosine of shingle counts is at least ``similarity``.
+def forest_exact(values: np.ndarray, starts: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Spanning forest of the links between sets whose Jaccard similarity is at least the one given.
 
-    The cosine is read off the share of differing bits of a 256-bit fingerprint. A pair at cosine 0.89
-    (a Jaccard similarity of 0.8) shares one of 40 sampled keys of 14 bits with probability 0.99.
+    The sets follow each other in ``values``, none of them empty; ``starts`` says where each begins.
     """
-    radius = math.floor(64 * FINE_BLOCKS * math.acos(similarity) / math.pi)
-    return {"shingle": shingle, "blocks": FINE_BLOCKS, "radius": radius, "keys": sampled_keys(tables, bits, FINE_BLOCKS)}
+    distinct, codes = np.unique(values, return_inverse=True)
+    sizes = np.diff(np.r_[starts, len(values)])
+    label, out, mark = np.arange(len(starts)), [], np.zeros(len(distinct), np.uint8)
+    for i in range(len(starts) - 1):
+        if (label == label[i]).all():
+            continue
+        own, rest = codes[starts[i] : starts[i + 1]], starts[i + 1]
+        mark[own] = 1
+        common = np.add.reduceat(mark[codes[rest:]], starts[i + 1 :] - rest, dtype=np.int64)
+        mark[own] = 0
+        near = np.flatnonzero(common >= similarity * (sizes[i] + sizes[i + 1 :] - common) - 1e-9) + i + 1
+        for other, place in zip(*np.unique(label[near], return_index=True)):
+            if other != label[i]:
+                out.append((i, int(near[place])))
+                label[label == other] = label[i]
+    return out
+
+
+def _confirmed(sets: DataFrame, similarity: float) -> DataFrame:
+    """``u, v``: links of ``sets`` (``sid, component, n, set``) inside their candidate groups of n texts."""
+    dealt = sets.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    shards = dealt.select(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("shard"), F.col("sid").alias("rep"), "set")
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_shards(found):
+            shard, reps, held = rows.column("shard").to_numpy(), rows.column("rep").to_numpy(), rows.column("set")
+            values, at = held.flatten().to_numpy(), np.r_[0, np.cumsum(held.value_lengths().to_numpy())]
+            starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+            for a, b in zip(starts, np.r_[starts[1:], len(shard)]):
+                if b - a > 1:
+                    places = np.array(forest_exact(values[at[a] : at[b]], at[a:b] - at[a], similarity), dtype=np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(reps[a:b][places[:, 0]]), pa.array(reps[a:b][places[:, 1]])], ["u", "v"])
+
+    return batches(shards, 4096).repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "u long, v long")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """One row of each ``_k, _h``."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_h").orderBy("_k"))).where("_n = 1").drop("_n")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_h", F.xxhash64("text"))
+
+
+def _copies(docs: DataFrame, similarity: float, shingle: int, tables: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """``_marked``'s rows, and ``sid, first, component`` of each set: ``first`` is its least ``_k, _h``."""
+    slim = docs.select("_k", "_h", "text")
+    marked = written(_marked(slim, shingle, tables, rows), "marks")
+    nodes = written(marked.groupBy("sid").agg(F.min(F.struct("_k", "_h")).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sets")
+    candidates = written(components(_links(nodes.select(F.explode("keys").alias("shard"), "fp", F.col("sid").alias("rep")), FINE_RADIUS)), "candidates")
+    sizes = candidates.groupBy("component").agg(F.count("*").alias("n"))
+    asked = candidates.join(sizes, "component").join(nodes, F.col("id") == F.col("sid")).select("first._k", "first._h", "sid", "component", "n")
+    names = ["sid", "component", "n"]
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            sets = pa.array([np.unique(shingle_hashes(x, shingle)).view(np.int64) for x in texts(batch)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), sets], [*names, "set"])
+
+    said = batches(_once(slim.join(asked, ["_k", "_h"])).select(*names, "text"))
+    links = components(_confirmed(said.mapInArrow(run, "sid long, component long, n long, set array<long>"), similarity))
+    found = nodes.join(links, nodes.sid == links.id, "left").select("sid", "first", F.coalesce("component", "sid").alias("component"))
+    return marked, found
 
 
-def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, tables: int = 40, bits: int = 14, text: str = "text") -> DataFrame:
-    """Per row ``doc_id, fp, component_id`` under the settings of ``fine``."""
-    return grouped(docs, **fine(similarity, shingle, tables, bits), text=text)
+def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, tables: int = 16, rows: int = 3, text: str = "text") -> DataFrame:
+    """Per row ``doc_id, fp, component_id``: groups linked by Jaccard similarities of distinct shingles."""
+    marked, found = _copies(_keyed(docs.select("doc_id", F.col(text).alias("text"))), similarity, shingle, tables, rows)
+    least = found.groupBy("component").agg(F.min("first._k").alias("least"))
+    named = found.join(least, "component").select("sid", "least")
+    name = lambda c: F.when(F.col(c) < LAST, F.col(c))
+    return marked.join(named, "sid").select(name("_k").alias("doc_id"), "fp", name("least").alias("component_id"))
 
 
-def thinned(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, tables: int = 40, bits: int = 14) -> DataFrame:
+def thinned(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, tables: int = 16, rows: int = 3) -> DataFrame:
     """``docs`` with one row of each group of near copies: that of smallest ``doc_id``, null ones last.
 
-    Rows of equal ``doc_id`` and text are one row.
+    Rows of equal ``doc_id`` and text are one row. Every link of a group is a pair of texts whose sets of
+    shingles have at least that Jaccard similarity.
     """
-    columns = docs.columns
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("_k"), F.xxhash64("text").alias("_h"))
-    found = _grouped(slim, **fine(similarity, shingle, tables, bits), text="text")
-    first = found.groupBy("component").agg(F.min(F.struct("_k", "_h")).alias("f")).select("f._k", "f._h")
-    rows = docs.withColumn("_k", key).withColumn("_h", F.xxhash64("text")).join(first, ["_k", "_h"], "left_semi")
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_h").orderBy("_k"))).where("_n = 1").select(*columns)
+    columns, keyed = docs.columns, _keyed(docs)
+    _, found = _copies(keyed, similarity, shingle, tables, rows)
+    first = found.groupBy("component").agg(F.min("first").alias("f")).select("f._k", "f._h")
+    return _once(keyed.join(first, ["_k", "_h"], "left_semi")).select(*columns)

@@ -152,6 +152,52 @@ def test_thinned_keeps_one_of_each_group(spark):
     assert [x[0] for x in sorted((tuple(r) for r in kept.collect()), key=key)] == [None, 1, 4, 5]
 
 
+def five_words(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def planted(r, base, wanted):
+    """A text whose sets of five-word shingles has about the wanted similarity with that of ``base``."""
+    words, places = list(base), list(range(len(base)))
+    r.shuffle(places)
+    while jaccard(five_words(" ".join(base)), five_words(" ".join(words))) > wanted:
+        words[places.pop()] = f"x{r.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_thinned_is_brute_force_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    r, said = random.Random(11), []
+    for size in (12, 40, 150, 600):
+        for wanted in (0.6, 0.65, 0.7, 0.75, 0.78, 0.8, 0.82, 0.85, 0.9):
+            for _ in range(6):
+                base = [f"w{r.randrange(10**6)}" for _ in range(size)]
+                said += [" ".join(base), planted(r, base, wanted)]
+    # Chains within a group larger than a block, and a text whose repeats change its counts of shingles alone.
+    base = [f"c{r.randrange(10**6)}" for _ in range(80)]
+    said += [" ".join(base[i : i + 60]) for i in range(20)] + [planted(r, base, 0.7) for _ in range(20)]
+    said += [" ".join(base[:7] * 2 + base[20:40]), " ".join(base[:7] * 40 + base[20:40])]
+    sets, head = [five_words(t) for t in said], list(range(len(said)))
+
+    def top(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(said)), 2):
+        if jaccard(sets[i], sets[j]) >= 0.8:
+            a, b = sorted((top(i), top(j)))
+            head[b] = a
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(said)]
+    assert sorted(x[0] for x in simhash.thinned(docs(spark, rows)).select("doc_id").collect()) == [i for i in range(len(head)) if head[i] == i]
+    assert sorted((x[0], x[1]) for x in simhash.near_copies(docs(spark, rows)).select("doc_id", "component_id").collect()) == [(i, top(i)) for i in range(len(said))]
+
+
 def plain_cut(rows, window):
     seen = {}
     for doc_id, text, *_ in rows:
