@@ -70,7 +70,7 @@ def louvain_levels(spark, d):
 @BOOK.query()
 def entity_resolution(spark, d):
     e = v.entities(spark, d).groupBy(F.lower("label").alias("key")).agg(F.min("id").alias("id"), F.min("entity_type").alias("entity_type"))
-    said = v.table(spark, d, "lineitem").where("l_orderkey < 2000").join(v.entities(spark, d), F.col("l_partkey") == F.col("id"))
+    said = v.table(spark, d, "lineitem").join(v.entities(spark, d), F.col("l_partkey") == F.col("id"))
     key = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.split(F.lower("label"), " ")[0], F.lit(" thing"))).when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("the "), F.lower("label"))).otherwise(F.lower("label"))
     mentions = said.groupBy(F.col("l_orderkey").alias("thought_id"), F.col("l_partkey").alias("entity_id")).agg(F.min(key).alias("key"), F.min("entity_type").alias("entity_type"))
     mentions = mentions.select((F.col("thought_id") * 100_000 + F.col("entity_id")).alias("mention_id"), "thought_id", "key", "entity_type")

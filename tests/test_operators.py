@@ -8,6 +8,7 @@ from recallspark.functions import calendar as c
 from recallspark.functions import text
 from recallspark.operators import community, fuse, graph, retrieval, rollups
 from recallspark.operators.components import components
+from recallspark.plans import evaluation
 
 
 def test_fold_and_tokens():
@@ -131,3 +132,23 @@ def test_week_plan(spark):
     busy = spark.createDataFrame([(2, "2024-01-01 08:00:00", "2024-01-06 00:00:00")], "user_id long, s string, e string").selectExpr("user_id", "cast(s as timestamp_ntz) start_at", "cast(e as timestamp_ntz) end_at")
     got = [(r["user_id"], r["event_id"], r["start_at"].strftime("%d %H:%M"), r["end_at"].strftime("%H:%M")) for r in planner.plan_week(undated, busy, "2024-01-01").orderBy("start_at").collect()]
     assert got == [(1, "y", "01 09:00", "09:30"), (1, "x", "01 10:00", "11:00")]
+
+
+def test_entity_resolution_takes_every_mention(spark):
+    d = "/root/testdata/sf0.01"
+    label = {r["p_partkey"]: r["p_name"].lower() for r in spark.read.parquet(f"{d}/part.parquet").collect()}
+    ids, keys = {}, {}
+    for i in sorted(label):
+        ids.setdefault(label[i], i)
+    aliases = {f"the {name}": i for name, i in ids.items() if i % 2 == 0}
+    for r in spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_linenumber").collect():
+        name = label.get(r["l_partkey"])
+        if name is not None:
+            key = (f"{name.split(' ')[0]} thing", f"the {name}", name)[r["l_linenumber"] % 3]
+            mention = r["l_orderkey"] * 100_000 + r["l_partkey"]
+            keys[mention] = min(key, keys.get(mention, key))
+    got = {r["mention_id"]: (r["entity_id"], r["how"]) for r in evaluation.entity_resolution(spark, d).collect()}
+    assert got.keys() == keys.keys()
+    for mention, key in keys.items():
+        want = (ids[key], "key") if key in ids else (aliases[key], "alias") if key in aliases else None
+        assert got[mention] == want if want else got[mention][1] in ("context", "new")
