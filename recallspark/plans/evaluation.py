@@ -55,9 +55,9 @@ def latest_mapping(spark, d):
 
 
 def tenant_graph(spark, d):
-    """Co-mentions by tenant: an order's customer, folded to a few."""
-    owner = v.thoughts(spark, d).select(F.col("id").alias("thought_id"), (F.col("user_id") % 8).alias("tenant"))
-    m = v.mentions(spark, d).where("entity_id < 400").join(owner, "thought_id").select("tenant", "thought_id", "entity_id")
+    """Co-mentions by tenant: an order's customer."""
+    owner = v.thoughts(spark, d).select(F.col("id").alias("thought_id"), F.col("user_id").alias("tenant"))
+    m = v.mentions(spark, d).join(owner, "thought_id").select("tenant", "thought_id", "entity_id")
     edges = graph.comentions(m, ["tenant"]).select("tenant", "a", "b", F.col("weight").cast("double").alias("weight"))
     return m.select("tenant", F.col("entity_id").alias("node")).distinct(), edges
 

@@ -152,3 +152,13 @@ def test_entity_resolution_takes_every_mention(spark):
     for mention, key in keys.items():
         want = (ids[key], "key") if key in ids else (aliases[key], "alias") if key in aliases else None
         assert got[mention] == want if want else got[mention][1] in ("context", "new")
+
+
+def test_louvain_levels_takes_every_entity_of_each_user(spark):
+    d = "/root/testdata/sf0.01"
+    owner = {r["o_orderkey"]: r["o_custkey"] for r in spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey").collect()}
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()
+    want = {(owner[r["l_orderkey"]], r["l_partkey"]) for r in rows if r["l_orderkey"] in owner}
+    got = evaluation.louvain_levels(spark, d).collect()
+    for level in range(3):
+        assert {(r["tenant"], r["node"]) for r in got if r["level"] == level} == want
