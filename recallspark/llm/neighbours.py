@@ -1,17 +1,23 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A unit vector is turned by fast pseudo-rotations (random signs, then a Hadamard transform, three times)
-and hashed to the signed axis it is nearest to. Each of several tables has turns of its own. A query
-probes, in each table, the signed axes it is nearest to; the rows hashed to these are its candidates, and
-candidates are ranked by their exact cosine on the original vectors.
-
-Rows and queries meet by table, axis and slice; an axis has as many slices as its rows need, so an axis
-that holds a third of all rows is no single task. Each meeting gives a query's best few.
-
-Rules for odd input: vectors that are null, empty, zero, or hold null or non-finite parts take no part, as
-do those shorter than the longest. Rows of equal id are one vector, a query has no candidate of its own
-id, and ties go to the smaller id. Rows whose id is null take no part. A query that finds too few in its
-axes probes all. Fewer rows give fewer answers, an empty table none. Other columns are not read.
+and hashed to the signed axis it is nearest to. A table joins several such hashes, each with turns of its
+own, to one bucket: as many whole ones as the number of rows asks for, and a last one over a few axes, so
+that a bucket holds about ``ROWS_A_BUCKET`` rows however many there are. A query probes, in each of several
+tables, the buckets to whose axes it is nearest in sum; the rows in these are its candidates. Probes grow as
+the number of buckets to the power of 0.6, so the share of all rows that a query is compared with falls.
+
+Rows and queries meet by table, part (a range of buckets) and slice. Parts of many rows or many queries are
+sliced on both sides, so that no task holds more than a slice of either. Meetings compare unit vectors of
+single precision and keep what may be among a query's best; these are ranked by the exact cosine of the
+original vectors, which are fetched by id. Of rows with the same vector only the few smallest ids can be
+answers, and only they are indexed.
+
+Rules for odd input: vectors that are null, empty, zero, or hold null or non-finite parts take no part, nor
+do those of another length than the commonest (the longer of equally common ones, or ``dim`` where it is
+given). Rows of equal id are one vector, at its best score; a query has no candidate of its own id, and ties
+go to the smaller id. Rows whose id is null take no part. A query that finds too few in its buckets is
+compared with all rows. Fewer rows give fewer answers, an empty table none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,16 +32,47 @@ from pyspark.sql import functions as F
 from recallspark.llm.rows import batches
 from recallspark.session import written
 
-#: Rows of one axis that stand in one slice, about.
-ROWS_A_SLICE = 8192
+#: Rows of one bucket, about, and of one slice of a part, at most about.
+ROWS_A_BUCKET, ROWS_A_SLICE = 16, 8192
+
+#: Buckets of one part.
+SPAN = 512
+
+#: Single precision may be off by so much in a cosine; what is that near to the k-th best is compared exactly.
+MARGIN = 2e-5
+
+#: Candidate pairs that a meeting holds before it keeps the best of each query.
+PAIRS = 1 << 20
+
+#: Small tables up to this many rows are sent to every task, larger ones are joined by shuffle.
+SENT = 200_000
 
 SEED, ROUNDS = 11, 3
 
 
-def turns(dim: int, tables: int) -> np.ndarray:
-    """Signs by table and round, for vectors filled up to a power of two."""
+def turns(dim: int, hashes: int, table: int) -> np.ndarray:
+    """Signs by hash and round of one table, for vectors filled up to a power of two."""
+    wide = 1 << max(1, (dim - 1).bit_length())
+    return np.random.default_rng([SEED, table]).choice([-1.0, 1.0], size=(hashes, ROUNDS, wide))
+
+
+def widths(dim: int, rows: int) -> list[int]:
+    """Axes of each hash of a table: whole ones, then one of as many as the number of rows still asks for."""
     wide = 1 << max(1, (dim - 1).bit_length())
-    return np.random.default_rng(SEED).choice([-1.0, 1.0], size=(tables, ROUNDS, wide))
+    found, left = [wide], rows / ROWS_A_BUCKET / (2 * wide)
+    while left > 1:
+        found.append(min(wide, 1 << max(0, int(np.ceil(np.log2(left / 2))))))
+        left /= 2 * found[-1]
+    return found
+
+
+def buckets_of(axes: list[int]) -> int:
+    return int(np.prod([2 * w for w in axes], dtype=np.int64))
+
+
+def probes_for(buckets: int) -> int:
+    """How many buckets of a table a query probes."""
+    return min(buckets, int(np.ceil(0.4 * buckets**0.6)))
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -57,12 +94,6 @@ def turned(vectors: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return x
 
 
-def nearest_axes(x: np.ndarray, how_many: int) -> np.ndarray:
-    """The signed axes nearest to each row, nearest first: twice the place, and one more if negative."""
-    signed = np.stack([x, -x], axis=2).reshape(len(x), -1)
-    return np.argsort(-signed, axis=1, kind="stable")[:, :how_many].astype(np.int32)
-
-
 def usable(vector: Column) -> Column:
     """The vector in doubles, or null if it can take no part."""
     v = vector.cast("array<double>")
@@ -70,100 +101,220 @@ def usable(vector: Column) -> Column:
     return F.when(fine, v)
 
 
-def _hashed(rows: DataFrame, dim: int, tables: int, probes: int) -> DataFrame:
-    """``id, vec, axes``: for each table the list of nearest signed axes."""
-    signs = turns(dim, tables)
+def signed_axes(x: np.ndarray, width: int) -> np.ndarray:
+    """Nearness of each row to the signed axes: the first ``width`` ones, then their opposites."""
+    return np.hstack([x[:, :width], -x[:, :width]])
+
+
+def own_bucket(x: np.ndarray, axes: list[int], signs: np.ndarray) -> np.ndarray:
+    """Each row's bucket: the nearest signed axis of each hash."""
+    found = np.zeros(len(x), np.int64)
+    for width, by in zip(axes, signs):
+        found = found * (2 * width) + signed_axes(turned(x, by), width).argmax(axis=1)
+    return found
+
+
+def probed(x: np.ndarray, axes: list[int], signs: np.ndarray, probes: int) -> np.ndarray:
+    """The buckets of largest summed nearness, for each row, ``probes`` of them or all."""
+    found, total = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+    for width, by in zip(axes, signs):
+        near = signed_axes(turned(x, by), width)
+        # No more than the best few of each hash can be in the best few sums.
+        keep = min(probes, 2 * width)
+        best = np.argsort(-near, axis=1, kind="stable")[:, :keep]
+        sums = (total[:, :, None] + np.take_along_axis(near, best, 1)[:, None, :]).reshape(len(x), -1)
+        codes = (found[:, :, None] * (2 * width) + best[:, None, :]).reshape(len(x), -1)
+        order = np.argsort(-sums, axis=1, kind="stable")[:, :probes]
+        found, total = np.take_along_axis(codes, order, 1), np.take_along_axis(sums, order, 1)
+    return found
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _vectors(batch: pa.RecordBatch, dim: int) -> np.ndarray:
+    return unit(batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, dim))
+
+
+def _singles(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.astype(np.float32).ravel()))
+
+
+def _indexed(rows: DataFrame, dim: int, axes: list[int], tables: int) -> DataFrame:
+    """``id, unit, buckets``: the bucket of each table."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs = [turns(dim, len(axes), t) for t in range(tables)]
         for batch in found:
             if batch.num_rows:
-                x = batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, dim)
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                axes = np.stack([nearest_axes(turned(x, s), probes) for s in signs], axis=1)
-                inner = pa.ListArray.from_arrays(np.arange(0, axes.size + 1, axes.shape[2], dtype=np.int32), pa.array(axes.ravel()))
-                outer = pa.ListArray.from_arrays(np.arange(0, len(inner) + 1, tables, dtype=np.int32), inner)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), outer], ["id", "vec", "axes"])
+                x = _vectors(batch, dim)
+                codes = np.stack([own_bucket(x, axes, s) for s in signs], axis=1)
+                listed = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, tables, dtype=np.int32), pa.array(codes.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), _singles(x), listed], ["id", "unit", "buckets"])
 
-    return batches(rows, 2048).mapInArrow(run, "id long, vec array<double>, axes array<array<int>>")
+    return batches(rows.select("id", "vec"), 2048).mapInArrow(run, "id long, unit array<float>, buckets array<long>")
 
 
-def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Cosines of rows with one vector, summed alike for every row, so that equal rows tie exactly.
+def _asked(queries: DataFrame, dim: int, axes: list[int], tables: int, probes: int) -> DataFrame:
+    """``table, part, id, unit, probes``: a query once for each part it probes, with its buckets there.
 
-    Vectors are scaled by their largest part first, which keeps sums of squares finite and above zero.
+    Without any probes a query asks all parts of table 0; its list of buckets is empty, which means all.
+    """
+    parts = -(-buckets_of(axes) // SPAN)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs = [turns(dim, len(axes), t) for t in range(tables)]
+        for batch in found:
+            if not batch.num_rows:
+                continue
+            x, ids = _vectors(batch, dim), batch.column("id").to_numpy()
+            for table in range(tables):
+                if probes:
+                    codes = np.sort(probed(x, axes, signs[table], probes), axis=1)
+                    part = codes // SPAN
+                    starts = np.flatnonzero(np.c_[np.ones(len(x), bool), part[:, 1:] != part[:, :-1]].ravel())
+                    row, part = starts // codes.shape[1], part.ravel()[starts]
+                    listed = pa.ListArray.from_arrays(np.r_[starts, codes.size].astype(np.int32), pa.array(codes.ravel()))
+                else:
+                    row, part = np.repeat(np.arange(len(x)), parts), np.tile(np.arange(parts), len(x))
+                    listed = pa.ListArray.from_arrays(np.zeros(len(row) + 1, np.int32), pa.array([], pa.int64()))
+                columns = [pa.array(np.full(len(row), table, np.int32)), pa.array(part.astype(np.int64)), pa.array(ids[row]), _singles(x[row]), listed]
+                yield pa.RecordBatch.from_arrays(columns, ["table", "part", "id", "unit", "probes"])
+
+    return batches(queries.select("id", "vec"), 256).mapInArrow(run, "table int, part long, id long, unit array<float>, probes array<long>")
+
+
+def best_pairs(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the pairs that may be among a query's k best ids: those not below its k-th by more than the margin."""
+    if not len(query):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((-score, ids, query))
+    first = np.r_[True, (query[order][1:] != query[order][:-1]) | (ids[order][1:] != ids[order][:-1])]
+    order = order[first]
+    order = order[np.lexsort((ids[order], -score[order], query[order]))]
+    starts = np.flatnonzero(np.r_[True, query[order][1:] != query[order][:-1]])
+    sizes = np.diff(np.r_[starts, len(order)])
+    bound = np.where(sizes >= k, score[order[np.minimum(starts + k - 1, len(order) - 1)]] - MARGIN, -np.inf)
+    return order[score[order] >= np.repeat(bound, sizes)]
+
+
+def meeting(rows: np.ndarray, ids: np.ndarray, buckets: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, probes: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, ids and rough scores of what may be among the best, bucket by bucket.
+
+    ``probes`` are the queries' lists of buckets one after another, ``sizes`` says how long each is.
     """
-    a, b = rows / np.abs(rows).max(axis=1, keepdims=True), query / np.abs(query).max()
-    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum()))
-
-
-def best(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray, rough: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """The query's k best of these rows; rough scores only spare work on rows clearly below the k-th."""
-    others = ids != query_id
-    n = int(others.sum())
-    if n > k:
-        bound = np.partition(rough[others], n - k)[n - k] - 1e-9
-        others &= rough >= bound
-    near, at = ids[others], np.flatnonzero(others)
-    if not len(near):
-        return []
-    exact = cosines(rows[at], query)
-    out, seen = [], set()
-    for i in np.lexsort((near, -exact)):
-        if near[i] not in seen:
-            seen.add(near[i])
-            out.append((query_id, int(near[i]), float(exact[i])))
-            if len(out) == k:
-                break
-    return out
-
-
-def _found(index: DataFrame, asked: DataFrame, slices: DataFrame, k: int) -> DataFrame:
-    """``query_id, vec_id, score``: each meeting's best."""
-    keys = ["table", "axis", "slice"]
-    asked = asked.select("id", "vec", F.posexplode("axes").alias("table", "probed")).select("id", "vec", "table", F.explode("probed").alias("axis"))
-    asked = asked.join(F.broadcast(slices), ["table", "axis"]).select("id", "vec", "table", "axis", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
-        if left.num_rows and right.num_rows:
-            ids, rows = left.column("id").to_numpy(), np.stack(left.column("vec").to_numpy())
-            query_ids, queries = right.column("id").to_numpy(), np.stack(right.column("vec").to_numpy())
-            unit = lambda x: (y := x / np.abs(x).max(axis=1, keepdims=True)) / np.sqrt((y * y).sum(axis=1, keepdims=True))
-            a = unit(rows).T
-            for at in range(0, len(queries), 256):
-                for i, rough in enumerate(unit(queries[at : at + 256]) @ a, at):
-                    out.extend(best(ids, rows, int(query_ids[i]), queries[i], rough, k))
-        columns = list(zip(*out)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
-
-    return index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
-
-
-def search(rows: DataFrame, queries: DataFrame, k: int = 5, *, tables: int = 6, probes: int = 12, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    order = np.argsort(buckets, kind="stable")
+    codes, starts = np.unique(buckets[order], return_index=True)
+    stops = np.r_[starts[1:], len(order)]
+    all_of = np.flatnonzero(sizes == 0)
+    flat = np.r_[probes, np.tile(codes, len(all_of))]
+    who = np.r_[np.repeat(np.arange(len(sizes)), sizes), np.repeat(all_of, len(codes))]
+    by_code = np.argsort(flat, kind="stable")
+    flat, who = flat[by_code], who[by_code]
+    lows, highs = np.searchsorted(flat, codes), np.searchsorted(flat, codes, side="right")
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    count = 0
+
+    def pruned() -> None:
+        query, at, score = (np.concatenate(x) for x in zip(*held))
+        keep = best_pairs(query, ids[at], score, k)
+        held[:] = [(query[keep], at[keep], score[keep])]
+
+    for low, high, a, b in zip(lows, highs, starts, stops):
+        own = order[a:b]
+        step = max(1, PAIRS // len(own))
+        for lo in range(low, high, step):
+            asking = who[lo : min(high, lo + step)]
+            score = queries[asking] @ rows[own].T
+            query, at = np.repeat(asking, len(own)), np.tile(own, len(asking))
+            other = query_ids[query] != ids[at]
+            held.append((query[other], at[other], score.ravel()[other]))
+            count += len(query)
+            if count > PAIRS:
+                pruned()
+                count = 0
+    if not held:
+        return query_ids[:0], ids[:0], np.zeros(0)
+    pruned()
+    query, at, score = held[0]
+    return query_ids[query], ids[at], score.astype(np.float64)
+
+
+def _found(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, rough``: what each meeting keeps."""
+    keys = ["table", "part"]
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    pieces = lambda df, n: df.groupBy(*keys).agg(F.ceil(F.count("*") / ROWS_A_SLICE).cast("int").alias(n))
+    # A row a table and part: of SPAN buckets each, so about one for each 8192 rows of the index and table.
+    plan = written(pieces(index, "slices").join(pieces(asked, "turns"), keys), "meetings")
+    side = F.broadcast(plan) if plan.count() <= SENT else plan
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = index.join(side, keys).withColumn("slice", place("slices")).withColumn("turn", every("turns"))
+    right = asked.join(side, keys).withColumn("turn", place("turns")).withColumn("slice", every("slices"))
+    keys = [*keys, "slice", "turn"]
+
+    def meet(one: pa.Table, other: pa.Table) -> pa.Table:
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if one.num_rows and other.num_rows:
+            asked = other.column("probes").combine_chunks()
+            flat = lambda t: t.column("unit").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+            found = meeting(flat(one), one.column("id").to_numpy(), one.column("bucket").to_numpy(), flat(other), other.column("id").to_numpy(), asked.flatten().to_numpy(), asked.value_lengths().to_numpy(), k)
+        return pa.table(dict(zip(("query_id", "vec_id", "rough"), map(pa.array, found))))
+
+    return left.select(*keys, "id", "unit", "bucket").groupBy(*keys).cogroup(right.select(*keys, "id", "unit", "probes").groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, rough double")
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Exact cosine; both are scaled by their largest part first, which keeps sums of squares finite and above zero."""
+    scaled = lambda v: F.transform(v, lambda x: x / F.array_max(F.transform(v, F.abs)))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    return dot(scaled(a), scaled(b)) / (F.sqrt(dot(scaled(a), scaled(a))) * F.sqrt(dot(scaled(b), scaled(b))))
+
+
+def _uncrowded(rows: DataFrame, k: int) -> DataFrame:
+    """Rows without those that k + 1 smaller ids with the very same vector go before: these can be no answer."""
+    keys = [F.xxhash64("vec").alias("h"), F.hash("vec").alias("g")]
+    order = Window.partitionBy("h", "g").orderBy("id")
+    first = rows.select(*keys, "id").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 2)
+    crowded = written(first.groupBy("h", "g").agg(F.count("*").alias("n"), F.max(F.when(F.col("n") == k + 1, F.col("id"))).alias("last")).where(F.col("n") > k + 1).drop("n"), "crowded")
+    many = crowded.count()
+    if not many:
+        return rows
+    side = F.broadcast(crowded) if many <= SENT else crowded
+    return rows.withColumns({"h": keys[0], "g": keys[1]}).join(side, ["h", "g"], "left").where("last is null or id <= last").select("id", "vec")
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = 5, *, tables: int = 12, dim: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best found of ``rows`` for each of ``queries``."""
     clean = lambda df: df.select(F.col(id_col).cast("long").alias("id"), usable(F.col(vector_col)).alias("vec")).where("id is not null and vec is not null")
-    dim = clean(rows).agg(F.max(F.size("vec"))).first()[0]
-    spark = rows.sparkSession
-    if dim is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    same = lambda df: clean(df).where(F.size("vec") == dim)
-    hashed = written(_hashed(same(rows), dim, tables, 1), "axes")
-    spread = hashed.select("id", "vec", F.posexplode(F.transform("axes", lambda a: a[0])).alias("table", "axis"))
-    # At most twice the (filled up) dimension times the number of tables rows, however many vectors there are.
-    slices = written(spread.groupBy("table", "axis").agg(F.ceil(F.count("*") / ROWS_A_SLICE).cast("int").alias("slices")), "slices")
-    index = spread.join(F.broadcast(slices), ["table", "axis"]).select("id", "vec", "table", "axis", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"))
-    asked = same(queries)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-
-    def ranked(found: DataFrame) -> DataFrame:
-        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    lengths = clean(rows).groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"))
+    if dim is not None:
+        lengths = lengths.where(F.col("dim") == dim)
+    chosen = lengths.orderBy(F.desc("n"), F.desc("dim")).first()
+    if chosen is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim, n = chosen
+    kept, asked = clean(rows).where(F.size("vec") == dim), clean(queries).where(F.size("vec") == dim)
+    axes = widths(dim, n)
+    index = written(_indexed(_uncrowded(kept, k), dim, axes, tables), "buckets").select("id", "unit", F.posexplode("buckets").alias("table", "bucket"))
+    index = index.withColumn("part", F.floor(F.col("bucket") / SPAN))
+
+    def near(probes: DataFrame, only: DataFrame) -> DataFrame:
+        """The k best of those found, by their exact scores."""
+        rough = _found(only, probes, k).groupBy("query_id", "vec_id").agg(F.max("rough").alias("rough"))
+        by = Window.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        close = rough.withColumn("bound", F.nth_value("rough", k).over(by)).where(F.col("bound").isNull() | (F.col("rough") >= F.col("bound") - MARGIN))
+        pairs = close.join(kept.select(F.col("id").alias("vec_id"), "vec"), "vec_id").join(asked.select(F.col("id").alias("query_id"), F.col("vec").alias("own")), "query_id")
+        once = pairs.select("query_id", "vec_id", cosine(F.col("own"), F.col("vec")).alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    first = written(ranked(_found(index, _hashed(asked, dim, tables, probes), slices, k)), "nearest")
+    first = written(near(written(_asked(asked, dim, axes, tables, probes_for(buckets_of(axes))), "probes"), index), "nearest")
     enough = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
     short = written(asked.join(enough, "id", "left_anti"), "short")
     if not short.isEmpty():
-        one = lambda df: df.where(F.col("table") == 0)
-        more = _found(one(index), _hashed(short, dim, 1, 2 * turns(dim, 1).shape[2]), one(slices), k)
-        first = first.where(F.col("rank") < 0).unionByName(first.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti")).unionByName(ranked(more))
+        more = near(written(_asked(short, dim, axes, 1, 0), "probes"), index.where(F.col("table") == 0))
+        first = first.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more.select(*first.columns))
     return first.select("query_id", "rank", "vec_id", "score")

@@ -48,6 +48,41 @@ def test_odd_vectors_and_ties(spark):
     assert neighbours.search(df.where("false"), df.where("false"), 5).count() == 0
 
 
+def test_lengths_copies_and_repeated_ids(spark):
+    r = np.random.default_rng(8)
+    good = [(i, r.normal(size=3).tolist()) for i in range(20)]
+    one = spark.createDataFrame([*good, (20, [1.0, 2.0, 3.0, 4.0])], "vec_id long, embedding array<double>")
+    got = neighbours.search(one, one.where("vec_id = 0"), 5).collect()
+    assert [(x["rank"], x["vec_id"]) for x in sorted(got)] == [(k, i) for k, (i, _) in enumerate(plain_nearest(good, [0], 5)[0], 1)]
+    assert neighbours.search(one, one, 5, dim=4).count() == 0
+    # One id many times near the query, and one vector under more ids than there are places.
+    near, same = [(100, [1.0, 0.001 * i, 0.0]) for i in range(20)], [(200 + i, [1.0, 0.5, 0.0]) for i in range(30)]
+    rows = [(50, [1.0, 0.0, 0.0]), *near, *same, (300, [1.0, 0.4, 0.0])]
+    df = spark.createDataFrame([*rows, *rows], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, df.where("vec_id % 50 = 0"), 5).collect()
+    found = {}
+    for x in sorted(got):
+        found.setdefault(x["query_id"], []).append(x["vec_id"])
+    assert found == {q: [i for i, _ in hits] for q, hits in plain_nearest(rows, [50, 100, 200, 300], 5).items()}
+
+
+def test_bucket_counts_follow_rows():
+    for rows in (100, 2000, 10_000, 50_000, 10**9):
+        axes = neighbours.widths(64, rows)
+        assert neighbours.buckets_of(axes) >= min(128, rows / neighbours.ROWS_A_BUCKET)
+    share = lambda rows: neighbours.probes_for(b := neighbours.buckets_of(neighbours.widths(64, rows))) / b
+    assert share(2000) > share(50_000) > share(10**7) > share(10**9)
+
+
+def test_probes_are_the_largest_sums():
+    x = neighbours.unit(np.random.default_rng(2).normal(size=(7, 16)))
+    axes, signs = [16, 4], neighbours.turns(16, 2, 3)
+    first, second = (neighbours.signed_axes(neighbours.turned(x, by), w) for w, by in zip(axes, signs))
+    sums = (first[:, :, None] + second[:, None, :]).reshape(7, -1)
+    assert (np.sort(neighbours.probed(x, axes, signs, 9), axis=1) == np.sort(np.argsort(-sums, axis=1)[:, :9], axis=1)).all()
+    assert (neighbours.probed(x, axes, signs, 1)[:, 0] == neighbours.own_bucket(x, axes, signs)).all()
+
+
 URLS = [None, "", "no scheme", "http://Example.NET", "http://x.net/a?b", "https://m.example.net/en/1#t", "http://example.com/de/x", "http://a.b.example.com/de/", "http://example.com/den", "http://fr.org/fr/", "http://org/fr/9", "http://xorg/fr/9", "x://y.net/p://q", "http://u\n.net/a\nb?c", "http://notexample.com/de/", "http://net/"]
 
 
