@@ -10,8 +10,10 @@ Near copies by a similarity (``near_copies``, ``thinned``) take such groups as c
 made by least hashes of shingles, the radius is wide, and all texts of a candidate group are then compared
 by their sets of shingles. Only pairs that reach the similarity are links.
 
-Shards meet their trees in the tasks that hold them. Trees of all fingerprints would have to be gathered
-on the driver to be broadcast, and would grow with the corpus.
+A shard's tree is built in the task that holds the shard and asked there; it is not broadcast, as trees of
+all shards would have to be gathered on the driver and would grow with the corpus. A lost executor costs
+its own shards alone: they are read anew from the written table of shards, and their trees built again.
+A shard of many members is cut into parts, which meet in pairs.
 
 Rules for odd input: a null text is the empty text; a text without words has fingerprint zero and is
 linked like any other; one with fewer words than a shingle has one shingle, the whole sequence. Rows of
@@ -40,6 +42,9 @@ SEED = 42
 #: Shards of up to this many fingerprints use a tree of Python objects, larger ones arrays.
 SMALL = 24
 
+#: Members of one part of a large shard, about.
+HALF = 8192
+
 #: Names of groups without any doc_id start here.
 NAMELESS = 1 << 62
 
@@ -101,8 +106,8 @@ def fingerprints(docs: DataFrame, shingle: int, blocks: int, text: str = "text")
 class BKTree:
     """Integers under their Hamming distance."""
 
-    def __init__(self, root: int):
-        self.root = (root, 0, {})
+    def __init__(self, root: int, number: int):
+        self.root = (root, number, {})
 
     def add(self, value: int, number: int) -> None:
         node = self.root
@@ -126,60 +131,122 @@ class BKTree:
         return found
 
 
-def forest_small(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links between few integers, as pairs of places."""
-    tree, head, out = BKTree(values[0]), list(range(len(values))), []
+class Heads:
+    """Disjoint sets of places; the head of each is its name."""
+
+    def __init__(self, n: int):
+        self.head = list(range(n))
 
-    def top(i: int) -> int:
+    def top(self, i: int) -> int:
+        head = self.head
         while head[i] != i:
             head[i] = head[head[i]]
             i = head[i]
         return i
 
-    for i in range(1, len(values)):
-        for j in tree.within(values[i], radius):
-            if (a := top(i)) != (b := top(j)):
-                head[a] = b
-                out.append((j, i))
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.top(i), self.top(j)
+        self.head[max(a, b)] = min(a, b)
+        return a != b
+
+    def names(self) -> np.ndarray:
+        head = np.array(self.head)
+        while (up := head[head]).tolist() != head.tolist():
+            head = up
+        self.head = head.tolist()
+        return head
+
+
+def forest_small(values: list[int], radius: int, side: list[int]) -> list[tuple[int, int]]:
+    """Spanning forest of the links between few integers, as pairs of places.
+
+    Where there are two sides (0 and 1), those of side 0 make the tree and those of side 1 ask it.
+    """
+    heads, out = Heads(len(values)), []
+    held, asking = [i for i, s in enumerate(side) if not s], [i for i, s in enumerate(side) if s]
+    if not held:
+        return out
+    tree = BKTree(values[held[0]], held[0])
+    for i in held[1:]:
+        if not asking:
+            out.extend((j, i) for j in tree.within(values[i], radius) if heads.join(i, j))
         tree.add(values[i], i)
+    for i in asking:
+        out.extend((j, i) for j in tree.within(values[i], radius) if heads.join(i, j))
     return out
 
 
-def forest(words: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """The same for many, given as rows of unsigned 64-bit words.
+class WideTree:
+    """The same tree over many fingerprints, in arrays: children of a node stand together, by their distance.
 
-    A node's subtrees hold those at one distance from it each; two of them are compared only if their
-    distances differ by no more than the radius.
+    ``words`` are rows of unsigned 64-bit words. The tree is laid out level by level: the first of those
+    that hang together is a node, the others are dealt to its edges by their distance from it.
     """
-    label, out = np.arange(len(words)), []
-
-    def link(i: int, near: np.ndarray) -> None:
-        if not len(near):
-            return
-        labels = label[near]
-        if labels.min() == labels.max() == label[i]:
-            return
-        for other, place in zip(*np.unique(labels, return_index=True)):
-            if other != label[i]:
-                out.append((int(i), int(near[place])))
-                label[label == other] = label[i]
 
-    waiting = [np.arange(len(words))]
-    while waiting:
-        node, *_ = subtree = waiting.pop()
-        rest = subtree[1:]
-        d = np.bitwise_count(words[rest] ^ words[node]).sum(axis=1, dtype=np.int64)
-        link(node, rest[d <= radius])
-        order = np.argsort(d, kind="stable")
-        rest, d = rest[order], d[order]
-        edges, starts = np.unique(d, return_index=True)
-        for edge, a, b in zip(edges, starts, [*starts[1:], len(d)]):
-            if b - a > 1:
-                waiting.append(rest[a:b])
-            others = rest[b : np.searchsorted(d, edge + radius, side="right")]
-            if len(others):
-                for i in rest[a:b]:
-                    link(i, others[np.bitwise_count(words[others] ^ words[i]).sum(axis=1, dtype=np.int64) <= radius])
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.span = 64 * words.shape[1] + 1
+        n = len(words)
+        self.node, self.key, self.level_starts = [np.zeros(1, np.int64)], [np.full(1, -1, np.int64)], [0, 1]
+        waiting, parent = np.arange(1, n), np.zeros(max(0, n - 1), np.int64)
+        parent_at = np.zeros(len(waiting), np.int64)
+        while len(waiting):
+            d = np.bitwise_count(words[waiting] ^ words[parent]).sum(axis=1, dtype=np.int64)
+            keys, first, group = np.unique(parent_at * self.span + d, return_index=True, return_inverse=True)
+            start = self.level_starts[-1]
+            self.node.append(waiting[first])
+            self.key.append(keys)
+            self.level_starts.append(start + len(keys))
+            rest = np.ones(len(waiting), bool)
+            rest[first] = False
+            parent, parent_at, waiting = waiting[first][group][rest], start + group[rest], waiting[rest]
+        self.node, self.key = np.concatenate(self.node), np.concatenate(self.key)
+
+    def named_alike(self, names: np.ndarray) -> np.ndarray:
+        """For each node the name that all of its subtree has, or -1."""
+        own = names[self.node].copy()
+        for start, stop in zip(self.level_starts[-2:0:-1], self.level_starts[:1:-1]):
+            up = self.key[start:stop] // self.span
+            own[up[own[start:stop] != own[up]]] = -1
+        return own
+
+    def ask(self, words: np.ndarray, places: np.ndarray, radius: int, heads: Heads, out: list[tuple[int, int]], block: int = 1024) -> None:
+        """Adds to ``out`` a link for each pair within the radius that was not yet joined by others.
+
+        Only edges are followed whose distance can lead into the radius, and no subtree is entered whose
+        members are all in the asking one's group already.
+        """
+        for at in range(0, len(places), block):
+            names = heads.names()
+            alike = self.named_alike(names)
+            query = np.arange(at, min(len(places), at + block))
+            stand = np.zeros(len(query), np.int64)
+            while len(query):
+                fresh = alike[stand] != names[places[query]]
+                query, stand = query[fresh], stand[fresh]
+                d = np.bitwise_count(words[query] ^ self.words[self.node[stand]]).sum(axis=1, dtype=np.int64)
+                near = d <= radius
+                one, other = places[query[near]], self.node[stand[near]]
+                _, first = np.unique(names[one] * len(names) + names[other], return_index=True)
+                out.extend((j, i) for i, j in zip(one[first].tolist(), other[first].tolist()) if heads.join(i, j))
+                low = np.searchsorted(self.key, stand * self.span + np.maximum(d - radius, 0))
+                high = np.searchsorted(self.key, stand * self.span + np.minimum(d + radius, self.span - 1), side="right")
+                size = high - low
+                query = np.repeat(query, size)
+                stand = np.repeat(low - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+
+
+def forest(words: np.ndarray, radius: int, side: np.ndarray) -> list[tuple[int, int]]:
+    """The same for many, given as rows of unsigned 64-bit words."""
+    held, asking = np.flatnonzero(side == 0), np.flatnonzero(side)
+    out: list[tuple[int, int]] = []
+    if len(held):
+        tree, heads = WideTree(words[held]), Heads(len(words))
+        tree.node = held[tree.node]
+        tree.words = words
+        places = asking if len(asking) else held
+        tree.ask(words[places], places, radius, heads, out)
     return out
 
 
@@ -211,14 +278,28 @@ def _sharded(groups: DataFrame, keys: list[list[int]]) -> DataFrame:
     return groups.select("fp", "rep").mapInArrow(run, "shard long, fp binary, rep long")
 
 
+def _halves(shards: DataFrame) -> DataFrame:
+    """``shard, side, fp, rep``: shards of more than one member; larger ones than ``HALF`` in pairs of halves.
+
+    A large shard's members are dealt to as many parts as it needs, and each two parts meet in a task of
+    their own: one is the tree, the other asks it; a part also meets itself. Members are copied once for
+    each part of their own shard, and no task holds more than two parts.
+    """
+    sizes = shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+    rows = shards.join(sizes, "shard").withColumn("parts", F.ceil(F.col("n") / HALF).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    shard = F.when(F.col("parts") == 1, F.col("shard")).otherwise(F.xxhash64("shard", F.least("part", "other"), F.greatest("part", "other")))
+    return met.select(shard.alias("shard"), (F.col("part") > F.col("other")).cast("int").alias("side"), "fp", "rep")
+
+
 def _links(shards: DataFrame, radius: int) -> DataFrame:
     """``u, v``: spanning forests of all shards, by representatives."""
 
-    def linked(fps: list[bytes], reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def linked(fps: list[bytes], reps: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(fps) <= SMALL:
-            pairs = forest_small([int.from_bytes(x, "big") for x in fps], radius)
+            pairs = forest_small([int.from_bytes(x, "big") for x in fps], radius, side.tolist())
         else:
-            pairs = forest(np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(len(fps), -1), radius)
+            pairs = forest(np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(len(fps), -1), radius, side)
         places = np.array(pairs, dtype=np.int64).reshape(-1, 2)
         return reps[places[:, 0]], reps[places[:, 1]]
 
@@ -230,11 +311,12 @@ def _links(shards: DataFrame, radius: int) -> DataFrame:
             full = np.flatnonzero(stops - starts > 1)
             if not len(full):
                 continue
-            fps, reps = rows.column("fp").to_pylist(), rows.column("rep").to_numpy()
-            us, vs = zip(*(linked(fps[a:b], reps[a:b]) for a, b in zip(starts[full], stops[full])))
+            fps, reps, side = rows.column("fp").to_pylist(), rows.column("rep").to_numpy(), rows.column("side").to_numpy()
+            us, vs = zip(*(linked(fps[a:b], reps[a:b], side[a:b]) for a, b in zip(starts[full], stops[full])))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
-    return batches(shards, 16384).repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "u long, v long")
+    halves = _halves(written(shards, "shards"))
+    return batches(halves, 16384).repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "u long, v long")
 
 
 def whole_shards(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,8 +448,9 @@ def _confirmed(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _once(rows: DataFrame) -> DataFrame:
-    """One row of each ``_k, _h``."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_h").orderBy("_k"))).where("_n = 1").drop("_n")
+    """One row of each ``_k, _h``: the first by all its columns."""
+    others = [F.col(c) for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_h").orderBy(*others))).where("_n = 1").drop("_n")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -410,7 +493,9 @@ def thinned(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, table
     Rows of equal ``doc_id`` and text are one row. Every link of a group is a pair of texts whose sets of
     shingles have at least that Jaccard similarity.
     """
-    columns, keyed = docs.columns, _keyed(docs)
+    inner = {"doc_id": "doc_id", "text": "text"}
+    names = [inner.get(c, f"c{i}") for i, c in enumerate(docs.columns)]
+    keyed = _keyed(docs.toDF(*names))
     _, found = _copies(keyed, similarity, shingle, tables, rows)
     first = found.groupBy("component").agg(F.min("first").alias("f")).select("f._k", "f._h")
-    return _once(keyed.join(first, ["_k", "_h"], "left_semi")).select(*columns)
+    return _once(keyed.join(first, ["_k", "_h"], "left_semi")).select(*names).toDF(*docs.columns)

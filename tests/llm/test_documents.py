@@ -126,10 +126,54 @@ def test_trees_lose_no_link(radius):
         return [top(i) for i in range(len(values))]
 
     words = np.array(values, dtype=np.uint64).reshape(-1, 1)
-    for found in (simhash.forest_small(values, radius), simhash.forest(words, radius)):
-        assert parts(found) == parts(near)
-        assert all((values[i] ^ values[j]).bit_count() <= radius for i, j in found)
-        assert len(found) < len(values)
+    for side in (np.zeros(len(values), np.int64), np.array([r.randrange(2) for _ in values])):
+        wanted = near if not side.any() else [(i, j) for i, j in near if side[i] != side[j]]
+        for found in (simhash.forest_small(values, radius, side.tolist()), simhash.forest(words, radius, side)):
+            assert parts(found) == parts(wanted)
+            assert all((values[i] ^ values[j]).bit_count() <= radius for i, j in found)
+            assert len(found) < len(values)
+
+
+def test_large_shards_meet_by_halves(spark, monkeypatch):
+    """Some thousands of fingerprints against brute force, many of them in shards that are cut into parts."""
+    monkeypatch.setattr(simhash, "HALF", 50)
+    r = random.Random(9)
+    centres = [r.getrandbits(64) for _ in range(400)]
+    values = sorted({(c if k else r.getrandbits(64)) ^ sum(1 << b for b in r.sample(range(64), r.randrange(4))) for i, c in enumerate(centres) for k in range(500 if i < 3 else 4)})
+    words = np.array(values, dtype=np.uint64)
+    head = list(range(len(values)))
+
+    def top(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    for i in range(len(values)):
+        for j in np.flatnonzero(np.bitwise_count(words[i + 1 :] ^ words[i]) <= 2) + i + 1:
+            a, b = sorted((top(i), top(int(j))))
+            head[b] = a
+    df = spark.createDataFrame([(i, v.to_bytes(8, "big")) for i, v in enumerate(values)], "rep long, fp binary")
+    got = {x["id"]: x["component"] for x in simhash.components(simhash._links(simhash._sharded(df, simhash.exact_keys(2, 1)), 2)).collect()}
+    assert [got.get(i, i) for i in range(len(values))] == [top(i) for i in range(len(values))]
+
+
+def test_tree_search_follows_few_edges():
+    """What a search meets grows far slower than the shard."""
+    r = np.random.default_rng(3)
+    met = []
+    for n in (2000, 16000):
+        words = r.integers(0, 1 << 64, (n, 1), np.uint64)
+        tree = simhash.BKTree(int(words[0, 0]), 0)
+        for i, w in enumerate(words[1:, 0].tolist(), 1):
+            tree.add(w, i)
+        count, waiting = 0, [tree.root]
+        while waiting:
+            stands, _, children = waiting.pop()
+            count += 1
+            d = (stands ^ int(words[7, 0])).bit_count()
+            waiting.extend(child for edge, child in children.items() if d - 2 <= edge <= d + 2)
+        met.append(count)
+    assert met[1] < 6 * met[0] and met[1] < 16000 / 2
 
 
 def test_keys_of_near_prints_meet():
@@ -146,9 +190,10 @@ def test_thinned_keeps_one_of_each_group(spark):
     base = [f"t{r.randrange(10**6)}" for _ in range(300)]
     near = [w if i not in (40, 200) else "other" for i, w in enumerate(base)]
     rows = [(3, " ".join(base)), (1, " ".join(near)), (2, " ".join(base)), (2, " ".join(base)), (4, " ".join(r.sample(base, 300))), (None, " ".join(near)), (None, "alone here"), (5, None)]
-    df = spark.createDataFrame([(a, b, "x", "y", 1) for a, b in rows], "doc_id long, text string, _k string, source string, n int").withColumnRenamed("_k", "lang")
+    df = spark.createDataFrame([(a, b, "x", "y", 1, 5) for a, b in rows], "doc_id long, text string, _k string, _h string, _n int, sid int")
     kept = simhash.thinned(df)
     assert kept.columns == df.columns
+    assert {tuple(x)[2:] for x in kept.collect()} == {("x", "y", 1, 5)}
     assert [x[0] for x in sorted((tuple(r) for r in kept.collect()), key=key)] == [None, 1, 4, 5]
 
 
