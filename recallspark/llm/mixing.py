@@ -11,8 +11,8 @@ carry the running totals between tasks.
 
 Rules for odd input: a null text has size zero and takes part without words. Null sources are one
 source, after all others. Rows of equal ``doc_id`` are documents of their own; of rows equal in all that
-is read, it does not matter which one is taken. An empty table gives an empty result. Other columns
-are not read.
+is read, those that come first by their other columns get the more copies. An empty table gives an empty
+result. ``mix`` reads no other columns; ``mixed`` returns them whatever they are called.
 """
 
 from __future__ import annotations
@@ -128,9 +128,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), percent: int = 150,
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``."""
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "text_hash").orderBy(F.lit(1)))
-    columns = docs.columns
-    plan = mix(docs, **how).withColumn("nth", nth).where("copies > 0").select(*[F.col(c).alias(f"of_{c}") for c in ("doc_id", "source", "text_hash", "nth", "copies")])
-    rows = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("nth", nth)
+    inner = {"doc_id": "doc_id", "source": "source", "text": "text"}
+    names = [inner.get(c, f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.toDF(*names)
+    same = Window.partitionBy("doc_id", "source", "text_hash")
+    # Rows that agree in what the mix reads are told apart by their other columns.
+    order = [F.col(c) for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    nth = F.row_number().over(same.orderBy(F.desc("copies")))
+    plan = mix(rows, **how).withColumn("nth", nth).where("copies > 0").select(*[F.col(c).alias(f"of_{c}") for c in ("doc_id", "source", "text_hash", "nth", "copies")])
+    rows = rows.withColumn("text_hash", F.xxhash64("text")).withColumn("nth", F.row_number().over(same.orderBy(*order)))
     match = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in ("doc_id", "source", "text_hash", "nth")]
-    return rows.join(plan, match).withColumn("again", F.explode(F.sequence(F.lit(1), F.col("of_copies")))).select(*columns)
+    return rows.join(plan, match).withColumn("again", F.explode(F.sequence(F.lit(1), F.col("of_copies")))).select(*names).toDF(*docs.columns)

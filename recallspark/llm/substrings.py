@@ -1,18 +1,27 @@
 """Passages that repeat across documents, by level-wise doubling of window lengths.
 
-A level knows windows of one length by a 96-bit hash and asks which of them start in more than one
-document. Only windows whose both halves repeat go on to the next level, twice as long; what no longer
-repeats is dropped there. The hash of a window is made of the hashes of its halves.
-
-The first level is thinned without loss: of the half-length windows inside a window the one of least hash
-is its anchor, the same wherever the window stands, so a window can repeat only if its anchor does. About
-one window in ten is an anchor, and only these are shuffled. Documents of equal word sequence are folded
-first, as the later ones repeat the earliest as a whole.
+A level looks at windows of one length and counts, by a 96-bit hash, in how many documents each starts.
+Windows that start in one document alone are dropped there; of the others, two that stand behind one another
+make a window of twice the length, which the next level counts. A window so goes on only if both its halves
+repeat. Levels go on until no candidate survives or the asked length is reached; lengths are halves of it,
+rounded up, so the two halves of a window of odd length share a word. The hash of a window is made of the
+hashes of its halves.
+
+Before the first level, documents of equal word sequence are folded, as the later ones repeat the earliest
+as a whole, and places are thinned without loss: of the shortest windows inside a window of the asked length
+the one of least hash is its anchor, the same wherever the window stands, so a window can repeat only if its
+anchor does. About one place in twenty is an anchor; the first level looks only at places inside windows
+whose anchor repeats.
+
+A level moves hashes and numbers of documents, never texts. Counts are grouped sums with map-side
+combination, and documents are told what to drop by lists made of these sums, so a passage that a third of
+all documents share meets in no single task.
 
 Rules for odd input: a null text has no words, nothing of it is removed and what is kept is the empty
 text. Documents shorter than the window lose nothing. Rows of equal ``doc_id`` are one document to the
 question where a window starts, and are otherwise cut each for itself. A null ``doc_id`` is smaller than
-every other. An empty table gives an empty result.
+every other, so its rows lose nothing. An empty table gives an empty result. Columns of the input may have
+any names; those named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallspark.llm.rows import batches, texts
-from recallspark.session import written
+from recallspark.session import dropped, written
 
 #: Words a process remembers the hashes of; a full table starts anew.
 REMEMBERED = 400_000
@@ -103,19 +112,30 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.int64))
 
 
-def _ints(x: np.ndarray) -> pa.Array:
-    return pa.array((x >> np.uint64(32)).astype(np.uint32).view(np.int32))
-
-
 def _listed(rows: list, kind: pa.DataType) -> pa.Array:
     """Arrays as one list column."""
     offsets = np.cumsum([0, *(len(x) for x in rows)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0), kind))
 
 
-def _first_level(docs: DataFrame, window: int) -> DataFrame:
+def lengths(window: int, start: int) -> list[int]:
+    """Lengths of the levels: the asked one and its halves, rounded up, down to the first of at most ``start`` words."""
+    found = [window]
+    while found[-1] > max(1, start):
+        found.append(-(-found[-1] // 2))
+    return found[::-1]
+
+
+def doubled(at: np.ndarray, hashes: np.ndarray, old: int, new: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the longer windows both whose halves stand in ``at``, which is sorted."""
+    other = np.searchsorted(at, at + (new - old))
+    there = other < len(at)
+    there[there] = at[other[there]] == at[there] + (new - old)
+    return at[there], joined(hashes[:, there], hashes[:, other[there]])
+
+
+def _first_level(docs: DataFrame, window: int, first: int) -> DataFrame:
     """``doc, digest, n_words`` and the anchors' hashes, one row a document."""
-    half = window // 2
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -124,87 +144,164 @@ def _first_level(docs: DataFrame, window: int) -> DataFrame:
                 words = words_of(text)
                 digests.append(digest_of(words))
                 sizes.append(len(words))
-                keys = window_hashes(word_hashes(words), half)[0] if len(words) >= window else np.zeros(0, np.uint64)
-                hashes.append(np.unique(keys[anchors(keys, window - half + 1)]).astype(np.int64))
+                keys = window_hashes(word_hashes(words), first)[0] if len(words) >= window else np.zeros(0, np.uint64)
+                hashes.append(np.unique(keys[anchors(keys, window - first + 1)]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), _listed(hashes, pa.int64())], ["doc", "digest", "n_words", "hashes"])
 
     return docs.mapInArrow(run, "doc long, digest binary, n_words int, hashes array<long>")
 
 
-def _candidates(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """``h, g, doc`` of all windows whose anchor repeats; each once a document."""
-    half = window // 2
+#: What a document carries from level to level: sorted places of windows and two lanes of their hashes.
+STATE = "doc long, digest binary, at array<int>, h array<long>, g array<long>"
+
+
+def _states(rows: list[tuple[int, bytes, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    docs, digests, places, hashes = zip(*rows) if rows else ((), (), (), ())
+    columns = [pa.array(docs, pa.int64()), pa.array(digests, pa.binary()), _listed([p.astype(np.int32) for p in places], pa.int32())]
+    columns += [_listed([x[lane].astype(np.int64) for x in hashes], pa.int64()) for lane in (0, 1)]
+    return pa.RecordBatch.from_arrays(columns, ["doc", "digest", "at", "h", "g"])
+
+
+def _placed(docs: DataFrame, window: int, first: int) -> DataFrame:
+    """State of the first level, of ``docs`` (``doc, text, own, dead``) that stand for their words.
+
+    ``dead`` are anchors that start in no other document.
+    """
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            hs, gs, ds = [], [], []
-            for doc, text, repeated in zip(batch.column("doc").to_numpy(), texts(batch), batch.column("hashes").to_pylist()):
-                level, at = _repeating(text, np.array(repeated, dtype=np.int64), window, half)
-                h, first = np.unique(level[0, at], return_index=True)
-                hs.append(h)
-                gs.append(level[1, at][first])
-                ds.append(np.full(len(h), doc, dtype=np.int64))
-            if hs:
-                yield pa.RecordBatch.from_arrays([_longs(np.concatenate(hs)), _ints(np.concatenate(gs)), pa.array(np.concatenate(ds))], ["h", "g", "doc"])
+            rows = []
+            for doc, text, own, dead in zip(batch.column("doc").to_pylist(), texts(batch), batch.column("own").to_pylist(), batch.column("dead")):
+                words = words_of(text)
+                if len(words) < window or (digest := digest_of(words)) not in own:
+                    continue
+                hashes = window_hashes(word_hashes(words), first)
+                alive = hashes[0][anchors(hashes[0], window - first + 1)].astype(np.int64)
+                if dead.is_valid:
+                    alive = ~np.isin(alive, dead.values.to_numpy())
+                else:
+                    alive = np.ones(len(alive), bool)
+                inside = np.cumsum(np.r_[alive, np.zeros(window - first, bool)].astype(np.int64) - np.r_[np.zeros(window - first + 1, np.int64), alive[:-1]][: hashes.shape[1]]) > 0
+                at = np.flatnonzero(inside)
+                if len(at):
+                    rows.append((doc, digest, at, hashes[:, at]))
+            yield _states(rows)
+
+    return docs.mapInArrow(run, STATE)
+
+
+def _next_level(state: DataFrame, old: int, new: int) -> DataFrame:
+    """State of the next level of ``state`` with ``dead``, the hashes that start in no other document."""
 
-    return docs.join(wanted, "doc").select("doc", "text", "hashes").mapInArrow(run, "h long, g int, doc long")
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            rows = []
+            for doc, digest, at, h, g, dead in zip(batch.column("doc").to_pylist(), batch.column("digest").to_pylist(), *(batch.column(c) for c in ("at", "h", "g", "dead"))):
+                at, h, g = at.values.to_numpy(), h.values.to_numpy(), g.values.to_numpy()
+                if dead.is_valid:
+                    live = ~np.isin(h, dead.values.to_numpy())
+                    at, h, g = at[live], h[live], g[live]
+                at, hashes = doubled(at, np.stack([h, g]).astype(np.uint64), old, new)
+                if len(at):
+                    rows.append((doc, digest, at, hashes))
+            yield _states(rows)
 
+    return state.mapInArrow(run, STATE)
 
-def _repeating(text: str, repeated: np.ndarray, window: int, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of the text, and the places of those whose anchor is among ``repeated``."""
-    singles = word_hashes(words_of(text))
-    halves = window_hashes(singles, half)
-    at = np.flatnonzero(np.isin(halves[0][anchors(halves[0], window - half + 1)].astype(np.int64), repeated))
-    n = len(singles) - window + 1
-    whole = joined(halves[:, :n], halves[:, half : half + n]) if window == 2 * half else window_hashes(singles, window)
-    return whole, at
 
+def _gone(state: DataFrame) -> DataFrame:
+    """``doc, digest, at``: places of windows of ``state`` that are not among ``keeps``, those that start nowhere before."""
 
-def removed_words(docs: DataFrame, window: int = 50) -> DataFrame:
-    """``docs`` (``doc_id``, ``text`` and any columns but those added) with ``n_words, n_removed, kept``.
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            docs, digests, places = [], [], []
+            for doc, digest, at, h, g, keeps in zip(batch.column("doc").to_pylist(), batch.column("digest").to_pylist(), *(batch.column(c) for c in ("at", "h", "g", "keeps"))):
+                at, pair = at.values.to_numpy(), np.stack([h.values.to_numpy(), g.values.to_numpy()])
+                if keeps.is_valid:
+                    fields = keeps.values
+                    held = np.stack([fields.field("h").to_numpy(), fields.field("g").to_numpy()])
+                    # Equal columns of both lanes get equal numbers.
+                    _, number = np.unique(np.hstack([pair, held]), axis=1, return_inverse=True)
+                    number = number.ravel()
+                    at = at[~np.isin(number[: len(at)], number[len(at) :])]
+                if len(at):
+                    docs.append(doc)
+                    digests.append(digest)
+                    places.append(at.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(digests, pa.binary()), _listed(places, pa.int32())], ["doc", "digest", "at"])
+
+    return state.mapInArrow(run, "doc long, digest binary, at array<int>")
+
+
+def repeated_windows(rows: DataFrame, long: DataFrame, own: DataFrame, window: int, start: int) -> DataFrame:
+    """``doc, digest, at``: where windows start that also start in a document of smaller number.
+
+    ``rows``: doc, text. ``long``: doc, digest, hashes of anchors. ``own``: doc, own (the digests that the
+    document stands for).
+    """
+    spark, levels = rows.sparkSession, lengths(window, start)
+    stands = long.join(own, "doc").where(F.array_contains("own", F.col("digest")))
+    alone = lambda df, *keys: df.groupBy(*keys).agg(F.min("doc").alias("doc"), F.max("doc").alias("high")).where("doc = high")
+    # Documents without a number are smaller than all others and lose nothing: they need not be told.
+    told = lambda df: df.where(F.col("doc") > LEAST).groupBy("doc")
+    dead = told(alone(stands.select("doc", F.explode("hashes").alias("a")), "a")).agg(F.collect_list("a").alias("dead"))
+    state = written(_placed(batches(rows.join(own.join(dead, "doc", "left"), "doc")), window, levels[0]), "windows")
+    for old, new in zip(levels, levels[1:]):
+        if state.isEmpty():
+            break
+        dead = told(alone(state.select("doc", F.explode(F.array_distinct("h")).alias("h")), "h")).agg(F.collect_list("h").alias("dead"))
+        longer = written(_next_level(batches(state.join(dead, "doc", "left")), old, new), "windows")
+        dropped(spark, state)
+        state = longer
+    first = state.select("doc", F.explode(F.arrays_zip("h", "g")).alias("x")).groupBy("x.h", "x.g").agg(F.min("doc").alias("doc"))
+    keeps = told(first).agg(F.collect_list(F.struct("h", "g")).alias("keeps"))
+    return _gone(batches(state.where(F.col("doc") > LEAST).join(keeps, "doc", "left")))
+
+
+def removed_words(docs: DataFrame, window: int = 50, *, start: int = 16) -> DataFrame:
+    """``docs`` (``doc_id``, ``text`` and any others) with ``n_words, n_removed, kept``.
 
     ``kept`` is the words that stay, joined by one blank. A word goes if a window of ``window`` words over
-    it also starts in a document of smaller ``doc_id``.
+    it also starts in a document of smaller ``doc_id``. The first level has at most ``start`` words.
     """
-    names, rows = docs.columns, docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)))
+    added = ["n_words", "n_removed", "kept"]
+    docs = docs.drop(*added)
+    names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    rows = docs.toDF(*names).withColumn("doc", F.coalesce(F.col(names[docs.columns.index("doc_id")]).cast("long"), F.lit(LEAST)))
     texts_ = rows.select("doc", "text")
-    first = written(_first_level(batches(texts_), window), "anchors")
+    first = written(_first_level(batches(texts_), window, lengths(window, start)[0]), "anchors")
     long = first.where(F.col("n_words") >= window)
-    earliest = long.groupBy("digest").agg(F.min("doc").alias("source"))
     # Documents that stand for their word sequence; the others repeat them from the first word to the last.
-    kept = long.join(earliest, "digest").select("doc", "digest", "hashes", (F.col("doc") == F.col("source")).alias("stands"))
-    shown = kept.where("stands").select("doc", F.explode("hashes").alias("a"))
-    repeated = shown.groupBy("a").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("a")
-    wanted = shown.join(repeated, "a").groupBy("doc").agg(F.collect_set("a").alias("hashes"))
-    wanted = written(wanted, "anchors-of")
-    windows = written(_candidates(batches(texts_), wanted, window), "windows")
-    least = windows.groupBy("h", "g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "g", "low")
-    gone = windows.join(least, ["h", "g"]).where("low < doc").groupBy("doc").agg(F.collect_set("h").alias("gone"))
-    copies = kept.where(~F.col("stands")).groupBy("doc").agg(F.collect_set("digest").alias("copies"))
-    told = gone.join(copies, "doc", "full")
+    own = long.groupBy("digest").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list("digest").alias("own"))
+    own = written(own, "own")
+    gone = repeated_windows(texts_, long, own, window, start).groupBy("doc").agg(F.collect_list(F.struct("digest", "at")).alias("gone"))
+    told = own.join(gone, "doc", "full")
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             sizes, lost, stays = [], [], []
-            for text, hashes, copies in zip(texts(batch), batch.column("gone").to_pylist(), batch.column("copies").to_pylist()):
+            for text, doc, own, gone in zip(texts(batch), batch.column("doc").to_pylist(), batch.column("own").to_pylist(), batch.column("gone")):
                 words = words_of(text)
-                mask = np.zeros(len(words) + 1, dtype=np.int64)
-                if copies and len(words) >= window and digest_of(words) in copies:
-                    mask[:-1] = 1
-                elif hashes and len(words) >= window:
-                    at = np.flatnonzero(np.isin(window_hashes(word_hashes(words), window)[0].astype(np.int64), np.array(hashes, dtype=np.int64)))
-                    np.add.at(mask, at, 1)
-                    np.add.at(mask, at + window, -1)
-                    mask = (np.cumsum(mask) > 0).astype(np.int64)
-                    mask[-1] = 0
-                n = int(mask.sum())
+                n = 0
+                if len(words) >= window and doc != LEAST:
+                    digest = digest_of(words)
+                    if digest not in (own or ()):
+                        n, words_left = len(words), []
+                    elif gone.is_valid:
+                        at = next((x["at"].values.to_numpy() for x in gone if x["digest"].as_py() == digest), None)
+                        if at is not None:
+                            mask = np.zeros(len(words) + 1, dtype=np.int64)
+                            mask[at] += 1
+                            mask[at + window] -= 1
+                            mask = np.cumsum(mask[:-1]) > 0
+                            n, words_left = int(mask.sum()), [w for w, m in zip(words, mask.tolist()) if not m]
                 sizes.append(len(words))
                 lost.append(n)
-                stays.append(b" ".join(words if not n else [w for w, m in zip(words, mask) if not m]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(lost, pa.int64()), pa.array(stays, pa.binary()).cast(pa.string())], [*names, "n_words", "n_removed", "kept"])
+                stays.append(b" ".join(words_left if n else words))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(lost, pa.int64()), pa.array(stays, pa.binary()).cast(pa.string())], [*names, *added])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return batches(rows).join(told, "doc", "left").select(*names, "gone", "copies").mapInArrow(cut, schema)
+    schema = T.StructType([*(T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, docs.schema.fields)), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    return batches(rows).join(told, "doc", "left").select(*names, "doc", "own", "gone").mapInArrow(cut, schema).toDF(*docs.columns, *added)
 
 
 def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:

@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from recallspark.llm import mixing, quality, simhash, substrings
 from recallspark.llm.queries import QUERIES
@@ -267,11 +268,30 @@ def test_removed_words(spark):
     assert substrings.removed_words(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("window", [6, 7])
+@pytest.mark.parametrize("window", [6, 7, 50])
 def test_removed_words_of_many_overlaps(spark, window):
     r = random.Random(window)
-    rows = [(r.randrange(40), " ".join(r.choice("ab") for _ in range(r.randrange(0, 60))), "", "", 0) for _ in range(60)]
-    assert rows_of(substrings.removed_words(docs(spark, rows).select("doc_id", "text"), window).drop("text")) == plain_cut(rows, window)
+    pieces = [[r.choice("ab") for _ in range(r.randrange(window // 2, 2 * window))] for _ in range(8)]
+    rows = [(r.randrange(40) if r.random() > 0.1 else None, " ".join(w for _ in range(r.randrange(0, 4)) for w in r.choice(pieces)), "", "", 0) for _ in range(60)]
+    assert rows_of(substrings.removed_words(docs(spark, rows).select("doc_id", "text"), window, start=2).drop("text")) == plain_cut(rows, window)
+
+
+def test_levels_ask_both_halves():
+    assert substrings.lengths(50, 16) == [13, 25, 50] and substrings.lengths(7, 2) == [2, 4, 7] and substrings.lengths(1, 16) == [1]
+    r = np.random.default_rng(1)
+    singles = r.integers(0, 1 << 63, 90).astype(np.uint64)
+    short, at = substrings.window_hashes(singles, 13), np.array([0, 3, 4, 12, 15, 30, 42, 60])
+    places, hashes = substrings.doubled(at, short[:, at], 13, 25)
+    assert places.tolist() == [0, 3, 30]
+    assert (hashes == substrings.joined(short[:, [0, 3, 30]], short[:, [12, 15, 42]])).all()
+
+
+def test_removed_words_keeps_clashing_columns(spark):
+    df = docs(spark).toDF("doc_id", "text", "doc", "gone", "own").withColumn("kept", F.lit(1)).withColumn("at", F.col("doc_id") * 2)
+    out = substrings.removed_words(df)
+    assert out.columns == ["doc_id", "text", "doc", "gone", "own", "at", "n_words", "n_removed", "kept"]
+    assert rows_of(out.select("doc_id", "n_words", "n_removed", "kept")) == plain_cut(DOCS, 50)
+    assert rows_of(out.select("doc_id", "doc", "gone", "own")) == rows_of(df.select("doc_id", "doc", "gone", "own"))
 
 
 def test_without_repeats_keeps_columns(spark):
@@ -327,8 +347,10 @@ def test_mix(spark, seed):
 
 
 def test_mixed_repeats_rows(spark):
-    df = docs(spark).withColumnRenamed("n_chars", "copies")
+    df = docs(spark).toDF("doc_id", "text", "text_hash", "source", "copies").withColumn("again", F.lit(3)).withColumn("nth", F.lit("x")).withColumn("of_nth", F.col("doc_id"))
     out = mixing.mixed(df)
+    assert {(x["again"], x["nth"]) for x in out.collect()} == {(3, "x")}
+    assert all(x["doc_id"] == x["of_nth"] and x["text_hash"] in ("en", "de", "fr") for x in out.collect())
     assert out.columns == df.columns
     total = sum(len(WORD.findall(t or "")) for _, t, *_ in DOCS)
     assert sum(len(WORD.findall(r["text"] or "")) for r in out.collect()) <= 1.5 * total
