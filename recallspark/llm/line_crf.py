@@ -6,9 +6,13 @@ is the mean of these, weighted by length, turned into a probability by a logisti
 are learned from documents of known quality,
 whose lines all take the document's label.
 
+Documents are worked on in groups bounded by lines, filling included, so a very long text stands alone;
+of such a text only three numbers a line are held, not all that its lines look like.
+
 Rules for odd input: a null or empty text is one empty line. Rows of equal ``doc_id`` are scored each for
-itself; a null ``doc_id`` is never learned from and is not held out. Labels other than 0 and 1 are not
-learned from. Without any label every score is one half; with labels of one kind alone scores lean to it.
+itself, and one of them, that of least text hash, is learned from; a null ``doc_id`` is never learned from
+and is not held out. Labels other than 0 and 1 are not learned from; of several labels of one document the
+least counts. Without any label every score is one half; with labels of one kind alone scores lean to it.
 An empty table gives an empty result. Other columns are not read.
 """
 
@@ -29,31 +33,53 @@ from recallspark.llm.rows import batches, texts
 #: Documents that are learned from at most: those whose ids hash lowest.
 SAMPLE = 3000
 
+#: Lines of one document that are learned from at most, as even runs of ``RUN`` lines over the whole text.
+MOST_LINES, RUN = 2000, 250
+
+#: Lines, filling included, that one group of documents has at most, but for a single longer one.
+CELLS = 1 << 16
+
 SYMBOLS = "#*$%&|<>"
 
 #: Length of what one line looks like.
 LOOKS = 13
 
 
-def looks(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """What each line looks like, one row a line, and each line's length in characters plus one."""
-    lines = text.split("\n")
-    words = [line.split() for line in lines]
-    every = [w for line in words for w in line]
-    windows = Counter(zip(every, every[1:], every[2:]))
-    repeated = {w for w, n in windows.items() if n > 1} if len(windows) < len(every) - 2 else ()
-    copies = Counter(lines)
-    out = np.zeros((len(lines), LOOKS))
-    for i, (line, own) in enumerate(zip(lines, words)):
-        n, chars = len(own), len(line)
+class Lines:
+    """The lines of a text, and what each looks like."""
+
+    def __init__(self, text: str):
+        self.lines = text.split("\n")
+        every = text.split()
+        windows = Counter(zip(every, every[1:], every[2:]))
+        self.repeated = {w for w, n in windows.items() if n > 1} if len(windows) < len(every) - 2 else ()
+        self.copies = Counter(self.lines)
+
+    def __len__(self) -> int:
+        return len(self.lines)
+
+    def sizes(self) -> np.ndarray:
+        """Each line's length in characters plus one."""
+        return np.fromiter(map(len, self.lines), float, len(self.lines)) + 1.0
+
+    def looks(self, start: int, stop: int) -> np.ndarray:
+        """What these lines look like, one row a line; places beyond the ends are rows of zeros."""
+        out = np.zeros((stop - start, LOOKS))
+        for i in range(max(0, start), min(stop, len(self.lines))):
+            self._look(self.lines[i], out[i - start])
+        return out
+
+    def _look(self, line: str, out: np.ndarray) -> None:
+        own, chars = line.split(), len(line)
+        n = len(own)
         if not n:
-            out[i, 0] = 1.0
-            continue
-        again = sum(w in repeated for w in zip(own, own[1:], own[2:])) if repeated else 0
+            out[0] = 1.0
+            return
+        again = sum(w in self.repeated for w in zip(own, own[1:], own[2:])) if self.repeated else 0
         marks, symbols = line.count("!"), sum(map(line.count, SYMBOLS))
         capitals, figures = sum(map(str.isupper, own)), sum(map(str.isdigit, own))
         mean = (chars - n) / n
-        out[i, 1:] = (
+        out[1:] = (
             1.0,
             min(1.0, math.log1p(n) / 6),
             min(1.0, symbols / n),
@@ -63,17 +89,47 @@ def looks(text: str) -> tuple[np.ndarray, np.ndarray]:
             capitals / n,
             figures / n,
             min(1.0, again / max(1, n - 2)),
-            copies[line] > 1,
+            self.copies[line] > 1,
             len(set(own)) / n,
             min(1.0, abs(mean - 4.5) / 5),
         )
-    return out, np.array([len(line) + 1.0 for line in lines])
 
+    def with_neighbours(self, start: int, stop: int) -> np.ndarray:
+        """Each line beside the one before and the one after."""
+        x = self.looks(start - 1, stop + 1)
+        return np.hstack([x[1:-1], x[:-2], x[2:]])
+
+    def scores(self, weights: np.ndarray, step: int = 4096) -> np.ndarray:
+        """Each line's score for good, some lines at a time."""
+        return np.concatenate([self.with_neighbours(a, min(a + step, len(self))) @ weights for a in range(0, len(self), step)])
 
-def with_neighbours(x: np.ndarray) -> np.ndarray:
-    """Each row beside those of the line before and the line after, zeros beyond the ends."""
-    none = np.zeros((1, x.shape[1]))
-    return np.hstack([x, np.vstack([none, x[:-1]]), np.vstack([x[1:], none])])
+
+def runs(n: int, most: int = MOST_LINES, run: int = RUN) -> list[tuple[int, int]]:
+    """The whole of n lines, or even runs over them that come to ``most``."""
+    if n <= most:
+        return [(0, n)]
+    return [(a, a + run) for a in np.linspace(0, n - run, most // run).astype(int).tolist()]
+
+
+def groups(sizes: list[int], cells: int = CELLS) -> Iterator[list[int]]:
+    """Places of documents of like length, as many as fit when all are filled up to the longest; a longer one alone."""
+    part: list[int] = []
+    for i in sorted(range(len(sizes)), key=sizes.__getitem__):
+        if part and (len(part) + 1) * sizes[i] > cells:
+            yield part
+            part = []
+        part.append(i)
+    if part:
+        yield part
+
+
+def filled(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays of unequal length as one, with zeros behind them, and where they are."""
+    out = np.zeros((len(rows), max(map(len, rows)), *rows[0].shape[1:]))
+    there = np.zeros(out.shape[:2], dtype=bool)
+    for i, row in enumerate(rows):
+        out[i, : len(row)], there[i, : len(row)] = row, True
+    return out, there
 
 
 @dataclass
@@ -116,24 +172,53 @@ class Chain:
         logs = (np.log(scale) * there.T).sum(axis=0) + (np.maximum(score, 0) * there).sum(axis=1)
         return good, pairs, logs
 
+    def alone(self, score: np.ndarray) -> np.ndarray:
+        """Probabilities of good of one document's lines: for long ones plain numbers are faster than arrays."""
+        (bb, bg), (gb, gg) = np.exp(self.steps).tolist()
+        bad, good = np.exp(-np.maximum(score, 0)).tolist(), np.exp(np.minimum(score, 0)).tolist()
+        forward, n = [], len(score)
+        b, g = bad[0], good[0]
+        for t in range(n):
+            if t:
+                b, g = (b * bb + g * gb) * bad[t], (b * bg + g * gg) * good[t]
+            g /= b + g
+            b = 1 - g
+            forward.append(g)
+        b, g = 1.0, 1.0
+        for t in range(n - 1, -1, -1):
+            here = forward[t]
+            forward[t] = here * g / (here * g + (1 - here) * b)
+            b, g = b * bad[t], g * good[t]
+            b, g = bb * b + bg * g, gb * b + gg * g
+            whole = b + g
+            b, g = b / whole, g / whole
+        return np.array(forward)
+
     def means(self, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Length-weighted mean probability of good for each (looks, lengths); documents of like length together."""
+        """Length-weighted mean probability of good for each (scores, lengths) of lines."""
         out = np.zeros(len(found))
-        order = sorted(range(len(found)), key=lambda i: len(found[i][0]))
-        for at in range(0, len(order), 32):
-            part = order[at : at + 32]
-            n = len(found[part[-1]][0])
-            score, there, size = np.zeros((len(part), n)), np.zeros((len(part), n), dtype=bool), np.zeros((len(part), n))
-            for k, i in enumerate(part):
-                x, lengths = found[i]
-                score[k, : len(x)], there[k, : len(x)], size[k, : len(x)] = with_neighbours(x) @ self.weights, True, lengths
+        for part in groups([len(x) for x, _ in found]):
+            if len(part) == 1:
+                score, size = found[part[0]]
+                out[part] = self.alone(score) @ size / size.sum()
+                continue
+            score, there = filled([found[i][0] for i in part])
+            size, _ = filled([found[i][1] for i in part])
             good, _, _ = self.marginals(score, there)
             out[part] = (good * size).sum(axis=1) / size.sum(axis=1)
         return out
 
-    def qualities(self, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    def qualities(self, texts: list[str]) -> np.ndarray:
+        """Each text's probability of being good."""
+        seen = []
+        for text in texts:
+            lines = Lines(text)
+            seen.append((lines.scores(self.weights), lines.sizes()))
+        return self.turned(self.means(seen))
+
+    def turned(self, means: np.ndarray) -> np.ndarray:
         slope, shift = self.curve
-        return 1 / (1 + np.exp(-np.clip(slope * _log_odds(self.means(found)) + shift, -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(slope * _log_odds(means) + shift, -500, 500)))
 
 
 def _log_odds(p: np.ndarray) -> np.ndarray:
@@ -154,25 +239,20 @@ def curve(means: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def fit(found: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150, rate: float = 0.15, keep: float = 1e-3) -> Chain:
-    """Learns from (looks, lengths, label) of documents by Adam on the likelihood of their label chains."""
+    """Learns from (looks with neighbours, lengths, label) of runs of lines by Adam on the likelihood of their label chains."""
     width = 3 * LOOKS
     weights, steps = np.zeros(width), np.zeros((2, 2))
     if not found:
         return Chain(weights, steps)
-    found = sorted(found, key=lambda d: len(d[0]))
-    groups = []
-    for at in range(0, len(found), 250):
-        part = found[at : at + 250]
-        n = len(part[-1][0])
-        x, there, label = np.zeros((len(part), n, width)), np.zeros((len(part), n), dtype=bool), np.array([y for *_, y in part], dtype=float)
-        for i, (rows, *_) in enumerate(part):
-            x[i, : len(rows)], there[i, : len(rows)] = with_neighbours(rows), True
-        groups.append((x, there, label))
+    parts = []
+    for part in groups([len(x) for x, *_ in found]):
+        x, there = filled([found[i][0] for i in part])
+        parts.append((x, there, np.array([found[i][2] for i in part], dtype=float)))
     lines = sum(len(x) for x, *_ in found)
     mean, spread = np.zeros(width + 4), np.zeros(width + 4)
     for k in range(1, rounds + 1):
         chain, slope = Chain(weights, steps), np.zeros(width + 4)
-        for x, there, label in groups:
+        for x, there, label in parts:
             good, pairs, _ = chain.marginals(x @ weights, there)
             slope[:width] += np.einsum("dt,dtf->f", (label[:, None] - good) * there, x)
             inner = there[:, 1:].sum(axis=1)
@@ -182,7 +262,7 @@ def fit(found: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150, rate
         move = rate * (mean / (1 - 0.9**k)) / (np.sqrt(spread / (1 - 0.99**k)) + 1e-8)
         weights, steps = weights + move[:width], steps + move[width:].reshape(2, 2)
     chain = Chain(weights, steps)
-    chain.curve = curve(chain.means([(x, size) for x, size, _ in found]), np.array([y for *_, y in found], dtype=float))
+    chain.curve = curve(chain.means([(x @ weights, size) for x, size, _ in found]), np.array([y for *_, y in found], dtype=float))
     return chain
 
 
@@ -194,23 +274,27 @@ def remainder(doc_id: Column) -> Column:
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     """A chain fitted to at most ``sample`` labelled documents outside the held-out fifth.
 
-    The sample is drawn among the labels alone, so that only its own texts leave the scan, and only what
-    their lines look like reaches the driver.
+    The sample is drawn among the labels alone, so that only its own texts leave the scan. One text of each
+    reaches the next step, and of at most ``MOST_LINES`` of its lines what they look like reaches the driver.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            seen = [looks(x) for x in texts(batch)]
-            x, size = [a.ravel() for a, _ in seen], [b for _, b in seen]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(x, pa.list_(pa.float64())), pa.array(size, pa.list_(pa.float64()))], ["doc_id", "quality", "x", "size"])
+            rows = []
+            for doc_id, quality, text in zip(batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist(), texts(batch)):
+                lines = Lines(text)
+                sizes = lines.sizes()
+                rows += [(doc_id, quality, a, lines.with_neighbours(a, b).ravel(), sizes[a:b]) for a, b in runs(len(lines))]
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "quality", "start", "x", "size"])
 
     # ``chosen`` has no more rows than ``sample``, which is why it may be sent to every task.
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int"), "text")
-    rows = batches(joined).mapInArrow(run, "doc_id long, quality int, x array<double>, size array<double>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], len(r["x"]), r["x"]))
-    return fit([(np.array(r["x"]).reshape(-1, LOOKS), np.array(r["size"]), r["quality"]) for r in rows[: 2 * sample]])
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", F.col("quality").cast("int").alias("quality")).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    rows = batches(joined.select("doc_id", "quality", "t.text"), 32).mapInArrow(run, "doc_id long, quality int, start long, x array<double>, size array<double>").toArrow().sort_by([("doc_id", "ascending"), ("start", "ascending")])
+    return fit([(x.values.to_numpy().reshape(-1, 3 * LOOKS), size.values.to_numpy(), y) for x, size, y in zip(rows.column("x"), rows.column("size"), rows.column("quality").to_pylist())])
 
 
 def scored(docs: DataFrame, chain: Chain, threshold: float = 0.3) -> DataFrame:
@@ -218,7 +302,7 @@ def scored(docs: DataFrame, chain: Chain, threshold: float = 0.3) -> DataFrame:
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            scores = chain.qualities([looks(x) for x in texts(batch)]) if batch.num_rows else np.zeros(0)
+            scores = chain.qualities(texts(batch)) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"))

@@ -1,6 +1,9 @@
 """Neighbours, URLs, line quality and the pipeline."""
 
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -128,6 +131,56 @@ def test_marginals_are_those_of_all_label_chains():
     assert pairs.sum() == pytest.approx(5)
 
 
+def plain_quality(text, chain):
+    """Forward-backward over one document's lines, in plain Python."""
+    lines = line_crf.Lines(text)
+    x, w = [lines.looks(i, i + 1)[0] for i in range(-1, len(lines) + 1)], chain.weights.reshape(3, -1)
+    score = [float(x[i + 1] @ w[0] + x[i] @ w[1] + x[i + 2] @ w[2]) for i in range(len(lines))]
+    step = np.exp(chain.steps)
+    forward = [np.array([1.0, np.exp(score[0])])]
+    for v in score[1:]:
+        forward.append(forward[-1] @ step * [1.0, np.exp(v)])
+        forward[-1] /= forward[-1].sum()
+    back, good = np.ones(2), []
+    for t in range(len(score) - 1, -1, -1):
+        both = forward[t] * back
+        good.append(both[1] / both.sum())
+        back = step @ (back * [1.0, np.exp(score[t])])
+        back /= back.sum()
+    mean = float(np.dot(good[::-1], lines.sizes()) / lines.sizes().sum())
+    return float(chain.turned(np.array([mean]))[0])
+
+
+def test_scores_of_documents_are_plain_ones():
+    r = np.random.default_rng(4)
+    chain = line_crf.Chain(r.normal(size=3 * line_crf.LOOKS), r.normal(size=(2, 2)), (1.3, -0.2))
+    words = ["Ab", "cd", "!!", "#x", "77", "lorem"]
+    said = ["", "\n", *("\n".join(" ".join(r.choice(words, r.integers(0, 9))) for _ in range(r.integers(1, 60))) for _ in range(40))]
+    assert chain.qualities(said) == pytest.approx([plain_quality(t, chain) for t in said])
+    assert [chain.qualities([t])[0] for t in said] == pytest.approx([plain_quality(t, chain) for t in said])
+    assert chain.qualities(said[::-1]) == pytest.approx(chain.qualities(said)[::-1])
+
+
+def test_groups_are_bounded():
+    sizes = [1] * 40 + [30, 70_000, 5, 900]
+    found = list(line_crf.groups(sizes, 1000))
+    assert sorted(i for part in found for i in part) == list(range(len(sizes)))
+    assert all(len(part) == 1 or len(part) * max(sizes[i] for i in part) <= 1000 for part in found)
+    assert line_crf.runs(10) == [(0, 10)]
+    assert line_crf.runs(10**6)[0] == (0, 250) and line_crf.runs(10**6)[-1] == (10**6 - 250, 10**6) and len(line_crf.runs(10**6)) == 8
+
+
+def test_a_million_line_feeds(spark):
+    """One text of very many lines beside short ones, scored and learned from in little memory."""
+    code = "import resource, numpy as np; from recallspark.llm import line_crf as l; c = l.Chain(np.full(3 * l.LOOKS, 0.1), np.zeros((2, 2))); base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; x = c.qualities([chr(10) * 1_000_000, *['some short text'] * 31]); assert ((0 <= x) & (x <= 1)).all(); print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)"
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(line_crf.__file__).parents[2])
+    assert int(said.stdout) < 500
+    rows = [(4, "\n" * 50_000, "", "", 0), *[(4, "same id again", "", "", 0)] * 50, (8, "good words here", "", "", 0)]
+    labels = spark.createDataFrame([(4, 0, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    scores = line_crf.scored(docs(spark, rows), line_crf.learned(docs(spark, rows), labels)).collect()
+    assert len(scores) == 52
+
+
 def test_held_out_quality(spark):
     d = "/root/testdata/sf0.1"
     found = QUERIES["op10_line_crf"](spark, d)
