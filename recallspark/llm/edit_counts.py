@@ -1,17 +1,25 @@
-"""Token counts that follow edits: a tree of sums over each document's pre-tokens.
+"""Token counts that follow edits: a tree of sums over each document's pre-tokens, kept as a table.
 
-Leaves stand for runs of pre-tokens and know their characters and tokens; inner nodes know the sums of
-their two children. An edit re-encodes the leaves it touches, with one leaf before them as context and as
-many after them as it takes until a new cut falls on an old one; sums change along the paths to the root.
+``built`` encodes documents once and keeps, a row a document, the text and the characters and tokens of its
+leaves, which are runs of pre-tokens. ``edited`` takes such a table and a batch of edits, lays the stored
+sums out as a tree, encodes nothing but the leaves that an edit touches with some context before them, and
+gives the rows anew, to be kept in the place of the old ones (``updated``).
+
+Inner nodes know the sums of their two children. An edit begins at a leaf boundary at least one leaf and the
+longest added token's name before it, and goes on until a new cut falls on an old one; sums change along the
+paths to the root. New pre-tokens are dealt to the places of the leaves they replace, so the tree keeps its
+shape; only where these would become far too large is it laid out anew, from its sums.
 
 The tokenizer's pattern looks at nothing before a pre-token, so cuts from a common place in equal text are
 equal, which is why stopping there gives the count that encoding the whole text would give. Names of added
-tokens in a text are ordinary text here.
+tokens are tokens of their own, as the tokenizers library counts them.
 
 Rules for odd input: a null text is the empty text and has no tokens. Places and lengths of an edit are cut
 to the text's bounds, null ones are zero, and a null insertion is the empty text; edits of one document go
-in the order of the list, each on the text that the one before left. Rows of equal ``doc_id`` are
-documents of their own; other columns are carried through. An empty table gives an empty result.
+in the order of ``seq``, then of their other fields, each on the text that the one before left. Rows of equal
+``doc_id`` are documents of their own and all get the edits of that id; edits of a null or unknown ``doc_id``
+have no document. Other columns are carried through, those named like an added one are replaced. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +37,9 @@ from recallspark.llm.bpe import byte_pairs
 from recallspark.llm.chunks import BlankChunks
 from recallspark.llm.rows import batches, texts
 
-#: Pre-tokens, or words with what hangs on them, of one leaf.
-LEAF = 32
+#: Pre-tokens, or words with what hangs on them, of one leaf; the tree is laid out anew where an edit would
+#: put more than ``CROWD`` times as many into one.
+LEAF, CROWD = 32, 8
 
 
 class Counter:
@@ -37,7 +47,27 @@ class Counter:
 
     def __init__(self, path: str):
         self.pairs = byte_pairs(path)
-        self.counts = BlankChunks(self.pairs.pieces, len, sum, self.pairs.piece)
+        self.counts = BlankChunks(self.ordinary, len, sum, self.pairs.piece)
+        self.longest = max(map(len, self.pairs.added), default=0)
+
+    def ordinary(self, text: str) -> list[int]:
+        """Ids of a text by its pieces, added tokens among them."""
+        return [i for piece, _ in self.cuts(text, 0) for i in self.ids(piece)]
+
+    def cuts(self, text: str, at: int) -> Iterator[tuple[str, int]]:
+        """Pieces from a cut on, each with the place where it ends."""
+        pairs = self.pairs
+        for name in pairs.added_at.finditer(text, at) if pairs.added_at else ():
+            for found in pairs.pattern.finditer(text, at, name.start()):
+                yield found[0], found.end()
+            at = name.end()
+            yield name[0], at
+        for found in pairs.pattern.finditer(text, at):
+            yield found[0], found.end()
+
+    def ids(self, piece: str) -> tuple[int, ...]:
+        added = self.pairs.added.get(piece)
+        return self.pairs.piece(piece) if added is None else (added,)
 
 
 @lru_cache(maxsize=2)
@@ -46,25 +76,14 @@ def coder(path: str) -> Counter:
     return Counter(path)
 
 
-class Leaf:
-    __slots__ = ("chars", "tokens")
-
-    def __init__(self, chars: int, tokens: int):
-        self.chars, self.tokens = chars, tokens
-
-
 class CountTree:
     """Sums of characters and tokens over leaves, as a binary tree in an array: children of i are 2i, 2i+1."""
 
-    def __init__(self, leaves: list[Leaf]):
-        self.fill(leaves)
-
-    def fill(self, leaves: list[Leaf]) -> None:
-        self.leaves = leaves
-        self.width = 1 << max(0, (len(leaves) - 1).bit_length())
+    def __init__(self, chars: list[int], tokens: list[int]):
+        self.n = len(chars)
+        self.width = 1 << max(0, (self.n - 1).bit_length())
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for i, leaf in enumerate(leaves, self.width):
-            self.chars[i], self.tokens[i] = leaf.chars, leaf.tokens
+        self.chars[self.width : self.width + self.n], self.tokens[self.width : self.width + self.n] = chars, tokens
         for i in range(self.width - 1, 0, -1):
             self._add_up(i)
 
@@ -76,29 +95,24 @@ class CountTree:
     def total(self) -> int:
         return self.tokens[1]
 
+    def leaves(self) -> tuple[list[int], list[int]]:
+        return self.chars[self.width : self.width + self.n], self.tokens[self.width : self.width + self.n]
+
     def leaf_at(self, place: int) -> tuple[int, int]:
         """The leaf that holds a character, by descent, and the character it begins with; the last one beyond the end."""
         i, before = 1, 0
         while i < self.width:
             i *= 2
-            if place >= before + self.chars[i] and self.tokens[i + 1]:
+            if place >= before + self.chars[i] and self.chars[i + 1]:
                 before += self.chars[i]
                 i += 1
         return i - self.width, before
 
-    def replace(self, first: int, last: int, new: list[Leaf]) -> None:
-        """Puts new leaves in the place of those from ``first`` up to, not with, ``last``.
-
-        As many new as old ones change sums on the paths above them alone; else the tree is laid out anew
-        from its leaves, which encodes nothing.
-        """
-        if len(new) != last - first:
-            self.fill([*self.leaves[:first], *new, *self.leaves[last:]])
-            return
-        self.leaves[first:last] = new
+    def change(self, first: int, chars: list[int], tokens: list[int]) -> None:
+        """New sums for leaves from ``first`` on, and for the paths above them alone."""
         stale = set()
-        for i, leaf in enumerate(new, first + self.width):
-            self.chars[i], self.tokens[i] = leaf.chars, leaf.tokens
+        for i, c, t in zip(range(first + self.width, first + self.width + len(chars)), chars, tokens):
+            self.chars[i], self.tokens[i] = c, t
             stale.add(i // 2)
         while stale and stale != {0}:
             for i in stale:
@@ -106,98 +120,137 @@ class CountTree:
             stale = {i // 2 for i in stale}
 
 
+def dealt(pieces: list[tuple[int, int]], parts: int) -> tuple[list[int], list[int]]:
+    """Characters and tokens of pieces, put evenly into so many leaves."""
+    ends = [len(pieces) * k // parts for k in range(parts + 1)]
+    return [sum(c for c, _ in pieces[a:b]) for a, b in zip(ends, ends[1:])], [sum(t for _, t in pieces[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+def leaves_of(text: str, counter: Counter) -> tuple[list[int], list[int]]:
+    """Leaves end where a pre-token ends: at a certain blank, or else as the pattern cuts."""
+    counts = counter.counts.parts(text)
+    if counts is None:
+        pieces = [(len(p), len(counter.ids(p))) for p, _ in counter.cuts(text, 0)]
+    else:
+        sizes = [len(x) + 1 for x in text.split(" ")]
+        sizes[0] -= 1
+        pieces = list(zip(sizes, counts))
+    return dealt(pieces, max(1, -(-len(pieces) // LEAF)))
+
+
 class CountedText:
     """A text with its tree; ``encoded`` counts the characters that edits have had encoded."""
 
-    def __init__(self, text: str, counter: Counter):
-        self.text, self.counter, self.pairs, self.encoded = text, counter, counter.pairs, 0
-        self.tree = CountTree(self._leaves(text))
-
-    def _leaves(self, text: str) -> list[Leaf]:
-        """Leaves end where a pre-token ends: at a certain blank, or else as the pattern cuts."""
-        counts = self.counter.counts.parts(text)
-        if counts is not None:
-            sizes = [len(x) + 1 for x in text.split(" ")]
-            sizes[0] -= 1
-            return [Leaf(sum(sizes[i : i + LEAF]), sum(counts[i : i + LEAF])) for i in range(0, len(counts), LEAF)]
-        pieces = self.pairs.pattern.findall(text)
-        return [Leaf(sum(map(len, part)), sum(len(self.pairs.piece(p)) for p in part)) for part in (pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF))]
+    def __init__(self, text: str, counter: Counter, chars: list[int], tokens: list[int]):
+        self.text, self.counter, self.encoded = text, counter, 0
+        self.tree = CountTree(chars, tokens)
 
     def edit(self, start: int, removed: int, inserted: str) -> None:
         start = min(max(0, start), len(self.text))
         removed = min(max(0, removed), len(self.text) - start)
         text = self.text[:start] + inserted + self.text[start + removed :]
-        shift = len(inserted) - removed
-        leaves = self.tree.leaves
-        first, begin = self.tree.leaf_at(max(0, start - 1)) if leaves else (0, 0)
-        if first:
+        shift, tree = len(inserted) - removed, self.tree
+        size = lambda leaf: tree.chars[tree.width + leaf]
+        first, begin = tree.leaf_at(max(0, start - 1))
+        context = begin
+        while first and (context - begin < max(1, self.counter.longest) or start - begin <= self.counter.longest):
             first -= 1
-            begin -= leaves[first].chars
+            begin -= size(first)
         last, end = first, begin
-        while last < len(leaves) and end <= start + removed:
-            end += leaves[last].chars
+        while last < tree.n and end <= start + removed:
+            end += size(last)
             last += 1
-        made: list[Leaf] = []
-        chars = tokens = count = 0
+        made: list[tuple[int, int]] = []
         at = begin
-        for found in self.pairs.pattern.finditer(text, begin):
-            while last < len(leaves) and end + shift < at:
-                end += leaves[last].chars
-                last += 1
-            if at == end + shift and at >= start + len(inserted):
-                break
-            piece = found[0]
-            chars, tokens, count = chars + len(piece), tokens + len(self.pairs.piece(piece)), count + 1
-            at = found.end()
-            if count >= LEAF and at < end + shift or count >= 2 * LEAF:
-                made.append(Leaf(chars, tokens))
-                chars = tokens = count = 0
+        if begin < len(text):
+            for piece, stop in self.counter.cuts(text, begin):
+                made.append((len(piece), len(self.counter.ids(piece))))
+                at = stop
+                while last < tree.n and end + shift < at:
+                    end += size(last)
+                    last += 1
+                if at == end + shift and at >= start + len(inserted):
+                    break
+            else:
+                last = tree.n
         else:
-            last = len(leaves)
-        if count:
-            made.append(Leaf(chars, tokens))
+            last = tree.n
         self.encoded += at - begin
-        self.tree.replace(first, last, made)
         self.text = text
+        if len(made) <= CROWD * LEAF * max(1, last - first):
+            tree.change(first, *dealt(made, last - first))
+            return
+        chars, tokens = tree.leaves()
+        new = dealt(made, -(-len(made) // LEAF))
+        self.tree = CountTree([*chars[:first], *new[0], *chars[last:]], [*tokens[:first], *new[1], *tokens[last:]])
 
 
 EDIT = "struct<start:long,removed:long,inserted:string>"
 
+#: What a kept tree adds to its document.
+KEPT = [T.StructField("leaf_chars", T.ArrayType(T.IntegerType())), T.StructField("leaf_tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
+
+
+def _lists(rows: list[list[int]]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array([x for row in rows for x in row], pa.int32()))
+
+
+def built(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
+    """``docs`` with ``leaf_chars, leaf_tokens`` and ``n_tokens``: the table to write and keep."""
+    kept = docs.drop(*(f.name for f in KEPT))
+    names, added = kept.columns, [f.name for f in KEPT]
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = coder(path)
+        for batch in found:
+            made = [leaves_of(said, counter) for said in texts(batch, text)]
+            columns = [_lists([c for c, _ in made]), _lists([t for _, t in made]), pa.array([sum(t) for _, t in made], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, *added])
+
+    return batches(kept).mapInArrow(run, T.StructType([*kept.schema.fields, *KEPT]))
 
-def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """``docs`` with ``edits``: those of the table ``doc_id, seq, start, removed, inserted``, by ``seq``.
 
-    A document's own edits are one row's list, which is bounded by what is done to one document.
+def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
+    """The kept trees that ``edits`` (``doc_id, seq, start, removed, inserted``) touch, with these by ``seq``.
+
+    A document's own edits are one row's list, which is bounded by what is done to one document in a batch.
     """
     one = F.struct("seq", F.col("start").cast("long").alias("start"), F.col("removed").cast("long").alias("removed"), "inserted")
     lists = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(one)).alias("edits"))
     lists = lists.withColumn("edits", F.transform("edits", lambda e: F.struct(e["start"].alias("start"), e["removed"].alias("removed"), e["inserted"].alias("inserted"))))
-    return docs.drop("edits").join(lists, "doc_id", "left")
+    return trees.drop("edits").join(lists, "doc_id")
 
 
-def recounted(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
-    """``docs`` (with a column ``edits``) with ``n_tokens`` before, ``n_tokens_after``, ``n_chars_after`` and ``n_encoded``.
+def edited(trees: DataFrame, path: str, *, text: str = "text") -> DataFrame:
+    """Kept trees with a column ``edits``, after these: text and leaves anew, with ``n_tokens_after``, ``n_chars_after`` and ``n_encoded``.
 
-    ``n_encoded`` is how many characters the edits had encoded anew.
+    ``n_tokens`` stays the count before the edits; ``n_encoded`` is how many characters they had encoded.
     """
-    added = ["n_tokens", "n_tokens_after", "n_chars_after", "n_encoded"]
-    kept = docs.drop(*added)
-    names = kept.columns
-    out = [c for c in names if c not in (text, "edits")]
+    added = ["n_tokens_after", "n_chars_after", "n_encoded"]
+    kept = trees.drop(*added)
+    out = [c for c in kept.columns if c not in (text, "edits", "leaf_chars", "leaf_tokens")]
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = coder(path)
         for batch in found:
-            counts = []
-            for said, edits in zip(texts(batch, text), batch.column("edits").to_pylist()):
-                counted = CountedText(said, counter)
-                before = counted.tree.total
+            done = []
+            for said, edits, chars, tokens in zip(texts(batch, text), *(batch.column(c).to_pylist() for c in ("edits", "leaf_chars", "leaf_tokens"))):
+                counted = CountedText(said, counter, chars, tokens)
                 for e in edits or []:
                     if e is not None:
                         counted.edit(e["start"] or 0, e["removed"] or 0, e["inserted"] or "")
-                counts.append((before, counted.tree.total, len(counted.text), counted.encoded))
-            columns = list(zip(*counts)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), *(pa.array(c, pa.int64()) for c in columns)], [*out, *added])
+                done.append(counted)
+            leaves = [c.tree.leaves() for c in done]
+            columns = [pa.array([c.text for c in done], pa.string()), _lists([c for c, _ in leaves]), _lists([t for _, t in leaves])]
+            columns += [pa.array([f(c) for c in done], pa.int64()) for f in (lambda c: c.tree.total, lambda c: len(c.text), lambda c: c.encoded)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), *columns], [*out, text, "leaf_chars", "leaf_tokens", *added])
 
-    schema = T.StructType([*(f for f in kept.schema.fields if f.name in out), *(T.StructField(c, T.LongType()) for c in added)])
+    schema = T.StructType([*(f for f in kept.schema.fields if f.name in out), T.StructField(text, T.StringType()), *KEPT[:2], *(T.StructField(c, T.LongType()) for c in added)])
     return batches(kept).mapInArrow(run, schema)
+
+
+def updated(trees: DataFrame, after: DataFrame) -> DataFrame:
+    """The table to keep after a batch: the rows of ``edited`` in the place of the old ones of their ids."""
+    new = after.withColumn("n_tokens", F.col("n_tokens_after")).select(*trees.columns)
+    return trees.join(new.select("doc_id").distinct(), "doc_id", "left_anti").select(*trees.columns).unionByName(new)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.llm import bpe, edit_counts, line_crf, mixing, neighbours, quality, simhash, substrings, token_files, urls
-from recallspark.session import new_folder
+from recallspark.session import new_folder, written
 from recallspark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,12 +56,13 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document edited twice: a remark put in at its middle, then 24 characters from a quarter on replaced."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Each document's kept tree edited twice: a remark put in at its middle, then 24 characters from a quarter on replaced."""
+    trees = written(edit_counts.built(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE), "trees")
     n = F.coalesce(F.char_length("text"), F.lit(0))
     edit = lambda start, removed, inserted: F.struct(F.floor(start).cast("long").alias("start"), F.lit(removed).cast("long").alias("removed"), F.lit(inserted).alias("inserted"))
     edits = F.array(edit(n / 2, 0, " (see the note of 2024-02-01) "), edit(n / 4, 24, "changed here,"))
-    return edit_counts.recounted(docs.withColumn("edits", edits), BYTE_BPE)
+    found = edit_counts.edited(trees.withColumn("edits", edits), BYTE_BPE)
+    return found.select("doc_id", "n_tokens", "n_tokens_after", "n_chars_after", "n_encoded")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,16 +3,19 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyarrow import orc
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from recallspark.llm import bpe, edit_counts, token_files
-from recallspark.llm.queries import BYTE_BPE
-from recallspark.session import new_folder
+from recallspark.llm.queries import BYTE_BPE, QUERIES
+from recallspark.session import new_folder, written
 from tests.llm.helpers import DOCS, docs, key
 
 LIBRARY = Tokenizer.from_file(BYTE_BPE)
@@ -90,30 +93,100 @@ def test_token_files(spark):
     assert token_files.summary(spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_counts_follow_edits(seed):
-    r = random.Random(seed)
-    plain = Tokenizer.from_file(BYTE_BPE)
-    plain.encode_special_tokens = True
-    for _ in range(30):
-        counted = edit_counts.CountedText("".join(r.choice(PARTS) for _ in range(r.choice([0, 5, 200]))), COUNTER)
-        for _ in range(4):
-            counted.edit(r.randrange(-2, len(counted.text) + 3), r.choice([0, 1, 40]), "".join(r.choice(PARTS) for _ in range(r.choice([0, 2, 50]))))
-            assert counted.tree.total == len(plain.encode(counted.text, add_special_tokens=False).ids)
-            assert sum(x.chars for x in counted.tree.leaves) == len(counted.text)
+def scanned(df):
+    """Rows that the scan of a query gave on."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    return plan.collectLeaves().head().metrics().apply("numOutputRows").value()
 
 
-def test_an_edit_encodes_a_small_part():
-    counted = edit_counts.CountedText("some plain words in a row. " * 4000, COUNTER)
-    counted.edit(50_000, 3, "xyz")
-    assert counted.encoded < 2000
+def test_filters_skip_stripes_and_row_groups(spark):
+    path = new_folder(spark, "tokens")
+    r, rows = random.Random(1), 20_000
+    data = [(2 * i, " ".join(r.choice(["one", "two", "three", "four"]) for _ in range(12)), "", "", 0) for i in range(rows)]
+    token_files.write(docs(spark, data).coalesce(1), BYTE_BPE, 2, path, stripe_bytes=64 << 10)
+    files = sorted(Path(path.removeprefix("file://")).glob("*.orc"))
+    stripes = [orc.ORCFile(f).nstripes for f in files]
+    assert max(stripes) > 1
+    table = token_files.read(spark, path)
+    assert scanned(table.select("doc_id", "n_tokens")) == rows
+    # An id in the ranges of the indexes: one group of rows is read; ids between two documents: the Bloom filters rule all out.
+    assert 0 < scanned(table.where("doc_id = 20000").select("doc_id", "n_tokens")) <= 1000
+    assert scanned(table.where("doc_id = 20001").select("doc_id", "n_tokens")) <= 1000
+    assert scanned(table.where("doc_id > 10000000").select("doc_id", "n_tokens")) == 0
+    # Stripes of one file go to several tasks.
+    one = max(files, key=lambda f: f.stat().st_size)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(one.stat().st_size // 3))
+    try:
+        assert token_files.read(spark, f"file://{one}").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def counted_text(text):
+    return edit_counts.CountedText(text, COUNTER, *edit_counts.leaves_of(text, COUNTER))
 
 
-def test_recounted_with_a_table_of_edits(spark):
-    edits = spark.createDataFrame([(3, 1, 0, 0, "new "), (3, 2, 4, None, None), (4, 1, None, 10**9, "all gone"), (99, 1, 0, 0, "no such")], "doc_id long, seq int, start long, removed long, inserted string")
-    rows = edit_counts.recounted(edit_counts.with_edits(docs(spark).withColumnRenamed("lang", "n_tokens"), edits), BYTE_BPE).collect()
-    assert len(rows) == len(DOCS)
-    by_id = {r["doc_id"]: r for r in rows}
-    assert by_id[3]["n_tokens_after"] == len(ids("new one two three one two three"))
-    assert by_id[4]["n_tokens_after"] == len(ids("all gone"))
-    assert by_id[9]["n_tokens"] == by_id[9]["n_tokens_after"] == len(ids("x" * 3000))
+@pytest.mark.parametrize("seed", range(8))
+def test_counts_follow_edits(seed):
+    r = random.Random(seed)
+    for _ in range(40):
+        counted = counted_text("".join(r.choice(PARTS) for _ in range(r.choice([0, 5, 200, 900]))))
+        assert counted.tree.total == len(ids(counted.text))
+        for _ in range(5):
+            counted.edit(r.randrange(-2, len(counted.text) + 3), r.choice([0, 1, 40]), "".join(r.choice(PARTS) for _ in range(r.choice([0, 2, 50]))))
+            assert counted.tree.total == len(ids(counted.text))
+            assert sum(counted.tree.leaves()[0]) == len(counted.text)
+
+
+def test_names_made_and_broken_by_edits():
+    before = "a few words here and there " * 20
+    counted = counted_text(before + "<|endof" + "text|> and more " * 3)
+    for at, removed, said in ((len(before) + 7, 0, ""), (len(before) + 3, 1, "e"), (len(before), 1, ""), (len(before), 0, "<"), (len(before) + 5, 4, ""), (0, 0, "<|endoftext|>"), (1, 0, "|")):
+        counted.edit(at, removed, said)
+        assert counted.tree.total == len(ids(counted.text))
+    counted = counted_text("see <|endoftext|> here")
+    assert counted.tree.total == 4
+
+
+def test_an_edit_encodes_a_small_part_and_keeps_the_tree():
+    counted = counted_text("some plain words in a row. " * 4000)
+    tree = counted.tree
+    for k in range(50):
+        counted.edit(50_000 + k, 3, "xyz and a word more")
+    assert counted.tree is tree
+    assert counted.encoded < 50 * 2500
+    assert tree.total == len(ids(counted.text))
+
+
+def test_batches_of_edits_on_a_kept_table(spark):
+    """What a batch has encoded follows its edits, not the corpus; tables after batches are those built anew."""
+    said = [(i, "some plain words in a row, and more of them. " * 300, "en", "a", 0) for i in range(20)]
+    kept = written(edit_counts.built(docs(spark, DOCS + [(100 + i, *rest) for i, *rest in said]).withColumnRenamed("lang", "n_tokens_after"), BYTE_BPE), "trees")
+    edits = [(3, 1, 0, 0, "new "), (3, 2, 4, None, None), (4, 1, None, 10**9, "all gone"), (5, 1, 9, 2, "x"), (999, 1, 0, 0, "no such"), (None, 1, 0, 0, "nor such"), (105, 1, 5000, 10, "changed"), (106, 1, 100, 0, "put in")]
+    edits = spark.createDataFrame(edits, "doc_id long, seq int, start long, removed long, inserted string")
+    after = written(edit_counts.edited(edit_counts.with_edits(kept, edits), BYTE_BPE), "edited")
+    assert sorted(r["doc_id"] for r in after.collect()) == [3, 4, 5, 5, 105, 106]
+    by_id = {r["doc_id"]: r for r in after.collect()}
+    assert by_id[3]["text"] == "new one two three one two three" and by_id[4]["text"] == "all gone"
+    assert all(r["n_tokens_after"] == len(ids(r["text"])) and r["n_chars_after"] == len(r["text"]) for r in after.collect())
+    assert by_id[105]["n_encoded"] + by_id[106]["n_encoded"] < 3000 < by_id[105]["n_chars_after"]
+    new = written(edit_counts.updated(kept.drop("n_tokens_after"), after), "trees")
+    rows = new.collect()
+    assert len(rows) == len(DOCS) + 20
+    assert all(r["n_tokens"] == sum(r["leaf_tokens"]) == len(ids(r["text"] or "")) and sum(r["leaf_chars"]) == len(r["text"] or "") for r in rows)
+    assert edit_counts.edited(edit_counts.with_edits(edit_counts.built(docs(spark, []), BYTE_BPE), edits), BYTE_BPE).count() == 0
+
+
+def test_query_is_the_library(spark, sf):
+    found = {r["doc_id"]: r for r in QUERIES["op7_edit_counts"](spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(found)
+    for doc_id, text in rows:
+        text = text or ""
+        half, quarter = len(text) // 2, len(text) // 4
+        once = text[:half] + " (see the note of 2024-02-01) " + text[half:]
+        twice = once[:quarter] + "changed here," + once[quarter + 24 :]
+        assert (found[doc_id]["n_tokens"], found[doc_id]["n_tokens_after"], found[doc_id]["n_chars_after"]) == (len(ids(text)), len(ids(twice)), len(twice))
