@@ -1,11 +1,12 @@
 """Quality rules under weak supervision, in DataFrame functions alone.
 
-Each rule votes that a text is good or bad, or abstains. Expectation-maximisation over the counts of vote
-patterns estimates, for each rule, how often it votes which way on good and on bad texts, and the share
-of bad ones. A text is kept if the posterior probability that it is good is at least one half and it does
+Each rule votes that a text is bad, bad beyond doubt, or good, or abstains. Expectation-maximisation over the
+counts of vote patterns estimates, for each rule, how often it votes which way on good and on bad texts, and
+the share of bad ones. Rules are taken as independent given the quality, so a rule looks at one thing and has
+one vote on it. A text is kept if the posterior probability that it is good is at least one half and it does
 not fail the base rules.
 
-There are at most 3 to the number of rules patterns, whatever the number of documents; they are counted
+There are at most 4 to the number of rules patterns, whatever the number of documents; they are counted
 over all documents and only their counts reach the estimate.
 
 Rules for odd input: a null text is the empty text; it has no words and fails the base rules. Rows of equal
@@ -27,14 +28,15 @@ from recallspark.session import written
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 
 #: Votes.
-BAD, NONE, GOOD = 0, 1, 2
+WORST, BAD, NONE, GOOD = range(4)
+VOTES = 4
 
 #: Rounds of expectation-maximisation, and the pseudo-count of each vote.
 ROUNDS, PRIOR_COUNT = 60, 0.5
 
-#: A rule's votes against good texts are held to be no more than this share of them: rules are weak, but
-#: not so weak that a kind of bad text may pass for good because one rule alone knows it.
-MOST_FALSE = 0.01
+#: A rule's votes ``WORST`` and ``BAD`` against good texts are held to be no more than these shares of them:
+#: rules are weak, but not so weak that a kind of bad text may pass for good because one rule alone knows it.
+MOST_FALSE = (0.0005, 0.01)
 
 
 def _lost(text: Column, characters: str) -> Column:
@@ -61,25 +63,33 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_n_repeat_words", F.coalesce(F.size(F.array_distinct(F.flatten(places))), F.lit(0)).cast("long")).drop("_p")
     df = df.withColumn("_l", F.filter(F.split(said, "\n", -1), lambda x: F.translate(x, SPACES, "") != ""))
     df = df.withColumn("_n_lines", F.size("_l").cast("long")).withColumn("_n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long")).drop("_l")
-    counts = {"_word_chars": F.char_length(F.translate(said, SPACES, "")), "_n_symbols": _lost(said, SYMBOLS), "_n_marks": _lost(said, "!"), "_n_capitals": _lost(said, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")}
+    counts = {"_word_chars": F.char_length(F.translate(said, SPACES, "")), "_n_symbols": _lost(said, SYMBOLS), "_n_marks": _lost(said, "!"), "_n_stops": _lost(said, "."), "_n_capitals": _lost(said, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")}
     return df.withColumns({name: found.cast("long") for name, found in counts.items()})
 
 
 def default_rules() -> dict[str, Column]:
-    """Votes by name: most rules hold a text bad or abstain, in a mild and a severe form each.
+    """Votes by name, each on one thing: five say how far it is over its bound, two that the text is good.
 
-    A text that is over a mild bound alone gets one vote against it, one that is far over gets two.
-    Thresholds are shares of the text's words, characters or lines; a text without words gets no vote.
+    That a text is within one bound tells little, as bad texts are mostly bad in one way, so it is no vote
+    for good; words of usual length and sentences that end are. Thresholds are shares of the text's words,
+    characters or lines; a text without words gets no vote.
     """
     words, chars, lines = F.col("_n_words"), F.col("_word_chars"), F.col("_n_lines")
     over = lambda part, whole, percent: F.col(part) * 100 > whole * percent
-    against = {}
-    for name, part, whole, bounds in (("symbols", "_n_symbols", chars, (2, 4)), ("marks", "_n_marks", words, (15, 40)), ("capitals", "_n_capitals", chars, (30, 60)), ("repeats", "_n_repeat_words", words, (25, 40))):
-        for degree, percent in zip(("mild", "severe"), bounds):
-            against[f"{name}_{degree}"] = over(part, whole, percent)
-    against["lines_mild"], against["lines_severe"] = (lines >= 4) & over("_n_dup_lines", lines, 30), (lines >= 4) & over("_n_dup_lines", lines, 50)
-    rules = {name: F.when(bad, BAD).otherwise(NONE) for name, bad in against.items()}
+
+    def rule(part: str, whole: Column, bound: float, far: float, asked: Column) -> Column:
+        return F.when(asked & over(part, whole, far), WORST).when(asked & over(part, whole, bound), BAD).otherwise(NONE)
+
+    always = F.lit(True)
+    rules = {
+        "symbols": rule("_n_symbols", chars, 2, 4, always),
+        "marks": rule("_n_marks", words, 15, 40, always),
+        "capitals": rule("_n_capitals", chars, 30, 60, always),
+        "repeats": rule("_n_repeat_words", words, 25, 40, always),
+        "lines": rule("_n_dup_lines", lines, 30, 50, lines >= 4),
+    }
     rules["lengths"] = F.when((words >= 20) & ((chars < words * 2) | (chars > words * 14)), BAD).when((chars >= words * 3) & (chars <= words * 9) & (words > 0), GOOD).otherwise(NONE)
+    rules["sentences"] = F.when((words >= 20) & over("_n_stops", words, 2) & ~over("_n_stops", words, 25), GOOD).otherwise(NONE)
     return rules
 
 
@@ -94,7 +104,7 @@ def estimate(patterns: DataFrame, n_rules: int) -> tuple[float, list[list[tuple[
     ``patterns`` has ``votes`` (an array) and ``n``, one row a pattern. The rounds are one column
     expression over their sorted array. They start from texts that some rule holds bad.
     """
-    ways = 3 * n_rules
+    ways = VOTES * n_rules
     rows = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n")))).alias("p"))
 
     def split(bad: Callable[[Column], Column]) -> Column:
@@ -104,13 +114,15 @@ def estimate(patterns: DataFrame, n_rules: int) -> tuple[float, list[list[tuple[
         return F.aggregate(found, F.lit(0.0), lambda s, x: s + x[side])
 
     def shares(found: Column, side: str) -> Column:
-        votes = lambda k: F.aggregate(found, F.lit(PRIOR_COUNT), lambda s, x: s + F.when(F.get(x["votes"], F.floor(k / 3).cast("int")) == k % 3, x[side]).otherwise(0.0))
-        return _bound(total(found, side) + 3 * PRIOR_COUNT, lambda whole: F.transform(F.sequence(F.lit(0), F.lit(ways - 1)), lambda k: votes(k) / whole))
+        votes = lambda k: F.aggregate(found, F.lit(PRIOR_COUNT), lambda s, x: s + F.when(F.get(x["votes"], F.floor(k / VOTES).cast("int")) == k % VOTES, x[side]).otherwise(0.0))
+        return _bound(total(found, side) + VOTES * PRIOR_COUNT, lambda whole: F.transform(F.sequence(F.lit(0), F.lit(ways - 1)), lambda k: votes(k) / whole))
 
     def held(chances: Column) -> Column:
         """Votes against good texts within their bound; the rule's other votes take up the rest."""
-        against = lambda k: F.get(chances, (k - k % 3).cast("int"))
-        return F.transform(chances, lambda x, k: F.when(against(k) <= MOST_FALSE, x).when(k % 3 == BAD, MOST_FALSE).otherwise(x * (1 - MOST_FALSE) / (1 - against(k))))
+        first = lambda k: (k - k % VOTES).cast("int")
+        within = lambda k, vote: F.least(F.get(chances, first(k) + vote), F.lit(MOST_FALSE[vote]))
+        left = lambda k: (1 - within(k, WORST) - within(k, BAD)) / (F.get(chances, first(k) + NONE) + F.get(chances, first(k) + GOOD))
+        return F.transform(chances, lambda x, k: F.when(k % VOTES == WORST, within(k, WORST)).when(k % VOTES == BAD, within(k, BAD)).otherwise(x * left(k)))
 
     def step(found: Column) -> Column:
         return _bound(found, fitted)
@@ -120,13 +132,13 @@ def estimate(patterns: DataFrame, n_rules: int) -> tuple[float, list[list[tuple[
         return F.struct(share.alias("share"), shares(found, "bad").alias("bad"), _bound(shares(found, "good"), held).alias("good"))
 
     def log_ratio(m: Column, p: Column) -> Column:
-        at = [F.get(p["votes"], F.lit(j)) + 3 * j for j in range(n_rules)]
+        at = [F.get(p["votes"], F.lit(j)) + VOTES * j for j in range(n_rules)]
         return sum((F.ln(F.get(m["good"], k)) - F.ln(F.get(m["bad"], k)) for k in at), F.ln(1 - m["share"]) - F.ln(m["share"]))
 
-    start = step(split(lambda p: F.when(F.array_contains(p["votes"], BAD), 0.9).otherwise(0.1)))
+    start = step(split(lambda p: F.when(F.exists(p["votes"], lambda v: v <= BAD), 0.9).otherwise(0.1)))
     again = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.col("m"), lambda m, _: step(split(lambda p: 1 / (1 + F.exp(log_ratio(m, p))))))
     model = rows.withColumn("m", start).select(again.alias("m")).first()["m"]
-    return model["share"], [[(model["bad"][3 * j + v], model["good"][3 * j + v]) for v in range(3)] for j in range(n_rules)]
+    return model["share"], [[(model["bad"][VOTES * j + v], model["good"][VOTES * j + v]) for v in range(VOTES)] for j in range(n_rules)]
 
 
 def judged(docs: DataFrame, *, text: str = "text", rules: dict[str, Column] | None = None) -> DataFrame:

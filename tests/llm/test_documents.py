@@ -34,47 +34,82 @@ def test_measured(spark):
 
 
 def plain_em(patterns, n_rules):
-    """Expectation-maximisation in plain Python over {votes: n}."""
+    """Expectation-maximisation in plain Python over {votes: n}: share of bad texts, and chances by rule and vote."""
 
     def fitted(weights):
         bad, good = sum(b for b, _ in weights.values()), sum(g for _, g in weights.values())
         out = []
         for side, whole in ((0, bad), (1, good)):
-            chances = [[(quality.PRIOR_COUNT + sum(w[side] for v, w in weights.items() if v[j] == k)) / (whole + 3 * quality.PRIOR_COUNT) for k in range(3)] for j in range(n_rules)]
+            chances = [[(quality.PRIOR_COUNT + sum(w[side] for v, w in weights.items() if v[j] == k)) / (whole + 4 * quality.PRIOR_COUNT) for k in range(4)] for j in range(n_rules)]
             if side:
                 for c in chances:
-                    if c[0] > quality.MOST_FALSE:
-                        rest = (1 - quality.MOST_FALSE) / (1 - c[0])
-                        c[:] = [quality.MOST_FALSE, c[1] * rest, c[2] * rest]
+                    worst, plain = min(c[0], quality.MOST_FALSE[0]), min(c[1], quality.MOST_FALSE[1])
+                    rest = (1 - worst - plain) / (c[2] + c[3])
+                    c[:] = [worst, plain, c[2] * rest, c[3] * rest]
             out.append(chances)
         return (bad + quality.PRIOR_COUNT) / (bad + good + 2 * quality.PRIOR_COUNT), out
 
-    model = fitted({v: (n * (q := 0.9 if 0 in v else 0.1), n * (1 - q)) for v, n in patterns.items()})
+    model = fitted({v: (n * (q := 0.9 if min(v) <= 1 else 0.1), n * (1 - q)) for v, n in patterns.items()})
     for _ in range(quality.ROUNDS):
-        share, (b, g) = model
-        weights = {}
-        for v, n in patterns.items():
-            odds = np.log(1 - share) - np.log(share) + sum(np.log(g[j][v[j]]) - np.log(b[j][v[j]]) for j in range(n_rules))
-            q = 1 / (1 + np.exp(odds))
-            weights[v] = (n * q, n * (1 - q))
+        weights = {v: (n * (1 - (q := plain_posterior(model, v))), n * q) for v, n in patterns.items()}
         model = fitted(weights)
     return model
 
 
+def plain_posterior(model, votes):
+    """Probability that a text of these votes is good."""
+    share, (bad, good) = model
+    odds = np.log(1 - share) - np.log(share) + sum(np.log(good[j][v]) - np.log(bad[j][v]) for j, v in enumerate(votes))
+    return 1 / (1 + np.exp(-odds))
+
+
+def plain_votes(text):
+    """Votes of the seven rules."""
+    n, chars, symbols, dup, again = counts(text)
+    lines = len([x for x in (text or "").split("\n") if WORD.search(x)])
+    if not n:
+        return (2,) * 7
+
+    def vote(part, whole, bound, far):
+        return 0 if part * 100 > whole * far else 1 if part * 100 > whole * bound else 2
+
+    lengths = 1 if n >= 20 and (chars < 2 * n or chars > 14 * n) else 3 if 3 * n <= chars <= 9 * n else 2
+    capitals, marks, stops = sum("A" <= c <= "Z" for c in text), text.count("!"), text.count(".")
+    sentences = 3 if n >= 20 and 2 * n < 100 * stops <= 25 * n else 2
+    return vote(symbols, chars, 2, 4), vote(marks, n, 15, 40), vote(capitals, chars, 30, 60), vote(again, n, 25, 40), vote(dup, lines, 30, 50) if lines >= 4 else 2, lengths, sentences
+
+
 def test_estimate_is_plain_em(spark):
     r = random.Random(1)
-    patterns = {tuple(r.choice([0, 1, 1, 2]) for _ in range(4)): r.randrange(1, 50) for _ in range(20)}
+    patterns = {tuple(r.choice([0, 1, 2, 2, 3]) for _ in range(4)): r.randrange(1, 50) for _ in range(20)}
     df = spark.createDataFrame([(list(v), n) for v, n in patterns.items()], "votes array<int>, n long")
     share, chances = quality.estimate(df, 4)
     want, (bad, good) = plain_em(patterns, 4)
     assert share == pytest.approx(want, abs=1e-9)
-    assert [[x for pair in row for x in pair] for row in chances] == [pytest.approx([x for k in range(3) for x in (bad[j][k], good[j][k])], abs=1e-9) for j in range(4)]
+    assert [[x for pair in row for x in pair] for row in chances] == [pytest.approx([x for k in range(4) for x in (bad[j][k], good[j][k])], abs=1e-9) for j in range(4)]
+
+
+def test_posteriors_and_verdicts_of_documents_are_plain_ones(spark, sf):
+    """The whole query against plain Python: votes, estimate, posterior and verdict of every document."""
+    said = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    votes = {d: plain_votes(t) for d, t in said.items()}
+    model = plain_em(collections.Counter(votes.values()), 7)
+    found = {r["doc_id"]: r for r in QUERIES["op5_quality_rules"](spark, sf).collect()}
+    assert found.keys() == said.keys()
+    for d, t in said.items():
+        n, *_, again = counts(t)
+        failed, good = n < 50 or 100 * again > 50 * n, plain_posterior(model, votes[d])
+        assert found[d]["base_failed"] == failed
+        assert found[d]["posterior"] == pytest.approx(good, abs=1e-6)
+        assert found[d]["kept"] == (not failed and good >= 0.5)
 
 
 def test_kept_on_labelled_documents(spark):
     found = QUERIES["op5_quality_rules"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("not base_failed")
     rows = found.collect()
     assert sum(r["kept"] == (r["quality"] == 1) for r in rows) >= 0.97 * len(rows)
+    clean = [r["kept"] for r in rows if r["quality"] == 1]
+    assert sum(clean) >= 0.97 * len(clean)
 
 
 def test_filtered_keeps_columns_and_odd_rows_pass(spark):
