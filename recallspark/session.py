@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
     Where it is unset, a local master gets a temporary folder, kept in the session's settings; a
-    cluster uses its warehouse, which all its machines reach.
+    cluster uses its warehouse, if that is a place that all its machines reach.
     """
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if found:
@@ -43,13 +45,33 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     else:
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_recallspark"
+        if found.startswith(("file:", "/")):
+            raise ValueError(f"set {CHECKPOINT_DIR}: a cluster's machines do not share {found}")
     spark.conf.set(CHECKPOINT_DIR, found)
     return found
 
 
+#: Folders made inside ``cleared``, innermost last.
+_made: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, all folders that were made inside it: for steps whose result was written elsewhere."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            deleted(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -60,8 +82,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a table that ``written`` made."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        deleted(spark, path)
