@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from recallspark.llm import bpe, mixing, quality, simhash, substrings
-from recallspark.session import new_folder
+from recallspark.session import cleared, deleted, new_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -55,12 +55,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Tables that a stage makes for itself go once its result is written, and so do earlier results."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        made = stage(spark, docs, sf_dir)
-        if number + 1 == len(STAGES):
-            return made
+    before = None
+    for number, (_, stage) in enumerate(STAGES[:-1]):
         path = new_folder(spark, f"stage-{number}")
-        made.write.parquet(path)
-        docs = spark.read.schema(made.schema).parquet(path)
-    return docs
+        with cleared(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+            schema = made.schema
+        docs = spark.read.schema(schema).parquet(path)
+        if before is not None:
+            deleted(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
