@@ -57,11 +57,15 @@ def cover_density(found: Column, wanted: Sequence[str]) -> Column:
     if not wanted:
         return F.lit(0.0)
 
-    def matches(word: str) -> Column:
-        return F.least(F.size(F.filter(found, lambda t: t == word)), F.lit(MOST_POSITIONS))
+    # The text's tokens are made once, in the lambda's argument; only those that match are looked at again.
+    def matches(hits: Column, word: str) -> Column:
+        return F.least(F.size(F.filter(hits, lambda t: t == word)), F.lit(MOST_POSITIONS))
 
-    counts = [matches(w) for w in wanted]
-    return A_POSITION * sum(counts[1:], counts[0]).cast("double")
+    def ranked(hits: Column) -> Column:
+        return sum((matches(hits, w) for w in wanted), F.lit(0))
+
+    hits = F.filter(found, lambda t: t.isin(*wanted))
+    return A_POSITION * F.get(F.transform(F.array(hits), ranked), F.lit(0)).cast("double")
 
 
 def normal_rank(rank: Column) -> Column:

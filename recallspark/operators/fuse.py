@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,3 +46,29 @@ def skips_rerank(pooled: DataFrame, gap: float = 0.15) -> DataFrame:
     """Whether reranking may be left out: one candidate, or a clear gap between the best two."""
     top = pooled.orderBy(F.desc("score")).limit(2).agg(F.count("*").alias("n"), F.max("score").alias("a"), F.min("score").alias("b"))
     return top.select(((F.col("n") <= 1) | (F.col("a") - F.col("b") >= gap)).alias("skip"))
+
+
+def expanded(original: DataFrame, found: Sequence[DataFrame]) -> DataFrame:
+    """``id, score, rrf, first, original``: the order of the first query fused with those of its sub-queries.
+
+    Each list has ``id, score`` and is cut to its limit before; an id keeps its best score, and only ids of
+    the first list may be reserved a place by their words.
+    """
+    placed = [rows.select(F.lit(n).alias("list"), "id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank")) for n, rows in enumerate([original, *found])]
+    lists = reduce(DataFrame.unionByName, placed)
+    best = lists.groupBy("id").agg(F.max("score").alias("score"), F.bool_or(F.col("list") == 0).alias("original"))
+    return best.join(rrf(lists.select("list", "rank", "id")), "id")
+
+
+def reranked(fused: DataFrame, size: int = 15, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The best few of a fused list with their ``place``.
+
+    ``rerank`` may give these few another order: it gets them and returns ``id, place``. Ids that it invents
+    are dropped, those that it leaves out go behind, in the order they had.
+    """
+    cut = fused.orderBy(F.desc("rrf"), "first").limit(size)
+    rows = cut.withColumn("place", F.row_number().over(Window.orderBy(F.desc("rrf"), "first")))
+    if rerank is None:
+        return rows
+    told = rerank(rows).groupBy("id").agg(F.min("place").alias("told"))
+    return rows.join(told, "id", "left").withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("told"), "place"))).drop("told")

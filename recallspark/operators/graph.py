@@ -157,3 +157,17 @@ def grid_clusters(points: DataFrame, cell: float) -> DataFrame:
 def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key under an order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def contradictions(relations: DataFrame, ids: DataFrame) -> DataFrame:
+    """Relations of kind ``contradicts`` both whose ends are in a result set (``id``)."""
+    keep = lambda df, c: df.join(ids.select(F.col("id").alias("_id")), F.col(c) == F.col("_id"), "left_semi")
+    return keep(keep(relations.where("relation_type = 'contradicts'"), "source_id"), "target_id").select("source_id", "target_id")
+
+
+def metrics(thoughts: DataFrame, entities: DataFrame, edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """One row of counts; each table is counted by itself and only the counts meet."""
+    out = entities.agg(F.count("*").alias("entities"), F.count("project_status").alias("projects"))
+    for name, rows in (("thoughts", thoughts), ("edges", edges), ("communities", communities)):
+        out = out.crossJoin(rows.agg(F.count("*").alias(name)))
+    return out

@@ -12,7 +12,9 @@ from recallspark.functions import text as t
 
 def search(notes: DataFrame, wanted: Sequence[str], k: int, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``id, raw, rank`` of the k best texts that hold a wanted word; one scan, each task keeps k rows."""
-    ranked = notes.select(id_col, t.cover_density(t.tokens(F.col(text_col)), wanted).alias("raw")).where("raw > 0")
+    # A filter on the rank would work it out twice; an explode of the ranks that count does not.
+    rank = F.array(t.cover_density(t.tokens(F.col(text_col)), wanted))
+    ranked = notes.select(id_col, F.explode(F.filter(rank, lambda r: r > 0)).alias("raw"))
     return ranked.withColumn("rank", t.normal_rank(F.col("raw"))).orderBy(F.desc("raw"), id_col).limit(k)
 
 

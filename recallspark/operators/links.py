@@ -69,8 +69,11 @@ def bundles(communities: DataFrame, thoughts: DataFrame, members: DataFrame, ent
     t = thoughts.groupBy("community_id").agg(F.array_sort(F.collect_list(F.struct("i", "thought_id"))).alias("t"))
     first = Window.partitionBy("community_id").orderBy("entity_id")
     e = members.withColumn("n", F.row_number().over(first)).where(F.col("n") <= entities).groupBy("community_id").agg(F.array_sort(F.collect_list("entity_id")).alias("e"))
-    pairs = communities.alias("a").join(communities.alias("b"), (F.col("a.parent_id") == F.col("b.parent_id")) & (F.col("a.community_id") != F.col("b.community_id"))).select(F.col("a.community_id").alias("community_id"), F.col("b.community_id").alias("sibling"))
-    near = pairs.withColumn("n", F.row_number().over(Window.partitionBy("community_id").orderBy("sibling"))).where(F.col("n") <= siblings).groupBy("community_id").agg(F.array_sort(F.collect_list("sibling")).alias("s"))
+    # A community's first siblings are among its parent's first few children: one more than asked, as it may be one of them.
+    child = Window.partitionBy("parent_id").orderBy("community_id")
+    few = communities.where("parent_id is not null").withColumn("n", F.row_number().over(child)).where(F.col("n") <= siblings + 1).groupBy("parent_id").agg(F.array_sort(F.collect_list("community_id")).alias("few"))
+    others = lambda c: F.slice(F.filter(c, lambda x: x != F.col("community_id")), 1, siblings)
+    near = communities.join(few, "parent_id").select("community_id", others(F.col("few")).alias("s"))
     rows = communities.join(t, "community_id", "left").join(e, "community_id", "left").join(near, "community_id", "left")
     return rows.select("community_id", "parent_id", F.coalesce(comma(F.col("t.thought_id")), F.lit("")).alias("thought_ids"), F.coalesce(comma(F.col("e")), F.lit("")).alias("entity_ids"), F.coalesce(F.array_join("s", ","), F.lit("")).alias("sibling_ids"))
 
@@ -171,3 +174,11 @@ def unused_kinds(kinds: DataFrame, entities: DataFrame) -> DataFrame:
 def repaired_types(entities: DataFrame, active: DataFrame, fallback: str = "concept") -> DataFrame:
     known = active.select(F.col("kind").alias("entity_type")).distinct().withColumn("_ok", F.lit(True))
     return entities.join(known, "entity_type", "left").withColumn("entity_type", F.when(F.col("_ok").isNull(), F.lit(fallback)).otherwise(F.col("entity_type"))).drop("_ok")
+
+
+def largest_communities(members: DataFrame, limit: int, preview: int = 4) -> DataFrame:
+    """The communities of most members (``community_id, entity_id, label``), with their first few labels."""
+    top = members.groupBy("community_id").agg(F.count("*").alias("members")).orderBy(F.desc("members"), "community_id").limit(limit)
+    first = members.join(F.broadcast(top.select("community_id")), "community_id", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("community_id").orderBy("entity_id"))).where(F.col("n") <= preview)
+    told = first.groupBy("community_id").agg(F.array_sort(F.collect_list(F.struct("n", "label"))).alias("l"))
+    return top.join(told, "community_id").select("community_id", "members", F.array_join("l.label", ", ").alias("preview"))

@@ -19,10 +19,16 @@ def ranking(ranked: DataFrame, grades: DataFrame, k: int) -> DataFrame:
     return rows.select("query", part(F.col("hits") / F.col("relevant")).alias("recall"), part(1 / F.col("first")).alias("mrr"), part(F.col("dcg") / F.col("ideal")).alias("ndcg"))
 
 
-def accuracy_lift(answers: DataFrame, by: str) -> DataFrame:
-    """Accuracy with and without evidence by group, and the lift, over questions that have both answers."""
+def accuracy_lift(answers: DataFrame, by: str, *, strict: bool = False) -> DataFrame:
+    """Accuracy with and without evidence by group, and the lift, over questions that have both answers.
+
+    A strict reading fails on a question that lacks one of the two.
+    """
     both = answers.groupBy("question", by).agg(F.max(F.when(F.col("variant") == "evidence", F.col("correct").cast("int"))).alias("e"), F.max(F.when(F.col("variant") == "none", F.col("correct").cast("int"))).alias("n"))
-    both = both.where("e is not null and n is not null")
+    if strict:
+        both = both.withColumn("e", F.when(F.col("e").isNull() | F.col("n").isNull(), F.raise_error(F.concat(F.lit("incomplete question "), F.col("question").cast("string"))).cast("int")).otherwise(F.col("e")))
+    else:
+        both = both.where("e is not null and n is not null")
     return both.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg("e"), 6).alias("accuracy"), F.round(F.avg("e") - F.avg("n"), 6).alias("lift"))
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallspark.functions import calendar
 from recallspark.operators import fuse, lexical, vector
 from recallspark.session import written
 
@@ -19,7 +20,7 @@ from recallspark.session import written
 WEIGHTS = {"thought": 0.42, "community": 0.25, "entity": 0.10, "centrality": 0.08, "specificity": 0.05, "salience": 0.04, "recency": 0.06, "temporal": 0.18}
 
 #: Rows that channels, merge and pool hold at most.
-VECTOR_K, LEXICAL_K, COMMUNITY_K, ENTITY_K, SEEDS, PER_SEED, MERGED, POOL = 30, 20, 12, 32, 10, 2, 80, 15
+VECTOR_K, LEXICAL_K, COMMUNITY_K, ENTITY_K, SEEDS, PER_SEED, MERGED, POOL, TEMPORAL_K = 30, 20, 12, 32, 10, 2, 80, 15, 100
 
 #: Channels in the order in which their candidates came up.
 CHANNELS = ("vector", "lexical", "bundle", "entity", "neighbor", "temporal")
@@ -70,7 +71,7 @@ def candidates(m: Memory, query: Sequence[float], words: Sequence[str], entity_d
         rows(_listed(bundle, [F.asc("distance"), F.asc("community_id"), F.asc("i")]), "bundle", community_distance=F.col("distance")),
         rows(_listed(tops, [F.asc("distance"), F.asc("entity_id"), F.asc("i")]), "entity", entity_distance=F.col("distance")),
         rows(_listed(links, [F.desc("weight"), F.asc("neighbor_id"), F.asc("thought_id")]).withColumn("id", F.col("neighbor_id")), "neighbor"),
-        rows(_listed(m.temporal, [F.desc("temporal"), F.asc("id")]), "temporal", temporal=F.col("temporal")),
+        rows(_listed(m.temporal.orderBy(F.desc("temporal"), "id").limit(TEMPORAL_K), [F.desc("temporal"), F.asc("id")]), "temporal", temporal=F.col("temporal")),
     ]
     out = found[0]
     for f in found[1:]:
@@ -123,3 +124,24 @@ def diagnostics(pooled: DataFrame) -> DataFrame:
     share = F.when(v + g <= 1e-12, 0.0).otherwise(v / (v + g))
     top = F.max_by(share, -F.col("pool_pos"))
     return pooled.agg(F.count("*").alias("n"), F.round(F.avg(share), 6).alias("mean_share"), F.round(top, 6).alias("top_share"), F.count_if((v <= 1e-12) & (g > 1e-12)).alias("graph_only"), F.when(F.avg(share) >= 0.5, "semantic").otherwise("graph").alias("primary"))
+
+
+def temporal_channel(events: DataFrame, query: Sequence[float], *, within: tuple[str, str] | None = None, limit: int = 24) -> DataFrame:
+    """``id, temporal``: the events nearest to the query, those of a period alone where one is given; score is one over the rank.
+
+    ``events``: id, vec, start_at, end_at; the period is closed below and open above. One scan, cut to the
+    limit (1 to 100) task by task; the window runs over the rows that are left.
+    """
+    if within is not None:
+        events = events.where(calendar.overlaps(F.col("start_at"), F.col("end_at"), calendar.at(within[0]), calendar.at(within[1])))
+    top = vector.top_k(events, "id", "vec", list(query), min(max(1, limit), 100))
+    return _listed(top, [F.asc("distance"), F.asc("id")]).select("id", (1 / F.col("pos")).alias("temporal"))
+
+
+def event_seeds(events: DataFrame, queries: Sequence[Sequence[float]], limit: int) -> DataFrame:
+    """``id, distance``: the nearest events of the query and of each hint, each at its least distance."""
+    found = [vector.top_k(events, "id", "vec", list(q), limit) for q in queries]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.groupBy("id").agg(F.min("distance").alias("distance"))

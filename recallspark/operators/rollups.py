@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallspark.operators.places import placed
+
 
 def usd(amount: Column) -> Column:
     return F.round(amount.cast("double"), 6)
@@ -183,9 +185,23 @@ def board_scores(votes: DataFrame, ideas: DataFrame, voter: int) -> DataFrame:
 
 
 def trend(rows: DataFrame, order: str, value: str) -> DataFrame:
-    """Mean of the first and the second half and the mean step between neighbours."""
-    w = Window.orderBy(order)
-    n = F.count("*").over(Window.partitionBy())
-    placed = rows.withColumn("r", F.row_number().over(w)).withColumn("n", n).withColumn("step", F.col(value) - F.lag(value).over(w))
+    """Mean of the first and the second half and the mean step between neighbours, of values that are not null.
+
+    The steps between neighbours sum up to the last value less the first.
+    """
+    ranked = placed(rows.where(F.col(value).isNotNull()), [F.asc(order)], "r")
+    numbered = ranked.crossJoin(ranked.agg(F.count("*").alias("n")))
     first = F.col("r") <= F.floor(F.col("n") / 2)
-    return placed.agg(F.round(F.avg(F.when(first, F.col(value))), 6).alias("first_half"), F.round(F.avg(F.when(~first, F.col(value))), 6).alias("second_half"), F.round(F.avg("step"), 6).alias("mean_step"))
+    ends = F.max_by(value, "r") - F.min_by(value, "r")
+    return numbered.agg(F.round(F.avg(F.when(first, F.col(value))), 6).alias("first_half"), F.round(F.avg(F.when(~first, F.col(value))), 6).alias("second_half"), F.round(F.try_divide(ends, F.count("*") - 1), 6).alias("mean_step"))
+
+
+def sorted_by(rows: DataFrame, asked: str | None, direction: str | None, *, allowed: tuple[str, ...], default: str, tie: str, key: str) -> DataFrame:
+    """Rows by one of the allowed columns, the default for any other name; descending unless ``asc`` is asked; ties by a text, case aside, and a key."""
+    column = asked if asked in allowed else default
+    first = F.asc_nulls_last(column) if direction == "asc" else F.desc_nulls_last(column)
+    return rows.orderBy(first, F.lower(tie), key)
+
+
+def same_text(column: Column, said: str) -> Column:
+    return F.lower(column) == said.lower()

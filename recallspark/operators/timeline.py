@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.functions import calendar as c
+from recallspark.operators.places import placed
 
 
 def in_window(events: DataFrame, low: str, high: str) -> DataFrame:
@@ -198,7 +199,7 @@ def project_cards(links: DataFrame, thoughts: DataFrame, catalog: DataFrame) ->
     items = links.join(thoughts.select(F.col("id").alias("thought_id"), "created_at", "lifecycle"), "thought_id")
     found = items.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("items"), F.count_if(F.col("lifecycle") == "open").alias("open_items"), F.max("created_at").alias("newest"))
     rows = catalog.join(found, "id", "left").select("id", "label", F.coalesce("items", F.lit(0).cast("long")).alias("items"), F.coalesce("open_items", F.lit(0).cast("long")).alias("open_items"), "newest")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("newest"), "label", "id")))
+    return placed(rows, [F.desc_nulls_last("newest"), F.asc("label"), F.asc("id")])
 
 
 def gantt(items: DataFrame, group: str) -> DataFrame:

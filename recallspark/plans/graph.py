@@ -84,9 +84,9 @@ def graph_health(spark, d):
     return op.health(v.entities(spark, d), strong_edges(spark, d))
 
 
-@BOOK.query(_M + _STRONG + "SELECT a, b, weight FROM v_edge WHERE a < 200 AND (a, b) NOT IN (SELECT a, b FROM strong)")
+@BOOK.query(_M + _STRONG + "SELECT a, b, weight FROM v_edge ANTI JOIN strong USING (a, b)")
 def missing_pairs(spark, d):
-    return op.missing_pairs(v.mentions(spark, d), strong_edges(spark, d)).where("a < 200")
+    return op.missing_pairs(v.mentions(spark, d), strong_edges(spark, d))
 
 
 #: Stated relations between parts, most of them without a common mention.
@@ -129,11 +129,11 @@ def orphan_entities(spark, d):
 
 
 @BOOK.query(_M + """
-, p AS (SELECT DISTINCT x.entity_id AS a, y.entity_id AS b, CASE WHEN t.user_id % 3 = 0 THEN 'user' ELSE 'apikey:' || (t.user_id % 3) END AS layer FROM v_mention x JOIN v_mention y USING (thought_id) JOIN v_thought t ON t.id = thought_id WHERE x.entity_id < y.entity_id AND x.entity_id < 300)
+, p AS (SELECT DISTINCT x.entity_id AS a, y.entity_id AS b, CASE WHEN t.user_id % 3 = 0 THEN 'user' ELSE 'apikey:' || (t.user_id % 3) END AS layer FROM v_mention x JOIN v_mention y USING (thought_id) JOIN v_thought t ON t.id = thought_id WHERE x.entity_id < y.entity_id)
 SELECT a, b, string_agg(layer, ',' ORDER BY layer) AS layers FROM p GROUP BY 1, 2""")
 def author_layers(spark, d):
     layer = F.when(F.col("user_id") % 3 == 0, "user").otherwise(F.concat(F.lit("apikey:"), (F.col("user_id") % 3).cast("string")))
-    return op.author_layers(v.mentions(spark, d), v.thoughts(spark, d).select(F.col("id").alias("thought_id"), layer.alias("layer"))).where("a < 300")
+    return op.author_layers(v.mentions(spark, d), v.thoughts(spark, d).select(F.col("id").alias("thought_id"), layer.alias("layer")))
 
 
 @BOOK.query(_M + _EDGE + _STATED + """
@@ -152,7 +152,7 @@ def grid_clusters(spark, d):
 
 
 @BOOK.query(_M + _STRONG + """
-, m AS (SELECT a, b FROM v_edge WHERE (a, b) NOT IN (SELECT a, b FROM strong)), p AS (SELECT a, b, lower(split_part(x.label, ' ', 1)) AS one, lower(y.label) AS other FROM m JOIN v_entity x ON x.id = a JOIN v_entity y ON y.id = b)
+, m AS (SELECT a, b FROM v_edge ANTI JOIN strong USING (a, b)), p AS (SELECT a, b, lower(split_part(x.label, ' ', 1)) AS one, lower(y.label) AS other FROM m JOIN v_entity x ON x.id = a JOIN v_entity y ON y.id = b)
 SELECT a, b, CASE WHEN starts_with(other, one || ' ') THEN 'part_of' ELSE 'related_to' END AS relation FROM p WHERE contains(other, one)""")
 def lexical_relations(spark, d):
     gaps = op.missing_pairs(v.mentions(spark, d), strong_edges(spark, d))

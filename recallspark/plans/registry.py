@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from recallspark.plans import conditions, evaluation, graph, links, retrieval, rollups, timeline, vectors
+from recallspark.plans import agenda, conditions, evaluation, graph, links, retrieval, rollups, timeline, vectors
 from recallspark.plans.book import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _module in (vectors, rollups, retrieval, graph, links, timeline, conditions, evaluation):
+for _module in (vectors, rollups, retrieval, graph, links, timeline, conditions, evaluation, agenda):
     QUERIES.update(_module.BOOK.queries)
     ORACLES.update(_module.BOOK.oracles)
 

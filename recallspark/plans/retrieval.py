@@ -70,7 +70,7 @@ def memory(spark, d) -> op.Memory:
     """Documents with a vector of the same number; features, bundles and links are arithmetic on the id."""
     i = F.col("id")
     notes = v.notes(spark, d).join(v.vectors(spark, d), "id").select(
-        "id", "vec", "text", "tenant", "label", (i % 13 != 0).alias("active"), ((i % 50) / 10).alias("salience"), ((i % 7) / 7).alias("centrality"), ((i % 5) / 5).alias("specificity"), ((i % 9) / 9).alias("recency"), F.array(F.concat(F.lit("c"), F.col("label").cast("string"))).alias("communities"),
+        "id", (i % 50).alias("user_id"), "vec", "text", "tenant", "label", (i % 13 != 0).alias("active"), ((i % 50) / 10).alias("salience"), ((i % 7) / 7).alias("centrality"), ((i % 5) / 5).alias("specificity"), ((i % 9) / 9).alias("recency"), F.array(F.concat(F.lit("c"), F.col("label").cast("string"))).alias("communities"),
     )
 
     def group(key, name):
@@ -78,7 +78,8 @@ def memory(spark, d) -> op.Memory:
         top = notes.withColumn("k", best).where("k <= 20").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "id"))).alias("t"))
         return notes.groupBy(key).agg(F.min_by("vec", "id").alias("vec")).join(top, key).select(F.col(key).cast("string").alias(name), "vec", F.col("t.id").alias("thought_ids"))
 
-    links = notes.select(i.alias("thought_id"), ((i * 7 + 3) % 500).alias("neighbor_id"), (1 / (1 + i % 4)).alias("weight")).unionByName(notes.select(i.alias("thought_id"), ((i * 3 + 1) % 500).alias("neighbor_id"), F.lit(0.5).alias("weight"))).unionByName(notes.select(i.alias("thought_id"), ((i + 11) % 500).alias("neighbor_id"), F.lit(0.7).alias("weight")))
+    n = notes.count()
+    links = notes.select(i.alias("thought_id"), ((i * 7 + 3) % n).alias("neighbor_id"), (1 / (1 + i % 4)).alias("weight")).unionByName(notes.select(i.alias("thought_id"), ((i * 3 + 1) % n).alias("neighbor_id"), F.lit(0.5).alias("weight"))).unionByName(notes.select(i.alias("thought_id"), ((i + 11) % n).alias("neighbor_id"), F.lit(0.7).alias("weight")))
     temporal = notes.where("id % 97 = 5").select("id", (1 / (1 + F.floor(i / 97))).alias("temporal"))
     return op.Memory(notes, group("label", "community_id"), group("tenant", "entity_id"), links, temporal)
 
@@ -94,11 +95,11 @@ _MEM = """, n AS (SELECT id, vec, text, tenant, label, id % 13 <> 0 AS active, (
 , ev AS (SELECT tenant, min_by(vec, id) AS vec FROM n GROUP BY 1), ed AS (SELECT tenant, list_cosine_distance(ev.vec, q.vec) AS distance FROM ev, q ORDER BY 2, 1 LIMIT 32)
 , et AS (SELECT tenant, id, row_number() OVER (PARTITION BY tenant ORDER BY salience DESC, id) AS k FROM n)
 , ec AS (SELECT id, distance, row_number() OVER (ORDER BY distance, tenant, k) AS pos FROM et JOIN ed USING (tenant) WHERE k <= 5 AND distance < 0.95)
-, nb AS (SELECT id AS s, (id * 7 + 3) % 500 AS t, 1 / (1 + id % 4)::DOUBLE AS w FROM n UNION ALL SELECT id, (id * 3 + 1) % 500, 0.5 FROM n UNION ALL SELECT id, (id + 11) % 500, 0.7 FROM n)
+, nb AS (SELECT id AS s, (id * 7 + 3) % (SELECT count(*) FROM n) AS t, 1 / (1 + id % 4)::DOUBLE AS w FROM n UNION ALL SELECT id, (id * 3 + 1) % (SELECT count(*) FROM n), 0.5 FROM n UNION ALL SELECT id, (id + 11) % (SELECT count(*) FROM n), 0.7 FROM n)
 , nl AS (SELECT * FROM nb WHERE s IN (SELECT id FROM vc ORDER BY distance, id LIMIT 10) ORDER BY w DESC, t, s LIMIT 40)
 , nk AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY w DESC, t) AS k FROM nl)
 , nc AS (SELECT t AS id, row_number() OVER (ORDER BY w DESC, t, s) AS pos FROM nk WHERE k <= 2)
-, tc AS (SELECT id, 1 / (1 + id // 97)::DOUBLE AS temporal, row_number() OVER (ORDER BY 1 / (1 + id // 97)::DOUBLE DESC, id) AS pos FROM n WHERE id % 97 = 5)
+, tc AS (SELECT id, 1 / (1 + id // 97)::DOUBLE AS temporal, row_number() OVER (ORDER BY 1 / (1 + id // 97)::DOUBLE DESC, id) AS pos FROM n WHERE id % 97 = 5 QUALIFY pos <= 100)
 , u AS (SELECT id, 0 AS ch, 0 AS pos, distance, NULL::DOUBLE AS rank, NULL::DOUBLE AS cdist, NULL::DOUBLE AS edist, NULL::DOUBLE AS temporal FROM vc UNION ALL SELECT id, 1, 0, NULL, rank, NULL, NULL, NULL FROM lc UNION ALL SELECT id, 2, pos, NULL, NULL, distance, NULL, NULL FROM bc
   UNION ALL SELECT id, 3, pos, NULL, NULL, NULL, distance, NULL FROM ec UNION ALL SELECT id, 4, pos, NULL, NULL, NULL, NULL, NULL FROM nc UNION ALL SELECT id, 5, pos, NULL, NULL, NULL, NULL, temporal FROM tc)
 , g AS (SELECT id, min(distance) AS distance, max(rank) AS rank, min(cdist) AS cdist, min(edist) AS edist, max(temporal) AS temporal, list_distinct(list(ch)) AS chs, min(ch * 100000 + pos) AS first FROM u GROUP BY 1)
@@ -154,11 +155,11 @@ def skip_rerank(spark, d):
     return fuse.skips_rerank(fuse.pool(_scored(spark, d)))
 
 
-@BOOK.query("""WITH w AS (SELECT p_partkey AS entity_id, lower(p_name) AS label FROM part WHERE p_partkey < 50), s AS (SELECT p_partkey AS id, lower(p_name) AS text FROM part)
-SELECT id, entity_id, 1::BIGINT AS hits FROM s JOIN w ON contains(' ' || text || ' ', ' ' || label || ' ') ORDER BY id, entity_id LIMIT 2000""")
+@BOOK.query("""WITH w AS (SELECT p_partkey AS entity_id, lower(p_name) AS label FROM part), s AS (SELECT p_partkey AS id, lower(p_name) AS text FROM part)
+SELECT id, entity_id, 1::BIGINT AS hits FROM s JOIN w ON text = label OR contains(text, label || ' ') AND contains(' ' || text || ' ', ' ' || label || ' ') OR contains(text, ' ' || label) AND contains(' ' || text || ' ', ' ' || label || ' ') ORDER BY id, entity_id LIMIT 2000""")
 def label_hits(spark, d):
     part = v.table(spark, d, "part")
-    labels = part.where("p_partkey < 50").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
+    labels = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
     return lexical.label_hits(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), labels, 2000)
 
 

@@ -61,3 +61,23 @@ def claimed(queue: DataFrame, now: str, limit: int, stale_minutes: int = 10) ->
 def by_batches(stream: DataFrame, refresh: Callable[[DataFrame, int], None], progress: str) -> None:
     """Hands each micro-batch to ``refresh``, which has to be idempotent by batch number."""
     stream.writeStream.foreachBatch(refresh).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+
+
+def reminder_tick(schedule: DataFrame, now: str, limit: int = 200, catch_up: str = "24 HOURS") -> DataFrame:
+    """The oldest due reminders of one tick as ``sent``, or ``skipped``: too late, already begun, or no longer open."""
+    at = F.lit(now).cast("timestamp_ntz")
+    due = schedule.where(F.col("fire_at") <= at).orderBy("fire_at", "job_id").limit(limit)
+    late = F.col("fire_at") < at - F.expr(f"INTERVAL {catch_up}")
+    begun = F.coalesce(F.col("start_at") <= at, F.lit(False))
+    return due.withColumn("status", F.when((F.col("lifecycle") != "open") | begun | late, "skipped").otherwise("sent"))
+
+
+def next_attempts(jobs: DataFrame, limit: int = 20, most: int = 3) -> DataFrame:
+    """Pending jobs that have attempts left, the oldest first."""
+    return jobs.where((F.col("status") == "pending") & (F.col("attempts") < most)).orderBy("run_after", "job_id").limit(limit)
+
+
+def after_attempt(taken: DataFrame, most: int = 3) -> DataFrame:
+    """Jobs after an attempt (``ok``): completed, pending again, or failed for good at the last attempt."""
+    tried = F.col("attempts") + 1
+    return taken.withColumns({"status": F.when(F.col("ok"), "completed").when(tried >= most, "failed").otherwise("pending"), "attempts": tried})
