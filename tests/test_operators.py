@@ -252,3 +252,13 @@ def test_blocks_of_neighbours_are_brute_force(spark, monkeypatch):
             want += [(i, j, k) for k, (d, j) in enumerate(sorted(near)[:3], 1) if d <= 0.9]
         got = vector.knn_join(df, df, 3, 0.9, same=same).withColumn("d", F.round("distance", 9))
         assert sorted((x["id"], x["rank"]) for x in got.collect()) == sorted((i, k) for i, _, k in want)
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    from recallspark.operators import components as module
+
+    monkeypatch.setattr(module, "HUB", 20)
+    pairs = [(1000, i) for i in range(100)] + [(i, i + 1) for i in range(200, 240)] + [(1000, 2000), (2000, 3000), (50, 300)] + [(400, 400 + i) for i in range(30)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    want = {i: 0 for i in [*range(100), 1000, 2000, 3000, 300]} | {i: 200 for i in range(200, 241)} | {i: 400 for i in range(400, 430)}
+    assert got == want
