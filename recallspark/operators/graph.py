@@ -135,6 +135,12 @@ def author_layers(mentions: DataFrame, authors: DataFrame) -> DataFrame:
     return pairs.join(authors, "thought_id").select("a", "b", "layer").distinct().groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_list("layer")), ",").alias("layers"))
 
 
+def layer_index(mentions: DataFrame, authors: DataFrame) -> DataFrame:
+    """The layers of the thoughts that mention each entity, sorted; there are no more than there are authors."""
+    pairs = mentions.join(authors.select("thought_id", "layer"), "thought_id").select("entity_id", "layer").distinct()
+    return pairs.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list("layer")), ",").alias("layers"))
+
+
 def snapshot(mentions: DataFrame, relations: DataFrame, most_nodes: int, most_edges: int) -> DataFrame:
     """Edges to draw: the heaviest co-mentions and relations between the most mentioned entities."""
     nodes = mentions.groupBy(F.col("entity_id").alias("id")).agg(F.countDistinct("thought_id").alias("n")).orderBy(F.desc("n"), "id").limit(most_nodes)

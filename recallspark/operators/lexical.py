@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.functions import text as t
@@ -27,7 +27,7 @@ def search_or_newest(summaries: DataFrame, wanted: Sequence[str], k: int, fallba
     return found.unionByName(other.join(F.broadcast(none), F.lit(True)).drop("_"))
 
 
-def label_hits(texts: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+def label_hits(texts: DataFrame, labels: DataFrame, limit: int | None = None) -> DataFrame:
     """Labels that texts name: one word as a word, several as words in a row.
 
     Texts are exploded to runs of as many words as some label has, and met by equality; the number of
@@ -46,5 +46,14 @@ def label_hits(texts: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
         part = said.where(F.size("w") >= n).select("id", F.explode(made).alias("run"))
         runs = part if runs is None else runs.unionByName(part)
     if runs is None:
-        return texts.sparkSession.createDataFrame([], "id long, entity_id long")
-    return runs.join(words, "run").groupBy("id", "entity_id").agg(F.count("*").alias("hits")).orderBy("id", "entity_id").limit(limit)
+        return texts.sparkSession.createDataFrame([], "id long, entity_id long, hits long")
+    found = runs.join(words, "run").groupBy("id", "entity_id").agg(F.count("*").alias("hits"))
+    return found if limit is None else found.orderBy("id", "entity_id").limit(limit)
+
+
+def label_hints(texts: DataFrame, labels: DataFrame, most: int = 12) -> DataFrame:
+    """The first labels that each text names, one of each folded label and type; labels of one character are none."""
+    key = F.array_join(t.tokens(F.col("label")), " ")
+    once = labels.where(F.char_length(F.trim("label")) >= 2).groupBy(key.alias("label"), "entity_type").agg(F.min("id").alias("id"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("entity_id"))
+    return label_hits(texts, once).withColumn("place", place).where(F.col("place") <= most).select("id", "entity_id", "place")

@@ -171,6 +171,21 @@ def unused_kinds(kinds: DataFrame, entities: DataFrame) -> DataFrame:
     return kinds.where("not protected").join(entities.select(F.col("entity_type").alias("kind")), "kind", "left_anti")
 
 
+def pruned_ontology(kinds: DataFrame, entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Kinds that stay, and of the allowed relations (``from_kind, to_kind``) those between such kinds."""
+    gone = unused_kinds(kinds, entities).select("kind").distinct()
+    for end in ("from_kind", "to_kind"):
+        relations = relations.join(gone.select(F.col("kind").alias(end)), end, "left_anti")
+    return kinds.join(gone, "kind", "left_anti"), relations
+
+
+def threads(links: DataFrame, entities: DataFrame) -> DataFrame:
+    """The project each thought is on: of its links that make it a member the most salient, ties to the smaller id."""
+    projects = entities.where("project_status is not null").select(F.col("id").alias("entity_id"), "label")
+    rows = links.where(F.col("source").isin(*MEMBERSHIP)).join(projects, "entity_id")
+    return latest(rows, ["thought_id"], F.desc("salience"), F.asc("entity_id")).select("thought_id", "entity_id", "label")
+
+
 def repaired_types(entities: DataFrame, active: DataFrame, fallback: str = "concept") -> DataFrame:
     known = active.select(F.col("kind").alias("entity_type")).distinct().withColumn("_ok", F.lit(True))
     return entities.join(known, "entity_type", "left").withColumn("entity_type", F.when(F.col("_ok").isNull(), F.lit(fallback)).otherwise(F.col("entity_type"))).drop("_ok")
@@ -182,3 +197,17 @@ def largest_communities(members: DataFrame, limit: int, preview: int = 4) -> Dat
     first = members.join(F.broadcast(top.select("community_id")), "community_id", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("community_id").orderBy("entity_id"))).where(F.col("n") <= preview)
     told = first.groupBy("community_id").agg(F.array_sort(F.collect_list(F.struct("n", "label"))).alias("l"))
     return top.join(told, "community_id").select("community_id", "members", F.array_join("l.label", ", ").alias("preview"))
+
+
+def consolidated(thoughts: DataFrame, entities: DataFrame, kinds: DataFrame, links: DataFrame, members: DataFrame, edges: DataFrame, now: str, exempt: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The nightly jobs in their order, each on what the ones before made.
+
+    First salience, the ontology and the entities' types; then the communities' bundles; then what is kept ready
+    for retrieval. ``members`` are communities as detected (``community_id, parent_id, entity_id``).
+    """
+    fresh = risen(decayed(thoughts, now, exempt=exempt), now)
+    kept = kinds.join(unused_kinds(kinds, entities).select("kind"), "kind", "left_anti")
+    typed = repaired_types(entities, kept)
+    own = members.select("community_id", "entity_id")
+    bundled = bundles(members.select("community_id", "parent_id").distinct(), community_thoughts(links, own, fresh), own)
+    return {"thoughts": fresh, "kinds": kept, "entities": typed, "bundles": bundled, "top_thoughts": top_thoughts(links, fresh, now), "features": retrieval_features(fresh, links, own, edges, now)}

@@ -38,6 +38,19 @@ def preset(events: DataFrame, name: str, now: str, ahead_days: int = 7) -> DataF
     return events
 
 
+def view_range(items: DataFrame, name: str, now: str, ahead_days: int = 7) -> DataFrame:
+    """As a list on screen is cut: past has begun; items without a start stay in relevant and upcoming."""
+    start, at = F.col("start_at"), c.at(now)
+    ahead = F.coalesce("end_at", "start_at") >= at
+    if name == "past":
+        return items.where(start < at)
+    if name == "upcoming":
+        return items.where(start.isNull() | ahead)
+    if name == "relevant":
+        return items.where(start.isNull() | ahead | ((start >= at) & (start <= c.plus_days(at, ahead_days))))
+    return items
+
+
 def with_tasks(events: DataFrame, thoughts: DataFrame) -> DataFrame:
     """Events and open tasks that no event belongs to, as one list."""
     tasks = thoughts.where("category = 'task' and lifecycle = 'open'").join(events.select(F.col("thought_id").alias("id")).distinct(), "id", "left_anti")
@@ -58,6 +71,13 @@ def solve_ordering(events: DataFrame) -> DataFrame:
     return found.where("n >= 2").drop("n")
 
 
+def solve_multi_ordering(events: DataFrame, least: int = 3) -> DataFrame:
+    """Every event's place in its user's order, where there are three or more."""
+    mine = Window.partitionBy("user_id")
+    place = F.row_number().over(mine.orderBy("start_at", "event_id"))
+    return events.select("user_id", "event_id", place.alias("place"), F.count("*").over(mine).alias("n")).where(F.col("n") >= least).drop("n")
+
+
 def solve_duration(events: DataFrame) -> DataFrame:
     """Days (with and without the last), weeks and months between each user's first and last event."""
     ends = events.groupBy("user_id").agg(F.min("start_at").alias("a"), F.max("start_at").alias("b")).where("a < b")
@@ -102,6 +122,13 @@ def streaks(done: DataFrame, now: str, most: int = 30, zone: str = "UTC") -> Dat
     return runs.where(F.col("last") >= F.date_sub(today, 1)).select("user_id", "streak")
 
 
+def completed_counts(done: DataFrame, now: str, zone: str = "UTC") -> DataFrame:
+    """What each user finished on now's day and since its Monday; who finished nothing since has no row."""
+    day, today = c.day_key(F.col("at"), zone), c.day_key(c.at(now), zone)
+    week = done.select("user_id", day.alias("day")).where(F.col("day") >= F.date_sub(today, F.weekday(today)))
+    return week.groupBy("user_id").agg(F.count_if(F.col("day") == today).alias("today"), F.count("*").alias("this_week"))
+
+
 def stalled(projects: DataFrame, milestones: DataFrame, now: str) -> DataFrame:
     """Why an active project stands still: its deadline or a milestone has passed, or nothing comes next."""
     late = milestones.where(F.col("completed_at").isNull() & (F.col("target_date") < c.at(now))).select("project_id").distinct().withColumn("_late", F.lit(True))
@@ -240,7 +267,40 @@ def appended(ranked: DataFrame, more: DataFrame) -> DataFrame:
     return ranked.select("project_id", "thought_id", "rank").unionByName(tail.select("project_id", "thought_id", (F.coalesce("top", F.lit(0)) + place).alias("rank")))
 
 
-def merged_projects(links: DataFrame, merges: DataFrame) -> DataFrame:
-    """Links moved from merged projects to the ones they went into, each thought once."""
-    moved = links.join(merges.select(F.col("old_id").alias("entity_id"), "new_id"), "entity_id", "left").withColumn("entity_id", F.coalesce("new_id", "entity_id")).drop("new_id")
+def renumbered(ranked: DataFrame) -> DataFrame:
+    """``project_id, thought_id, rank`` with ranks from 1 without gaps."""
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy("rank", "thought_id"))
+    return ranked.select("project_id", "thought_id", place.alias("rank"))
+
+
+def reordered(ranked: DataFrame, moves: DataFrame) -> DataFrame:
+    """Lists after one move a project (``project_id, thought_id, to_rank, after_id``).
+
+    A task goes to a rank, which is cut to the list's ends, else behind another task of the list, else to the
+    end; it need not have been in the list. Projects without a move keep their order.
+    """
+    rest = renumbered(ranked.join(moves.select("project_id", "thought_id"), ["project_id", "thought_id"], "left_anti"))
+    m = moves.select("project_id", F.col("thought_id").alias("moved"), "to_rank", "after_id")
+    told = rest.join(m, "project_id").groupBy("project_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("thought_id") == F.col("after_id"), F.col("rank"))).alias("behind"))
+    n = F.coalesce("n", F.lit(0))
+    ahead = F.when(F.col("to_rank").isNotNull(), F.greatest(F.lit(0), F.least(n, F.floor("to_rank") - 1))).otherwise(F.coalesce("behind", n)).cast("int")
+    put = m.join(told, "project_id", "left").select("project_id", F.col("moved").alias("thought_id"), ahead.alias("ahead"))
+    shifted = rest.join(put.select("project_id", "ahead"), "project_id", "left").withColumn("rank", F.col("rank") + F.coalesce((F.col("rank") > F.col("ahead")).cast("int"), F.lit(0)))
+    return shifted.drop("ahead").unionByName(put.select("project_id", "thought_id", (F.col("ahead") + 1).alias("rank")))
+
+
+def without_completed(sequence: DataFrame) -> DataFrame:
+    """Lists (with ``lifecycle``) of open tasks alone, numbered anew."""
+    return renumbered(sequence.where("lifecycle = 'open'"))
+
+
+def merged_projects(links: DataFrame, merges: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+    """Links moved from merged projects to the ones they went into, each thought once.
+
+    A merge that nobody asked for is given ``manual``: projects (``id``) that people made are not merged away.
+    """
+    into = merges.where("old_id <> new_id").select(F.col("old_id").alias("entity_id"), "new_id")
+    if manual is not None:
+        into = into.join(manual.select(F.col("id").alias("entity_id")), "entity_id", "left_anti")
+    moved = links.join(into, "entity_id", "left").withColumn("entity_id", F.coalesce("new_id", "entity_id")).drop("new_id")
     return moved.groupBy("thought_id", "entity_id").agg(F.max("salience").alias("salience"))

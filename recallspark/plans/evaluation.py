@@ -137,8 +137,22 @@ def table_export(spark, d):
     return exports.write_tables({n: v.table(spark, d, n) for n in ("customer", "orders", "part")}, new_folder(spark, "dump"))
 
 
-@BOOK.query(ctes("v_vec") + """, s AS (SELECT id, 'thought' AS kind FROM v_vec WHERE label < 5 ORDER BY id LIMIT 150), e AS (SELECT id, 'entity' AS kind FROM v_vec WHERE label >= 5 ORDER BY id LIMIT 50), a AS (SELECT * FROM s UNION ALL SELECT * FROM e)
-SELECT count(*) AS n, sha256(string_agg(kind || ':' || id, chr(10) ORDER BY kind || ':' || id)) AS revision FROM a""")
+_DUMP = {"thoughts": "v_thought", "entities": "v_entity", "thought_entities": "v_mention", "temporal_events": "v_event", "accounts": "v_account", "calls": "v_call", "ledger": "v_ledger", "jobs": "v_job"}
+
+
+@BOOK.query(ctes(*_DUMP.values()) + " UNION ALL ".join(f"SELECT '{n}.csv' AS name, count(*) AS n, 1 AS export_version, 'tenant-1' AS tenant FROM {t}" for n, t in _DUMP.items()))
+def export_manifest(spark, d):
+    made = (v.thoughts, v.entities, v.mentions, v.events, v.accounts, v.calls, v.ledger, v.jobs)
+    path = new_folder(spark, "dump")
+    counts = exports.write_tables({n: f(spark, d) for n, f in zip(_DUMP, made)}, path)
+    told = exports.write_manifest(counts, path, 1, "2024-02-01T00:00:00.000Z", "tenant-1")
+    return told.select("export_version", "tenant", F.explode("files").alias("name", "n"))
+
+
+@BOOK.query(ctes("v_vec") + """, r AS (SELECT id, label, TIMESTAMP '2024-01-01' + to_days((id % 37)::INT) AS made, strftime(TIMESTAMP '2024-03-01' + to_days((id % 11)::INT), '%Y-%m-%dT%H:%M:%S.000Z') AS stamp FROM v_vec)
+, s AS (SELECT id, 'Thought' AS kind, stamp FROM r WHERE label = 0 ORDER BY made, id LIMIT 800), e AS (SELECT id, 'Entity' AS kind, stamp FROM r WHERE label >= 5 ORDER BY made, id LIMIT (SELECT 800 - count(*) FROM s)), a AS (SELECT * FROM s UNION ALL SELECT * FROM e)
+SELECT count(*) AS n, sha256(string_agg(kind || ':' || id || ':' || stamp, chr(10) ORDER BY kind, id::VARCHAR)) AS revision FROM a""")
 def embedding_snapshot(spark, d):
-    rows = v.vectors(spark, d)
-    return exports.snapshot(rows.where("label < 5"), rows.where("label >= 5"), 150, 200)
+    day = lambda start, n: (F.lit(start).cast("timestamp_ntz") + F.make_dt_interval((F.col("id") % n).cast("int")))
+    rows = v.vectors(spark, d).withColumns({"created_at": day("2024-01-01", 37), "updated_at": day("2024-03-01", 11)})
+    return exports.snapshot(rows.where("label = 0"), rows.where("label >= 5"))

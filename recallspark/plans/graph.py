@@ -136,6 +136,14 @@ def author_layers(spark, d):
     return op.author_layers(v.mentions(spark, d), v.thoughts(spark, d).select(F.col("id").alias("thought_id"), layer.alias("layer")))
 
 
+@BOOK.query(_M + """
+, p AS (SELECT DISTINCT entity_id, CASE WHEN user_id % 3 = 0 THEN 'user' ELSE 'apikey:' || (user_id % 3) END AS layer FROM v_mention JOIN v_thought ON id = thought_id)
+SELECT entity_id, string_agg(layer, ',' ORDER BY layer) AS layers FROM p GROUP BY 1""")
+def layer_index(spark, d):
+    layer = F.when(F.col("user_id") % 3 == 0, "user").otherwise(F.concat(F.lit("apikey:"), (F.col("user_id") % 3).cast("string")))
+    return op.layer_index(v.mentions(spark, d), v.thoughts(spark, d).select(F.col("id").alias("thought_id"), layer.alias("layer")))
+
+
 @BOOK.query(_M + _EDGE + _STATED + """
 , n AS (SELECT entity_id AS id, count(DISTINCT thought_id) AS n FROM v_mention GROUP BY 1 ORDER BY n DESC, id LIMIT 400)
 , e AS (SELECT a, b, weight, 'co_mention' AS kind FROM v_edge UNION ALL SELECT a, b, weight, 'relation' FROM stated)

@@ -157,6 +157,35 @@ def unused_kinds(spark, d):
     return op.unused_kinds(kinds, v.entities(spark, d)).select("kind")
 
 
+@BOOK.query("WITH k AS (SELECT DISTINCT 'Brand#' || (p_partkey % 40) AS kind, p_partkey % 40 % 7 = 0 AS protected, p_partkey % 40 AS n FROM part), g AS (SELECT kind FROM k WHERE NOT protected AND kind NOT IN (SELECT p_brand FROM part)), r AS (SELECT DISTINCT a.kind AS from_kind, b.kind AS to_kind FROM k a JOIN k b ON b.n IN (a.n + 1, a.n + 7)) SELECT * FROM r WHERE from_kind NOT IN (SELECT kind FROM g) AND to_kind NOT IN (SELECT kind FROM g)")
+def pruned_relations(spark, d):
+    n = (F.col("p_partkey") % 40).alias("n")
+    kinds = v.table(spark, d, "part").select(n).distinct().select(F.concat(F.lit("Brand#"), F.col("n").cast("string")).alias("kind"), (F.col("n") % 7 == 0).alias("protected"), "n")
+    nexts = kinds.select(F.col("kind").alias("from_kind"), F.explode(F.array(F.col("n") + 1, F.col("n") + 7)).alias("n"))
+    allowed = nexts.join(kinds.select("n", F.col("kind").alias("to_kind")), "n").select("from_kind", "to_kind").distinct()
+    return op.pruned_ontology(kinds.drop("n"), v.entities(spark, d), allowed)[1]
+
+
+@BOOK.query(_M + """
+, j AS (SELECT thought_id, entity_id, label, row_number() OVER (PARTITION BY thought_id ORDER BY m.salience DESC, entity_id) AS n FROM v_mention m JOIN v_entity e ON e.id = entity_id WHERE source = 'manual' AND project_status IS NOT NULL)
+SELECT thought_id, entity_id, label FROM j WHERE n = 1""")
+def thought_threads(spark, d):
+    return op.threads(v.mentions(spark, d), v.entities(spark, d))
+
+
+@BOOK.query(_M + _DECAY + f"""
+, n AS (SELECT id, created_at, CASE WHEN category = 'task' AND lifecycle = 'open' THEN least(5.0::DOUBLE, greatest(salience, 1 + 0.15::DOUBLE * ({_AGE}))) ELSE salience END AS salience FROM dec)
+, r AS (SELECT entity_id, thought_id, m.salience, n.salience AS own, created_at, row_number() OVER (PARTITION BY entity_id ORDER BY m.salience DESC, n.salience DESC, created_at DESC, thought_id) - 1 AS i FROM v_mention m JOIN n ON n.id = thought_id)
+SELECT entity_id, i::INT AS i, thought_id, round(0.5 * salience + 0.3 * own + 0.2 / (1 + greatest({_AGE}, 0.0)) - 0.01 * i, 6) AS rank_score FROM r WHERE i < 20""")
+def nightly_top_thoughts(spark, d):
+    """What the nightly jobs in their order leave ready: entities' thoughts by the salience of that night."""
+    m, e = v.mentions(spark, d), v.entities(spark, d)
+    kinds = e.select(F.col("entity_type").alias("kind"), F.lit(False).alias("protected")).distinct()
+    own = e.select(F.col("l2").alias("community_id"), F.col("l1").alias("parent_id"), F.col("id").alias("entity_id"))
+    made = op.consolidated(_dated(spark, d), e, kinds, m, own, graph.comentions(m).where("weight >= 2"), ORDER_NOW, exempt=("note",))
+    return made["top_thoughts"]
+
+
 @BOOK.query("SELECT p_partkey AS id, CASE WHEN p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') THEN p_brand ELSE 'concept' END AS entity_type FROM part")
 def repaired_types(spark, d):
     active = v.entities(spark, d).where(F.col("entity_type").isin("Brand#1", "Brand#2", "Brand#3")).select(F.col("entity_type").alias("kind"))

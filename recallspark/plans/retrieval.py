@@ -163,6 +163,14 @@ def label_hits(spark, d):
     return lexical.label_hits(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), labels, 2000)
 
 
+@BOOK.query("""WITH w AS (SELECT min(p_partkey) AS entity_id, lower(p_name) AS label, p_brand FROM part GROUP BY 2, 3), s AS (SELECT p_partkey AS id, lower(p_name) AS text FROM part)
+, h AS (SELECT id, entity_id, row_number() OVER (PARTITION BY id ORDER BY entity_id)::INT AS place FROM s JOIN w ON contains(' ' || text || ' ', ' ' || label || ' ')) SELECT * FROM h WHERE place <= 12""")
+def label_hints(spark, d):
+    part = v.table(spark, d, "part")
+    labels = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_brand").alias("entity_type"))
+    return lexical.label_hints(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), labels)
+
+
 @BOOK.query("""WITH s AS (SELECT item_id AS id, text, TIMESTAMP '2024-01-01' + to_days(item_id::INT) AS made_at FROM benchmark), x AS (SELECT id, list_contains(""" + _TOK + """, 'zzz') AS hit, made_at FROM s)
 SELECT id, false AS hit FROM x WHERE NOT hit ORDER BY made_at DESC, id LIMIT 3""")
 def summaries_or_newest(spark, d):

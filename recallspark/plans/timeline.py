@@ -89,6 +89,11 @@ def solver_ordering(spark, d):
     return op.solve_ordering(v.events(spark, d))
 
 
+@BOOK.query(_E + ", n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY start_at, event_id)::INT AS place, count(*) OVER (PARTITION BY user_id) AS n FROM v_event) SELECT user_id, event_id, place FROM n WHERE n >= 3")
+def solver_multi_ordering(spark, d):
+    return op.solve_multi_ordering(v.events(spark, d))
+
+
 _ENDS = ", z AS (SELECT user_id, min(start_at) AS a, max(start_at) AS b FROM v_event GROUP BY 1 HAVING min(start_at) < max(start_at))"
 
 
@@ -126,6 +131,24 @@ def streak(spark, d):
     return op.streaks(v.table(spark, d, "events").select("user_id", F.col("ts").alias("at")), "2024-01-28 12:00:00")
 
 
+@BOOK.query("SELECT user_id, count(*) FILTER (ts::DATE = DATE '2024-01-25') AS today, count(*) AS this_week FROM events WHERE ts::DATE >= DATE '2024-01-22' GROUP BY 1")
+def completed_counts(spark, d):
+    return op.completed_counts(v.table(spark, d, "events").select("user_id", F.col("ts").alias("at")), "2024-01-25 12:00:00")
+
+
+_OPEN = f"SELECT event_id, CASE WHEN thought_id % 11 <> 0 THEN start_at END AS s, end_at AS e, TIMESTAMP '2001-07-01' AS t FROM v_event"
+
+
+@BOOK.query(_E + ", x AS (" + _OPEN + ") " + " UNION ALL ".join(f"SELECT '{n}' AS view, count(*) AS n, count(*) FILTER (s IS NULL) AS undated FROM x WHERE {w}" for n, w in (("past", "s < t"), ("upcoming", "s IS NULL OR e >= t"), ("relevant", "s IS NULL OR e >= t OR s >= t AND s <= t + INTERVAL 7 DAY"), ("all", "true"))))
+def view_ranges(spark, d):
+    items = v.events(spark, d).withColumn("start_at", F.when(F.col("thought_id") % 11 != 0, F.col("start_at")))
+    parts = [op.view_range(items, n, "2001-07-01").agg(F.count("*").alias("n"), F.count_if(F.col("start_at").isNull()).alias("undated")).withColumn("view", F.lit(n)) for n in ("past", "upcoming", "relevant", "all")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @BOOK.query(_E + f"""
 , p AS (SELECT id AS project_id, project_status, TIMESTAMP '2001-08-01' + to_days((id % 90)::INT) AS target_date, CASE WHEN id % 3 = 0 THEN id END AS next_action FROM v_entity)
 , l AS (SELECT DISTINCT entity_id FROM v_mention JOIN v_thought ON id = thought_id WHERE lifecycle = 'open' AND created_at < TIMESTAMP '1995-03-01')
@@ -267,6 +290,30 @@ def merged_projects(spark, d):
     return op.merged_projects(v.mentions(spark, d), merges)
 
 
+@BOOK.query(_E + "SELECT thought_id, CASE WHEN entity_id % 10 = 9 AND entity_id % 3 <> 0 THEN entity_id - 9 ELSE entity_id END AS entity_id, max(salience) AS salience FROM v_mention GROUP BY 1, 2")
+def merged_projects_auto(spark, d):
+    e = v.entities(spark, d)
+    merges = e.where("id % 10 = 9").select(F.col("id").alias("old_id"), (F.col("id") - 9).alias("new_id"))
+    return op.merged_projects(v.mentions(spark, d), merges, e.where("id % 3 = 0").select("id"))
+
+
+@BOOK.query(_E + _SEQ + ", o AS (SELECT * FROM q WHERE lifecycle = 'open') SELECT project_id, thought_id, row_number() OVER (PARTITION BY project_id ORDER BY rank)::INT AS rank FROM o")
+def task_sequence_prune(spark, d):
+    return op.without_completed(sequence(spark, d))
+
+
+@BOOK.query(_E + _SEQ + """
+, m AS (SELECT project_id, max(thought_id) AS moved, CASE WHEN project_id % 3 = 0 THEN 2 END AS r, CASE WHEN project_id % 3 = 1 THEN min(thought_id) END AS a FROM q GROUP BY 1)
+, w AS (SELECT q.project_id, q.thought_id, row_number() OVER (PARTITION BY q.project_id ORDER BY rank) AS i, count(*) OVER (PARTITION BY q.project_id) AS n FROM q JOIN m USING (project_id) WHERE thought_id <> moved)
+, k AS (SELECT m.project_id, moved, CASE WHEN r IS NOT NULL THEN least(coalesce(max(n), 0), r - 1) ELSE coalesce(max(i) FILTER (thought_id = a), max(n), 0) END AS ahead FROM m LEFT JOIN w USING (project_id) GROUP BY m.project_id, moved, r)
+SELECT w.project_id, w.thought_id, (i + CASE WHEN i > ahead THEN 1 ELSE 0 END)::INT AS rank FROM w JOIN k USING (project_id) UNION ALL SELECT project_id, moved, (ahead + 1)::INT FROM k""")
+def task_sequence_reorder(spark, d):
+    s, p = sequence(spark, d), F.col("project_id")
+    ends = s.groupBy("project_id").agg(F.max("thought_id").alias("thought_id"), F.min("thought_id").alias("least"))
+    moves = ends.select("project_id", "thought_id", F.when(p % 3 == 0, 2).alias("to_rank"), F.when(p % 3 == 1, F.col("least")).alias("after_id"))
+    return op.reordered(s.select("project_id", "thought_id", "rank"), moves)
+
+
 @BOOK.query()
 def week_plan(spark, d):
     """Events without a date, every seventh of them here, put between the others of a week."""

@@ -32,6 +32,13 @@ def vector_topk_filtered(spark, d):
     return found.select(F.col("id").alias("vec_id"), F.lit(3).cast("int").alias("label"), F.round("distance", 6).alias("distance"), F.round(vector.similarity(F.col("distance")), 6).alias("similarity"))
 
 
+@BOOK.query(ctes("v_vec") + f"SELECT id, round(list_cosine_distance(vec, {_Q}), 6) AS distance FROM v_vec WHERE id % 9 <> 1 AND label % 4 < 2 ORDER BY list_cosine_distance(vec, {_Q}), id LIMIT 20")
+def open_duplicates(spark, d):
+    status = F.element_at(F.array(*map(F.lit, ("open", "planned", "shipped", "rejected"))), (F.col("label") % 4 + 1).cast("int"))
+    ideas = v.vectors(spark, d).withColumns({"status": status, "hidden": F.col("id") % 9 == 1})
+    return vector.duplicate_candidates(ideas, query_vector(spark, d), 50).withColumn("distance", F.round("distance", 6))
+
+
 _KNN = """, p AS (SELECT a.id, b.id AS other_id, list_cosine_distance(a.vec, b.vec) AS distance FROM v_vec a JOIN v_vec b ON a.id <> b.id {0} WHERE list_cosine_distance(a.vec, b.vec) <= 0.75)
 SELECT id, other_id, round(distance, 6) AS distance, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other_id)::INT AS k FROM p) WHERE k <= {1}"""
 

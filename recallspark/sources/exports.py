@@ -49,13 +49,22 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.schema("id string, label string, kind string").json(f"{path}/nodes"), spark.read.schema("source string, target string, salience double").json(f"{path}/edges")
 
 
-def snapshot(thoughts: DataFrame, entities: DataFrame, most_thoughts: int, most: int) -> DataFrame:
-    """How many rows a snapshot holds, thoughts first, and a revision over its sorted keys.
+def write_manifest(counts: DataFrame, path: str, version: int, at: str, tenant: str) -> DataFrame:
+    """The dump's manifest, one JSON object beside its tables, read back: version, time, tenant and rows of each file."""
+    files = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat("name", F.lit(".csv")), "n")))).alias("files")
+    counts.agg(files).select(F.lit(version).alias("export_version"), F.lit(at).alias("exported_at"), F.lit(tenant).alias("tenant"), "files").coalesce(1).write.json(f"{path}/manifest")
+    return counts.sparkSession.read.schema("export_version int, exported_at string, tenant string, files map<string, long>").json(f"{path}/manifest")
 
-    Vectors stay inside: only their owners' keys leave. The list is no longer than ``most``.
+
+def snapshot(thoughts: DataFrame, entities: DataFrame, most: int = 800) -> DataFrame:
+    """How many rows a snapshot holds, and a revision that changes when one of them does.
+
+    The oldest thoughts come first, entities fill what is left of ``most``. Vectors stay inside: only their
+    owners' keys and times (``id, created_at, updated_at``) leave.
     """
-    key = lambda df, kind: df.select("id", F.lit(kind).alias("kind"))
-    first = key(thoughts, "thought").orderBy("id").limit(most_thoughts)
-    rest = key(entities, "entity").orderBy("id").limit(most - most_thoughts)
-    keys = F.array_sort(F.collect_list(F.concat_ws(":", "kind", F.col("id").cast("string"))))
-    return first.unionByName(rest).agg(F.count("*").alias("n"), F.sha2(F.array_join(keys, "\n"), 256).alias("revision"))
+    stamp = F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("stamp")
+    first = lambda df, kind: df.orderBy("created_at", "id").limit(most).select(F.lit(kind).alias("kind"), "id", "created_at", stamp)
+    both = first(thoughts, "Thought").unionByName(first(entities, "Entity"))
+    kept = both.orderBy(F.col("kind") == "Entity", "created_at", "id").limit(most)
+    keys = F.transform(F.array_sort(F.collect_list(F.struct("kind", F.col("id").cast("string").alias("id"), "stamp"))), lambda r: F.concat_ws(":", r["kind"], r["id"], r["stamp"]))
+    return kept.agg(F.count("*").alias("n"), F.sha2(F.array_join(keys, "\n"), 256).alias("revision"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recallspark.api import Engine
 from recallspark.functions import calendar as c
 from recallspark.functions import text
-from recallspark.operators import agenda, community, fuse, graph, metrics, retrieval, rollups, vector
+from recallspark.operators import agenda, community, fuse, graph, lexical, links, metrics, retrieval, rollups, timeline, vector
 from recallspark.operators.components import components
 from recallspark.operators.places import placed
 from recallspark.plans import evaluation
@@ -262,3 +262,48 @@ def test_components_of_hubs(spark, monkeypatch):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     want = {i: 0 for i in [*range(100), 1000, 2000, 3000, 300]} | {i: 200 for i in range(200, 241)} | {i: 400 for i in range(400, 430)}
     assert got == want
+
+
+def test_moves_in_a_sequence(spark):
+    ranked = spark.createDataFrame([(p, t, i) for p in range(7) for i, t in enumerate("abcd", 1)], "project_id long, thought_id string, rank int")
+    moves = spark.createDataFrame([(0, "d", 2, None), (1, "a", 99, None), (2, "a", -3, None), (3, "a", None, "c"), (4, "b", None, "x"), (5, "new", 1, None), (8, "only", 4, None)], "project_id long, thought_id string, to_rank int, after_id string")
+    got = {}
+    for r in sorted(timeline.reordered(ranked, moves).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["project_id"], []).append((r["rank"], r["thought_id"]))
+    assert all([rank for rank, _ in rows] == list(range(1, len(rows) + 1)) for rows in got.values())
+    assert {k: [t for _, t in rows] for k, rows in got.items()} == {0: list("adbc"), 1: list("bcda"), 2: list("abcd"), 3: list("bcad"), 4: list("acdb"), 5: ["new", *"abcd"], 6: list("abcd"), 8: ["only"]}
+
+
+def test_projects_that_people_made_are_not_merged_away(spark):
+    linked = spark.createDataFrame([(1, 10, 0.5), (1, 20, 0.9), (2, 30, 0.1)], "thought_id long, entity_id long, salience double")
+    merges = spark.createDataFrame([(10, 20), (30, 20), (20, 20)], "old_id long, new_id long")
+    manual = spark.createDataFrame([(30,)], "id long")
+    asked = {tuple(r) for r in timeline.merged_projects(linked, merges).collect()}
+    own = {tuple(r) for r in timeline.merged_projects(linked, merges, manual).collect()}
+    assert asked == {(1, 20, 0.9), (2, 20, 0.1)} and own == {(1, 20, 0.9), (2, 30, 0.1)}
+
+
+def test_views_keep_what_has_no_start(spark):
+    items = spark.createDataFrame([(1, None, None), (2, "2024-01-01", "2024-01-09"), (3, "2024-01-20", None), (4, "2023-12-01", None)], "id int, start_at string, end_at string")
+    items = items.select("id", *[F.col(t).cast("timestamp_ntz").alias(t) for t in ("start_at", "end_at")])
+    view = lambda n: {r["id"] for r in timeline.view_range(items, n, "2024-01-05").collect()}
+    assert (view("past"), view("upcoming"), view("relevant"), view("all")) == ({2, 4}, {1, 2, 3}, {1, 2, 3}, {1, 2, 3, 4})
+
+
+def test_label_hints(spark):
+    texts = spark.createDataFrame([(1, "The Red ring, a RED Ring"), (2, None), (3, "")], "id long, text string")
+    labels = spark.createDataFrame([(7, "red ring", "x"), (5, "Red  Ring", "x"), (6, "ring", "y"), (8, "rin", "y"), (9, "a", "y"), (4, None, "x"), (3, "red ring", "z")], "id long, label string, entity_type string")
+    assert [tuple(r) for r in lexical.label_hints(texts, labels).orderBy("place").collect()] == [(1, 3, 1), (1, 5, 2), (1, 6, 3)]
+    assert lexical.label_hints(texts, labels.limit(0)).collect() == []
+
+
+def test_kinds_go_with_their_relations(spark):
+    kinds = spark.createDataFrame([("a", False), ("b", False), ("c", True)], "kind string, protected boolean")
+    relations = spark.createDataFrame([("a", "c"), ("a", "b"), ("b", "c"), (None, "c")], "from_kind string, to_kind string")
+    kept, between = links.pruned_ontology(kinds, spark.createDataFrame([("a",)], "entity_type string"), relations)
+    assert {r["kind"] for r in kept.collect()} == {"a", "c"} and {(r["from_kind"], r["to_kind"]) for r in between.collect()} == {("a", "c"), (None, "c")}
+
+
+def test_finished_today_and_this_week(spark):
+    done = spark.createDataFrame([(1, "2024-01-22 00:00:00"), (1, "2024-01-28 23:00:00"), (1, "2024-01-21 23:59:59"), (2, "2024-01-01 00:00:00"), (2, None)], "user_id long, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    assert [tuple(r) for r in timeline.completed_counts(done, "2024-01-28 12:00:00").collect()] == [(1, 1, 2)]
