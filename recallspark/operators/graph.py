@@ -148,6 +148,22 @@ def snapshot(mentions: DataFrame, relations: DataFrame, most_nodes: int, most_ed
     return among(drawn, nodes).orderBy(F.desc("weight"), "a", "b", "kind").limit(most_edges)
 
 
+def drawing(entities: DataFrame, mentions: DataFrame, relations: DataFrame, most_nodes: int = 400, most_edges: int = 800) -> tuple[DataFrame, DataFrame]:
+    """A graph to draw: nodes (``id, label, subtype, project_status``) and edges (``a, b, relation, kind``).
+
+    The first entities, the heaviest co-mentions and the first relations are taken, each up to its bound;
+    ends of edges that are not among the nodes are added. Loops go, and edges to what is no entity.
+    """
+    node = entities.select("id", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("entity_type", F.lit("other")).alias("subtype"), "project_status")
+    said = F.when(F.col("weight") > 1, F.concat(F.lit("co_mentioned ("), F.col("weight").cast("string"), F.lit(")"))).otherwise("co_mentioned")
+    together = comentions(mentions).orderBy(F.desc("weight"), "a", "b").limit(most_edges).select("a", "b", said.alias("relation"), F.lit("co_mention").alias("kind"))
+    stated = relations.select("a", "b", F.coalesce("predicate", F.lit("related_to")).alias("relation")).orderBy("a", "b", "relation").limit(most_edges)
+    edges = among(together.unionByName(stated.withColumn("kind", F.lit("entity_relation"))), entities.select("id"))
+    shown = node.orderBy("id").limit(most_nodes).select("id")
+    wanted = shown.unionByName(edges.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    return node.join(wanted, "id", "left_semi"), edges
+
+
 def hull(points: DataFrame, group: str, padding: float = 28.0) -> DataFrame:
     """A circle around each group's points: their mean, and the largest distance from it plus a margin."""
     mean = points.groupBy(group).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
@@ -165,6 +181,18 @@ def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def fixture_map(mapped: DataFrame, runs: DataFrame, thoughts: DataFrame) -> DataFrame:
+    """Where each fixture was last put: the thought of its newest run, if it is still there and the run's user's own.
+
+    ``mapped`` has ``fixture_id, run_id, thought_id``, ``runs`` ``run_id, eval_user, created_at``, ``thoughts``
+    ``id, user_id``. Of runs of one time the greater id wins.
+    """
+    rows = mapped.where("fixture_id is not null").join(runs, "run_id")
+    rows = rows.join(thoughts.select(F.col("id").alias("thought_id"), F.col("user_id").alias("eval_user")), ["thought_id", "eval_user"], "left_semi")
+    newest = rows.groupBy("fixture_id").agg(F.max_by(F.struct("thought_id", "run_id"), F.struct("created_at", "run_id", -F.col("thought_id"))).alias("m"))
+    return newest.select("fixture_id", F.col("m.thought_id").alias("thought_id"), F.col("m.run_id").alias("source_run_id"))
+
+
 def contradictions(relations: DataFrame, ids: DataFrame) -> DataFrame:
     """Relations of kind ``contradicts`` both whose ends are in a result set (``id``)."""
     keep = lambda df, c: df.join(ids.select(F.col("id").alias("_id")), F.col(c) == F.col("_id"), "left_semi")

@@ -86,12 +86,20 @@ def solve_duration(events: DataFrame) -> DataFrame:
 
 
 def solve_count(events: DataFrame, anchors: DataFrame) -> DataFrame:
-    """How many other thoughts of the user have an event before the anchor's (``user_id, thought_id, start_at``)."""
-    first = events.groupBy("user_id", "thought_id").agg(F.min("start_at").alias("start_at"))
-    a = anchors.select("user_id", F.col("thought_id").alias("anchor"), F.col("start_at").alias("anchor_at"))
-    joined = first.join(a, "user_id").where((F.col("thought_id") != F.col("anchor")) & (F.col("start_at") < F.col("anchor_at")))
-    counted = joined.groupBy("user_id", "anchor").agg(F.count("*").alias("before"))
-    return a.join(counted, ["user_id", "anchor"], "left").select("user_id", "anchor", F.coalesce("before", F.lit(0).cast("long")).alias("before"))
+    """How many other thoughts of the user have an event before the anchor's (``user_id, thought_id, start_at``).
+
+    Thoughts' first events and anchors stand on one line a user, which a running count walks once; the anchor's
+    own thought is taken off where its first event is earlier. An anchor without a time has none before it.
+    """
+    first = events.groupBy("user_id", "thought_id").agg(F.min("start_at").alias("at")).where("at is not null")
+    told = anchors.select("user_id", F.col("start_at").alias("at"), F.col("thought_id").alias("anchor"), F.lit(0).cast("long").alias("n"))
+    line = told.unionByName(first.select("user_id", "at", F.col("thought_id").alias("anchor"), F.lit(1).cast("long").alias("n")))
+    # At one time anchors come first, so that only what is earlier counts.
+    running = F.sum("n").over(Window.partitionBy("user_id").orderBy("at", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = line.withColumn("before", running).where("n = 0")
+    own = first.select("user_id", F.col("thought_id").alias("anchor"), F.col("at").alias("own_at"))
+    itself = F.coalesce((F.col("own_at") < F.col("at")).cast("long"), F.lit(0).cast("long"))
+    return counted.join(own, ["user_id", "anchor"], "left").select("user_id", "anchor", (F.col("before") - itself).alias("before"))
 
 
 def solve_lookback(events: DataFrame, now: str) -> DataFrame:
@@ -159,6 +167,82 @@ def pattern_mix(thoughts: DataFrame, now: str, days: int = 21) -> DataFrame:
     return rows.groupBy(F.to_date("created_at").alias("day"), "category").agg(F.count("*").alias("n"))
 
 
+def pattern_activity(thoughts: DataFrame, members: DataFrame, names: DataFrame, today: str, days: int = 21) -> DataFrame:
+    """How many thoughts of the last days, today's included, fall on each day, category and community.
+
+    ``members`` has ``thought_id, community_id``, ``names`` ``community_id, name``; communities without a name are
+    left out, those of one name add up. Places within a kind are by count, then key; days stand in their order.
+    """
+    rows = thoughts.where(F.to_date("created_at") >= F.date_sub(F.to_date(c.at(today)), days - 1))
+    named = rows.select(F.col("id").alias("thought_id")).join(members, "thought_id").join(names, "community_id")
+    keys = {"day": (rows, F.to_date("created_at").cast("string")), "category": (rows, F.col("category")), "community": (named, F.col("name"))}
+    counts = [df.groupBy(key.alias("key")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "key", "n") for kind, (df, key) in keys.items()]
+    every = counts[0].unionByName(counts[1]).unionByName(counts[2])
+    first = F.when(F.col("kind") == "day", 0).otherwise(-F.col("n"))
+    return every.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(first, "key")))
+
+
+def project_digest(links: DataFrame, thoughts: DataFrame, events: DataFrame, milestones: DataFrame, since: str, now: str, top: int = 3) -> DataFrame:
+    """What moved in each project since a time, and whether it is among its owner's most active.
+
+    ``links`` (``entity_id, thought_id, user_id, linked_at``) are memberships. New are thoughts linked since then,
+    open or completed; done are tasks completed since; overdue are open tasks with an event whose start or end
+    has passed. Milestones made since are added, those only touched since are changed. The order is by new
+    and done together, then overdue, then id; projects where nothing moved have no row.
+    """
+    at, clock = c.at(since), c.at(now)
+    rows = links.join(thoughts.select(F.col("id").alias("thought_id"), "category", "lifecycle", "completed_at"), "thought_id")
+    late = events.where((F.col("end_at") < clock) | (F.col("start_at") < clock)).select("thought_id").distinct().withColumn("late", F.lit(True))
+    task = F.col("category") == "task"
+    marks = {
+        "new_thoughts": (F.col("linked_at") >= at) & F.col("lifecycle").isin("open", "completed"),
+        "tasks_done": task & (F.col("lifecycle") == "completed") & (F.col("completed_at") >= at),
+        "overdue_tasks": task & (F.col("lifecycle") == "open") & F.col("late"),
+    }
+    # A thought that is linked to a project more than once is counted once.
+    one = rows.join(late, "thought_id", "left").groupBy("user_id", "entity_id", "thought_id").agg(*[F.max(F.coalesce(x, F.lit(False)).cast("int")).alias(n) for n, x in marks.items()])
+    counts = one.groupBy("user_id", "entity_id").agg(*[F.sum(n).alias(n) for n in marks])
+    added = F.coalesce(F.col("created_at") >= at, F.lit(False))
+    steps = milestones.where(added | (F.col("updated_at") >= at)).groupBy("user_id", "entity_id").agg(F.count_if(added).alias("milestones_added"), F.count_if(~added).alias("milestones_changed"))
+    names = [*marks, "milestones_added", "milestones_changed"]
+    busy = counts.join(steps, ["user_id", "entity_id"], "full").na.fill(0, names).where(" + ".join(names) + " > 0")
+    score = F.col("new_thoughts") + F.col("tasks_done")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(score.desc(), F.desc("overdue_tasks"), "entity_id"))
+    return busy.withColumn("place", place).withColumn("top", (F.col("place") <= top) & (score > 0))
+
+
+def next_action_changes(projects: DataFrame, before: DataFrame) -> DataFrame:
+    """Projects (``user_id, entity_id, next_action``) whose next action is not what the last digest recorded.
+
+    Projects that it did not record are not compared; a next action that came or went is a change.
+    """
+    old = before.select("user_id", "entity_id", F.col("next_action").alias("was"))
+    rows = projects.select("user_id", "entity_id", F.col("next_action").alias("now")).join(old, ["user_id", "entity_id"])
+    return rows.where(~F.col("was").eqNullSafe(F.col("now")))
+
+
+def catalog(projects: DataFrame, links: DataFrame, thoughts: DataFrame, milestones: DataFrame, now: str, scope: str = "all") -> DataFrame:
+    """Projects with open tasks, milestones and why they stand still; ``sort_rank``, then label, is their order.
+
+    ``projects`` has ``id, label, project_status, project_source, layer, target_date, next_action``, ``thoughts``
+    ``id, category, lifecycle, layer``. Scope ``all`` shows each; ``user`` those that people made or grounded, or
+    with a thought of the user; any other scope is an author's layer: those it made or has a thought in.
+    """
+    if scope != "all":
+        by = thoughts.where(F.col("layer") == scope).select(F.col("id").alias("thought_id"))
+        touched = links.join(by, "thought_id", "left_semi").select(F.col("entity_id").alias("id")).distinct().withColumn("touched", F.lit(True))
+        made = F.coalesce("project_source", F.lit("capture")).isin("manual", "grounding") if scope == "user" else F.coalesce(F.col("layer") == scope, F.lit(False))
+        projects = projects.join(touched, "id", "left").where(made | F.col("touched")).drop("touched")
+    tasks = thoughts.where("category = 'task' and lifecycle = 'open'").select(F.col("id").alias("thought_id"))
+    counted = links.select("thought_id", "entity_id").distinct().join(tasks, "thought_id", "left_semi").groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("open_tasks"))
+    steps = milestones.groupBy(F.col("project_id").alias("id")).agg(F.count("*").alias("milestones"), F.count_if(F.col("completed_at").isNotNull()).alias("milestones_done"))
+    why = stalled(projects.withColumnRenamed("id", "project_id"), milestones, now).select(F.col("project_id").alias("id"), "reason")
+    rows = projects.join(counted, "id", "left").join(steps, "id", "left").join(why, "id", "left").na.fill(0, ["open_tasks", "milestones", "milestones_done"])
+    active = F.col("project_status") == "active"
+    rank = F.when(active & F.col("next_action").isNull(), 0).when(active, 1).when(F.col("project_status") == "someday", 2).otherwise(3)
+    return rows.select("id", "label", "project_status", "open_tasks", "milestones", "milestones_done", F.col("reason").alias("stalled"), rank.alias("sort_rank"))
+
+
 def now_candidates(thoughts: DataFrame, events: DataFrame, skipped: DataFrame, limit: int) -> DataFrame:
     """Open tasks with their first event and the count of all of them beside the cut list."""
     first = events.groupBy("thought_id").agg(F.min("start_at").alias("first_event"))

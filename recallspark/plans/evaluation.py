@@ -54,6 +54,22 @@ def latest_mapping(spark, d):
     return graph.latest(rows, ["user_id"], F.desc("ts"), F.desc("event_id")).select(F.col("user_id").alias("fixture"), "event_id", F.col("ts").alias("mapped_at"))
 
 
+_FIXTURES = ctes("v_thought") + """, m AS (SELECT k AS fixture_id, event_id % 40 AS run_id, event_id % (SELECT count(*) FROM orders) AS thought_id FROM (SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events))
+, r AS (SELECT run_id, run_id % 3 AS eval_user, max(ts) AS created_at FROM (SELECT event_id % 40 AS run_id, ts FROM events) GROUP BY 1, 2)
+, j AS (SELECT fixture_id, thought_id, run_id AS source_run_id, row_number() OVER (PARTITION BY fixture_id ORDER BY r.created_at DESC, run_id DESC, thought_id) AS n FROM m JOIN r USING (run_id) JOIN v_thought t ON t.id = thought_id AND t.user_id % 3 = eval_user WHERE eval_user = 1)
+SELECT fixture_id, thought_id, source_run_id FROM j WHERE n = 1"""
+
+
+@BOOK.query(_FIXTURES)
+def fixture_map(spark, d):
+    e, n = v.events_k(spark, d), v.table(spark, d, "orders").count()
+    run = F.col("event_id") % 40
+    made = e.select(F.col("k").alias("fixture_id"), run.alias("run_id"), (F.col("event_id") % n).alias("thought_id"))
+    runs = e.groupBy(run.alias("run_id")).agg(F.max("ts").alias("created_at")).withColumn("eval_user", F.col("run_id") % 3)
+    thoughts = v.thoughts(spark, d).select("id", (F.col("user_id") % 3).alias("user_id"))
+    return graph.fixture_map(made, runs.where("eval_user = 1"), thoughts)
+
+
 def tenant_graph(spark, d):
     """Co-mentions by tenant: an order's customer."""
     owner = v.thoughts(spark, d).select(F.col("id").alias("thought_id"), F.col("user_id").alias("tenant"))
@@ -132,6 +148,12 @@ def graph_export(spark, d):
     return counted(nodes, "entity").unionByName(counted(edges, "mention"))
 
 
+@BOOK.query(ctes("v_event", "v_mention") + "SELECT 't' || thought_id AS source, 'v' || event_id AS target, 'occurs_in' AS kind FROM v_event UNION ALL SELECT DISTINCT 'v' || event_id, 'e' || entity_id, 'involves' FROM v_event JOIN v_mention USING (thought_id)")
+def graph_event_edges(spark, d):
+    path = exports.write_graph(v.entities(spark, d), v.mentions(spark, d), new_folder(spark, "graph"), v.events(spark, d))
+    return exports.read_event_edges(spark, path)
+
+
 @BOOK.query("SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part")
 def table_export(spark, d):
     return exports.write_tables({n: v.table(spark, d, n) for n in ("customer", "orders", "part")}, new_folder(spark, "dump"))

@@ -152,6 +152,22 @@ def graph_snapshot(spark, d):
     return op.snapshot(v.mentions(spark, d), stated(spark, d), 400, 800)
 
 
+_DRAWN = """
+, c AS (SELECT a, b, CASE WHEN weight > 1 THEN 'co_mentioned (' || weight || ')' ELSE 'co_mentioned' END AS relation, 'co_mention' AS kind FROM (SELECT * FROM v_edge ORDER BY weight DESC, a, b LIMIT 800))
+, r AS (SELECT a, b, predicate AS relation, 'entity_relation' AS kind FROM stated ORDER BY a, b, predicate LIMIT 800)
+, e AS (SELECT * FROM (SELECT * FROM c UNION ALL SELECT * FROM r) WHERE a <> b AND a IN (SELECT id FROM v_entity) AND b IN (SELECT id FROM v_entity))"""
+
+
+@BOOK.query(_M + _EDGE + _STATED + _DRAWN + " SELECT * FROM e")
+def drawn_edges(spark, d):
+    return op.drawing(v.entities(spark, d), v.mentions(spark, d), stated(spark, d))[1]
+
+
+@BOOK.query(_M + _EDGE + _STATED + _DRAWN + ", w AS (SELECT id FROM (SELECT id FROM v_entity ORDER BY id LIMIT 400) UNION SELECT a FROM e UNION SELECT b FROM e) SELECT id, label, entity_type AS subtype, project_status FROM v_entity WHERE id IN (SELECT id FROM w)")
+def drawn_nodes(spark, d):
+    return op.drawing(v.entities(spark, d), v.mentions(spark, d), stated(spark, d))[0]
+
+
 @BOOK.query("WITH p AS (SELECT floor(p_retailprice / 25)::BIGINT || ':' || floor(p_size / 10)::BIGINT AS cell, p_retailprice AS x, p_size::DOUBLE AS y FROM part), m AS (SELECT cell, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY 1) SELECT cell, round(cx, 6) AS cx, round(cy, 6) AS cy, round(max(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))), 6) AS radius, count(*) AS n FROM p JOIN m USING (cell) GROUP BY cell, cx, cy")
 def grid_clusters(spark, d):
     points = v.table(spark, d, "part").select((F.col("p_retailprice") / 2.5).alias("x0"), F.col("p_retailprice").alias("x"), F.col("p_size").cast("double").alias("y"))

@@ -180,6 +180,66 @@ def pattern_mix(spark, d):
     return op.pattern_mix(v.thoughts(spark, d), "2001-08-01 00:00:00").withColumn("day", F.col("day").cast("string"))
 
 
+@BOOK.query(ctes("v_thought", "v_mention", "v_entity") + """
+, w AS (SELECT * FROM v_thought WHERE created_at::DATE >= DATE '2001-07-11'), m AS (SELECT DISTINCT thought_id, l2 FROM v_mention JOIN v_entity e ON e.id = entity_id), c AS (SELECT DISTINCT l2, l1 FROM v_entity WHERE length(l2) % 2 = 0)
+, k AS (SELECT 'day' AS kind, created_at::DATE::VARCHAR AS key, count(*) AS n FROM w GROUP BY 2 UNION ALL SELECT 'category', category, count(*) FROM w GROUP BY 2 UNION ALL SELECT 'community', l1, count(*) FROM w JOIN m ON thought_id = w.id JOIN c USING (l2) GROUP BY 2)
+SELECT *, row_number() OVER (PARTITION BY kind ORDER BY CASE kind WHEN 'day' THEN 0 ELSE -n END, key)::INT AS place FROM k""")
+def pattern_activity(spark, d):
+    e = v.entities(spark, d)
+    members = v.mentions(spark, d).join(e, F.col("entity_id") == F.col("id")).select("thought_id", F.col("l2").alias("community_id")).distinct()
+    names = e.where(F.length("l2") % 2 == 0).select(F.col("l2").alias("community_id"), F.col("l1").alias("name")).distinct()
+    return op.pattern_activity(v.thoughts(spark, d), members, names, "2001-07-31")
+
+
+_SINCE, _THEN = "TIMESTAMP '2000-01-01'", "TIMESTAMP '2000-02-01'"
+
+
+@BOOK.query(_E + f""", l AS (SELECT entity_id, thought_id, user_id, created_at AS linked_at, category, lifecycle, created_at + INTERVAL 30 DAY AS completed_at FROM v_mention JOIN v_thought ON id = thought_id WHERE source = 'manual')
+, e AS (SELECT DISTINCT thought_id FROM v_event WHERE end_at < {_THEN} OR start_at < {_THEN})
+, n AS (SELECT user_id, entity_id, count(*) FILTER (linked_at >= {_SINCE} AND lifecycle IN ('open', 'completed')) AS new_thoughts, count(*) FILTER (category = 'task' AND lifecycle = 'completed' AND completed_at >= {_SINCE}) AS tasks_done, count(*) FILTER (category = 'task' AND lifecycle = 'open' AND thought_id IN (FROM e)) AS overdue_tasks FROM l GROUP BY 1, 2)
+, m AS (SELECT user_id, entity_id, count(*) FILTER (created_at >= {_SINCE}) AS milestones_added, count(*) FILTER (created_at < {_SINCE}) AS milestones_changed FROM v_mention JOIN v_thought ON id = thought_id WHERE source = 'ingest' AND entity_id % 7 = 0 AND created_at + INTERVAL 20 DAY >= {_SINCE} GROUP BY 1, 2)
+, a AS (SELECT user_id, entity_id, coalesce(new_thoughts, 0) AS new_thoughts, coalesce(tasks_done, 0) AS tasks_done, coalesce(overdue_tasks, 0) AS overdue_tasks, coalesce(milestones_added, 0) AS milestones_added, coalesce(milestones_changed, 0) AS milestones_changed FROM n FULL JOIN m USING (user_id, entity_id))
+, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY new_thoughts + tasks_done DESC, overdue_tasks DESC, entity_id)::INT AS place FROM a WHERE new_thoughts + tasks_done + overdue_tasks + milestones_added + milestones_changed > 0)
+SELECT *, place <= 3 AND new_thoughts + tasks_done > 0 AS top FROM r""")
+def project_digest(spark, d):
+    t = v.thoughts(spark, d).withColumn("completed_at", c.plus_days(F.col("created_at"), 30))
+    owned = v.mentions(spark, d).drop("salience").join(t.select(F.col("id").alias("thought_id"), "user_id", "created_at"), "thought_id")
+    links = owned.where("source = 'manual'").select("entity_id", "thought_id", "user_id", F.col("created_at").alias("linked_at"))
+    stones = owned.where("source = 'ingest' and entity_id % 7 = 0").select("user_id", "entity_id", "created_at", c.plus_days(F.col("created_at"), 20).alias("updated_at"))
+    return op.project_digest(links, t, v.events(spark, d), stones, "2000-01-01", "2000-02-01")
+
+
+@BOOK.query(_E + """, p AS (SELECT id AS entity_id, id % 50 AS user_id, CASE WHEN id % 3 <> 0 THEN 'a' || (id % 7) END AS now, CASE WHEN id % 4 <> 0 THEN 'a' || (id % 14) END AS was FROM v_entity WHERE project_status = 'active' AND id % 5 <> 0)
+SELECT * FROM p WHERE now IS DISTINCT FROM was""")
+def next_action_changes(spark, d):
+    k = F.col("id")
+    said = lambda n, of: F.when(k % n != 0, F.concat(F.lit("a"), (k % of).cast("string"))).alias("next_action")
+    active = v.entities(spark, d).where("project_status = 'active'")
+    one = lambda rows, next_action: rows.select(k.alias("entity_id"), (k % 50).alias("user_id"), next_action)
+    return op.next_action_changes(one(active, said(3, 7)), one(active.where("id % 5 <> 0"), said(4, 14)))
+
+
+_LAYER = "CASE WHEN {0} % 3 = 0 THEN 'user' ELSE 'apikey:' || ({0} % 3) END AS layer"
+
+
+@BOOK.query(_E + f"""
+, p AS (SELECT id, label, project_status, CASE id % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'grounding' END AS project_source, {_LAYER.format("id")}, TIMESTAMP '2001-08-01' + to_days((id % 90)::INT) AS target_date, CASE WHEN id % 5 = 0 THEN id END AS next_action FROM v_entity WHERE project_status IS NOT NULL)
+, t AS (SELECT id, category, lifecycle, created_at, {_LAYER.format("user_id")} FROM v_thought), l AS (SELECT thought_id, entity_id FROM v_mention WHERE source = 'manual'), x AS (SELECT DISTINCT entity_id AS id, layer FROM l JOIN t ON t.id = thought_id)
+, o AS (SELECT entity_id AS id, count(*) AS open_tasks FROM l JOIN t ON t.id = thought_id WHERE category = 'task' AND lifecycle = 'open' GROUP BY 1)
+, g AS (SELECT entity_id AS id, count(*) AS milestones, count(*) FILTER (lifecycle = 'completed') AS milestones_done, count(*) FILTER (lifecycle <> 'completed' AND created_at < {_NOW}) AS late FROM v_mention JOIN t ON t.id = thought_id WHERE created_at < TIMESTAMP '1995-03-01' GROUP BY 1)
+, s AS (SELECT 'all' AS scope, * FROM p UNION ALL SELECT 'user', * FROM p WHERE project_source IS NOT NULL OR id IN (SELECT id FROM x WHERE layer = 'user') UNION ALL SELECT 'apikey:1', * FROM p WHERE layer = 'apikey:1' OR id IN (SELECT id FROM x WHERE layer = 'apikey:1'))
+SELECT scope, s.id, label, project_status, coalesce(open_tasks, 0) AS open_tasks, coalesce(milestones, 0) AS milestones, coalesce(milestones_done, 0) AS milestones_done, CASE WHEN project_status <> 'active' THEN NULL WHEN target_date < {_NOW} THEN 'deadline' WHEN late > 0 THEN 'milestone' WHEN next_action IS NULL THEN 'no_next_action' END AS stalled
+, CASE WHEN project_status = 'active' AND next_action IS NULL THEN 0 WHEN project_status = 'active' THEN 1 WHEN project_status = 'someday' THEN 2 ELSE 3 END AS sort_rank FROM s LEFT JOIN o USING (id) LEFT JOIN g USING (id)""")
+def catalog_scopes(spark, d):
+    layer = lambda n: F.when(F.col(n) % 3 == 0, "user").otherwise(F.concat(F.lit("apikey:"), (F.col(n) % 3).cast("string")))
+    k, t = F.col("id"), v.thoughts(spark, d).withColumn("layer", layer("user_id"))
+    projects = v.entities(spark, d).where("project_status is not null").select("id", "label", "project_status", F.when(k % 4 == 0, "manual").when(k % 4 == 1, "grounding").alias("project_source"), layer("id").alias("layer"), c.plus_days(c.at("2001-08-01"), k % 90).alias("target_date"), F.when(k % 5 == 0, k).alias("next_action"))
+    m, early = v.mentions(spark, d), t.where(F.col("created_at") < c.at("1995-03-01"))
+    stones = m.join(early, F.col("thought_id") == k).select(F.col("entity_id").alias("project_id"), F.col("created_at").alias("target_date"), F.when(F.col("lifecycle") == "completed", F.col("created_at")).alias("completed_at"))
+    parts = [op.catalog(projects, m.where("source = 'manual'"), t, stones, ORDER_NOW, scope).withColumn("scope", F.lit(scope)) for scope in ("all", "user", "apikey:1")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @BOOK.query(_E + """, t AS (SELECT * FROM v_thought WHERE category = 'task' AND lifecycle = 'open' AND id % 9 <> 0), f AS (SELECT thought_id, min(start_at) AS first_event FROM v_event GROUP BY 1)
 SELECT id, salience, first_event, (SELECT count(*) FROM t) AS total FROM t LEFT JOIN f ON thought_id = id ORDER BY salience DESC, id LIMIT 40""")
 def now_candidates(spark, d):

@@ -38,10 +38,20 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> DataFrame:
     return counts
 
 
-def write_graph(entities: DataFrame, mentions: DataFrame, path: str) -> str:
-    """Nodes and edges as JSON lines."""
-    entities.select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("id"), "label", F.lit("entity").alias("kind")).write.json(f"{path}/nodes")
-    mentions.select(F.concat(F.lit("t"), F.col("thought_id").cast("string")).alias("source"), F.concat(F.lit("e"), F.col("entity_id").cast("string")).alias("target"), "salience").write.json(f"{path}/edges")
+def write_graph(entities: DataFrame, mentions: DataFrame, path: str, events: DataFrame | None = None) -> str:
+    """Nodes and edges as JSON lines.
+
+    Given events (``event_id, thought_id``) there are two more sets: ``occurs_in`` from thoughts to their events,
+    ``involves`` from events to the entities of their thought, each edge once and none with an end missing.
+    """
+    entity, thought, event = (F.concat(F.lit(p), F.col(k).cast("string")) for p, k in (("e", "entity_id"), ("t", "thought_id"), ("v", "event_id")))
+    entities.withColumn("entity_id", F.col("id")).select(entity.alias("id"), "label", F.lit("entity").alias("kind")).write.json(f"{path}/nodes")
+    mentions.select(thought.alias("source"), entity.alias("target"), "salience").write.json(f"{path}/edges")
+    if events is not None:
+        own = events.select("event_id", "thought_id").where("event_id is not null and thought_id is not null").distinct()
+        own.select(thought.alias("source"), event.alias("target")).write.json(f"{path}/occurs_in")
+        involved = own.join(mentions.select("thought_id", "entity_id").where("entity_id is not null"), "thought_id")
+        involved.select(event.alias("source"), entity.alias("target")).distinct().write.json(f"{path}/involves")
     return path
 
 
@@ -49,6 +59,12 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.schema("id string, label string, kind string").json(f"{path}/nodes"), spark.read.schema("source string, target string, salience double").json(f"{path}/edges")
 
 
+def read_event_edges(spark: SparkSession, path: str) -> DataFrame:
+    """``source, target, kind`` of both sets of event edges."""
+    one = lambda kind: spark.read.schema("source string, target string").json(f"{path}/{kind}").withColumn("kind", F.lit(kind))
+    return one("occurs_in").unionByName(one("involves"))
+
+
 def write_manifest(counts: DataFrame, path: str, version: int, at: str, tenant: str) -> DataFrame:
     """The dump's manifest, one JSON object beside its tables, read back: version, time, tenant and rows of each file."""
     files = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat("name", F.lit(".csv")), "n")))).alias("files")

@@ -12,6 +12,7 @@ from recallspark.operators import agenda, community, fuse, graph, lexical, links
 from recallspark.operators.components import components
 from recallspark.operators.places import placed
 from recallspark.plans import evaluation
+from recallspark.sources import exports
 from recallspark.sources.tables import fixtures
 
 
@@ -307,3 +308,72 @@ def test_kinds_go_with_their_relations(spark):
 def test_finished_today_and_this_week(spark):
     done = spark.createDataFrame([(1, "2024-01-22 00:00:00"), (1, "2024-01-28 23:00:00"), (1, "2024-01-21 23:59:59"), (2, "2024-01-01 00:00:00"), (2, None)], "user_id long, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
     assert [tuple(r) for r in timeline.completed_counts(done, "2024-01-28 12:00:00").collect()] == [(1, 1, 2)]
+
+
+def test_graph_to_draw(spark):
+    entities = spark.createDataFrame([(1, "a", "x", None), (2, None, None, "active"), (3, "c", "y", None), (4, "d", "y", None)], "id long, label string, entity_type string, project_status string")
+    mentions = spark.createDataFrame([(10, 1), (10, 2), (11, 1), (11, 2), (12, 2), (12, 9)], "thought_id long, entity_id long")
+    relations = spark.createDataFrame([(3, 3, "is"), (4, 1, None), (1, 77, "is"), (None, 1, "is")], "a long, b long, predicate string")
+    nodes, edges = graph.drawing(entities, mentions, relations, most_nodes=1)
+    assert {tuple(r) for r in edges.collect()} == {(1, 2, "co_mentioned (2)", "co_mention"), (4, 1, "related_to", "entity_relation")}
+    assert {(r["id"], r["label"], r["subtype"]) for r in nodes.collect()} == {(1, "a", "x"), (2, "", "other"), (4, "d", "y")}
+    nodes, edges = graph.drawing(entities.limit(0), mentions, relations)
+    assert nodes.collect() == [] and edges.collect() == []
+
+
+def test_newest_place_of_fixtures(spark):
+    mapped = spark.createDataFrame([("f", 1, 10), ("f", 2, 11), ("f", 3, 12), ("g", 2, 99), ("h", 2, 10), ("h", 4, 10), (None, 2, 10)], "fixture_id string, run_id long, thought_id long")
+    runs = spark.createDataFrame([(1, "u", "2024-01-01"), (2, "u", "2024-01-02"), (3, "v", "2024-01-03"), (4, "u", "2024-01-02")], "run_id long, eval_user string, created_at string")
+    thoughts = spark.createDataFrame([(10, "u"), (11, "u"), (12, "u")], "id long, user_id string")
+    assert {tuple(r) for r in graph.fixture_map(mapped, runs, thoughts).collect()} == {("f", 11, 2), ("h", 10, 4)}
+
+
+def test_event_edges_leave_no_end_open(spark, tmp_path):
+    entities = spark.createDataFrame([(1, "a")], "id long, label string")
+    mentions = spark.createDataFrame([(10, 1, 0.5), (10, 1, 0.7), (11, None, 0.1)], "thought_id long, entity_id long, salience double")
+    events = spark.createDataFrame([("x", 10), ("x", 10), ("y", 11), (None, 10), ("z", None)], "event_id string, thought_id long")
+    path = exports.write_graph(entities, mentions, str(tmp_path / "g"), events)
+    got = sorted(tuple(r) for r in exports.read_event_edges(spark, path).collect())
+    assert got == [("t10", "vx", "occurs_in"), ("t11", "vy", "occurs_in"), ("vx", "e1", "involves")]
+
+
+def test_count_before_an_anchor_is_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(r.randrange(3), r.randrange(12), r.choice([None, *range(6)])) for _ in range(120)]
+    told = [(u, t, r.choice([None, *range(6)])) for u in range(4) for t in range(0, 14, 2)]
+    made = lambda x: spark.createDataFrame(x, "user_id long, thought_id long, day int").select("user_id", "thought_id", F.date_add(F.lit("2024-01-01"), F.col("day")).cast("timestamp_ntz").alias("start_at"))
+    first = {}
+    for u, t, day in rows:
+        if day is not None:
+            first[u, t] = min(day, first.get((u, t), 99))
+    want = sorted((u, t, sum(x == u and y != t and at is not None and d < at for (x, y), d in first.items())) for u, t, at in told)
+    assert sorted(tuple(x) for x in timeline.solve_count(made(rows), made(told)).collect()) == want
+
+
+def test_catalogue_by_scope(spark):
+    at = lambda t: F.col(t).cast("timestamp_ntz").alias(t)
+    projects = spark.createDataFrame([(1, "b", "active", "manual", "key", None, None), (2, "a", "active", None, "user", "2024-01-01", 5), (3, "c", "someday", None, "key", None, None), (4, None, None, None, None, None, None)], "id long, label string, project_status string, project_source string, layer string, target_date string, next_action long")
+    projects = projects.select("id", "label", "project_status", "project_source", "layer", at("target_date"), "next_action")
+    linked = spark.createDataFrame([(10, 2), (10, 2), (11, 3), (12, 1)], "thought_id long, entity_id long")
+    thoughts = spark.createDataFrame([(10, "task", "open", "user"), (11, "task", "completed", "other"), (12, "note", "open", None)], "id long, category string, lifecycle string, layer string")
+    stones = spark.createDataFrame([(1, "2024-01-01", None), (1, "2024-01-01", "2024-01-01"), (9, None, None)], "project_id long, target_date string, completed_at string").select("project_id", at("target_date"), at("completed_at"))
+    shown = lambda scope: {r["id"]: tuple(r)[3:] for r in timeline.catalog(projects, linked, thoughts, stones, "2024-02-01", scope).collect()}
+    every = {1: (0, 2, 1, "milestone", 0), 2: (1, 0, 0, "deadline", 1), 3: (0, 0, 0, None, 2), 4: (0, 0, 0, None, 3)}
+    assert shown("all") == every
+    assert shown("user") == {k: every[k] for k in (1, 2)}
+    assert shown("key") == {k: every[k] for k in (1, 3)} and set(shown("other")) == {3} and shown("none") == {}
+
+
+def test_digest_of_projects(spark):
+    at = lambda *names: [F.col(t).cast("timestamp_ntz").alias(t) for t in names]
+    linked = spark.createDataFrame([(1, 10, 7, "2024-01-05"), (1, 10, 7, "2024-01-06"), (1, 11, 7, "2023-01-01"), (2, 12, 7, "2023-01-01"), (3, 13, 7, None), (1, 14, 7, "2024-01-05")], "entity_id long, thought_id long, user_id long, linked_at string").select("entity_id", "thought_id", "user_id", *at("linked_at"))
+    thoughts = spark.createDataFrame([(10, "note", "open", None), (11, "task", "completed", "2024-01-03"), (12, "task", "open", None), (13, "task", "open", None), (14, "note", "archived", None)], "id long, category string, lifecycle string, completed_at string").select("id", "category", "lifecycle", *at("completed_at"))
+    events = spark.createDataFrame([(12, "2024-01-01", None), (12, "2024-01-02", None), (13, "2025-01-01", None)], "thought_id long, start_at string, end_at string").select("thought_id", *at("start_at", "end_at"))
+    stones = spark.createDataFrame([(7, 4, "2024-01-02", "2024-01-03"), (7, 4, None, "2024-01-03"), (7, 3, "2023-01-01", "2023-01-02")], "user_id long, entity_id long, created_at string, updated_at string").select("user_id", "entity_id", *at("created_at", "updated_at"))
+    got = timeline.project_digest(linked, thoughts, events, stones, "2024-01-01", "2024-01-10").orderBy("place").collect()
+    assert [tuple(r) for r in got] == [(7, 1, 1, 1, 0, 0, 0, 1, True), (7, 2, 0, 0, 1, 0, 0, 2, False), (7, 4, 0, 0, 0, 1, 1, 3, False)]
+    now = spark.createDataFrame([(7, 1, "a"), (7, 2, None), (7, 3, "c"), (7, 4, "d"), (7, 5, None)], "user_id long, entity_id long, next_action string")
+    before = spark.createDataFrame([(7, 1, "a"), (7, 2, "b"), (7, 3, None), (7, 5, None)], "user_id long, entity_id long, next_action string")
+    assert {r["entity_id"] for r in timeline.next_action_changes(now, before).collect()} == {2, 3}
