@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm import bpe, edit_counts, line_crf, mixing, neighbours, quality, simhash, substrings, token_files, urls
+from recallspark.llm import bit_slices, bpe, edit_counts, line_crf, mixing, neighbours, periods, phrases, quality, simhash, substrings, token_files, urls
 from recallspark.session import new_folder, written
 from recallspark.sources.tables import table
 
@@ -79,7 +80,34 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.scored(docs, line_crf.learned(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {"op1_token_files": op1_token_files, "op2_neighbours": op2_neighbours, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op5_quality_rules": op5_quality_rules, "op6_urls": op6_urls, "op7_edit_counts": op7_edit_counts, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_line_crf": op10_line_crf}
+def op11_bit_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_slices.top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's texts: those of a tenth of all ids repeat themselves from some word on. None do without an id."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * -(-(n - a) // p))[: n - a]
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.found(table(spark, sf_dir, "documents").select("doc_id", "text"), edit=planted)
+    told = F.array_join(F.transform("runs", lambda r: F.concat(r.start, F.lit(","), r.length, F.lit(","), r.period, F.lit("\n"))), "")
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    milli = F.expr("1000 * best.length div best.period")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, milli.alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES: dict[str, Query] = {"op1_token_files": op1_token_files, "op2_neighbours": op2_neighbours, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op5_quality_rules": op5_quality_rules, "op6_urls": op6_urls, "op7_edit_counts": op7_edit_counts, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_line_crf": op10_line_crf, "op11_bit_slices": op11_bit_slices, "op12_phrases": op12_phrases, "op13_periods": op13_periods}
 ORACLES: dict[str, str] = {}
 
 ORACLES["op8_mixing"] = r"""
@@ -146,3 +174,45 @@ WITH d AS (
 )
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
 """
+
+ORACLES["op11_bit_slices"] = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLES["op12_phrases"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d
+), c AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang
+), g AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM p, (VALUES (1), (2), (3), (4)) k(m)
+), f AS MATERIALIZED (
+  SELECT lang, m, phrase, count(*)::BIGINT AS a FROM g GROUP BY ALL HAVING count(*) >= 30
+), x AS (
+  SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1
+), y AS (
+  SELECT x.lang, x.m, x.phrase, x.a, k, l.a AS l, r.a AS r, (2000000 * x.a::HUGEINT // (l.a + r.a))::BIGINT AS score
+  FROM x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:k], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[k + 1:], ' ')
+), z AS (
+  SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), i AS (
+  SELECT lang, a AS most, unnest(flatten(list_transform(range(2, m), lambda s: list_transform(range(1, m - s + 2), lambda i: array_to_string(string_split(phrase, ' ')[i:i + s - 1], ' '))))) AS phrase FROM f WHERE m > 2
+), j AS (
+  SELECT lang, phrase, max(most) AS most FROM i GROUP BY lang, phrase
+), t AS (
+  SELECT z.* FROM z LEFT JOIN j USING (lang, phrase) WHERE j.most IS NULL OR 100 * j.most::HUGEINT < 80 * z.a::HUGEINT
+), q AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM q JOIN c USING (lang) WHERE rank <= 2000
+"""
