@@ -1,13 +1,15 @@
 """Collocations: phrases of two to four words that occur far more often than their parts let expect.
 
 Texts are cut into pieces at punctuation, pieces into words. Each task puts the words of its texts, by
-language, into shards of up to ``SHARD`` words, numbered in byte order. A shard's count trie is grown one
+language, into shards of about ``SHARD`` words, numbered in byte order. A shard's count trie is grown one
 level at a time: nodes of depth d are the phrases of d words with their counts. It is serialised in the order
 of its paths, and all shards' levels are merged by ranges of paths: each range is one task's, which reads its
-sorted rows and adds up equal paths as they go by. Nodes of fewer than ``least`` occurrences have no
-children that count, so the next level grows only where both the path without its last word and the path
-without its first word may be kept nodes; a filter of bounded size tells, which lets some others pass and
-loses none. Depth is limited by ``longest``, and what moves is the paths under kept nodes.
+sorted rows and adds up equal paths as they go by. Depth is limited by ``longest``.
+
+Most paths are too rare to be kept, and paths are long. So before a level is serialised, counts are added up
+over 40-bit hashes of paths: a hash of fewer than ``least`` occurrences has no path of more. Filters of bounded
+size tell which hashes are left; they let some others pass, which the exact counts then drop, and lose none.
+The next level grows only where the path without its last word and that without its first word both pass.
 
 Walking down from the root gives a node the counts of its left parts: its own and those of its parent. Suffix
 links, from a path to the path without its first word, give the counts of its right parts in the same way.
@@ -23,7 +25,7 @@ empty result. Other columns are not read.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +37,16 @@ from pyspark.sql import functions as F
 from recallspark.llm.rows import batches
 from recallspark.session import dropped, written
 
-#: Words of a shard.
+#: Words that a task holds at most before it makes the fullest language's a shard.
 SHARD = 1 << 20
 
+#: Bits of a path's hash that are dropped before hashes are moved; 40 are left.
+DROPPED_BITS = np.uint64(24)
+
 #: Words of 64 bits of a filter at most: 64 MB is sent, however many paths are kept.
 MOST_WORDS = 1 << 23
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
-_NUMBERS, _TEXTS = pa.list_(pa.int32()), pa.list_(pa.string())
 
 
 def pieces(text: bytes) -> Iterator[list[bytes]]:
@@ -53,10 +57,10 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
 
 
 def _shards(docs: DataFrame, lang: str, text: str, depth: int) -> DataFrame:
-    """``lang, words, ids, own``: words in byte order, the texts as their numbers with -1 after each piece.
+    """``lang, words, hashes, ids, own, n``: words in byte order, the texts as their numbers with -1 after each piece.
 
-    Phrases that begin at one of the first ``own`` places are the shard's; the places after them are the
-    beginning of the next shard of the same piece.
+    Phrases that begin at one of the first ``own`` places, of which ``n`` are words, are the shard's; the
+    places after them are the beginning of the next shard of the same piece.
     """
 
     def shard(lang: str, words: dict[bytes, int], ids: list[int], own: int) -> pa.RecordBatch:
@@ -64,106 +68,107 @@ def _shards(docs: DataFrame, lang: str, text: str, depth: int) -> DataFrame:
         rank = np.empty(len(known) + 1, np.int32)
         rank[[words[w] for w in known]] = np.arange(len(known), dtype=np.int32)
         rank[-1] = -1  # what -1 picks
-        columns = [pa.array([lang]), pa.array([pa.array(known, pa.binary()).cast(pa.string())], _TEXTS), pa.array([rank[np.array(ids, np.int64)]], _NUMBERS), pa.array([own], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "words", "ids", "own"])
+        seed = xxhash.xxh3_64_intdigest(lang)
+        hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in known], np.uint64).view(np.int64)
+        numbers = rank[np.array(ids, np.int64)]
+        columns = [[lang], pa.array([pa.array(known, pa.binary()).cast(pa.string())], pa.list_(pa.string())), pa.array([hashes], pa.list_(pa.int64())), pa.array([numbers], pa.list_(pa.int32())), pa.array([own], pa.int64()), pa.array([int((numbers[:own] >= 0).sum())], pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0]), *columns[1:]], ["lang", "words", "hashes", "ids", "own", "n"])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[dict[bytes, int], list[int]]] = {}
         total = 0
 
-        def fresh() -> tuple[dict[bytes, int], list[int]]:
-            number: dict[bytes, int] = defaultdict()
-            number.default_factory = number.__len__
-            return number, []
+        def of(lang: str) -> tuple[dict[bytes, int], list[int]]:
+            if lang not in held:
+                number: dict[bytes, int] = defaultdict()
+                number.default_factory = number.__len__
+                held[lang] = number, []
+            return held[lang]
 
         for batch in found:
             for lang, data in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
                 for words in pieces(data.as_py() or b""):
                     for a in range(0, len(words), SHARD):
-                        part = words[a : a + SHARD + depth - 1]
-                        if lang not in held:
-                            held[lang] = fresh()
-                        number, ids = held[lang]
-                        begin = len(ids)
-                        ids.extend([number[w] for w in part])
+                        number, ids = of(lang)
+                        part, begin, last = words[a : a + SHARD + depth - 1], len(ids), a + SHARD >= len(words)
+                        ids.extend(map(number.__getitem__, part))
                         ids.append(-1)
-                        total += len(part)
-                        if a + SHARD < len(words):
-                            yield shard(lang, number, ids, begin + SHARD)
-                            total -= len(ids)
-                            del held[lang]
-                        elif total >= SHARD:
-                            for one, (number, ids) in held.items():
-                                yield shard(one, number, ids, len(ids))
-                            held, total = {}, 0
+                        total += len(ids) - begin
+                        if last and total < SHARD:
+                            continue
+                        full = max(held, key=lambda x: len(held[x][1])) if last else lang
+                        number, ids = held.pop(full)
+                        total -= len(ids)
+                        yield shard(full, number, ids, len(ids) if last else begin + SHARD)
         for one, (number, ids) in held.items():
             yield shard(one, number, ids, len(ids))
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    return batches(rows).mapInArrow(run, "lang string, words array<string>, ids array<int>, own long")
+    return batches(rows).mapInArrow(run, "lang string, words array<string>, hashes array<long>, ids array<int>, own long, n long")
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hashes(lang: str, words: list[str]) -> np.ndarray:
-    """A hash of each word under its language."""
-    seed = xxhash.xxh3_64_intdigest(lang)
-    return np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words], np.uint64)
-
-
 def _joined(hashes: list[np.ndarray]) -> np.ndarray:
-    """Hashes of paths from the hashes of their words, each an array of one place."""
+    """Hashes of 40 bits of paths from the hashes of their words, each an array of one place."""
     out = np.zeros_like(hashes[0])
     for h in hashes:
         out = (out ^ h) * _MIX
         out ^= out >> np.uint64(29)
-    return out
+    return out >> DROPPED_BITS
 
 
 def _places(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The filter's word of each path, and the four bits set in it."""
-    bits = np.zeros_like(hashes)
+    mixed, bits = hashes * _MIX, np.zeros_like(hashes)
     for i in range(4):
         bits |= np.uint64(1) << ((hashes >> np.uint64(6 * i)) & np.uint64(63))
-    return ((hashes >> np.uint64(32)) % np.uint64(words)).astype(np.int64), bits
+    return ((mixed >> np.uint64(32)) % np.uint64(words)).astype(np.int64), bits
+
+
+def _passing(lines: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    word, bits = _places(hashes, len(lines))
+    return (lines[word] & bits) == bits
 
 
 def _filter(kept: DataFrame) -> np.ndarray:
-    """A blocked Bloom filter of the paths in ``kept`` (``lang, path``): one word of 64 bits a path, in blocks of one word."""
+    """A Bloom filter of the numbers in ``hash``: a word of 64 bits for each of them up to ``MOST_WORDS``, bits of one word each."""
     words = min(MOST_WORDS, max(1, kept.count()))
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            hashes = [_joined(list(_hashes(lang, path.split(" "))[:, None]))[0] for lang, path in zip(batch.column("lang").to_pylist(), batch.column("path").to_pylist())]
-            at, bits = _places(np.array(hashes, np.uint64), words)
+            at, bits = _places(batch.column("hash").to_numpy().view(np.uint64), words)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits.view(np.int64))], ["at", "bits"])
 
-    made = kept.select("lang", "path").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    made = kept.select("hash").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     lines = np.zeros(words, np.uint64)
     lines[made.column("at").to_numpy()] = made.column("bits").to_numpy().view(np.uint64)
     return lines
 
 
-def level_of(ids: np.ndarray, own: int, hashes: np.ndarray, depth: int, lines: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
-    """A shard's nodes of one depth, in order: the numbers of their words, each place by itself, and their counts.
-
-    ``lines`` tells which paths of one word less may be kept; without it all count.
-    """
-    n = len(ids) - depth + 1
-    if n <= 0:
-        return [np.zeros(0, ids.dtype)] * depth, np.zeros(0, np.int64)
+def _begins(ids: np.ndarray, own: int, depth: int) -> np.ndarray:
+    """Where the shard's paths of one depth begin."""
+    n = max(0, min(own, len(ids) - depth + 1))
     there = np.ones(n, bool)
     for i in range(depth):
         there &= ids[i : i + n] >= 0
-    there[own:] = False
-    at = np.flatnonzero(there)
-    if lines is not None:
-        parts = [hashes[ids[at + i]] for i in range(depth)]
-        for some in (slice(0, depth - 1), slice(1, depth)):
-            word, bits = _places(_joined(parts[some]), len(lines))
-            fine = (lines[word] & bits) == bits
-            at, parts = at[fine], [p[fine] for p in parts]
+    return np.flatnonzero(there)
+
+
+def hashes_of(ids: np.ndarray, own: int, hashes: np.ndarray, depth: int, above: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shard's nodes of one depth and their counts; ``above`` tells which paths of one word less may be kept."""
+    at = _begins(ids, own, depth)
+    if above is not None:
+        for skip in (0, 1):
+            at = at[_passing(above, _joined([hashes[ids[at + i]] for i in range(skip, depth - 1 + skip)]))]
+    return np.unique(_joined([hashes[ids[at + i]] for i in range(depth)]), return_counts=True)
+
+
+def level_of(ids: np.ndarray, own: int, hashes: np.ndarray, depth: int, lines: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Those nodes of one depth that pass, in order: the numbers of their words, each place by itself, and their counts."""
+    at = _begins(ids, own, depth)
+    at = at[_passing(lines, _joined([hashes[ids[at + i]] for i in range(depth)]))]
     columns = [ids[at + i].astype(np.int64) for i in range(depth)]
     key = columns[0]
     for more in columns[1:]:
@@ -173,22 +178,42 @@ def level_of(ids: np.ndarray, own: int, hashes: np.ndarray, depth: int, lines: n
     return [c[first] for c in columns], counts
 
 
-def _level(shards: DataFrame, depth: int, lines: np.ndarray | None) -> DataFrame:
-    """``lang, path, f``: the shards' nodes of one depth, each shard's in order."""
-    sent = None if lines is None else shards.sparkSession.sparkContext.broadcast(lines)
+def _each(shards: DataFrame, columns: list[str], schema: str, made: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
+    """What ``made`` gives for the columns of each shard, lists as arrays of NumPy."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             for at in range(batch.num_rows):
-                lang, words = batch.column("lang")[at].as_py(), batch.column("words")[at].values
-                hashes = _hashes(lang, words.to_pylist()) if sent is not None else np.zeros(0, np.uint64)
-                columns, counts = level_of(batch.column("ids")[at].values.to_numpy(), batch.column("own")[at].as_py(), hashes, depth, None if sent is None else sent.value)
-                for a in range(0, len(counts), 1 << 16):
-                    names = [words.take(pa.array(c[a : a + (1 << 16)])) for c in columns]
-                    path = names[0] if depth == 1 else pc.binary_join_element_wise(*names, " ")
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(path)), path, pa.array(counts[a : a + (1 << 16)], pa.int64())], ["lang", "path", "f"])
+                values = [batch.column(c)[at] for c in columns]
+                yield from made(*(v.values if isinstance(v, pa.ListScalar) else v.as_py() for v in values))
+
+    return batches(shards.select(*columns)).mapInArrow(run, schema)
+
+
+def _hashed(shards: DataFrame, depth: int, above: np.ndarray | None) -> DataFrame:
+    """``hash, f``: hashes of the shards' nodes of one depth."""
+    sent = None if above is None else shards.sparkSession.sparkContext.broadcast(above)
+
+    def made(hashes: pa.Array, ids: pa.Array, own: int) -> Iterator[pa.RecordBatch]:
+        found, counts = hashes_of(ids.to_numpy(), own, hashes.to_numpy().view(np.uint64), depth, None if sent is None else sent.value)
+        for a in range(0, len(found), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(found[a : a + (1 << 17)].view(np.int64)), pa.array(counts[a : a + (1 << 17)], pa.int64())], ["hash", "f"])
 
-    return shards.mapInArrow(run, "lang string, path string, f long")
+    return _each(shards, ["hashes", "ids", "own"], "hash long, f long", made)
+
+
+def _level(shards: DataFrame, depth: int, lines: np.ndarray) -> DataFrame:
+    """``lang, path, f``: the shards' nodes of one depth that pass, each shard's in order."""
+    sent = shards.sparkSession.sparkContext.broadcast(lines)
+
+    def made(lang: str, words: pa.Array, hashes: pa.Array, ids: pa.Array, own: int) -> Iterator[pa.RecordBatch]:
+        columns, counts = level_of(ids.to_numpy(), own, hashes.to_numpy().view(np.uint64), depth, sent.value)
+        for a in range(0, len(counts), 1 << 16):
+            names = [words.take(pa.array(c[a : a + (1 << 16)])) for c in columns]
+            path = names[0] if depth == 1 else pc.binary_join_element_wise(*names, " ")
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(path)), path, pa.array(counts[a : a + (1 << 16)], pa.int64())], ["lang", "path", "f"])
+
+    return _each(shards, ["lang", "words", "hashes", "ids", "own"], "lang string, path string, f long", made)
 
 
 def _merged(tries: DataFrame) -> DataFrame:
@@ -223,29 +248,28 @@ def levels(docs: DataFrame, least: int, longest: int, *, lang: str = "lang", tex
     ``lefts`` holds the counts of the path's beginnings, from the first word to the whole, ``rights`` those
     of its ends, from the last word to the whole.
     """
+    spark = docs.sparkSession
     shards = written(_shards(docs, lang, text, longest), "shards")
     found: list[DataFrame] = []
-    words, lines = None, None
+    lines = None
     for depth in range(1, longest + 1):
-        tries = written(_level(batches(shards), depth, lines), "tries")
-        nodes = _merged(tries)
-        if depth == 1:
-            nodes = written(nodes, "words")
-            words = nodes.groupBy("lang").agg(F.sum("f").alias("n"))
-        kept = nodes.where(F.col("f") >= least)
+        some = written(_hashed(shards, depth, lines).groupBy("hash").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("hash"), "hashes")
+        lines = _filter(some)
+        tries = written(_level(shards, depth, lines), "tries")
+        kept = _merged(tries).where(F.col("f") >= least)
         if depth == 1:
             kept = kept.withColumns({"lefts": F.array("f"), "rights": F.array("f")})
         else:
             above = found[-1]
-            kept = kept.withColumn("parent", F.expr("left(path, length(path) - length(substring_index(path, ' ', -1)) - 1)")).withColumn("link", F.expr("substring(path, length(substring_index(path, ' ', 1)) + 2)"))
-            kept = kept.join(above.select("lang", F.col("path").alias("parent"), "lefts"), ["lang", "parent"]).join(above.select("lang", F.col("path").alias("link"), "rights"), ["lang", "link"])
+            parent = F.expr("left(path, length(path) - length(substring_index(path, ' ', -1)) - 1)")
+            link = F.expr("substring(path, length(substring_index(path, ' ', 1)) + 2)")
+            kept = kept.withColumns({"parent": parent, "link": link}).join(above.select("lang", F.col("path").alias("parent"), "lefts"), ["lang", "parent"]).join(above.select("lang", F.col("path").alias("link"), "rights"), ["lang", "link"])
             kept = kept.select("lang", "path", "f", F.concat("lefts", F.array("f")).alias("lefts"), F.concat("rights", F.array("f")).alias("rights"))
-        kept = written(kept, "nodes")
-        dropped(docs.sparkSession, tries)
-        found.append(kept)
-        if depth < longest:
-            lines = _filter(kept)
-    dropped(docs.sparkSession, shards)
+        found.append(written(kept, "nodes"))
+        dropped(spark, tries)
+        dropped(spark, some)
+    words = written(shards.groupBy("lang").agg(F.sum("n").alias("n")), "words")
+    dropped(spark, shards)
     return found, words
 
 
