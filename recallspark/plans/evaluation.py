@@ -83,7 +83,25 @@ def louvain_levels(spark, d):
     return community.louvain(*tenant_graph(spark, d))
 
 
-@BOOK.query()
+_RESOLUTION = ctes("v_entity", "v_mention") + """, e AS (SELECT lower(label) AS key, min(id) AS id, min(entity_type) AS entity_type FROM v_entity GROUP BY 1)
+, said AS (SELECT l_orderkey AS thought_id, l_partkey AS part, l_linenumber % 3 AS k, lower(label) AS label, entity_type FROM lineitem JOIN v_entity ON l_partkey = id)
+, m AS (SELECT thought_id * 100000 + part AS mention_id, thought_id, min(CASE k WHEN 0 THEN string_split(label, ' ')[1] || ' thing' WHEN 1 THEN 'the ' || label ELSE label END) AS key, min(entity_type) AS entity_type FROM said GROUP BY thought_id, part)
+, al AS (SELECT 'the ' || key AS alias, id AS entity_id FROM e WHERE id % 2 = 0)
+, r AS (SELECT m.*, e.id AS by_key, al.entity_id AS by_alias FROM m LEFT JOIN e USING (key) LEFT JOIN al ON al.alias = m.key)
+, pm AS (SELECT x.entity_id AS a, y.entity_id AS b FROM v_mention x JOIN v_mention y ON x.thought_id = y.thought_id AND x.entity_id < y.entity_id GROUP BY 1, 2 HAVING count(*) >= 2)
+, ad AS (SELECT a, b FROM pm UNION SELECT b, a FROM pm)
+, nb AS (SELECT DISTINCT thought_id, b AS id FROM v_mention JOIN ad ON entity_id = a)
+, co AS (SELECT thought_id, id FROM nb JOIN v_mention v USING (thought_id) WHERE v.entity_id = id)
+, ew AS (SELECT DISTINCT id, unnest(string_split(key, ' ')) AS word FROM e), mw AS (SELECT DISTINCT mention_id, unnest(string_split(key, ' ')) AS word FROM r WHERE by_key IS NULL AND by_alias IS NULL)
+, o AS (SELECT DISTINCT mention_id, id FROM mw JOIN ew USING (word))
+, s AS (SELECT mention_id, e.id, (CASE WHEN e.entity_type = r.entity_type THEN 2 ELSE 0 END) + (CASE WHEN nb.id IS NOT NULL THEN 5 ELSE 0 END) + (CASE WHEN nb.id IS NOT NULL AND EXISTS (SELECT 1 FROM co WHERE co.thought_id = r.thought_id AND co.id <> e.id) THEN 3 ELSE 0 END) + (CASE WHEN e.key = r.key THEN 2 ELSE 0 END) AS score
+  FROM o JOIN r USING (mention_id) JOIN e ON e.id = o.id LEFT JOIN nb ON nb.thought_id = r.thought_id AND nb.id = e.id)
+, t AS (SELECT mention_id, max(score) AS score, arg_max(id, score) AS best, coalesce((list(score ORDER BY score DESC))[2], 0) AS next FROM s GROUP BY 1 HAVING max(score) >= 5)
+SELECT mention_id, coalesce(by_key, by_alias, CASE WHEN score - next >= 2 THEN best END) AS entity_id
+, CASE WHEN by_key IS NOT NULL THEN 'key' WHEN by_alias IS NOT NULL THEN 'alias' WHEN score - next >= 2 THEN 'context' WHEN score IS NOT NULL THEN 'ambiguous' ELSE 'new' END AS how, score::INT AS score FROM r LEFT JOIN t USING (mention_id)"""
+
+
+@BOOK.query(_RESOLUTION)
 def entity_resolution(spark, d):
     e = v.entities(spark, d).groupBy(F.lower("label").alias("key")).agg(F.min("id").alias("id"), F.min("entity_type").alias("entity_type"))
     said = v.table(spark, d, "lineitem").join(v.entities(spark, d), F.col("l_partkey") == F.col("id"))
