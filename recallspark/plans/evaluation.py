@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from recallspark.operators import community, graph, metrics, vector
+from recallspark.operators import changes, community, graph, metrics, vector
 from recallspark.plans.book import Book
 from recallspark.plans.vectors import query_vector
 from recallspark.session import new_folder
 from recallspark.sources import exports, views as v
 from recallspark.sources.views import ctes
-from recallspark.streaming import streams
+from recallspark.streaming import arrivals, queues, streams
 
 BOOK = Book()
 
@@ -141,12 +141,94 @@ def stream_dedupe(spark, d):
     jobs = _stream(spark, d).withColumn("dedupe_key", F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("event_type")))
     return streams.to_table(streams.active_once(jobs, "60 days"), "active").select("dedupe_key")
 
+# Streams get what arrives in four parts, each in the order of events.
+_PARTS = 4
+
+
+def _chunk(spark, d):
+    n = v.table(spark, d, "events").count()
+    return F.floor(F.col("event_id") * _PARTS / n).cast("int")
+
 
 @BOOK.query("SELECT event_id FROM events WHERE floor(epoch(ts)) <= epoch(TIMESTAMP '2024-01-15') AND epoch(TIMESTAMP '2024-01-15') - floor(epoch(ts)) <= 86400")
-def stream_late_drop(spark, d):
+def reminders_not_late(spark, d):
     return streams.to_table(streams.not_late(_stream(spark, d), "2024-01-15 00:00:00"), "due").select("event_id")
 
 
+@BOOK.query("""WITH e AS (SELECT event_id, ts - to_hours(CASE WHEN event_id % 5 = 0 THEN 25 WHEN event_id % 7 = 0 THEN 23 ELSE 0 END) AS fire_at, floor(event_id * 4 / (SELECT count(*) FROM events)) AS part FROM events)
+, m AS (SELECT part, max(fire_at) AS most FROM e GROUP BY part), w AS (SELECT part, max(most) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 24 HOUR AS mark FROM m)
+SELECT event_id, part::BIGINT AS batch, coalesce(fire_at < mark, false) AS late FROM e JOIN w USING (part)""")
+def stream_late_drop(spark, d):
+    hours = F.when(F.col("event_id") % 5 == 0, 25).when(F.col("event_id") % 7 == 0, 23).otherwise(0)
+    rows = v.table(spark, d, "events").select("event_id", (F.col("ts").cast("timestamp") - F.make_dt_interval(F.lit(0), hours)).alias("fire_at"))
+    parted = arrivals.Lateness(spark, "fire_at", 24, new_folder(spark, "lateness"))
+    arrivals.arriving(rows, _chunk(spark, d), _PARTS, lambda stream, progress: arrivals.taken(stream, parted, progress))
+    said = lambda name, late: parted.rows(name, rows.schema).select("event_id", "batch", F.lit(late).alias("late"))
+    return said("on_time", False).unionByName(said("late", True))
+
+
+@BOOK.query(ctes("v_entity") + "SELECT l1 AS community, count(*)::BIGINT AS mentions, sum(l_quantity)::BIGINT AS quantity, max(l_orderkey) AS newest FROM lineitem JOIN v_entity ON l_partkey = id GROUP BY 1")
+def incremental_communities(spark, d):
+    rows = v.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("long").alias("quantity"))
+    home = v.entities(spark, d).select(F.col("id").alias("l_partkey"), F.col("l1").alias("community"))
+    kept = arrivals.Versioned(spark, new_folder(spark, "communities"), ["community"], ["mentions", "quantity"], ["newest"])
+
+    def refresh(batch, number):
+        kept.add(batch.join(home, "l_partkey").select("community", F.lit(1).cast("long").alias("mentions"), "quantity", F.col("l_orderkey").alias("newest")), number)
+
+    most = rows.agg(F.max("l_orderkey")).first()[0] or 0
+    arrivals.arriving(rows, F.floor(F.col("l_orderkey") * _PARTS / (most + 1)).cast("int"), _PARTS, lambda stream, progress: streams.by_batches(stream, refresh, progress))
+    return kept.now()
+
+
+def queue_commands(spark, d):
+    """Events as a queue's commands: views and clicks put jobs, sign-ups and errors claim, purchases end one."""
+    op = F.when(F.col("event_type").isin("view", "click"), "put").when(F.col("event_type") == "purchase", "done").otherwise("claim")
+    job = F.when(op == "put", F.col("event_id"))
+    return v.table(spark, d, "events").select("event_id", F.col("user_id").alias("tenant"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), op.alias("op"), job.alias("job_id"))
+
+
+@BOOK.query()
+def queue_changes(spark, d):
+    rows, path = queue_commands(spark, d), new_folder(spark, "changes")
+    with queues.kept_in_rocks(spark):
+        arrivals.arriving(rows, _chunk(spark, d), _PARTS, lambda stream, progress: streams.appended(queues.queue(stream, 24 * 60), path, progress))
+    return spark.read.schema(queues.CHANGES).parquet(path)
+
+
+def graph_log(spark, d):
+    """Events as changes of a graph: nodes are users' and events' kinds, and numbers of a hundred."""
+    e = v.events_k(spark, d)
+    op = F.element_at(F.array(*map(F.lit, ("node", "mention", "relate", "relate", "relate", "node", "mention", "relate", "drop_edge", "drop_node"))), (F.col("event_id") % 10 + 1).cast("int"))
+    # Deletions hit few nodes each, else nothing would last.
+    keep = (op != "drop_node") | (F.col("k") % 3 == 0)
+    text = lambda c: F.col(c).cast("string")
+    source, target = F.concat(F.lit("n"), text("k")), F.concat(F.lit("n"), (F.floor("value") % 10).cast("string"))
+    predicate = F.when(op.isin("relate", "drop_edge"), F.when(F.floor("value") % 2 == 0, "part_of").otherwise("related_to"))
+    return e.where(keep).select(F.col("event_id").alias("seq"), op.alias("op"), source.alias("source"), F.when(~op.isin("node", "drop_node"), target).alias("target"), predicate.alias("predicate"), F.when(op == "node", F.col("event_type")).alias("props"))
+
+
+_LOG = ctes("v_k") + """, lg AS (SELECT event_id AS seq, ['node', 'mention', 'relate', 'relate', 'relate', 'node', 'mention', 'relate', 'drop_edge', 'drop_node'][(event_id % 10 + 1)::INT] AS op, 'n' || k AS source, 'n' || (floor(value)::BIGINT % 10) AS target,
+  CASE WHEN floor(value)::BIGINT % 2 = 0 THEN 'part_of' ELSE 'related_to' END AS predicate, event_type AS props FROM v_k WHERE event_id % 10 <> 9 OR k % 3 = 0)
+, ne AS (SELECT source AS id, seq, op, CASE WHEN op = 'node' THEN props END AS props FROM lg WHERE op IN ('node', 'drop_node') UNION ALL SELECT source, seq, op, NULL FROM lg WHERE op = 'mention' UNION ALL SELECT target, seq, op, NULL FROM lg WHERE op = 'mention')
+, no AS (SELECT *, sum((op = 'drop_node')::INT) OVER (PARTITION BY id ORDER BY seq) AS life FROM ne)
+, na AS (SELECT id, min(seq) FILTER (op <> 'drop_node') AS born, arg_max(props, seq) FILTER (op = 'node') AS props FROM no WHERE life = (SELECT max(life) FROM no i WHERE i.id = no.id) GROUP BY id HAVING count(*) FILTER (op <> 'drop_node') > 0)
+"""
+
+
+@BOOK.query(_LOG + "SELECT id, props FROM na")
+def logged_nodes(spark, d):
+    return changes.nodes(graph_log(spark, d)).select("id", "props")
+
+
+@BOOK.query(_LOG + """, pu AS (SELECT source, target, CASE WHEN op <> 'mention' THEN predicate END AS predicate, seq, op FROM lg WHERE op IN ('mention', 'relate', 'drop_edge'))
+, gone AS (SELECT source, target, predicate, max(seq) AS gone FROM pu WHERE op = 'drop_edge' GROUP BY ALL)
+SELECT p.source, p.target, p.predicate, CASE WHEN p.predicate IS NULL THEN 1 ELSE count(*) END::BIGINT AS weight FROM pu p JOIN na a ON a.id = p.source JOIN na b ON b.id = p.target LEFT JOIN gone g ON g.source = p.source AND g.target = p.target AND g.predicate IS NOT DISTINCT FROM p.predicate
+WHERE op <> 'drop_edge' AND seq > coalesce(gone, -1) AND CASE op WHEN 'mention' THEN seq >= greatest(a.born, b.born) ELSE seq > greatest(a.born, b.born) END GROUP BY p.source, p.target, p.predicate""")
+def logged_edges(spark, d):
+    return changes.edges(graph_log(spark, d))
+
+
 @BOOK.query(ctes("v_job") + "SELECT job_id, 'running' AS status, attempts + 1 AS attempts FROM v_job WHERE (status = 'pending' AND run_after <= TIMESTAMP '2024-01-10') OR (status = 'running' AND run_after < TIMESTAMP '2024-01-10' - INTERVAL 10 MINUTE) ORDER BY run_after, job_id LIMIT 200")
 def claim_jobs(spark, d):
     return streams.claimed(v.jobs(spark, d), "2024-01-10 00:00:00", 200).select("job_id", "status", "attempts")

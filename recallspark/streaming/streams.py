@@ -43,13 +43,17 @@ def to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
         def put(batch: DataFrame, _: int) -> None:
             batch.write.mode("overwrite").parquet(path)
 
-        query = stream.writeStream.outputMode("complete").foreachBatch(put)
+        stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", path + "-progress").trigger(availableNow=True).start().awaitTermination()
     else:
-        query = stream.writeStream.outputMode("append").format("parquet").option("path", path)
-    query.option("checkpointLocation", path + "-progress").trigger(availableNow=True).start().awaitTermination()
+        appended(stream, path, path + "-progress")
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def appended(stream: DataFrame, path: str, progress: str) -> None:
+    """Runs a stream over what is there now, from where ``progress`` says, and adds what it gives to the files at ``path``."""
+    stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+
+
 def claimed(queue: DataFrame, now: str, limit: int, stale_minutes: int = 10) -> DataFrame:
     """The next due jobs in order, those that have been running for too long among them, marked as running."""
     at = F.lit(now).cast("timestamp_ntz")
