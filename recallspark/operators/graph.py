@@ -129,10 +129,15 @@ def among(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def author_layers(mentions: DataFrame, authors: DataFrame) -> DataFrame:
-    """For each co-mentioned pair the authors of the thoughts that mention it."""
+    """For each co-mentioned pair the authors of the thoughts that mention it.
+
+    A thought's layer goes with its mentions before pairs are made, so that pairs are not moved once more. A
+    thought is what one person wrote down: its pairs are the square of the entities it mentions.
+    """
     m = mentions.select("thought_id", "entity_id").distinct()
-    pairs = m.withColumnRenamed("entity_id", "a").join(m.withColumnRenamed("entity_id", "b"), "thought_id").where("a < b")
-    return pairs.join(authors, "thought_id").select("a", "b", "layer").distinct().groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_list("layer")), ",").alias("layers"))
+    told = m.join(authors.select("thought_id", "layer"), "thought_id").withColumnRenamed("entity_id", "a")
+    pairs = told.join(m.withColumnRenamed("entity_id", "b"), "thought_id").where("a < b")
+    return pairs.select("a", "b", "layer").distinct().groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_list("layer")), ",").alias("layers"))
 
 
 def layer_index(mentions: DataFrame, authors: DataFrame) -> DataFrame:

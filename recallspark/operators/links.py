@@ -41,7 +41,8 @@ def top_thoughts(links: DataFrame, thoughts: DataFrame, now: str, most: int = 20
     """Each entity's best thoughts in order, with their rank scores."""
     rows = links.join(thoughts.select(F.col("id").alias("thought_id"), F.col("salience").alias("own"), "created_at"), "thought_id")
     order = Window.partitionBy("entity_id").orderBy(F.desc("salience"), F.desc("own"), F.desc("created_at"), "thought_id")
-    rows = rows.withColumn("i", F.row_number().over(order) - 1).where(F.col("i") < most)
+    # The filter is on the row number itself, so that each task sends no more than ``most`` rows of an entity.
+    rows = rows.withColumn("i", F.row_number().over(order)).where(F.col("i") <= most).withColumn("i", F.col("i") - 1)
     age = F.greatest(days_between(F.lit(now).cast("timestamp_ntz"), F.col("created_at")), F.lit(0.0))
     score = 0.5 * F.col("salience") + 0.3 * F.col("own") + 0.2 / (1 + age) - 0.01 * F.col("i")
     return rows.select("entity_id", "i", "thought_id", F.round(score, 6).alias("rank_score"))

@@ -240,12 +240,12 @@ def csv_export(spark, d):
     return exports.csv_round_trip(rows, ["created_at", "id"]).select("id", "category", "lifecycle")
 
 
-@BOOK.query(ctes("v_mention", "v_entity") + "SELECT 'entity' AS kind, count(*) AS n FROM v_entity UNION ALL SELECT 'mention', count(*) FROM v_mention")
+@BOOK.query(ctes("v_mention", "v_entity") + "SELECT 'entity' AS kind, 'e' || id AS source, label AS target, NULL::DOUBLE AS salience FROM v_entity UNION ALL SELECT 'mention', 't' || thought_id, 'e' || entity_id, round(salience, 9) FROM v_mention")
 def graph_export(spark, d):
     path = exports.write_graph(v.entities(spark, d), v.mentions(spark, d), new_folder(spark, "graph"))
     nodes, edges = exports.read_graph(spark, path)
-    counted = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n")
-    return counted(nodes, "entity").unionByName(counted(edges, "mention"))
+    told = nodes.select("kind", F.col("id").alias("source"), F.col("label").alias("target"), F.lit(None).cast("double").alias("salience"))
+    return told.unionByName(edges.select(F.lit("mention").alias("kind"), "source", "target", F.round("salience", 9).alias("salience")))
 
 
 @BOOK.query(ctes("v_event", "v_mention") + "SELECT 't' || thought_id AS source, 'v' || event_id AS target, 'occurs_in' AS kind FROM v_event UNION ALL SELECT DISTINCT 'v' || event_id, 'e' || entity_id, 'involves' FROM v_event JOIN v_mention USING (thought_id)")
@@ -254,6 +254,22 @@ def graph_event_edges(spark, d):
     return exports.read_event_edges(spark, path)
 
 
+#: Tables of the dump with a key, a text and a number of each.
+_TABLES = (("customer", "c_custkey", "c_name", "c_acctbal"), ("orders", "o_orderkey", "o_orderpriority", "o_totalprice"), ("part", "p_partkey", "p_name", "p_retailprice"), ("benchmark", "item_id", "text", "item_id"))
+
+
+@BOOK.query(" UNION ALL ".join(f"SELECT '{n}' AS name, {k}::BIGINT AS key, sha256(coalesce({c}, '')) AS said, {x}::DOUBLE AS amount FROM {n}" for n, k, c, x in _TABLES))
+def table_contents(spark, d):
+    path = new_folder(spark, "dump")
+    exports.write_tables({n: v.table(spark, d, n) for n, *_ in _TABLES}, path)
+    rows = None
+    for n, k, c, x in _TABLES:
+        back = exports.read_csv(spark, f"{path}/{n}", v.table(spark, d, n).schema)
+        one = back.select(F.lit(n).alias("name"), F.col(k).cast("long").alias("key"), F.sha2(F.coalesce(F.col(c), F.lit("")), 256).alias("said"), F.col(x).cast("double").alias("amount"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 @BOOK.query("SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part")
 def table_export(spark, d):
     return exports.write_tables({n: v.table(spark, d, n) for n in ("customer", "orders", "part")}, new_folder(spark, "dump"))

@@ -18,6 +18,11 @@ _STRONG = _EDGE + ", strong AS (SELECT * FROM v_edge WHERE weight >= 2)"
 _ADJ = _STRONG + ", adj AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM strong UNION ALL SELECT b, a FROM strong))"
 
 
+#: Pairs that one thought alone mentions, which no strong edge joins.
+_MISSING = """WITH m AS MATERIALIZED (SELECT DISTINCT l_orderkey AS t, l_partkey AS e FROM lineitem)
+, missing AS MATERIALIZED (SELECT x.e AS a, y.e AS b, count(*) AS weight FROM m x JOIN m y ON x.t = y.t AND x.e < y.e GROUP BY 1, 2 HAVING count(*) < 2) """
+
+
 def strong_edges(spark, d):
     return op.comentions(v.mentions(spark, d)).where("weight >= 2")
 
@@ -84,7 +89,7 @@ def graph_health(spark, d):
     return op.health(v.entities(spark, d), strong_edges(spark, d))
 
 
-@BOOK.query(_M + _STRONG + "SELECT a, b, weight FROM v_edge ANTI JOIN strong USING (a, b)")
+@BOOK.query(_MISSING + "SELECT a, b, weight FROM missing")
 def missing_pairs(spark, d):
     return op.missing_pairs(v.mentions(spark, d), strong_edges(spark, d))
 
@@ -175,8 +180,7 @@ def grid_clusters(spark, d):
     return op.hull(cells, "cell", 0.0)
 
 
-@BOOK.query(_M + _STRONG + """
-, m AS (SELECT a, b FROM v_edge ANTI JOIN strong USING (a, b)), p AS (SELECT a, b, lower(split_part(x.label, ' ', 1)) AS one, lower(y.label) AS other FROM m JOIN v_entity x ON x.id = a JOIN v_entity y ON y.id = b)
+@BOOK.query(_MISSING[:-1] + """, p AS (SELECT a, b, lower(split_part(x.p_name, ' ', 1)) AS one, lower(y.p_name) AS other FROM missing JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b)
 SELECT a, b, CASE WHEN starts_with(other, one || ' ') THEN 'part_of' ELSE 'related_to' END AS relation FROM p WHERE contains(other, one)""")
 def lexical_relations(spark, d):
     gaps = op.missing_pairs(v.mentions(spark, d), strong_edges(spark, d))

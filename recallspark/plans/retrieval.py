@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from recallspark.functions import text as t
-from recallspark.operators import fuse, lexical, retrieval as op, vector
+from recallspark.operators import fuse, index, lexical, retrieval as op, vector
 from recallspark.plans.book import Book
 from recallspark.plans.vectors import query_vector
+from recallspark.session import new_folder
 from recallspark.sources import views as v
 from recallspark.sources.views import ctes
 
@@ -28,6 +29,19 @@ def lexical_search(spark, d):
     return lexical.search(v.notes(spark, d), WORDS, 30).select("id", F.round("raw", 6).alias("raw"), F.round("rank", 6).alias("rank"))
 
 
+_CUED = ", cued AS (SELECT id, coalesce(text, '') || ' ' || concat_ws(' ', tenant, category) AS text FROM v_note WHERE id % 11 <> 0)"
+
+
+@BOOK.query(ctes("v_note") + _CUED + f", {_lex('cued')} SELECT id, round(raw, 6) AS raw, round(least(1.0, raw * 2.5), 6) AS rank FROM lx WHERE raw > 0 ORDER BY raw DESC, id LIMIT 30")
+def index_search(spark, d):
+    # The first batch has old texts without cues, the second what they are now, the third takes some away.
+    notes, kept = v.notes(spark, d), index.Postings(spark, new_folder(spark, "postings"))
+    kept.put(notes.select("id", F.concat_ws(" ", F.lit("the the draft"), "category").alias("text")), 0)
+    kept.put(notes.select("id", "text", F.array_compact(F.array("tenant", "category")).alias("cues")), 1)
+    kept.put(notes.limit(0).select("id", "text"), 2, gone=notes.where("id % 11 = 0").select("id"))
+    return kept.search(WORDS, 30).select("id", F.round("raw", 6).alias("raw"), F.round("rank", 6).alias("rank"))
+
+
 @BOOK.query("WITH v_item AS (SELECT item_id AS id, text FROM benchmark), " + _lex("v_item") + " SELECT id, round(raw, 6) AS raw FROM lx WHERE raw > 0 ORDER BY raw DESC, id LIMIT 50")
 def note_search(spark, d):
     rows = v.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
@@ -156,11 +170,11 @@ def skip_rerank(spark, d):
 
 
 @BOOK.query("""WITH w AS (SELECT p_partkey AS entity_id, lower(p_name) AS label FROM part), s AS (SELECT p_partkey AS id, lower(p_name) AS text FROM part)
-SELECT id, entity_id, 1::BIGINT AS hits FROM s JOIN w ON text = label OR contains(text, label || ' ') AND contains(' ' || text || ' ', ' ' || label || ' ') OR contains(text, ' ' || label) AND contains(' ' || text || ' ', ' ' || label || ' ') ORDER BY id, entity_id LIMIT 2000""")
+SELECT id, entity_id, 1::BIGINT AS hits FROM s JOIN w ON text = label OR contains(text, label || ' ') AND contains(' ' || text || ' ', ' ' || label || ' ') OR contains(text, ' ' || label) AND contains(' ' || text || ' ', ' ' || label || ' ')""")
 def label_hits(spark, d):
     part = v.table(spark, d, "part")
     labels = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
-    return lexical.label_hits(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), labels, 2000)
+    return lexical.label_hits(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), labels)
 
 
 @BOOK.query("""WITH w AS (SELECT min(p_partkey) AS entity_id, lower(p_name) AS label, p_brand FROM part GROUP BY 2, 3), s AS (SELECT p_partkey AS id, lower(p_name) AS text FROM part)
@@ -173,6 +187,15 @@ def label_hints(spark, d):
 
 @BOOK.query("""WITH s AS (SELECT item_id AS id, text, TIMESTAMP '2024-01-01' + to_days(item_id::INT) AS made_at FROM benchmark), x AS (SELECT id, list_contains(""" + _TOK + """, 'zzz') AS hit, made_at FROM s)
 SELECT id, false AS hit FROM x WHERE NOT hit ORDER BY made_at DESC, id LIMIT 3""")
+def summaries_newest(spark, d):
+    return lexical.search_or_newest(_summaries(spark, d), ["zzz"], 10).select("id", "hit")
+
+
+@BOOK.query("""WITH s AS (SELECT item_id AS id, text, TIMESTAMP '2024-01-01' + to_days(item_id::INT) AS made_at FROM benchmark), x AS (SELECT id, len(list_intersect(""" + _TOK + """, ['the', 'de'])) > 0 AS hit, made_at FROM s)
+SELECT id, hit FROM x WHERE hit ORDER BY made_at DESC, id LIMIT 10""")
 def summaries_or_newest(spark, d):
-    rows = v.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text", (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("item_id").cast("int"))).alias("at"))
-    return lexical.search_or_newest(rows, ["zzz"], 10).select("id", "hit")
+    return lexical.search_or_newest(_summaries(spark, d), ["the", "de"], 10).select("id", "hit")
+
+
+def _summaries(spark, d):
+    return v.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text", (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("item_id").cast("int"))).alias("at"))

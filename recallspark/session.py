@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+#: Where the folder is kept in a session that was started without ``CHECKPOINT_DIR``, which cannot be set later.
+OWN_DIR = "recallspark.shared.dir"
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benches: UTC, adaptive execution, few shuffle partitions."""
@@ -35,10 +38,10 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
-    Where it is unset, a local master gets a temporary folder, kept in the session's settings; a
-    cluster uses its warehouse, if that is a place that all its machines reach.
+    Where it is unset, a local master, whose tasks are all in one process, gets a temporary folder, kept in
+    the session's settings; a cluster uses its warehouse, if that is a place that all its machines reach.
     """
-    found = spark.conf.get(CHECKPOINT_DIR, None)
+    found = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get(OWN_DIR, None)
     if found:
         return found.rstrip("/")
     if spark.sparkContext.master.startswith("local["):
@@ -47,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_recallspark"
         if found.startswith(("file:", "/")):
             raise ValueError(f"set {CHECKPOINT_DIR}: a cluster's machines do not share {found}")
-    spark.conf.set(CHECKPOINT_DIR, found)
+    spark.conf.set(OWN_DIR, found)
     return found
 
 

@@ -14,7 +14,8 @@ def write_csv(rows: DataFrame, path: str, order: list[str]) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    """Rows of such files; a quoted field may go over several lines, so each file is read by one task."""
+    return spark.read.schema(schema).option("multiLine", True).option("header", True).option("escape", '"').csv(path)
 
 
 def csv_round_trip(rows: DataFrame, order: list[str]) -> DataFrame:

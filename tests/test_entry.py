@@ -18,7 +18,7 @@ def test_entry_without_the_subpackage(tmp_path):
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm"))
     assert (copy / "corpus_pipeline.py").exists()
     code = "import __spark_entry__ as e, bench; q = e.queries(); assert len(q) > 100 and not any(n == 'pipeline' or n.startswith('op') and n[2:3].isdigit() for n in q); assert set(e.oracle_sql()) <= set(q)"
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(filter(None, [str(copy), os.environ.get("PYTHONPATH")]))}
     for lost in ((), ("corpus_pipeline.py",)):
         for name in lost:
             (copy / name).unlink()
@@ -39,6 +39,24 @@ def test_cleared_deletes_what_was_made_inside(spark):
         spark.read.parquet(inner)
 
 
+def test_queries_run_where_no_folder_is_set(tmp_path):
+    """A session of its own, without defaults: it can't be told a checkpoint folder once it runs."""
+    code = """
+from recallspark.session import CHECKPOINT_DIR, local_session, shared_dir
+spark = local_session(2, 2)
+assert spark.conf.get(CHECKPOINT_DIR, None) is None
+assert shared_dir(spark) == shared_dir(spark)
+import __spark_entry__ as e
+for name in ("hybrid_search", "op9_simhash"):
+    if name in e.queries():
+        assert e.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+"""
+    (tmp_path / "conf").mkdir()
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path / "conf"), "PYTHONPATH": os.pathsep.join(filter(None, [str(ROOT), os.environ.get("PYTHONPATH")]))}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-3000:]
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Conf(dict):
         def set(self, key, value):
