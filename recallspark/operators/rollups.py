@@ -52,6 +52,24 @@ def spend_series(calls: DataFrame, unit: str) -> DataFrame:
     return found.select("bucket", F.col("n").cast("long").alias("calls"), F.coalesce(usd(F.col("cost")), F.lit(0.0)).alias("cost_usd"), share.alias("groups"))
 
 
+def spend_series_by(calls: DataFrame, key: str) -> DataFrame:
+    """``key, unit, bucket, calls, cost_usd``: for each key a series of its own, in the unit that suits its span, empty buckets included.
+
+    The unit is chosen in the plan, from each key's first and last call; a key has some 60 buckets, or one a
+    month of its span.
+    """
+    spans = calls.groupBy(key).agg(F.min("created_at").alias("first"), F.max("created_at").alias("last")).where("first is not null")
+    spans = spans.withColumn("unit", bucket_unit(F.col("first"), F.col("last")))
+    trunc = lambda at: F.call_function("date_trunc", F.col("unit"), at).cast("timestamp_ntz")
+    # What a key has more than one row of is joined to the one row that it has of its span.
+    by = calls.join(spans.select(key, "unit"), key).groupBy(key, trunc(F.col("created_at")).alias("bucket")).agg(F.count("*").alias("calls"), F.sum("cost_usd").alias("cost"))
+    steps = {"day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAY", "month": "INTERVAL 1 MONTH"}
+    whole = lambda unit: F.sequence(trunc(F.col("first")), trunc(F.col("last")), F.expr(steps[unit]))
+    grid = spans.select(key, "unit", F.explode(F.when(F.col("unit") == "day", whole("day")).when(F.col("unit") == "week", whole("week")).otherwise(whole("month"))).alias("bucket"))
+    found = grid.join(by, [key, "bucket"], "left")
+    return found.select(key, "unit", "bucket", F.coalesce("calls", F.lit(0)).cast("long").alias("calls"), F.coalesce(usd(F.col("cost")), F.lit(0.0)).alias("cost_usd"))
+
+
 def page(rows: DataFrame, order: Sequence[Column], size: int, number: int) -> DataFrame:
     """One page under a total order, with the whole count on each row; a page beyond the last is the last."""
     counted = rows.count()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.functions import calendar as c
+from recallspark.operators import intervals
 from recallspark.operators.places import placed
 
 
@@ -280,10 +281,8 @@ def focus_rank(items: DataFrame, now: str, most: int) -> DataFrame:
 
 
 def on_days(events: DataFrame, days: DataFrame) -> DataFrame:
-    """Events by the days they touch: each event's own days are listed, then joined by equality."""
-    last = F.greatest(F.to_date("start_at"), F.to_date(F.col("end_at") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0.000001))))
-    spread = events.withColumn("day", F.explode(F.sequence(F.to_date("start_at"), last)))
-    return spread.join(days, "day")
+    """Events by the days they touch, by way of a few bins for each event, however long it is."""
+    return intervals.touching(events, days)
 
 
 def matrix(items: DataFrame, kinds: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recallspark.functions import predicates as p
+from recallspark.functions import filters, predicates as p
 from recallspark.plans.book import Book
 from recallspark.sources import views as v
 from recallspark.sources.views import ORDER_NOW, ctes
@@ -30,6 +30,30 @@ def stale_thoughts(spark, d):
     return _marked(spark, d).select("id", p.is_stale(F.col("created_at"), F.col("category"), F.col("metadata"), ORDER_NOW, 365).alias("stale"))
 
 
+def _authored(spark, d):
+    i = F.col("id")
+    author = F.when((i % 3 == 0) | (i % 7 == 0), "agent").otherwise("user")
+    return _marked(spark, d).withColumns({"author": author, "author_key": F.when(i % 3 == 0, (i % 4).cast("string")), "author_label": F.when(i % 7 == 0, F.lit("bot"))})
+
+
+_AUTHORED = ctes("v_thought") + _META + ", au AS (SELECT *, CASE WHEN id % 3 = 0 OR id % 7 = 0 THEN 'agent' ELSE 'user' END AS author, CASE WHEN id % 3 = 0 THEN (id % 4)::VARCHAR END AS author_key, CASE WHEN id % 7 = 0 THEN 'bot' END AS author_label, lifecycle = 'open' AND coalesce(json_extract_string(metadata, '$.status'), '') NOT IN ('completed', 'archived') AS active FROM m) "
+
+
+@BOOK.query(_AUTHORED + "SELECT id, created_at FROM au WHERE active AND category = 'task' AND created_at >= TIMESTAMP '1996-03-01' AND created_at <= TIMESTAMP '1997-09-01' ORDER BY created_at DESC, id DESC LIMIT 100")
+def thoughts_by_dates(spark, d):
+    return filters.thoughts(_authored(spark, d), 500, category="task", date_from="1996-03-01", date_to="1997-09-01", author=None).select("id", "created_at")
+
+
+@BOOK.query(_AUTHORED + "SELECT id, created_at FROM au WHERE active AND author <> 'user' AND author_key = '2' AND (created_at < TIMESTAMP '1997-05-05' OR created_at = TIMESTAMP '1997-05-05' AND id < 7000) ORDER BY created_at DESC, id DESC LIMIT 50")
+def thoughts_after_page(spark, d):
+    return filters.thoughts(_authored(spark, d), 50, layer="apikey:2", cursor=("1997-05-05", 7000)).select("id", "created_at")
+
+
+@BOOK.query(_AUTHORED + "SELECT id, created_at FROM au WHERE author <> 'user' AND author_key IS NULL AND author_label = 'bot' AND user_id = 7 ORDER BY created_at DESC, id DESC LIMIT 20")
+def thoughts_of_a_label(spark, d):
+    return filters.thoughts(_authored(spark, d), layer="label:bot", tenant=7, active=False).select("id", "created_at")
+
+
 @BOOK.query(ctes("v_thought") + "SELECT CASE WHEN id % 3 = 0 THEN 'apikey:' || (id % 4) WHEN id % 7 = 0 THEN 'label:bot' ELSE 'user' END AS layer, count(*) AS n FROM v_thought GROUP BY 1")
 def thoughts_by_author(spark, d):
     i = F.col("id")

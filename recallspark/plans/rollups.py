@@ -36,6 +36,19 @@ def _series(unit: str) -> str:
 SELECT t.bucket, coalesce(calls, 0)::BIGINT AS calls, coalesce(round(cost::DOUBLE, 6), 0.0)::DOUBLE AS cost_usd, floor(coalesce(calls, 0) * g::DOUBLE / n + 0.5)::BIGINT AS groups FROM t LEFT JOIN b USING (bucket)"""
 
 
+@BOOK.query("""WITH c AS (SELECT o_custkey % 4 AS account, DATE '1995-01-03' + (o_orderkey * 7 % [10, 100, 400, 1][(o_custkey % 4 + 1)::INT])::INT AS day, o_totalprice::DECIMAL(18,6) AS cost FROM orders)
+, s AS (SELECT account, min(day) AS a, max(day) AS b, CASE WHEN max(day) - min(day) <= 31 THEN 'day' WHEN max(day) - min(day) <= 180 THEN 'week' ELSE 'month' END AS unit FROM c GROUP BY 1)
+, g AS (SELECT account, unit, unnest(CASE unit WHEN 'day' THEN generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 DAY) WHEN 'week' THEN generate_series(date_trunc('week', a)::TIMESTAMP, date_trunc('week', b)::TIMESTAMP, INTERVAL 7 DAY) ELSE generate_series(date_trunc('month', a)::TIMESTAMP, date_trunc('month', b)::TIMESTAMP, INTERVAL 1 MONTH) END) AS bucket FROM s)
+, n AS (SELECT account, date_trunc(unit, day)::TIMESTAMP AS bucket, count(*) AS calls, sum(cost) AS cost FROM c JOIN s USING (account) GROUP BY 1, 2)
+SELECT account, unit, bucket, coalesce(calls, 0)::BIGINT AS calls, coalesce(round(cost::DOUBLE, 6), 0) AS cost_usd FROM g LEFT JOIN n USING (account, bucket)""")
+def spend_series_adaptive(spark, d):
+    # Accounts whose calls lie within ten, a hundred, four hundred days and one.
+    span = F.element_at(F.array(*map(F.lit, (10, 100, 400, 1))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    day = F.date_add(F.lit("1995-01-03").cast("date"), (F.col("o_orderkey") * 7 % span).cast("int"))
+    calls = v.table(spark, d, "orders").select((F.col("o_custkey") % 4).alias("account"), day.cast("timestamp_ntz").alias("created_at"), F.col("o_totalprice").cast("decimal(18,6)").alias("cost_usd"))
+    return op.spend_series_by(calls, "account")
+
+
 @BOOK.query(_series("day"))
 def spend_series_day(spark, d):
     return op.spend_series(v.calls(spark, d), "day")

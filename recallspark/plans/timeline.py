@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from recallspark.functions import calendar as c
+from recallspark.functions import calendar as c, recurrence
 from recallspark.operators import graph, planner, timeline as op
 from recallspark.operators.rollups import keyset_page
 from recallspark.plans.book import Book
@@ -84,6 +84,31 @@ def rrule_expand(spark, d):
     return o.select(F.col("o_orderkey").alias("id"), F.explode(times).alias("at_time"))
 
 
+def rules(spark, d):
+    """A rule for each order: by days, weeks, weekdays and months in turn, some with an end or a count."""
+    k, none = F.col("o_orderkey"), F.lit(None)
+    freq = F.element_at(F.array(*map(F.lit, ("DAILY", "WEEKLY", "WEEKLY", "MONTHLY"))), (k % 4 + 1).cast("int"))
+    byday = F.when(k % 4 == 2, F.array(F.lit(1), F.lit(3), (k % 7 + 1).cast("int")))
+    until = F.when(k % 3 == 1, c.at("1999-02-11"))
+    count = F.when(k % 5 == 0, F.lit(4)).otherwise(none.cast("int"))
+    return v.table(spark, d, "orders").select(k.alias("id"), freq.alias("freq"), (k % 3 + 1).cast("int").alias("interval"), count.alias("count"), until.alias("until"), byday.alias("byday"), F.col("o_orderdate").alias("start"))
+
+
+@BOOK.query("""WITH RECURSIVE o AS (SELECT o_orderkey AS id, o_orderdate::TIMESTAMP AS s, (o_orderkey % 3 + 1)::INT AS step, o_orderkey % 4 AS k, CASE WHEN o_orderkey % 3 = 1 THEN TIMESTAMP '1999-02-11' END AS until, CASE WHEN o_orderkey % 5 = 0 THEN 4 END AS most, [1, 3, o_orderkey % 7 + 1] AS days FROM orders)
+, mo(id, at_time, i) AS (SELECT id, s, 0 FROM o WHERE k = 3 UNION ALL SELECT mo.id, date_trunc('month', at_time) + to_months(step) + (at_time - date_trunc('month', at_time)), i + 1 FROM mo JOIN o USING (id) WHERE i < 499 AND at_time < TIMESTAMP '1999-03-01')
+, da AS (SELECT id, s + to_days((i * CASE k WHEN 0 THEN step WHEN 1 THEN step * 7 ELSE 1 END)::INT) AS at_time, i FROM o, range(500) r(i) WHERE k < 3)
+, x AS (SELECT * FROM mo UNION ALL SELECT * FROM da), y AS (SELECT x.id, at_time, i, most, row_number() OVER (PARTITION BY x.id ORDER BY i) AS n FROM x JOIN o USING (id) WHERE at_time >= TIMESTAMP '1998-06-01' AND at_time < TIMESTAMP '1999-03-01' AND (until IS NULL OR at_time <= until) AND (k <> 2 OR list_contains(days, isodow(at_time))))
+SELECT id, at_time FROM y WHERE most IS NULL OR n <= most""")
+def rrule_kinds(spark, d):
+    times = c.occurrences(*map(F.col, ("freq", "interval", "count", "until", "byday", "start")), c.at("1998-06-01"), c.at("1999-03-01"))
+    return rules(spark, d).select("id", F.explode(times).alias("at_time"))
+
+
+@BOOK.query()
+def rrule_strict(spark, d):
+    return recurrence.expanded(rules(spark, d), c.at("1998-06-01"), c.at("1999-03-01")).select("id", "at_time", "n")
+
+
 @BOOK.query(_E + "SELECT user_id, (list(event_id ORDER BY start_at, event_id))[1] AS earliest, (list(event_id ORDER BY start_at DESC, event_id DESC))[1] AS latest FROM v_event GROUP BY 1 HAVING count(*) >= 2")
 def solver_ordering(spark, d):
     return op.solve_ordering(v.events(spark, d))
