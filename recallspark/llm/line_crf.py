@@ -25,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.llm.rows import batches, texts
+from recallspark.session import written
 
 #: Documents that are learned from at most: those whose ids hash lowest.
 SAMPLE = 3000
@@ -36,6 +37,9 @@ SAMPLE = 3000
 #: Lines of one document that are learned from at most, as even runs of ``RUN`` lines over the whole text.
 MOST_LINES, RUN = 2000, 250
 
+#: Lines of all documents that are learned from at most.
+SAMPLE_LINES = 250_000
+
 #: Lines, filling included, that one group of documents has at most, but for a single longer one.
 CELLS = 1 << 16
 
@@ -96,14 +100,18 @@ class Lines:
 
     def with_neighbours(self, start: int, stop: int) -> np.ndarray:
         """Each line beside the one before and the one after."""
-        x = self.looks(start - 1, stop + 1)
-        return np.hstack([x[1:-1], x[:-2], x[2:]])
+        return beside(self.looks(start - 1, stop + 1))
 
     def scores(self, weights: np.ndarray, step: int = 4096) -> np.ndarray:
         """Each line's score for good, some lines at a time."""
         return np.concatenate([self.with_neighbours(a, min(a + step, len(self))) @ weights for a in range(0, len(self), step)])
 
 
+def beside(x: np.ndarray) -> np.ndarray:
+    """All but the first and last of these lines, each beside the one before and the one after."""
+    return np.hstack([x[1:-1], x[:-2], x[2:]])
+
+
 def runs(n: int, most: int = MOST_LINES, run: int = RUN) -> list[tuple[int, int]]:
     """The whole of n lines, or even runs over them that come to ``most``."""
     if n <= most:
@@ -271,11 +279,13 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    """A chain fitted to at most ``sample`` labelled documents outside the held-out fifth.
+def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> Chain:
+    """A chain fitted to at most ``sample`` labelled documents outside the held-out fifth, and at most ``lines`` lines of them.
 
-    The sample is drawn among the labels alone, so that only its own texts leave the scan. One text of each
-    reaches the next step, and of at most ``MOST_LINES`` of its lines what they look like reaches the driver.
+    The sample is drawn among the labels alone, so that only its own texts leave the scan. One text of each is
+    looked at, by at most ``MOST_LINES`` of its lines; documents are taken in order of a hash of their ids as
+    long as their lines come to no more than ``lines`` (the first one in any case). What reaches the driver is
+    ``LOOKS`` floats of each of these lines: 13 MB, however many and long the texts are.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -284,17 +294,24 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
         for batch in found:
             rows = []
             for doc_id, quality, text in zip(batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist(), texts(batch)):
-                lines = Lines(text)
-                sizes = lines.sizes()
-                rows += [(doc_id, quality, a, lines.with_neighbours(a, b).ravel(), sizes[a:b]) for a, b in runs(len(lines))]
+                known = Lines(text)
+                sizes = known.sizes()
+                # Each run with the line before and the one after it, from which its neighbours are told.
+                rows += [(doc_id, quality, a, known.looks(a - 1, b + 1).astype(np.float32).ravel(), sizes[a:b].astype(np.float32)) for a, b in runs(len(known))]
             columns = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "quality", "start", "x", "size"])
 
     # ``chosen`` has no more rows than ``sample``, which is why it may be sent to every task.
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", F.col("quality").cast("int").alias("quality")).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
-    rows = batches(joined.select("doc_id", "quality", "t.text"), 32).mapInArrow(run, "doc_id long, quality int, start long, x array<double>, size array<double>").toArrow().sort_by([("doc_id", "ascending"), ("start", "ascending")])
-    return fit([(x.values.to_numpy().reshape(-1, 3 * LOOKS), size.values.to_numpy(), y) for x, size, y in zip(rows.column("x"), rows.column("size"), rows.column("quality").to_pylist())])
+    texts_ = written(joined.select("doc_id", "quality", "t.text"), "labelled")
+    # One row a document of the sample: their running sum is no large window.
+    many = F.least(F.regexp_count(F.coalesce("text", F.lit("")), F.lit("\n")) + 1, F.lit(MOST_LINES))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    few = texts_.select("doc_id", many.alias("n")).withColumns({"all": F.sum("n").over(order), "place": F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))}).where((F.col("all") <= lines) | (F.col("place") == 1))
+    looked = batches(texts_.join(F.broadcast(few.select("doc_id")), "doc_id").select("doc_id", "quality", "text"), 32).mapInArrow(run, "doc_id long, quality int, start long, x array<float>, size array<float>")
+    rows = looked.toArrow().sort_by([("doc_id", "ascending"), ("start", "ascending")])
+    return fit([(beside(x.values.to_numpy().astype(float).reshape(-1, LOOKS)), size.values.to_numpy().astype(float), y) for x, size, y in zip(rows.column("x"), rows.column("size"), rows.column("quality").to_pylist())])
 
 
 def scored(docs: DataFrame, chain: Chain, threshold: float = 0.3) -> DataFrame:

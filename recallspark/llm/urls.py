@@ -7,7 +7,7 @@ beginning of its path, of a length that some listed path has. The Bloom filter,
 false hits. A page that no rule fits is not listed and gets ``allow``.
 
 Rules for odd input: a null url or one without ``://`` has empty host and path. Hosts are lower-cased in
-A-Z only. Repeated rows are judged each for itself. A list without rules allows every page; of rules equal
+A-Z only. Of a very long host only as many labels are looked up as the longest listed host has. Repeated rows are judged each for itself. A list without rules allows every page; of rules equal
 in host and path the blocking one holds. An empty table gives an empty result. Other columns are carried
 through by ``judged``; those named like a result are replaced.
 """
@@ -25,11 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallspark.llm.rows import batches
-from recallspark.session import new_folder
+from recallspark.session import new_folder, written
 
 #: Bits of one block, and bits set in it for each key.
 BLOCK_BITS, KEY_BITS = 512, 8
 
+#: Look-ups that make a key hot, and hot keys that are sent to all tasks at most.
+HOT, SENT = 10_000, 50_000
+
 #: Blocks a filter has at most: 64 MB, which is what is sent to the executors however long the list is.
 MOST_BLOCKS = 1 << 20
 
@@ -93,17 +96,33 @@ def may_hold(lines: np.ndarray, keys: list[bytes]) -> np.ndarray:
     return ((words >> (bits % 64).astype(np.uint64)) & np.uint64(1)).all(axis=1)
 
 
-def lookups(host: str, path: str, lengths: Sequence[int]) -> list[str]:
-    """Keys under which a page may be listed, the longest first."""
+def lookups(host: str, path: str, lengths: Sequence[int], labels: int = 127) -> list[str]:
+    """Keys under which a page may be listed, the longest first; no listed host has more than ``labels`` labels."""
     if not host:
         return []
-    labels = host.split(".")
-    hosts = [".".join(labels[i:]) for i in range(len(labels))]
+    # What is left of the last labels stays in one piece, and is a label more only where that is the whole host.
+    last = host.rsplit(".", labels)
+    last = last[1:] if len(last) > labels else last
+    hosts = [".".join(last[i:]) for i in range(len(last))]
     starts = [path[:n] for n in lengths if n <= len(path)]
     found = [h + (p if p.startswith("/") else "\x00" + p) for h in hosts for p in starts]
     return sorted(found, key=len, reverse=True)
 
 
+def _told(hits: DataFrame, listed: DataFrame) -> DataFrame:
+    """Look-ups that hit the list. Rules that very many look-ups hit are sent to where these are, the others joined by shuffle.
+
+    A look-up that hits nothing is dropped. There are at most as many hot keys as look-ups over ``HOT``; the
+    commonest ``SENT`` of them are sent.
+    """
+    hot = written(hits.groupBy("key").count().where(F.col("count") > HOT).orderBy(F.desc("count"), "key").limit(SENT).select("key"), "hot")
+    if hot.isEmpty():
+        return hits.join(listed, "key")
+    rules = F.broadcast(hot.join(listed, "key", "left"))
+    marked = hits.join(rules, "key").where(F.col("rule").isNotNull())
+    return marked.unionByName(hits.join(F.broadcast(hot), "key", "left_anti").join(listed, "key"))
+
+
 def judged(pages: DataFrame, rules: DataFrame, *, url: str = "url") -> DataFrame:
     """``pages`` with ``host, path, rule, verdict``."""
     spark = pages.sparkSession
@@ -111,6 +130,7 @@ def judged(pages: DataFrame, rules: DataFrame, *, url: str = "url") -> DataFrame
     listed = listed.groupBy("key").agg(F.max_by(F.struct("rule", "verdict"), F.col("verdict") == "block").alias("r"), F.first("n").alias("n")).select("key", "r.rule", "r.verdict", "n")
     # One number for each length that listed paths have, none beyond the longest path.
     lengths = sorted((r[0] for r in listed.select("n").distinct().collect()), reverse=True)
+    labels = rules.agg(F.coalesce(F.max(F.regexp_count(F.coalesce("host", F.lit("")), F.lit("[.]"))), F.lit(0)) + 1).first()[0]
     lines = spark.sparkContext.broadcast(bloom(listed))
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     inner = [f"c{i}" for i in range(len(names))]
@@ -120,7 +140,7 @@ def judged(pages: DataFrame, rules: DataFrame, *, url: str = "url") -> DataFrame
 
     def passed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            of = [lookups(h, p, lengths) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())]
+            of = [lookups(h, p, lengths, labels) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())]
             hit = may_hold(lines.value, [k.encode() for keys in of for k in keys])
             at, hits = 0, []
             for keys in of:
@@ -133,7 +153,7 @@ def judged(pages: DataFrame, rules: DataFrame, *, url: str = "url") -> DataFrame
     batches(rows, 2048).mapInArrow(passed, schema).withColumn("row", F.monotonically_increasing_id()).write.parquet(path_)
     marked = spark.read.schema(T.StructType([*schema.fields, T.StructField("row", T.LongType())])).parquet(path_)
     hits = marked.where(F.size("keys") > 0).select("row", F.posexplode("keys").alias("place", "key"))
-    best = hits.join(listed.select("key", "rule", "verdict"), "key").groupBy("row").agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.char_length("rule"), F.col("place"))).alias("r"))
+    best = _told(hits, listed.select("key", "rule", "verdict")).groupBy("row").agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.char_length("rule"), F.col("place"))).alias("r"))
     ruled = marked.where(F.size("keys") > 0).join(best, "row", "left").withColumn("rule", F.col("r.rule")).withColumn("verdict", F.coalesce("r.verdict", F.lit("allow"))).drop("r")
     rest = marked.where(F.size("keys") == 0).withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit("allow"))
     out = ruled.unionByName(rest)
