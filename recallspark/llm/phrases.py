@@ -34,11 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallspark.llm.rows import batches
+from recallspark.llm.rows import batches, freed
 from recallspark.session import dropped, written
 
 #: Words that a task holds at most before it makes the fullest language's a shard.
-SHARD = 1 << 20
+SHARD = 1 << 19
 
 #: Bits of a path's hash that are dropped before hashes are moved; 40 are left.
 DROPPED_BITS = np.uint64(24)
@@ -63,7 +63,8 @@ def _shards(docs: DataFrame, lang: str, text: str, depth: int) -> DataFrame:
     places after them are the beginning of the next shard of the same piece.
     """
 
-    def shard(lang: str, words: dict[bytes, int], ids: list[int], own: int) -> pa.RecordBatch:
+    def shard(lang: str, words: defaultdict[bytes, int], ids: list[int], own: int) -> pa.RecordBatch:
+        words.default_factory = None  # else it holds itself, and waits for the collector of cycles
         known = sorted(words)
         rank = np.empty(len(known) + 1, np.int32)
         rank[[words[w] for w in known]] = np.arange(len(known), dtype=np.int32)
@@ -279,7 +280,8 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, first: int
     A phrase needs ``least`` occurrences. It is dropped for a longer one of as many, that holds it and has at
     least ``covered`` percent of its occurrences.
     """
-    found, words = levels(docs, least, longest, lang=lang, text=text)
+    with freed(docs.sparkSession):
+        found, words = levels(docs, least, longest, lang=lang, text=text)
     rows = None
     for depth, nodes in enumerate(found[1:], 2):
         rows = nodes.withColumn("m", F.lit(depth)) if rows is None else rows.unionByName(nodes.withColumn("m", F.lit(depth)))

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than blank, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Documents that one Arrow batch holds at most; long texts make batches large.
 ROWS_A_BATCH = 256
 
@@ -46,6 +49,17 @@ def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(column, type=field.type) for column, field in zip(zip(*held), schema)], schema=schema)
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that are made and run inside go when the query ends, not when the driver collects its garbage."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def word_count(text) -> "F.Column":
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
