@@ -190,7 +190,9 @@ def found(docs: DataFrame, shortest: int = 24, *, edit: Edit | None = None, id_c
             for words in _grouped(batch, id_at, text_at, edit):
                 number: dict[bytes, int] = defaultdict()
                 number.default_factory = number.__len__
-                runs = runs_of([np.array([number[w] for w in x], np.int64) for x in words], shortest)
+                numbers = [np.array([number[w] for w in x], np.int64) for x in words]
+                number.default_factory = None  # else it holds itself, and waits for the collector of cycles
+                runs = runs_of(numbers, shortest)
                 part = batch.slice(at, len(words))
                 at += len(words)
                 made = [pa.array([len(x) for x in words], pa.int64()), pa.array([[told(r) for r in x] for x in runs], pa.list_(kind)), pa.array([told(best_of(x)) for x in runs], kind), pa.array([collapsed(x, r) for x, r in zip(words, runs)], pa.binary()).cast(pa.string())]
