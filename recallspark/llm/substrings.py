@@ -13,9 +13,10 @@ the one of least hash is its anchor, the same wherever the window stands, so a w
 anchor does. About one place in twenty is an anchor; the first level looks only at places inside windows
 whose anchor repeats.
 
-A level moves hashes and numbers of documents, never texts. Counts are grouped sums with map-side
-combination, and documents are told what to drop by lists made of these sums, so a passage that a third of
-all documents share meets in no single task.
+A level moves hashes and keys of rows (a hash of number and text), never texts. Counts are grouped sums with
+map-side combination, and each row is told what to drop by a list made of these sums, so a passage that a
+third of all documents share meets in no single task, and no list is longer than one text's windows, however
+many rows have one number or none.
 
 Rules for odd input: a null text has no words, nothing of it is removed and what is kept is the empty
 text. Documents shorter than the window lose nothing. Rows of equal ``doc_id`` are one document to the
@@ -135,7 +136,7 @@ def doubled(at: np.ndarray, hashes: np.ndarray, old: int, new: int) -> tuple[np.
 
 
 def _first_level(docs: DataFrame, window: int, first: int) -> DataFrame:
-    """``doc, digest, n_words`` and the anchors' hashes, one row a document."""
+    """``doc, key, digest, n_words`` and the anchors' hashes, one row a document."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -146,32 +147,32 @@ def _first_level(docs: DataFrame, window: int, first: int) -> DataFrame:
                 sizes.append(len(words))
                 keys = window_hashes(word_hashes(words), first)[0] if len(words) >= window else np.zeros(0, np.uint64)
                 hashes.append(np.unique(keys[anchors(keys, window - first + 1)]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), _listed(hashes, pa.int64())], ["doc", "digest", "n_words", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), _listed(hashes, pa.int64())], ["doc", "key", "digest", "n_words", "hashes"])
 
-    return docs.mapInArrow(run, "doc long, digest binary, n_words int, hashes array<long>")
+    return docs.mapInArrow(run, "doc long, key long, digest binary, n_words int, hashes array<long>")
 
 
 #: What a document carries from level to level: sorted places of windows and two lanes of their hashes.
-STATE = "doc long, digest binary, at array<int>, h array<long>, g array<long>"
+STATE = "doc long, key long, digest binary, at array<int>, h array<long>, g array<long>"
 
 
-def _states(rows: list[tuple[int, bytes, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    docs, digests, places, hashes = zip(*rows) if rows else ((), (), (), ())
-    columns = [pa.array(docs, pa.int64()), pa.array(digests, pa.binary()), _listed([p.astype(np.int32) for p in places], pa.int32())]
+def _states(rows: list[tuple[int, int, bytes, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    docs, keys, digests, places, hashes = zip(*rows) if rows else ((), (), (), (), ())
+    columns = [pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), _listed([p.astype(np.int32) for p in places], pa.int32())]
     columns += [_listed([x[lane].astype(np.int64) for x in hashes], pa.int64()) for lane in (0, 1)]
-    return pa.RecordBatch.from_arrays(columns, ["doc", "digest", "at", "h", "g"])
+    return pa.RecordBatch.from_arrays(columns, ["doc", "key", "digest", "at", "h", "g"])
 
 
 def _placed(docs: DataFrame, window: int, first: int) -> DataFrame:
-    """State of the first level, of ``docs`` (``doc, text, own, dead``) that stand for their words.
+    """State of the first level, of ``docs`` (``doc, key, text, own, dead``) that stand for their words.
 
-    ``dead`` are anchors that start in no other document.
+    ``dead`` are anchors that start in no other row.
     """
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             rows = []
-            for doc, text, own, dead in zip(batch.column("doc").to_pylist(), texts(batch), batch.column("own").to_pylist(), batch.column("dead")):
+            for doc, key, text, own, dead in zip(batch.column("doc").to_pylist(), batch.column("key").to_pylist(), texts(batch), batch.column("own").to_pylist(), batch.column("dead")):
                 words = words_of(text)
                 if len(words) < window or (digest := digest_of(words)) not in own:
                     continue
@@ -184,38 +185,38 @@ def _placed(docs: DataFrame, window: int, first: int) -> DataFrame:
                 inside = np.cumsum(np.r_[alive, np.zeros(window - first, bool)].astype(np.int64) - np.r_[np.zeros(window - first + 1, np.int64), alive[:-1]][: hashes.shape[1]]) > 0
                 at = np.flatnonzero(inside)
                 if len(at):
-                    rows.append((doc, digest, at, hashes[:, at]))
+                    rows.append((doc, key, digest, at, hashes[:, at]))
             yield _states(rows)
 
     return docs.mapInArrow(run, STATE)
 
 
 def _next_level(state: DataFrame, old: int, new: int) -> DataFrame:
-    """State of the next level of ``state`` with ``dead``, the hashes that start in no other document."""
+    """State of the next level of ``state`` with ``dead``, the hashes that start in no other row."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             rows = []
-            for doc, digest, at, h, g, dead in zip(batch.column("doc").to_pylist(), batch.column("digest").to_pylist(), *(batch.column(c) for c in ("at", "h", "g", "dead"))):
+            for doc, key, digest, at, h, g, dead in zip(*(batch.column(c).to_pylist() for c in ("doc", "key", "digest")), *(batch.column(c) for c in ("at", "h", "g", "dead"))):
                 at, h, g = at.values.to_numpy(), h.values.to_numpy(), g.values.to_numpy()
                 if dead.is_valid:
                     live = ~np.isin(h, dead.values.to_numpy())
                     at, h, g = at[live], h[live], g[live]
                 at, hashes = doubled(at, np.stack([h, g]).astype(np.uint64), old, new)
                 if len(at):
-                    rows.append((doc, digest, at, hashes))
+                    rows.append((doc, key, digest, at, hashes))
             yield _states(rows)
 
     return state.mapInArrow(run, STATE)
 
 
 def _gone(state: DataFrame) -> DataFrame:
-    """``doc, digest, at``: places of windows of ``state`` that are not among ``keeps``, those that start nowhere before."""
+    """``key, digest, at``: places of windows of ``state`` that are not among ``keeps``, those that start nowhere before."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            docs, digests, places = [], [], []
-            for doc, digest, at, h, g, keeps in zip(batch.column("doc").to_pylist(), batch.column("digest").to_pylist(), *(batch.column(c) for c in ("at", "h", "g", "keeps"))):
+            rows, digests, places = [], [], []
+            for key, digest, at, h, g, keeps in zip(batch.column("key").to_pylist(), batch.column("digest").to_pylist(), *(batch.column(c) for c in ("at", "h", "g", "keeps"))):
                 at, pair = at.values.to_numpy(), np.stack([h.values.to_numpy(), g.values.to_numpy()])
                 if keeps.is_valid:
                     fields = keeps.values
@@ -225,37 +226,50 @@ def _gone(state: DataFrame) -> DataFrame:
                     number = number.ravel()
                     at = at[~np.isin(number[: len(at)], number[len(at) :])]
                 if len(at):
-                    docs.append(doc)
+                    rows.append(key)
                     digests.append(digest)
                     places.append(at.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(digests, pa.binary()), _listed(places, pa.int32())], ["doc", "digest", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(digests, pa.binary()), _listed(places, pa.int32())], ["key", "digest", "at"])
 
-    return state.mapInArrow(run, "doc long, digest binary, at array<int>")
+    return state.mapInArrow(run, "key long, digest binary, at array<int>")
 
 
-def repeated_windows(rows: DataFrame, long: DataFrame, own: DataFrame, window: int, start: int) -> DataFrame:
-    """``doc, digest, at``: where windows start that also start in a document of smaller number.
+def _keeps(state: DataFrame, stood: DataFrame) -> DataFrame:
+    """``key, keeps``: the windows of each row that start in no document of smaller number.
 
-    ``rows``: doc, text. ``long``: doc, digest, hashes of anchors. ``own``: doc, own (the digests that the
-    document stands for).
+    A window is told to the least row that has it. Other texts of the same number are told by a join, which
+    needs only those numbers that have several texts.
+    """
+    windows = lambda rows: rows.select("doc", "key", F.explode(F.arrays_zip("h", "g")).alias("x")).select("doc", "key", "x.h", "x.g")
+    first = windows(state).groupBy("h", "g").agg(F.min(F.struct("doc", "key")).alias("f")).select("f.doc", "f.key", "h", "g")
+    crowded = written(stood.where(F.col("doc") > LEAST).groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "crowded")
+    if not crowded.isEmpty():
+        first = written(first, "first")
+        others = windows(state.join(crowded, "doc", "left_semi")).join(first.select("doc", "h", "g"), ["doc", "h", "g"])
+        first = first.unionByName(others).distinct()
+    return first.where(F.col("doc") > LEAST).groupBy("key").agg(F.collect_list(F.struct("h", "g")).alias("keeps"))
+
+
+def repeated_windows(rows: DataFrame, long: DataFrame, stood: DataFrame, window: int, start: int) -> DataFrame:
+    """``key, digest, at``: where windows start that also start in a document of smaller number.
+
+    ``rows``: doc, key, text. ``long``: key, digest, hashes of anchors. ``stood``: doc, key, digest of the
+    rows that stand for their words.
     """
     spark, levels = rows.sparkSession, lengths(window, start)
-    stands = long.join(own, "doc").where(F.array_contains("own", F.col("digest")))
-    alone = lambda df, *keys: df.groupBy(*keys).agg(F.min("doc").alias("doc"), F.max("doc").alias("high")).where("doc = high")
-    # Documents without a number are smaller than all others and lose nothing: they need not be told.
-    told = lambda df: df.where(F.col("doc") > LEAST).groupBy("doc")
-    dead = told(alone(stands.select("doc", F.explode("hashes").alias("a")), "a")).agg(F.collect_list("a").alias("dead"))
-    state = written(_placed(batches(rows.join(own.join(dead, "doc", "left"), "doc")), window, levels[0]), "windows")
+    own = stood.groupBy("key").agg(F.collect_list("digest").alias("own"))
+    alone = lambda df, h: df.groupBy(h).agg(F.min("key").alias("key"), F.max("key").alias("high")).where("key = high").groupBy("key").agg(F.collect_list(h).alias("dead"))
+    dead = alone(long.join(stood, ["key", "digest"], "left_semi").select("key", F.explode("hashes").alias("a")), "a")
+    state = written(_placed(batches(rows.join(own.join(dead, "key", "left"), "key")), window, levels[0]), "windows")
     for old, new in zip(levels, levels[1:]):
         if state.isEmpty():
             break
-        dead = told(alone(state.select("doc", F.explode(F.array_distinct("h")).alias("h")), "h")).agg(F.collect_list("h").alias("dead"))
-        longer = written(_next_level(batches(state.join(dead, "doc", "left")), old, new), "windows")
+        dead = alone(state.select("key", F.explode(F.array_distinct("h")).alias("h")), "h")
+        longer = written(_next_level(batches(state.join(dead, "key", "left")), old, new), "windows")
         dropped(spark, state)
         state = longer
-    first = state.select("doc", F.explode(F.arrays_zip("h", "g")).alias("x")).groupBy("x.h", "x.g").agg(F.min("doc").alias("doc"))
-    keeps = told(first).agg(F.collect_list(F.struct("h", "g")).alias("keeps"))
-    return _gone(batches(state.where(F.col("doc") > LEAST).join(keeps, "doc", "left")))
+    # Documents without a number are smaller than all others and lose nothing: they need not be told.
+    return _gone(batches(state.where(F.col("doc") > LEAST).join(_keeps(state, stood), "key", "left")))
 
 
 def removed_words(docs: DataFrame, window: int = 50, *, start: int = 16) -> DataFrame:
@@ -267,15 +281,15 @@ def removed_words(docs: DataFrame, window: int = 50, *, start: int = 16) -> Data
     added = ["n_words", "n_removed", "kept"]
     docs = docs.drop(*added)
     names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
-    rows = docs.toDF(*names).withColumn("doc", F.coalesce(F.col(names[docs.columns.index("doc_id")]).cast("long"), F.lit(LEAST)))
-    texts_ = rows.select("doc", "text")
+    rows = docs.toDF(*names).withColumn("doc", F.coalesce(F.col(names[docs.columns.index("doc_id")]).cast("long"), F.lit(LEAST))).withColumn("key", F.xxhash64("doc", "text"))
+    texts_ = rows.select("doc", "key", "text")
     first = written(_first_level(batches(texts_), window, lengths(window, start)[0]), "anchors")
     long = first.where(F.col("n_words") >= window)
     # Documents that stand for their word sequence; the others repeat them from the first word to the last.
-    own = long.groupBy("digest").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list("digest").alias("own"))
-    own = written(own, "own")
-    gone = repeated_windows(texts_, long, own, window, start).groupBy("doc").agg(F.collect_list(F.struct("digest", "at")).alias("gone"))
-    told = own.join(gone, "doc", "full")
+    least = long.groupBy("digest").agg(F.min("doc").alias("doc"))
+    stood = written(long.select("doc", "key", "digest").join(least, ["doc", "digest"]).distinct(), "own")
+    gone = repeated_windows(texts_, long, stood, window, start).groupBy("key").agg(F.collect_set(F.struct("digest", "at")).alias("gone"))
+    told = stood.groupBy("key").agg(F.collect_list("digest").alias("own")).join(gone, "key", "left")
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -301,7 +315,7 @@ def removed_words(docs: DataFrame, window: int = 50, *, start: int = 16) -> Data
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(lost, pa.int64()), pa.array(stays, pa.binary()).cast(pa.string())], [*names, *added])
 
     schema = T.StructType([*(T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, docs.schema.fields)), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return batches(rows).join(told, "doc", "left").select(*names, "doc", "own", "gone").mapInArrow(cut, schema).toDF(*docs.columns, *added)
+    return batches(rows).join(told, "key", "left").select(*names, "doc", "own", "gone").mapInArrow(cut, schema).toDF(*docs.columns, *added)
 
 
 def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:

@@ -337,6 +337,39 @@ def test_removed_words_of_many_overlaps(spark, window):
     assert rows_of(substrings.removed_words(docs(spark, rows).select("doc_id", "text"), window, start=2).drop("text")) == plain_cut(rows, window)
 
 
+def test_removed_words_of_many_rows_of_one_id(spark):
+    """Thousands of rows without an id or with one id: no list that is told to a row is longer than its text."""
+    r = random.Random(3)
+    shared = [f"s{i}" for i in range(60)]
+    longest, real = [], substrings.batches
+
+    def seen(df, *args):
+        for column in {"own", "dead", "keeps"} & set(df.columns):
+            longest.append(df.agg(F.max(F.size(column))).first()[0] or 0)
+        return real(df, *args)
+
+    rows = []
+    for doc_id in (None, 5):
+        rows += [(doc_id, " ".join([f"{doc_id}-{n}-{i}" for i in range(55)] + (shared if n % 3 == 0 else [])), "", "", 0) for n in range(1500)]
+    rows += [(5, rows[0][1], "", "", 0)] * 3 + [(7, " ".join(shared), "", "", 0), (None, None, "", "", 0)]
+    r.shuffle(rows)
+    substrings.batches = seen
+    try:
+        got = rows_of(substrings.removed_words(docs(spark, rows).select("doc_id", "text")).drop("text"))
+    finally:
+        substrings.batches = real
+    assert got == plain_cut(rows, 50)
+    assert 0 < max(longest) <= 115
+
+
+def test_texts_of_one_id_keep_what_they_share(spark):
+    passage = [f"p{i}" for i in range(70)]
+    rows = [(4, f"{head} " + " ".join(passage), "", "", 0) for head in ("a b", "c", "d e f")] + [(4, "  " + " ".join(passage), "", "", 0), (4, " ".join(passage), "", "", 0), (9, "z " + " ".join(passage), "", "", 0)]
+    got = rows_of(substrings.removed_words(docs(spark, rows).select("doc_id", "text")).drop("text"))
+    assert got == plain_cut(rows, 50)
+    assert [x[2] for x in got] == [0, 0, 0, 0, 0, 70]
+
+
 def test_levels_ask_both_halves():
     assert substrings.lengths(50, 16) == [13, 25, 50] and substrings.lengths(7, 2) == [2, 4, 7] and substrings.lengths(1, 16) == [1]
     r = np.random.default_rng(1)
