@@ -78,19 +78,20 @@ def _stirred(x: np.ndarray) -> np.ndarray:
 
 
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Hashes of windows from those of their two parts; rows of two 64-bit lanes."""
-    return np.stack([_stirred(left[k] * _B + _stirred(right[k] + c)) for k, c in ((0, _A), (1, _C))])
+    """Hashes of windows from those of their two parts; rows of one or two 64-bit lanes, each for itself."""
+    return np.stack([_stirred(a * _B + _stirred(b + c)) for a, b, c in zip(left, right, (_A, _C))])
 
 
-def window_hashes(singles: np.ndarray, length: int) -> np.ndarray:
-    """Two lanes of hashes of all windows of so many words, by doubling along the bits of the length."""
-    level = np.stack([singles, _stirred(singles ^ _C)])
+def window_hashes(singles: np.ndarray, length: int, lanes: int = 2) -> np.ndarray:
+    """Lanes of hashes of all windows of so many words, by doubling along the bits of the length."""
+    words = np.stack([singles, _stirred(singles ^ _C)]) if lanes == 2 else singles[None]
+    level = words
     for bit in bin(length)[3:]:
         half = level
         size = len(singles) - half.shape[1] + 1
         level = joined(half[:, : max(0, half.shape[1] - size)], half[:, size:])
         if bit == "1":
-            one = np.stack([singles, _stirred(singles ^ _C)])[:, 2 * size :]
+            one = words[:, 2 * size :]
             n = min(level.shape[1], one.shape[1])
             level = joined(level[:, :n], one[:, :n])
     return level
@@ -145,7 +146,7 @@ def _first_level(docs: DataFrame, window: int, first: int) -> DataFrame:
                 words = words_of(text)
                 digests.append(digest_of(words))
                 sizes.append(len(words))
-                keys = window_hashes(word_hashes(words), first)[0] if len(words) >= window else np.zeros(0, np.uint64)
+                keys = window_hashes(word_hashes(words), first, 1)[0] if len(words) >= window else np.zeros(0, np.uint64)
                 hashes.append(np.unique(keys[anchors(keys, window - first + 1)]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), _listed(hashes, pa.int64())], ["doc", "key", "digest", "n_words", "hashes"])
 
@@ -253,14 +254,16 @@ def _keeps(state: DataFrame, stood: DataFrame) -> DataFrame:
 def repeated_windows(rows: DataFrame, long: DataFrame, stood: DataFrame, window: int, start: int) -> DataFrame:
     """``key, digest, at``: where windows start that also start in a document of smaller number.
 
-    ``rows``: doc, key, text. ``long``: key, digest, hashes of anchors. ``stood``: doc, key, digest of the
-    rows that stand for their words.
+    ``rows``: doc, key, text. ``long``: key, digest, hashes of anchors. ``stood``: doc, key, digest and
+    number of anchors of the rows that stand for their words.
     """
     spark, levels = rows.sparkSession, lengths(window, start)
-    own = stood.groupBy("key").agg(F.collect_list("digest").alias("own"))
+    own = stood.groupBy("key").agg(F.collect_list("digest").alias("own"), F.sum("anchors").alias("anchors"))
     alone = lambda df, h: df.groupBy(h).agg(F.min("key").alias("key"), F.max("key").alias("high")).where("key = high").groupBy("key").agg(F.collect_list(h).alias("dead"))
     dead = alone(long.join(stood, ["key", "digest"], "left_semi").select("key", F.explode("hashes").alias("a")), "a")
-    state = written(_placed(batches(rows.join(own.join(dead, "key", "left"), "key")), window, levels[0]), "windows")
+    # A text all of whose anchors start nowhere else has no candidate and is not read again.
+    asked = own.join(dead, "key", "left").where(F.col("dead").isNull() | (F.size("dead") < F.col("anchors"))).drop("anchors")
+    state = written(_placed(batches(rows.join(asked, "key")), window, levels[0]), "windows")
     for old, new in zip(levels, levels[1:]):
         if state.isEmpty():
             break
@@ -287,7 +290,7 @@ def removed_words(docs: DataFrame, window: int = 50, *, start: int = 16) -> Data
     long = first.where(F.col("n_words") >= window)
     # Documents that stand for their word sequence; the others repeat them from the first word to the last.
     least = long.groupBy("digest").agg(F.min("doc").alias("doc"))
-    stood = written(long.select("doc", "key", "digest").join(least, ["doc", "digest"]).distinct(), "own")
+    stood = written(long.select("doc", "key", "digest", F.size("hashes").alias("anchors")).join(least, ["doc", "digest"]).distinct(), "own")
     gone = repeated_windows(texts_, long, stood, window, start).groupBy("key").agg(F.collect_set(F.struct("digest", "at")).alias("gone"))
     told = stood.groupBy("key").agg(F.collect_list("digest").alias("own")).join(gone, "key", "left")
 
