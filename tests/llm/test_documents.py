@@ -151,6 +151,26 @@ def plain_print(text, shingle):
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
 
 
+def test_op9_is_brute_force_on_a_whole_table(spark):
+    """Every row of the query against all pairs of fingerprints that plain Python makes."""
+    sf_dir = "/root/testdata/sf0.01"
+    said = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    prints = {doc_id: plain_print(text, 3) for doc_id, text in said.items()}
+    ids = sorted(prints)
+    values = np.array([prints[i] for i in ids], dtype=np.uint64)
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 2
+    label = np.arange(len(ids))
+    while True:
+        least = np.where(near, label[None, :], len(ids)).min(axis=1)
+        if (least == label).all():
+            break
+        label = least
+    wanted = [(i, f"{prints[i]:016x}", ids[k]) for i, k in zip(ids, label)]
+    got = QUERIES["op9_simhash"](spark, sf_dir).select("doc_id", "fingerprint", "component_id").collect()
+    assert len(said) >= 1000 and len(set(label.tolist())) < len(ids)
+    assert sorted(map(tuple, got)) == wanted
+
+
 def test_fingerprints_and_groups(spark):
     got = rows_of(simhash.grouped(docs(spark), shingle=3, blocks=1, radius=2, keys=simhash.exact_keys(2, 1)))
     prints = [(d[0], plain_print(d[1], 3)) for d in DOCS]
