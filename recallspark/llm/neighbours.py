@@ -8,7 +8,9 @@ tables, the buckets to whose axes it is nearest in sum; the rows in these are it
 the number of buckets to the power of 0.6, so the share of all rows that a query is compared with falls.
 
 Rows and queries meet by table, part (a range of buckets) and slice. Parts of many rows or many queries are
-sliced on both sides, so that no task holds more than a slice of either. Meetings compare unit vectors of
+sliced on both sides, so that no task holds more than a slice of either. What a query sends to its parts are
+its number and its buckets there; its vector is not shuffled. The queries' vectors are broadcast, in rounds of
+``BYTES_A_ROUND``, and meet the buckets where these have arrived. Meetings compare unit vectors of
 single precision and keep what may be among a query's best; these are ranked by the exact cosine of the
 original vectors, which are fetched by id. Of rows with the same vector only the few smallest ids can be
 answers, and only they are indexed.
@@ -23,6 +25,7 @@ compared with all rows. Fewer rows give fewer answers, an empty table none. Othe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +35,14 @@ from pyspark.sql import functions as F
 from recallspark.llm.rows import batches
 from recallspark.session import written
 
-#: Rows of one bucket, about, and of one slice of a part, at most about.
-ROWS_A_BUCKET, ROWS_A_SLICE = 16, 8192
+#: Rows of one bucket, about, and buckets of one part.
+ROWS_A_BUCKET, SPAN = 16, 2048
 
-#: Buckets of one part.
-SPAN = 512
+#: Bytes of the vectors of one slice of a part's rows or queries, about, and of the queries of one round, at most about.
+BYTES_A_SLICE, BYTES_A_ROUND = 8 << 20, 32 << 20
+
+#: Sums of nearness that are held at once when probes are chosen.
+SUMS = 1 << 20
 
 #: Single precision may be off by so much in a cosine; what is that near to the k-th best is compared exactly.
 MARGIN = 2e-5
@@ -114,18 +120,39 @@ def own_bucket(x: np.ndarray, axes: list[int], signs: np.ndarray) -> np.ndarray:
     return found
 
 
+def pairs_within(count: int, first: int, second: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two descending lists of so many numbers whose sums may be among the ``count`` largest.
+
+    The sum at (i, j) has (i + 1) * (j + 1) - 1 others that are not below it, so pairs with more than that drop out.
+    """
+    reach = np.minimum(second, count // np.arange(1, min(first, count) + 1))
+    one = np.repeat(np.arange(len(reach)), reach)
+    return one, np.arange(len(one)) - np.repeat(np.cumsum(reach) - reach, reach)
+
+
 def probed(x: np.ndarray, axes: list[int], signs: np.ndarray, probes: int) -> np.ndarray:
-    """The buckets of largest summed nearness, for each row, ``probes`` of them or all."""
+    """The buckets of largest summed nearness, for each row, ``probes`` of them or all.
+
+    Hash by hash, the best sums so far are paired with the best axes of the next. Rows are taken so many at a
+    time that at most about ``SUMS`` sums are held.
+    """
+    known, plans = 1, []
+    for width in axes:
+        plans.append(pairs_within(probes, known, 2 * width))
+        known = min(probes, len(plans[-1][0]))
+    step = max(1, SUMS // max(len(one) for one, _ in plans))
+    return np.concatenate([_probed(x[at : at + step], axes, signs, probes, plans) for at in range(0, max(1, len(x)), step)])
+
+
+def _probed(x: np.ndarray, axes: list[int], signs: np.ndarray, probes: int, plans: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     found, total = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
-    for width, by in zip(axes, signs):
+    for width, by, (one, other) in zip(axes, signs, plans):
         near = signed_axes(turned(x, by), width)
-        # No more than the best few of each hash can be in the best few sums.
-        keep = min(probes, 2 * width)
-        best = np.argsort(-near, axis=1, kind="stable")[:, :keep]
-        sums = (total[:, :, None] + np.take_along_axis(near, best, 1)[:, None, :]).reshape(len(x), -1)
-        codes = (found[:, :, None] * (2 * width) + best[:, None, :]).reshape(len(x), -1)
+        best = np.argsort(-near, axis=1, kind="stable")
+        sums = total[:, one] + np.take_along_axis(near, best, 1)[:, other]
         order = np.argsort(-sums, axis=1, kind="stable")[:, :probes]
-        found, total = np.take_along_axis(codes, order, 1), np.take_along_axis(sums, order, 1)
+        total = np.take_along_axis(sums, order, 1)
+        found = np.take_along_axis(found, one[order], 1) * (2 * width) + np.take_along_axis(best, other[order], 1)
     return found
 
 
@@ -142,6 +169,10 @@ def _singles(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.astype(np.float32).ravel()))
 
 
+def _flat(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("unit").flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
 def _indexed(rows: DataFrame, dim: int, axes: list[int], tables: int) -> DataFrame:
     """``id, unit, buckets``: the bucket of each table."""
 
@@ -157,8 +188,20 @@ def _indexed(rows: DataFrame, dim: int, axes: list[int], tables: int) -> DataFra
     return batches(rows.select("id", "vec"), 2048).mapInArrow(run, "id long, unit array<float>, buckets array<long>")
 
 
-def _asked(queries: DataFrame, dim: int, axes: list[int], tables: int, probes: int) -> DataFrame:
-    """``table, part, id, unit, probes``: a query once for each part it probes, with its buckets there.
+def _units(queries: DataFrame, dim: int) -> DataFrame:
+    """``q, id, unit``: each query with a number of its own, as ids may repeat."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("id"), _singles(_vectors(batch, dim))], ["q", "id", "unit"])
+
+    once = queries.select("id", "vec").distinct().withColumn("q", F.monotonically_increasing_id())
+    return batches(once, 2048).mapInArrow(run, "q long, id long, unit array<float>")
+
+
+def _asked(units: DataFrame, dim: int, axes: list[int], tables: int, probes: int) -> DataFrame:
+    """``table, part, q, probes``: a query's number once for each part it probes, with its buckets there.
 
     Without any probes a query asks all parts of table 0; its list of buckets is empty, which means all.
     """
@@ -169,7 +212,7 @@ def _asked(queries: DataFrame, dim: int, axes: list[int], tables: int, probes: i
         for batch in found:
             if not batch.num_rows:
                 continue
-            x, ids = _vectors(batch, dim), batch.column("id").to_numpy()
+            x, numbers = _flat(batch).astype(np.float64), batch.column("q").to_numpy()
             for table in range(tables):
                 if probes:
                     codes = np.sort(probed(x, axes, signs[table], probes), axis=1)
@@ -180,10 +223,10 @@ def _asked(queries: DataFrame, dim: int, axes: list[int], tables: int, probes: i
                 else:
                     row, part = np.repeat(np.arange(len(x)), parts), np.tile(np.arange(parts), len(x))
                     listed = pa.ListArray.from_arrays(np.zeros(len(row) + 1, np.int32), pa.array([], pa.int64()))
-                columns = [pa.array(np.full(len(row), table, np.int32)), pa.array(part.astype(np.int64)), pa.array(ids[row]), _singles(x[row]), listed]
-                yield pa.RecordBatch.from_arrays(columns, ["table", "part", "id", "unit", "probes"])
+                columns = [pa.array(np.full(len(row), table, np.int32)), pa.array(part.astype(np.int64)), pa.array(numbers[row]), listed]
+                yield pa.RecordBatch.from_arrays(columns, ["table", "part", "q", "probes"])
 
-    return batches(queries.select("id", "vec"), 256).mapInArrow(run, "table int, part long, id long, unit array<float>, probes array<long>")
+    return batches(units.select("q", "unit"), 256).mapInArrow(run, "table int, part long, q long, probes array<long>")
 
 
 def best_pairs(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -242,18 +285,21 @@ def meeting(rows: np.ndarray, ids: np.ndarray, buckets: np.ndarray, queries: np.
     return query_ids[query], ids[at], score.astype(np.float64)
 
 
-def _found(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """``query_id, vec_id, rough``: what each meeting keeps."""
+def _found(index: DataFrame, asked: DataFrame, units: DataFrame, dim: int, k: int) -> DataFrame:
+    """``query_id, vec_id, rough``: what each meeting keeps. ``units`` are one round's queries, which are broadcast."""
     keys = ["table", "part"]
-    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    pieces = lambda df, n: df.groupBy(*keys).agg(F.ceil(F.count("*") / ROWS_A_SLICE).cast("int").alias(n))
-    # A row a table and part: of SPAN buckets each, so about one for each 8192 rows of the index and table.
+    most = max(256, BYTES_A_SLICE // (4 * dim))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    pieces = lambda df, n: df.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias(n))
+    # A row a table and part: of SPAN buckets each, so about one for each 32768 rows of the index and table.
     plan = written(pieces(index, "slices").join(pieces(asked, "turns"), keys), "meetings")
     side = F.broadcast(plan) if plan.count() <= SENT else plan
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.join(side, keys).withColumn("slice", place("slices")).withColumn("turn", every("turns"))
-    right = asked.join(side, keys).withColumn("turn", place("turns")).withColumn("slice", every("slices"))
+    left = index.join(side, keys).withColumn("slice", place("id", "slices")).withColumn("turn", every("turns"))
+    right = asked.join(side, keys).withColumn("turn", place("q", "turns")).withColumn("slice", every("slices"))
     keys = [*keys, "slice", "turn"]
+    # Vectors join behind the shuffle, which the groups below use as it is.
+    right = right.select(*keys, "q", "probes").repartition(*keys).join(F.broadcast(units), "q")
 
     def meet(one: pa.Table, other: pa.Table) -> pa.Table:
         found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -267,8 +313,10 @@ def _found(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Exact cosine; both are scaled by their largest part first, which keeps sums of squares finite and above zero."""
-    scaled = lambda v: F.transform(v, lambda x: x / F.array_max(F.transform(v, F.abs)))
+    """Exact cosine; both are scaled by a power of two first, which changes no digit and keeps sums of squares finite and above zero."""
+    largest = lambda v: F.array_max(F.transform(v, F.abs))
+    # As an array beside the vector, the power is worked out once, not for each component.
+    scaled = lambda v: F.zip_with(v, F.array_repeat(F.pow(F.lit(2.0), F.floor(F.log2(largest(v)))), F.size(v)), lambda x, p: x / p)
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     return dot(scaled(a), scaled(b)) / (F.sqrt(dot(scaled(a), scaled(a))) * F.sqrt(dot(scaled(b), scaled(b))))
 
@@ -301,9 +349,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, *, tables: int = 12,
     index = written(_indexed(_uncrowded(kept, k), dim, axes, tables), "buckets").select("id", "unit", F.posexplode("buckets").alias("table", "bucket"))
     index = index.withColumn("part", F.floor(F.col("bucket") / SPAN))
 
-    def near(probes: DataFrame, only: DataFrame) -> DataFrame:
+    def near(units: DataFrame, only: DataFrame, tables: int, probes: int) -> DataFrame:
         """The k best of those found, by their exact scores."""
-        rough = _found(only, probes, k).groupBy("query_id", "vec_id").agg(F.max("rough").alias("rough"))
+        probing = written(_asked(units, dim, axes, tables, probes), "probes")
+        rough = _found(only, probing, units, dim, k).groupBy("query_id", "vec_id").agg(F.max("rough").alias("rough"))
         by = Window.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         close = rough.withColumn("bound", F.nth_value("rough", k).over(by)).where(F.col("bound").isNull() | (F.col("rough") >= F.col("bound") - MARGIN))
         pairs = close.join(kept.select(F.col("id").alias("vec_id"), "vec"), "vec_id").join(asked.select(F.col("id").alias("query_id"), F.col("vec").alias("own")), "query_id")
@@ -311,10 +360,23 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, *, tables: int = 12,
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    first = written(near(written(_asked(asked, dim, axes, tables, probes_for(buckets_of(axes))), "probes"), index), "nearest")
+    def in_rounds(units: DataFrame, *how) -> DataFrame:
+        """``near`` of all queries, so many at a time that their vectors can be sent to every executor."""
+        rounds = -(-units.count() * 4 * dim // BYTES_A_ROUND)
+        if rounds <= 1:
+            return written(near(units, *how), "nearest")
+        number = F.pmod(F.xxhash64("q"), F.lit(rounds))
+        parts = [written(near(units.where(number == at), *how), "nearest") for at in range(rounds)]
+        # Vectors of one id may be in several rounds; each gave its best, and the best of these count.
+        once = reduce(DataFrame.unionByName, parts).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return written(once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "nearest")
+
+    units = written(_units(asked, dim), "queries")
+    first = in_rounds(units, index, tables, probes_for(buckets_of(axes)))
     enough = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
-    short = written(asked.join(enough, "id", "left_anti"), "short")
+    short = written(units.join(enough, "id", "left_anti"), "short")
     if not short.isEmpty():
-        more = near(written(_asked(short, dim, axes, 1, 0), "probes"), index.where(F.col("table") == 0))
+        more = in_rounds(short, index.where(F.col("table") == 0), 1, 0)
         first = first.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more.select(*first.columns))
     return first.select("query_id", "rank", "vec_id", "score")

@@ -2,11 +2,13 @@
 
 import subprocess
 import sys
+import tracemalloc
 import zlib
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from recallspark.llm import line_crf, neighbours, urls
@@ -86,6 +88,95 @@ def test_probes_are_the_largest_sums():
     assert (neighbours.probed(x, axes, signs, 1)[:, 0] == neighbours.own_bucket(x, axes, signs)).all()
 
 
+@pytest.mark.parametrize("probes", [1, 2, 7, 50, 400, 5000])
+def test_probes_of_three_hashes(probes):
+    x = neighbours.unit(np.random.default_rng(4).normal(size=(5, 16)))
+    axes, signs = [16, 8, 2], neighbours.turns(16, 3, 1)
+    sums, code = np.zeros((5, 1)), np.zeros(1, np.int64)
+    for width, by in zip(axes, signs):
+        near = neighbours.signed_axes(neighbours.turned(x, by), width)
+        sums, code = (sums[:, :, None] + near[:, None, :]).reshape(5, -1), (code[:, None] * 2 * width + np.arange(2 * width)).ravel()
+    got = neighbours.probed(x, axes, signs, probes)
+    assert got.shape == (5, min(probes, 2048))
+    assert (np.sort(got, axis=1) == np.sort(code[np.argsort(-sums, axis=1)[:, :probes]], axis=1)).all()
+
+
+def test_memory_of_probing_is_bounded():
+    axes = neighbours.widths(64, 3 * 10**7)
+    probes = neighbours.probes_for(neighbours.buckets_of(axes))
+    x, signs = neighbours.unit(np.random.default_rng(5).normal(size=(256, 64))), neighbours.turns(64, len(axes), 0)
+    tracemalloc.start()
+    got = neighbours.probed(x, axes, signs, probes)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert got.shape == (256, probes)
+    assert peak < 100 << 20
+
+
+def clustered(n, seed=12):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(40, 32))
+    return (centres[r.integers(0, 40, n)] + 0.3 * r.normal(size=(n, 32))).astype(np.float32)
+
+
+def test_recall_on_clusters_and_in_rounds(spark, monkeypatch):
+    x = clustered(6000)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    asked = np.arange(0, 6000, 50)
+    score = u[asked] @ u.T
+    score[np.arange(len(asked)), asked] = -2
+    want = {q: set(np.argsort(-s, kind="stable")[:5].tolist()) for q, s in zip(asked.tolist(), score)}
+    once = neighbours.search(df, df.where("vec_id % 50 = 0"), 5).collect()
+    assert sum(r["vec_id"] in want[r["query_id"]] for r in once) >= 0.9 * 5 * len(want)
+    monkeypatch.setattr(neighbours, "BYTES_A_ROUND", 4 * 32 * 50)
+    monkeypatch.setattr(neighbours, "BYTES_A_SLICE", 4 * 32 * 500)
+    assert sorted(neighbours.search(df, df.where("vec_id % 50 = 0"), 5).collect()) == sorted(once)
+
+
+def test_vectors_of_one_id_in_several_rounds(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BYTES_A_ROUND", 4 * 3 * 2)
+    r = np.random.default_rng(6)
+    rows = [(i % 12 * 10, r.normal(size=3).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for x in neighbours.search(df, df.where("vec_id % 50 = 0"), 4).collect():
+        got.setdefault(x["query_id"], {})[x["rank"]] = x["vec_id"]
+    want = {}
+    for q in (0, 50, 100):
+        best = {}
+        for a in (np.array(v) for i, v in rows if i == q):
+            for i, v in rows:
+                if i != q:
+                    best[i] = max(best.get(i, -2), float(a @ np.array(v) / (np.linalg.norm(a) * np.linalg.norm(v))))
+        want[q] = dict(enumerate([i for i, _ in sorted(best.items(), key=lambda s: (-s[1], s[0]))[:4]], 1))
+    assert got == want
+
+
+def test_vectors_of_queries_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(clustered(300).tolist())], "id long, vec array<double>")
+    axes = neighbours.widths(32, 300)
+    units = neighbours._units(rows, 32)
+    asked = neighbours._asked(units, 32, axes, 2, 3)
+    assert asked.columns == ["table", "part", "q", "probes"]
+    index = neighbours._indexed(rows, 32, axes, 2).select("id", "unit", F.posexplode("buckets").alias("table", "bucket")).withColumn("part", F.floor(F.col("bucket") / neighbours.SPAN))
+    plan = neighbours._found(index, asked, units, 32, 5)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    join = next(i for i, line in enumerate(lines) if "BroadcastHashJoin [q#" in line)
+    assert not any("Exchange" in line and "unit" in line for line in lines[join:] if "Broadcast" not in line)
+    after = lines[lines.index(next(line for line in lines if "FlatMapCoGroups" in line)) + 1 : join]
+    assert sum("Exchange hashpartitioning" in line for line in after) == 1  # the index's own
+
+
+def test_exact_ties_of_multiples(spark):
+    v = [0.3, 0.7, -0.11]
+    rows = [(0, [0.2, 0.9, 0.4]), *((i, [x * 2.0**e for x in v]) for i, e in ((1, 0), (2, 900), (3, -900), (4, 1)))]
+    got = neighbours.search(df := spark.createDataFrame(rows, "vec_id long, embedding array<double>"), df.where("vec_id = 0"), 4).collect()
+    assert [(r["rank"], r["vec_id"]) for r in sorted(got)] == [(1, 1), (2, 2), (3, 3), (4, 4)]
+    assert len({r["score"] for r in got}) == 1
+
+
 URLS = [None, "", "no scheme", "http://Example.NET", "http://x.net/a?b", "https://m.example.net/en/1#t", "http://example.com/de/x", "http://a.b.example.com/de/", "http://example.com/den", "http://fr.org/fr/", "http://org/fr/9", "http://xorg/fr/9", "x://y.net/p://q", "http://u\n.net/a\nb?c", "http://notexample.com/de/", "http://net/"]
 
 
