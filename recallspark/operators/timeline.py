@@ -6,6 +6,8 @@ a user's events, so no user's timeline is gathered in one row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,6 +214,31 @@ def project_digest(links: DataFrame, thoughts: DataFrame, events: DataFrame, mil
     return busy.withColumn("place", place).withColumn("top", (F.col("place") <= top) & (score > 0))
 
 
+def cleanup(projects: DataFrame, why: DataFrame, late: DataFrame, loose: DataFrame, recent: int = 3) -> DataFrame:
+    """``user_id, kind, id, n, note``: what the digest asks each user to tidy up.
+
+    Of ``projects`` (``user_id, entity_id, next_action``): ``stalled`` ones with their reason (``why``: project_id,
+    reason), those with ``no_next_action`` that are not stalled, and those with ``overdue_tasks`` (``late``:
+    entity_id, thought_id, a task counted once) with their number. Of open tasks in no project (``loose``:
+    id, user_id, created_at) their number, and the most ``recent`` ones with their places. A user's projects
+    that need nothing have no row, and a user without loose tasks has no count of them.
+    """
+    reasons = why.select(F.col("project_id").alias("entity_id"), "reason")
+    own = projects.select("user_id", "entity_id", "next_action").join(reasons, "entity_id", "left")
+    row = lambda df, kind, key, n, note: df.select("user_id", F.lit(kind).alias("kind"), key.alias("id"), n.cast("long").alias("n"), note.cast("string").alias("note"))
+    null, project = F.lit(None), F.col("entity_id")
+    counts = late.groupBy("entity_id").agg(F.countDistinct("thought_id").alias("n")).where("n > 0")
+    first = loose.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id")))).where(F.col("n") <= recent)
+    parts = [
+        row(own.where("reason is not null"), "stalled", project, null, F.col("reason")),
+        row(own.where("reason is null and next_action is null"), "no_next_action", project, null, null),
+        row(projects.join(counts, "entity_id"), "overdue_tasks", project, F.col("n"), null),
+        row(loose.groupBy("user_id").agg(F.count("*").alias("n")), "unthreaded", null.cast("long"), F.col("n"), null),
+        row(first, "unthreaded_recent", F.col("id"), F.col("n"), null),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def next_action_changes(projects: DataFrame, before: DataFrame) -> DataFrame:
     """Projects (``user_id, entity_id, next_action``) whose next action is not what the last digest recorded.
 
@@ -342,6 +369,22 @@ def next_after(sequence: DataFrame) -> DataFrame:
     return rows.where("lifecycle = 'completed'").select("project_id", "thought_id", "next_open")
 
 
+def next_of(sequence: DataFrame, done: DataFrame) -> DataFrame:
+    """For each finished task (``project_id, thought_id``) the open one to go on with, or null.
+
+    It is the next open one behind a task of the sequence. A task that is not in its project's sequence,
+    because it never was or has been pruned since, is followed by the first open one. The finished task itself
+    may still be marked open; it is not its own follower unless it comes again.
+    """
+    ahead = Window.partitionBy("project_id").orderBy("rank").rowsBetween(1, Window.unboundedFollowing)
+    mine = F.when(F.col("lifecycle") == "open", F.col("thought_id"))
+    # Only the first place of a task that is twice in a list counts.
+    placed = sequence.withColumn("follower", F.first(mine, ignorenulls=True).over(ahead)).groupBy("project_id", "thought_id").agg(F.min_by("follower", "rank").alias("follower"))
+    first = sequence.where("lifecycle = 'open'").groupBy("project_id").agg(F.min_by("thought_id", "rank").alias("first_open"))
+    rows = done.select("project_id", "thought_id").distinct().join(placed.withColumn("listed", F.lit(True)), ["project_id", "thought_id"], "left").join(first, "project_id", "left")
+    return rows.select("project_id", "thought_id", F.when(F.col("listed"), F.col("follower")).otherwise(F.col("first_open")).alias("next_open"))
+
+
 def appended(ranked: DataFrame, more: DataFrame) -> DataFrame:
     """A ranked list with further items after its end, in the order of their ids."""
     top = ranked.groupBy("project_id").agg(F.max("rank").alias("top"))

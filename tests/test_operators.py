@@ -275,6 +275,29 @@ def test_moves_in_a_sequence(spark):
     assert {k: [t for _, t in rows] for k, rows in got.items()} == {0: list("adbc"), 1: list("bcda"), 2: list("abcd"), 3: list("bcad"), 4: list("acdb"), 5: ["new", *"abcd"], 6: list("abcd"), 8: ["only"]}
 
 
+def test_what_follows_a_finished_task(spark):
+    rows = [(1, "a", "completed", 1), (1, "b", "open", 2), (1, "c", "completed", 3), (1, "d", "open", 4), (2, "a", "completed", 1), (3, "x", "open", 1), (3, "x", "open", 3), (3, "y", "open", 2)]
+    sequence = spark.createDataFrame(rows, "project_id long, thought_id string, lifecycle string, rank int")
+    asked = [(1, "a"), (1, "a"), (1, "c"), (1, "d"), (1, "gone"), (2, "a"), (2, "gone"), (3, "x"), (4, "z"), (None, "z")]
+    done = spark.createDataFrame([(*r, "more") for r in asked], "project_id long, thought_id string, lifecycle string")
+    got = {(r["project_id"], r["thought_id"]): r["next_open"] for r in timeline.next_of(sequence, done).collect()}
+    assert got == {(1, "a"): "b", (1, "c"): "d", (1, "d"): None, (1, "gone"): "b", (2, "a"): None, (2, "gone"): None, (3, "x"): "y", (4, "z"): None, (None, "z"): None}
+    assert timeline.next_of(sequence.where("false"), done).where("next_open is not null").count() == 0
+
+
+def test_clean_up(spark):
+    make = spark.createDataFrame
+    projects = make([(7, 1, None), (7, 2, None), (7, 3, "go"), (8, 4, "go")], "user_id long, entity_id long, next_action string")
+    why = make([(1, "deadline"), (3, "milestone"), (99, "deadline")], "project_id long, reason string")
+    late = make([(3, 30), (3, 30), (3, 31), (98, 5)], "entity_id long, thought_id long")
+    loose = make([(i, 7, f"2024-01-0{i}") for i in range(1, 6)] + [(9, 8, None)], "id long, user_id long, created_at string")
+    got = sorted((tuple(r) for r in timeline.cleanup(projects, why, late, loose, 2).collect()), key=str)
+    want = [(7, "stalled", 1, None, "deadline"), (7, "stalled", 3, None, "milestone"), (7, "no_next_action", 2, None, None), (7, "overdue_tasks", 3, 2, None), (7, "unthreaded", None, 5, None), (7, "unthreaded_recent", 5, 1, None), (7, "unthreaded_recent", 4, 2, None), (8, "unthreaded", None, 1, None), (8, "unthreaded_recent", 9, 1, None)]
+    assert got == sorted(want, key=str)
+    none = [df.where("false") for df in (projects, why, late, loose)]
+    assert timeline.cleanup(*none).count() == 0
+
+
 def test_projects_that_people_made_are_not_merged_away(spark):
     linked = spark.createDataFrame([(1, 10, 0.5), (1, 20, 0.9), (2, 30, 0.1)], "thought_id long, entity_id long, salience double")
     merges = spark.createDataFrame([(10, 20), (30, 20), (20, 20)], "old_id long, new_id long")
