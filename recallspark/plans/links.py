@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recallspark.operators import graph, links as op
+from recallspark.operators import graph, links as op, nightly
 from recallspark.plans.book import Book
 from recallspark.sources import views as v
 from recallspark.sources.views import ORDER_NOW, ctes
@@ -186,6 +186,23 @@ def nightly_top_thoughts(spark, d):
     return made["top_thoughts"]
 
 
+def night(spark, d):
+    """One night's jobs over all tables: parts with the vectors of equal number, last night's communities by type."""
+    m = v.mentions(spark, d)
+    vec = v.vectors(spark, d).select("id", "vec")
+    e = v.entities(spark, d).join(vec, "id", "left").withColumns({"tenant": F.lit(1).cast("long"), "project": F.col("project_status").isNotNull(), "created_at": F.col("id")})
+    kinds = e.select(F.col("entity_type").alias("kind"), F.lit(False).alias("protected")).distinct()
+    before = e.select(F.col("l2").alias("community_id"), F.col("id").alias("entity_id"))
+    summaries = e.select(F.concat(F.lit("1:0:"), F.col("id").cast("string")).alias("community_id"), F.lit("2001-08-01").cast("timestamp_ntz").alias("generated_at")).where("id % 2 = 0")
+    return nightly.nightly(_dated(spark, d), e, kinds, m, graph.comentions(m).where("weight >= 2"), ORDER_NOW, before, summaries, exempt=("note",), distance=0.75)
+
+
+@BOOK.query()
+def nightly_members(spark, d):
+    """The communities that a whole night finds, after duplicate entities were merged and their relations moved."""
+    return night(spark, d)["members"]
+
+
 @BOOK.query("SELECT p_partkey AS id, CASE WHEN p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') THEN p_brand ELSE 'concept' END AS entity_type FROM part")
 def repaired_types(spark, d):
     active = v.entities(spark, d).where(F.col("entity_type").isin("Brand#1", "Brand#2", "Brand#3")).select(F.col("entity_type").alias("kind"))
