@@ -40,6 +40,13 @@ from recallspark.session import dropped, written
 #: Words that a task holds at most before it makes the fullest language's a shard.
 SHARD = 1 << 19
 
+#: How shards, rows of megabytes, are written: pages of one row and row groups of few, else Parquet looks at their
+#: size after a hundred rows only, and a reader holds all of a file's rows at once.
+AS_WRITTEN = {"compression": "zstd", "parquet.page.row.count.limit": "1", "parquet.page.size.row.check.min": "1", "parquet.block.size": str(8 << 20)}
+
+#: Rows of short columns that one Arrow batch holds; of shards it holds one.
+SHORT_ROWS = 1 << 14
+
 #: Bits of a path's hash that are dropped before hashes are moved; 40 are left.
 DROPPED_BITS = np.uint64(24)
 
@@ -59,6 +66,7 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
 def _shards(docs: DataFrame, lang: str, text: str, depth: int) -> DataFrame:
     """``lang, words, hashes, ids, own, n``: words in byte order, the texts as their numbers with -1 after each piece.
 
+    Words are joined by blanks, hashes and numbers are 64 and 32 bits each, so that a row is a few strings of bytes.
     Phrases that begin at one of the first ``own`` places, of which ``n`` are words, are the shard's; the
     places after them are the beginning of the next shard of the same piece.
     """
@@ -70,10 +78,11 @@ def _shards(docs: DataFrame, lang: str, text: str, depth: int) -> DataFrame:
         rank[[words[w] for w in known]] = np.arange(len(known), dtype=np.int32)
         rank[-1] = -1  # what -1 picks
         seed = xxhash.xxh3_64_intdigest(lang)
-        hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in known], np.uint64).view(np.int64)
+        hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in known], np.uint64)
         numbers = rank[np.array(ids, np.int64)]
-        columns = [[lang], pa.array([pa.array(known, pa.binary()).cast(pa.string())], pa.list_(pa.string())), pa.array([hashes], pa.list_(pa.int64())), pa.array([numbers], pa.list_(pa.int32())), pa.array([own], pa.int64()), pa.array([int((numbers[:own] >= 0).sum())], pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0]), *columns[1:]], ["lang", "words", "hashes", "ids", "own", "n"])
+        binary = [pa.array([x], pa.binary()) for x in (b" ".join(known), hashes.tobytes(), numbers.tobytes())]
+        counts = [pa.array([x], pa.int64()) for x in (own, int((numbers[:own] >= 0).sum()))]
+        return pa.RecordBatch.from_arrays([pa.array([lang]), *binary, *counts], ["lang", "words", "hashes", "ids", "own", "n"])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[dict[bytes, int], list[int]]] = {}
@@ -105,7 +114,7 @@ def _shards(docs: DataFrame, lang: str, text: str, depth: int) -> DataFrame:
             yield shard(one, number, ids, len(ids))
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    return batches(rows).mapInArrow(run, "lang string, words array<string>, hashes array<long>, ids array<int>, own long, n long")
+    return batches(rows).mapInArrow(run, "lang string, words binary, hashes binary, ids binary, own long, n long")
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -142,7 +151,7 @@ def _filter(kept: DataFrame) -> np.ndarray:
             at, bits = _places(batch.column("hash").to_numpy().view(np.uint64), words)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits.view(np.int64))], ["at", "bits"])
 
-    made = kept.select("hash").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    made = batches(kept.select("hash"), SHORT_ROWS).mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     lines = np.zeros(words, np.uint64)
     lines[made.column("at").to_numpy()] = made.column("bits").to_numpy().view(np.uint64)
     return lines
@@ -180,23 +189,22 @@ def level_of(ids: np.ndarray, own: int, hashes: np.ndarray, depth: int, lines: n
 
 
 def _each(shards: DataFrame, columns: list[str], schema: str, made: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
-    """What ``made`` gives for the columns of each shard, lists as arrays of NumPy."""
+    """What ``made`` gives for the columns of each shard, which are sent one by one."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             for at in range(batch.num_rows):
-                values = [batch.column(c)[at] for c in columns]
-                yield from made(*(v.values if isinstance(v, pa.ListScalar) else v.as_py() for v in values))
+                yield from made(*(batch.column(c)[at].as_py() for c in columns))
 
-    return batches(shards.select(*columns)).mapInArrow(run, schema)
+    return batches(shards.select(*columns), 1).mapInArrow(run, schema)
 
 
 def _hashed(shards: DataFrame, depth: int, above: np.ndarray | None) -> DataFrame:
     """``hash, f``: hashes of the shards' nodes of one depth."""
     sent = None if above is None else shards.sparkSession.sparkContext.broadcast(above)
 
-    def made(hashes: pa.Array, ids: pa.Array, own: int) -> Iterator[pa.RecordBatch]:
-        found, counts = hashes_of(ids.to_numpy(), own, hashes.to_numpy().view(np.uint64), depth, None if sent is None else sent.value)
+    def made(hashes: bytes, ids: bytes, own: int) -> Iterator[pa.RecordBatch]:
+        found, counts = hashes_of(np.frombuffer(ids, np.int32), own, np.frombuffer(hashes, np.uint64), depth, None if sent is None else sent.value)
         for a in range(0, len(found), 1 << 17):
             yield pa.RecordBatch.from_arrays([pa.array(found[a : a + (1 << 17)].view(np.int64)), pa.array(counts[a : a + (1 << 17)], pa.int64())], ["hash", "f"])
 
@@ -207,8 +215,9 @@ def _level(shards: DataFrame, depth: int, lines: np.ndarray) -> DataFrame:
     """``lang, path, f``: the shards' nodes of one depth that pass, each shard's in order."""
     sent = shards.sparkSession.sparkContext.broadcast(lines)
 
-    def made(lang: str, words: pa.Array, hashes: pa.Array, ids: pa.Array, own: int) -> Iterator[pa.RecordBatch]:
-        columns, counts = level_of(ids.to_numpy(), own, hashes.to_numpy().view(np.uint64), depth, sent.value)
+    def made(lang: str, joined: bytes, hashes: bytes, ids: bytes, own: int) -> Iterator[pa.RecordBatch]:
+        columns, counts = level_of(np.frombuffer(ids, np.int32), own, np.frombuffer(hashes, np.uint64), depth, sent.value)
+        words = pa.array(joined.split(b" "), pa.binary()).cast(pa.string())
         for a in range(0, len(counts), 1 << 16):
             names = [words.take(pa.array(c[a : a + (1 << 16)])) for c in columns]
             path = names[0] if depth == 1 else pc.binary_join_element_wise(*names, " ")
@@ -240,7 +249,7 @@ def _merged(tries: DataFrame) -> DataFrame:
         if held is not None:
             yield held
 
-    return tries.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path").mapInArrow(run, "lang string, path string, f long")
+    return batches(tries, SHORT_ROWS).repartitionByRange("lang", "path").sortWithinPartitions("lang", "path").mapInArrow(run, "lang string, path string, f long")
 
 
 def levels(docs: DataFrame, least: int, longest: int, *, lang: str = "lang", text: str = "text") -> tuple[list[DataFrame], DataFrame]:
@@ -250,7 +259,7 @@ def levels(docs: DataFrame, least: int, longest: int, *, lang: str = "lang", tex
     of its ends, from the last word to the whole.
     """
     spark = docs.sparkSession
-    shards = written(_shards(docs, lang, text, longest), "shards")
+    shards = written(_shards(docs, lang, text, longest), "shards", **AS_WRITTEN)
     found: list[DataFrame] = []
     lines = None
     for depth in range(1, longest + 1):
@@ -271,6 +280,7 @@ def levels(docs: DataFrame, least: int, longest: int, *, lang: str = "lang", tex
         dropped(spark, some)
     words = written(shards.groupBy("lang").agg(F.sum("n").alias("n")), "words")
     dropped(spark, shards)
+    batches(docs)  # the usual batches again
     return found, words
 
 

@@ -10,10 +10,14 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from recallspark.llm import bit_slices, periods, phrases, queries
+from recallspark.llm.rows import ROWS_A_BATCH
+from recallspark.session import written
 from tests.llm.helpers import DOCS, SCHEMA, WORD, docs, rows_of
 
 VECTORS = "other string, vec_id long, embedding array<double>, score string"
@@ -120,6 +124,21 @@ def test_phrases_are_brute_force(spark, monkeypatch, shard):
         assert sorted(map(tuple, got.collect())) == sorted(plain_phrases(rows, least, first=first))
 
 
+def test_shards_are_read_and_sent_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "SHARD", 1 << 12)
+    monkeypatch.setitem(phrases.AS_WRITTEN, "parquet.block.size", str(64 << 10))
+    rows = [("en", " ".join(str(a * i % 9973) for i in range(4000))) for a in range(1, 41)]
+    shards = written(phrases._shards(spark.createDataFrame(rows, "lang string, text string").coalesce(1), "lang", "text", 4), "shards", **phrases.AS_WRITTEN)
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in shards.inputFiles()]
+    groups = [f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(groups) == 20 and max(groups) <= 3
+    sent = phrases._each(shards, ["ids"], "n int", lambda ids: iter([pa.RecordBatch.from_pydict({"n": pa.array([len(ids)], pa.int32())})]))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1"
+    assert sent.agg(F.sum("n")).head()[0] == 4 * (40 * 4000 + 40)
+    phrases.collocations(shards.select("lang", F.lit("a b").alias("text")), 2).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(ROWS_A_BATCH)
+
+
 def test_phrases_of_nothing(spark):
     assert phrases.collocations(docs(spark, [])).collect() == []
     assert phrases.collocations(docs(spark, [(1, None, None, None, 0), (2, "a b c", "en", "x", 3)])).collect() == []
