@@ -23,11 +23,28 @@ MARKS = ",.;:!?"
 Ids = Sequence[int]
 
 
+class Uncertain(Exception):
+    """A chunk is not certain to begin and end a piece."""
+
+
+class Asking(dict):
+    """A table that asks ``missed`` for what it does not hold."""
+
+    __slots__ = ("missed",)
+
+    def __init__(self, missed: Callable[[str], Any]):
+        super().__init__()
+        self.missed = missed
+
+    def __missing__(self, said: str) -> Any:
+        return self.missed(said)
+
+
 class Memory:
     """A bounded table of what was worked out before."""
 
-    def __init__(self, size: int = REMEMBERED):
-        self.size, self.young, self.old = size, {}, {}
+    def __init__(self, size: int = REMEMBERED, table: Callable[[], dict] = dict):
+        self.size, self.table, self.young, self.old = size, table, table(), {}
 
     def get(self, said: str) -> Any:
         found = self.young.get(said)
@@ -38,7 +55,7 @@ class Memory:
     def put(self, said: str, found: Any) -> None:
         if len(said) <= KEY_CHARACTERS:
             if len(self.young) >= self.size:
-                self.young, self.old = {}, self.young
+                self.young, self.old = self.table(), self.young
             self.young[said] = found
 
 
@@ -53,9 +70,9 @@ class BlankChunks:
     remembered parts one after another. ``word``, where it is given, encodes a blank and a run of letters.
     """
 
-    def __init__(self, whole: Callable[[str], Ids], pack: Callable[[Ids], Any] = tuple, join: Callable[[list], Any] = flat, word: Callable[[str], Ids] | None = None):
+    def __init__(self, whole: Callable[[str], Ids], pack: Callable[[Ids], Any] = tuple, join: Callable[[list], Any] = flat, word: Callable[[str], Ids] | None = None, size: int = REMEMBERED):
         self.whole, self.pack, self.join, self.word = whole, pack, join, word
-        self.known = Memory()
+        self.known = Memory(size, lambda: Asking(self._certain))
         self.marks = {x: pack(whole(x)) for x in MARKS} if word else {}
 
     def _chunk(self, chunk: str) -> Any:
@@ -75,6 +92,11 @@ class BlankChunks:
             self.known.put(chunk, found)
         return found
 
+    def _certain(self, chunk: str) -> Any:
+        if (found := self._chunk(chunk)) is None:
+            raise Uncertain
+        return found
+
     def alone(self, text: str) -> Any:
         return self.join([self.pack(self.whole(text))])
 
@@ -83,14 +105,10 @@ class BlankChunks:
         first, *rest = text.split(" ")
         if not rest or not first or first[-1].isspace():
             return None
-        found = list(map(self.known.young.get, rest))
-        if None in found:
-            for i, one in enumerate(found):
-                if one is None:
-                    if (one := self._chunk(rest[i])) is None:
-                        return None
-                    found[i] = one
-        return [self.pack(self.whole(first)), *found]
+        try:
+            return [self.pack(self.whole(first)), *map(self.known.young.__getitem__, rest)]
+        except Uncertain:
+            return None
 
     def encode(self, text: str) -> Any:
         """The text by its chunks, or as a whole where these are not certain."""

@@ -31,6 +31,10 @@ from recallspark.llm.rows import batches, texts
 SCHEMA = "doc_id long, row long, start_in_file long, n_tokens long, ids array<int>"
 
 
+#: Chunks that a table of them holds at most: as many as fit the room that Python makes for 400,000.
+REMEMBERED = 690_000
+
+
 def packed(ids: Ids) -> bytes:
     return array("i", ids).tobytes()
 
@@ -54,8 +58,12 @@ def tokenizer(path: str) -> BlankChunks:
     letters = {b: ord(letter) for b, letter in enumerate(byte_letters())}
     pieces = Memory()
 
+    blank = chr(letters[ord(" ")])
+
     def asked(said: str) -> Ids:
-        return [x.id for x in model.tokenize(said.encode("utf-8").decode("latin-1").translate(letters))]
+        # Of ASCII letters and blanks, only the blank has another letter.
+        plain = said.replace(" ", blank) if said.isascii() and said[1:].isalpha() and (said[0] == " " or said[0].isalpha()) else said.encode("utf-8").decode("latin-1").translate(letters)
+        return [x.id for x in model.tokenize(plain)]
 
     def piece(said: str) -> Ids:
         if (ids := pieces.get(said)) is None:
@@ -71,7 +79,7 @@ def tokenizer(path: str) -> BlankChunks:
     pre = spec["pre_tokenizer"] or {}
     plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"] and spec["model"]["type"] == "BPE"
     if plain and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"]):
-        return BlankChunks(whole, packed, b"".join, asked)
+        return BlankChunks(whole, packed, b"".join, asked, REMEMBERED)
     found = BlankChunks(lambda text: coder.encode(text, add_special_tokens=False).ids, packed, b"".join)
     found.encode = found.alone
     return found

@@ -13,7 +13,7 @@ from pyarrow import orc
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from recallspark.llm import bpe, edit_counts, token_files
+from recallspark.llm import bpe, chunks, edit_counts, token_files
 from recallspark.llm.queries import BYTE_BPE, QUERIES
 from recallspark.session import new_folder, written
 from tests.llm.helpers import DOCS, docs, key
@@ -70,6 +70,15 @@ def test_encode_and_decode_keep_other_columns(spark):
         assert r["back"] == (r["text"] or "")
 
 
+def test_chunks_are_asked_for_once():
+    asked = []
+    coder = chunks.BlankChunks(lambda said: [len(said), asked.append(said)][:1], size=2)
+    assert coder.encode("a b b c") == [1, 2, 2, 2]
+    assert coder.encode("a dd b c") == [1, 3, 2, 2]
+    assert asked == ["a", " b", " c", "a", " dd"]
+    assert coder.parts("a  b") is None and coder.parts("a b\t c") is None
+
+
 def test_token_files(spark):
     path = new_folder(spark, "tokens")
     token_files.write(docs(spark), BYTE_BPE, 2, path)
