@@ -12,29 +12,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from recallspark.llm import bpe, mixing, quality, simhash, substrings
-from recallspark.session import cleared, deleted, new_folder
+from recallspark.session import cleared, deleted, new_folder, packed
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality.filtered(docs)
+    return packed(quality.filtered(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
-    return simhash.thinned(docs, similarity=0.8, shingle=5)
+    return packed(simhash.thinned(docs, similarity=0.8, shingle=5))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that an earlier document has are cut out."""
-    return substrings.without_repeats(docs, 50)
+    return packed(substrings.without_repeats(docs, 50))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix to the sources' weights takes them."""
-    return mixing.mixed(docs)
+    return packed(mixing.mixed(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -33,6 +34,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Fragments of more bytes are merged with a heap.
 LONG = 48
 
+#: Chunks, and pieces of chunks that are no plain words, that one of the two tables of each holds at most. Dicts grow at
+#: 349,525 and at 43,690 entries, and a worker keeps its tables for the stages that follow, so they are to be small.
+REMEMBERED, PIECES = 345_000, 43_000
+
 #: Stands for a pair that never merges; larger than every rank.
 NEVER = 1 << 62
 
@@ -47,7 +52,7 @@ def byte_letters() -> list[str]:
 class BytePairs:
     """Encoder and decoder over one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = PIECES):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         pre, model = spec["pre_tokenizer"], spec["model"]
@@ -72,8 +77,9 @@ class BytePairs:
         self.added_at = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.pattern = regex.compile(PATTERN)
         self.digits = {i: str(i) for i in self.bytes_of}
-        self.known = Memory()
-        self.plain = BlankChunks(self.pieces)
+        self.known = Memory(pieces)
+        # Ids are remembered as bytes, which take less than a tuple and its numbers.
+        self.plain = BlankChunks(self.pieces, lambda ids: array("I", ids).tobytes(), b"".join, self.fresh, REMEMBERED)
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """The piece cut at every byte pair that no vocabulary entry holds."""
@@ -123,10 +129,14 @@ class BytePairs:
                     heapq.heappush(waiting, (found, a, ids[a], ids[b]))
         return [x for x, dead in zip(ids, gone) if not dead]
 
+    def fresh(self, piece: str) -> tuple[int, ...]:
+        """Ids of one piece of the pattern, not remembered."""
+        return tuple(chain.from_iterable(map(self.merged, self.fragments(piece.encode("utf-8")))))
+
     def piece(self, piece: str) -> tuple[int, ...]:
-        """Ids of one piece of the pattern."""
+        """The same, remembered."""
         if (ids := self.known.get(piece)) is None:
-            ids = tuple(chain.from_iterable(map(self.merged, self.fragments(piece.encode("utf-8")))))
+            ids = self.fresh(piece)
             self.known.put(piece, ids)
         return ids
 
@@ -145,13 +155,13 @@ class BytePairs:
         yield text[at:], None
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+        out = array("I")
         for section, added in self.sections(text):
             if added is None:
-                out.extend(self.plain.encode(section))
+                out.frombytes(self.plain.encode(section))
             else:
                 out.append(added)
-        return out
+        return out.tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Bytes of the ids as text; bytes that are no UTF-8 become U+FFFD."""
@@ -159,9 +169,9 @@ class BytePairs:
 
 
 @lru_cache(maxsize=2)
-def byte_pairs(path: str) -> BytePairs:
+def byte_pairs(path: str, pieces: int = PIECES) -> BytePairs:
     """One encoder a process."""
-    return BytePairs(path)
+    return BytePairs(path, pieces)
 
 
 def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids") -> DataFrame:

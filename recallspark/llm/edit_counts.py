@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallspark.llm.bpe import byte_pairs
-from recallspark.llm.chunks import BlankChunks
+from recallspark.llm.chunks import REMEMBERED, BlankChunks
 from recallspark.llm.rows import batches, texts
 
 #: Pre-tokens, or words with what hangs on them, of one leaf; the tree is laid out anew where an edit would
@@ -46,7 +46,7 @@ class Counter:
     """Byte pairs, and a table of how many tokens chunks between blanks come to."""
 
     def __init__(self, path: str):
-        self.pairs = byte_pairs(path)
+        self.pairs = byte_pairs(path, REMEMBERED)
         self.counts = BlankChunks(self.ordinary, len, sum, self.pairs.piece)
         self.longest = max(map(len, self.pairs.added), default=0)
 

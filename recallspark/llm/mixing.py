@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.llm.rows import word_count
-from recallspark.session import written
+from recallspark.session import packed, written
 
 #: Sources up to this number are sent to every task; more of them are joined by shuffle.
 SOURCES_SENT = 10_000
@@ -60,8 +60,8 @@ def targets(by_source: DataFrame, weights: Sequence[int], percent: int, rounds:
 def queue(docs: DataFrame, weights: Sequence[int], percent: int, rounds: int, seed: str) -> DataFrame:
     """Each document with its source's figures and ``cum``, the source's words up to and with it."""
     slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
-    base = written(slim.withColumn("key", shuffled_key(seed)), "mix-sizes")
-    plan = written(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent, rounds), "mix-sources")
+    base = written(packed(slim.withColumn("key", shuffled_key(seed))), "mix-sizes")
+    plan = written(packed(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent, rounds)), "mix-sources")
     few = plan.count() <= SOURCES_SENT
     side = (F.broadcast(plan) if few else plan).withColumnRenamed("source", "of")
     rows = base.join(side, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("part", F.substring("key", 1, 3))

@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recallspark.session import written
+from recallspark.session import packed, written
 
 #: What separates words, and the characters that count as symbols.
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -156,7 +156,7 @@ def judged(docs: DataFrame, *, text: str = "text", rules: dict[str, Column] | No
     """
     rules = rules or default_rules()
     votes = F.array(*rules.values())
-    rows = written(measured(docs, text).withColumn("_votes", votes), "quality")
+    rows = written(packed(measured(docs, text).withColumn("_votes", votes)), "quality")
     share, chances = estimate(rows.groupBy(F.col("_votes").alias("votes")).agg(F.count("*").alias("n")), len(rules))
     weight = F.lit(math.log(1 - share) - math.log(share))
     for j, (bad, good) in enumerate(chances):

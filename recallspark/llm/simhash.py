@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from recallspark.operators.components import components
 from recallspark.llm.rows import batches, texts
-from recallspark.session import written
+from recallspark.session import packed, written
 
 SEED = 42
 
@@ -315,7 +315,7 @@ def _links(shards: DataFrame, radius: int) -> DataFrame:
             us, vs = zip(*(linked(fps[a:b], reps[a:b], side[a:b]) for a, b in zip(starts[full], stops[full])))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
-    halves = _halves(written(shards, "shards"))
+    halves = _halves(written(packed(shards), "shards"))
     return batches(halves, 16384).repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "u long, v long")
 
 
@@ -460,9 +460,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _copies(docs: DataFrame, similarity: float, shingle: int, tables: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """``_marked``'s rows, and ``sid, first, component`` of each set: ``first`` is its least ``_k, _h``."""
     slim = docs.select("_k", "_h", "text")
-    marked = written(_marked(slim, shingle, tables, rows), "marks")
-    nodes = written(marked.groupBy("sid").agg(F.min(F.struct("_k", "_h")).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sets")
-    candidates = written(components(_links(nodes.select(F.explode("keys").alias("shard"), "fp", F.col("sid").alias("rep")), FINE_RADIUS)), "candidates")
+    marked = written(packed(_marked(slim, shingle, tables, rows)), "marks")
+    nodes = written(packed(marked.groupBy("sid").agg(F.min(F.struct("_k", "_h")).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))), "sets")
+    candidates = written(packed(components(_links(nodes.select(F.explode("keys").alias("shard"), "fp", F.col("sid").alias("rep")), FINE_RADIUS))), "candidates")
     sizes = candidates.groupBy("component").agg(F.count("*").alias("n"))
     asked = candidates.join(sizes, "component").join(nodes, F.col("id") == F.col("sid")).select("first._k", "first._h", "sid", "component", "n")
     names = ["sid", "component", "n"]

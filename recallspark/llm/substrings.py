@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallspark.llm.rows import batches, texts
-from recallspark.session import dropped, written
+from recallspark.session import dropped, packed, written
 
 #: Words a process remembers the hashes of; a full table starts anew.
 REMEMBERED = 400_000
@@ -243,7 +243,7 @@ def _keeps(state: DataFrame, stood: DataFrame) -> DataFrame:
     """
     windows = lambda rows: rows.select("doc", "key", F.explode(F.arrays_zip("h", "g")).alias("x")).select("doc", "key", "x.h", "x.g")
     first = windows(state).groupBy("h", "g").agg(F.min(F.struct("doc", "key")).alias("f")).select("f.doc", "f.key", "h", "g")
-    crowded = written(stood.where(F.col("doc") > LEAST).groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "crowded")
+    crowded = written(packed(stood.where(F.col("doc") > LEAST).groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")), "crowded")
     if not crowded.isEmpty():
         first = written(first, "first")
         others = windows(state.join(crowded, "doc", "left_semi")).join(first.select("doc", "h", "g"), ["doc", "h", "g"])
@@ -263,12 +263,12 @@ def repeated_windows(rows: DataFrame, long: DataFrame, stood: DataFrame, window:
     dead = alone(long.join(stood, ["key", "digest"], "left_semi").select("key", F.explode("hashes").alias("a")), "a")
     # A text all of whose anchors start nowhere else has no candidate and is not read again.
     asked = own.join(dead, "key", "left").where(F.col("dead").isNull() | (F.size("dead") < F.col("anchors"))).drop("anchors")
-    state = written(_placed(batches(rows.join(asked, "key")), window, levels[0]), "windows")
+    state = written(packed(_placed(batches(rows.join(asked, "key")), window, levels[0])), "windows")
     for old, new in zip(levels, levels[1:]):
         if state.isEmpty():
             break
         dead = alone(state.select("key", F.explode(F.array_distinct("h")).alias("h")), "h")
-        longer = written(_next_level(batches(state.join(dead, "key", "left")), old, new), "windows")
+        longer = written(packed(_next_level(batches(state.join(dead, "key", "left")), old, new)), "windows")
         dropped(spark, state)
         state = longer
     # Documents without a number are smaller than all others and lose nothing: they need not be told.
@@ -286,11 +286,11 @@ def removed_words(docs: DataFrame, window: int = 50, *, start: int = 16) -> Data
     names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
     rows = docs.toDF(*names).withColumn("doc", F.coalesce(F.col(names[docs.columns.index("doc_id")]).cast("long"), F.lit(LEAST))).withColumn("key", F.xxhash64("doc", "text"))
     texts_ = rows.select("doc", "key", "text")
-    first = written(_first_level(batches(texts_), window, lengths(window, start)[0]), "anchors")
+    first = written(packed(_first_level(batches(texts_), window, lengths(window, start)[0])), "anchors")
     long = first.where(F.col("n_words") >= window)
     # Documents that stand for their word sequence; the others repeat them from the first word to the last.
     least = long.groupBy("digest").agg(F.min("doc").alias("doc"))
-    stood = written(long.select("doc", "key", "digest", F.size("hashes").alias("anchors")).join(least, ["doc", "digest"]).distinct(), "own")
+    stood = written(packed(long.select("doc", "key", "digest", F.size("hashes").alias("anchors")).join(least, ["doc", "digest"]).distinct()), "own")
     gone = repeated_windows(texts_, long, stood, window, start).groupBy("key").agg(F.collect_set(F.struct("digest", "at")).alias("gone"))
     told = stood.groupBy("key").agg(F.collect_list("digest").alias("own")).join(gone, "key", "left")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallspark.session import dropped, written
+from recallspark.session import dropped, packed, written
 
 
 #: A node with more edges than ``HUB`` is a hub; up to ``SENT`` hubs are sent to every task.
@@ -18,7 +18,7 @@ def _told(edges: DataFrame, least: DataFrame) -> DataFrame:
     A hub's edges would all meet in one task, so hubs are joined where their edges lie. There are at most as
     many as edges over ``HUB``; more than may be sent are left to the join by shuffle.
     """
-    hubs = written(least.where(F.col("n") > HUB).select("u", "m"), "hubs")
+    hubs = written(packed(least.where(F.col("n") > HUB).select("u", "m")), "hubs")
     many = hubs.count()
     if not 0 < many <= SENT:
         return edges.join(least.select("u", "m"), "u")
@@ -48,11 +48,11 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder, so that lineage stays short and a lost executor costs one round at most.
     """
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    now = written(down.distinct(), "stars")
+    now = written(packed(down.distinct()), "stars")
     seen = None
     while True:
-        large = written(_large_star(now).distinct(), "stars")
-        made = written(_small_star(large).distinct(), "stars")
+        large = written(packed(_large_star(now).distinct()), "stars")
+        made = written(packed(_small_star(large).distinct()), "stars")
         dropped(made.sparkSession, large)
         mark = made.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         dropped(made.sparkSession, now)

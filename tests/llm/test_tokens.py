@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -79,6 +80,33 @@ def test_chunks_are_asked_for_once():
     assert coder.parts("a  b") is None and coder.parts("a b\t c") is None
 
 
+def test_full_tables_of_an_encoder_are_small():
+    """A worker keeps them for all stages that follow, and two workers share an executor."""
+    rng = random.Random(5)
+    said = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(20_000)]
+    coder = bpe.BytePairs(BYTE_BPE)
+    tracemalloc.start()
+    coder.encode(" ".join(said))
+    chunk = tracemalloc.get_traced_memory()[0] / len(said)
+    tracemalloc.stop()
+    coder = bpe.BytePairs(BYTE_BPE)
+    tracemalloc.start()
+    for x in said:
+        coder.piece(x)
+    piece = tracemalloc.get_traced_memory()[0] / len(said)
+    tracemalloc.stop()
+    assert 2 * (coder.plain.known.size * chunk + coder.known.size * piece) < 200e6
+
+
+def test_remembered_chunks_come_to_the_same_ids():
+    """Words, words with a mark and others, from tables that are empty, filled and turned over; letters are the pattern's letters."""
+    coder = bpe.BytePairs(BYTE_BPE)
+    coder.known.size = coder.plain.known.size = 3
+    for text in 3 * ["so Größe, größe! naïve 12.5 it's", "it's so so, so! 漢字 漢字. <|endoftext|> so", "x\ny, x\ny y-z <|endoftext|>"]:
+        assert coder.encode(text) == ids(text)
+    assert all(coder.pattern.fullmatch(" " + c) for c in map(chr, range(0x110000)) if c.isalpha())
+
+
 def test_token_files(spark):
     path = new_folder(spark, "tokens")
     token_files.write(docs(spark), BYTE_BPE, 2, path)

@@ -255,6 +255,33 @@ def test_blocks_of_neighbours_are_brute_force(spark, monkeypatch):
         assert sorted((x["id"], x["rank"]) for x in got.collect()) == sorted((i, k) for i, _, k in want)
 
 
+def test_components_are_written_in_few_files(spark, monkeypatch):
+    """Each round is a table of few rows; it is not dealt to a file for each shuffle partition."""
+    from recallspark.operators import components as module
+
+    files = []
+
+    def counted(df, name):
+        made = module_written(df, name)
+        files.append(len(made.inputFiles()))
+        return made
+
+    module_written = module.written
+    monkeypatch.setattr(module, "written", counted)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        edges = spark.range(1000).selectExpr("id * 3 u", "id * 3 + 1 + id % 2 v")
+        got = {r["id"]: r["component"] for r in components(edges).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {x: 3 * n for n in range(1000) for x in (3 * n, 3 * n + 1 + n % 2)}
+    assert max(files) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_components_of_hubs(spark, monkeypatch):
     from recallspark.operators import components as module
 
