@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from recallspark.llm.chunks import BlankChunks, Memory
+from recallspark.llm.chunks import BlankChunks, Memory, byte_letters
 from recallspark.llm.rows import batches, texts
 
 #: Fixed value: the pattern that cuts text before merges apply.
@@ -42,13 +42,6 @@ REMEMBERED, PIECES = 345_000, 43_000
 NEVER = 1 << 62
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in vocabulary files: itself where printable, else from U+0100 on."""
-    plain = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
-    spare = iter(range(256, 512))
-    return [chr(b if b in plain else next(spare)) for b in range(256)]
-
-
 class BytePairs:
     """Encoder and decoder over one vocabulary file."""
 

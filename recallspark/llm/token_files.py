@@ -11,78 +11,41 @@ without rows. Other columns of the input are not written.
 
 from __future__ import annotations
 
-import json
-import os
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallspark.llm.bpe import PATTERN, byte_letters
-from recallspark.llm.chunks import BlankChunks, Ids, Memory
-from recallspark.llm.rows import batches, texts
+from recallspark.llm.chunks import ColumnChunks, packed
+from recallspark.llm.rows import batches
 
 SCHEMA = "doc_id long, row long, start_in_file long, n_tokens long, ids array<int>"
 
 
-#: Chunks that a table of them holds at most: as many as fit the room that Python makes for 400,000.
-REMEMBERED = 690_000
-
-
-def packed(ids: Ids) -> bytes:
-    return array("i", ids).tobytes()
+#: Arrow batches, and about how many bytes of them, that are encoded together; each goes back to the JVM by itself,
+#: where large ones take room.
+BATCHES_A_COLUMN, BYTES_A_COLUMN = 8, 8 << 20
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> BlankChunks:
-    """The library's tokenizer, one a process, giving ids as 32-bit integers.
+def tokenizer(path: str) -> ColumnChunks:
+    """The library's tokenizer, one a process, giving ids as 32-bit integers."""
+    return ColumnChunks(path)
 
-    Where its kind lets blanks and its pattern cut for certain, its model is asked for each piece that was
-    not met before; other kinds, and texts that hold names of added tokens, are encoded as a whole.
-    """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    coder = Tokenizer.from_file(path)
-    coder.no_truncation()
-    coder.no_padding()
-    model, pattern, added = coder.model, regex.compile(PATTERN), [x["content"] for x in spec["added_tokens"]]
-    letters = {b: ord(letter) for b, letter in enumerate(byte_letters())}
-    pieces = Memory()
-
-    blank = chr(letters[ord(" ")])
-
-    def asked(said: str) -> Ids:
-        # Of ASCII letters and blanks, only the blank has another letter.
-        plain = said.replace(" ", blank) if said.isascii() and said[1:].isalpha() and (said[0] == " " or said[0].isalpha()) else said.encode("utf-8").decode("latin-1").translate(letters)
-        return [x.id for x in model.tokenize(plain)]
-
-    def piece(said: str) -> Ids:
-        if (ids := pieces.get(said)) is None:
-            ids = asked(said)
-            pieces.put(said, ids)
-        return ids
-
-    def whole(text: str) -> Ids:
-        if any(name in text for name in added):
-            return coder.encode(text, add_special_tokens=False).ids
-        return [i for said in pattern.findall(text) for i in piece(said)]
-
-    pre = spec["pre_tokenizer"] or {}
-    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"] and spec["model"]["type"] == "BPE"
-    if plain and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"]):
-        return BlankChunks(whole, packed, b"".join, asked, REMEMBERED)
-    found = BlankChunks(lambda text: coder.encode(text, add_special_tokens=False).ids, packed, b"".join)
-    found.encode = found.alone
-    return found
+
+def together(found: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    held: list[pa.RecordBatch] = []
+    for batch in found:
+        held.append(batch)
+        if len(held) == BATCHES_A_COLUMN or sum(x.nbytes for x in held) >= BYTES_A_COLUMN:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, *, stripe_bytes: int = 16 << 20, rows_a_group: int = 1000) -> None:
@@ -94,14 +57,16 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, *, strip
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, before, end = tokenizer(tokenizer_path), 0, packed([end_id])
-        for batch in found:
-            coded = [coder.encode(x) + end for x in texts(batch)]
-            sizes = np.array([len(x) // 4 for x in coded], dtype=np.int64)
-            ends = np.cumsum(sizes)
-            starts = before + ends - sizes
-            before += int(sizes.sum())
-            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), dtype=np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(starts), pa.array(sizes), ids], ["doc_id", "row", "start_in_file", "n_tokens", "ids"])
+        for some in together(found):
+            sizes, values = coder.parts(pa.concat_arrays([x.column("text") for x in some])).ids(end)
+            at = np.r_[0, np.cumsum(sizes)]
+            starts, row = before + at[:-1], 0
+            before += int(at[-1])
+            for batch in some:
+                here = slice(row, row := row + batch.num_rows)
+                a, b = at[here.start], at[here.stop]
+                ids = pa.ListArray.from_arrays(pa.array((at[here.start : here.stop + 1] - a).astype(np.int32)), pa.array(values[a:b]))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(starts[here]), pa.array(sizes[here]), ids], ["doc_id", "row", "start_in_file", "n_tokens", "ids"])
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = ["doc_id", F.xxhash64("text")]
@@ -131,10 +96,11 @@ def summary(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer.cache_clear()  # a worker that wrote the files still has its table of chunks
         for batch in found:
             ids = batch.column("ids")
-            ends, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            crcs = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+            ends, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+            crcs = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:])]
             sizes = np.diff(ends).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("start_in_file"), pa.array(sizes), pa.array(crcs, pa.int64())], ["doc_id", "row", "start_in_file", "n_tokens", "ids_crc32"])
 

@@ -7,6 +7,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,6 +108,54 @@ def test_remembered_chunks_come_to_the_same_ids():
     assert all(coder.pattern.fullmatch(" " + c) for c in map(chr, range(0x110000)) if c.isalpha())
 
 
+class Counted:
+    """A tokenizer that keeps what it is given."""
+
+    def __init__(self, coder, given):
+        self.coder, self.given = coder, given
+
+    def encode_batch_fast(self, said, **more):
+        self.given.extend(said)
+        return self.coder.encode_batch_fast(said, **more)
+
+
+def column_ids(coder, texts):
+    sizes, found = coder.parts(pa.array(texts, pa.string())).ids(b"\2\0\0\0")
+    assert int(sizes.sum()) == len(found)
+    return [x.tolist() for x in np.split(found, np.cumsum(sizes)[:-1])] if texts else found.tolist()
+
+
+def test_a_column_asks_the_library_for_new_chunks_many_at_a_time():
+    """One call a new word is most of the work of token files."""
+    given, coder = [], chunks.ColumnChunks(BYTE_BPE)
+    coder.coder, coder.model = Counted(coder.coder, given), Counted(coder.model, given)
+    texts = [" ".join(f"{chr(97 + i)}{chr(97 + k // 26)}{chr(97 + k % 26)}." for k in range(500)) for i in range(4)]
+    want = [[*ids(x), 2] for x in texts]
+    assert column_ids(coder, texts) == want
+    assert len(given) <= 4 + 2000 // chunks.RUN
+    given.clear()
+    assert column_ids(coder, texts[::-1]) == want[::-1]
+    assert sorted(given) == ["aaa.", "baa.", "caa.", "daa."]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from([*PARTS, *" ab.\n", "x's", "Größe", "don't", "a.b-c", "12"]), max_size=9).map("".join) | st.text(max_size=20), max_size=6), st.sampled_from([2, 7, 1000]))
+def test_columns_are_encoded_as_the_library(texts, size):
+    """With tables that are empty, filled and turned over."""
+    coder = chunks.ColumnChunks(BYTE_BPE, size)
+    for some in (texts, texts[::-1], texts):
+        assert column_ids(coder, some) == [[*ids(x or ""), 2] for x in some]
+
+
+def test_letters_are_cut_as_the_librarys_pattern_cuts_them():
+    """Python may know letters that the library's pattern does not."""
+    texts = [f"so a{c} {c}b" for c in map(chr, range(0x80, 0x110000)) if c.isalpha()]
+    coder = chunks.ColumnChunks(BYTE_BPE)
+    for a in range(0, len(texts), 20_000):
+        some = texts[a : a + 20_000]
+        assert column_ids(coder, some) == [[*x.ids, 2] for x in LIBRARY.encode_batch(some, add_special_tokens=False)]
+
+
 def test_token_files(spark):
     path = new_folder(spark, "tokens")
     token_files.write(docs(spark), BYTE_BPE, 2, path)
