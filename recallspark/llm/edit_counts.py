@@ -24,7 +24,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallspark.llm.bpe import byte_pairs
-from recallspark.llm.chunks import REMEMBERED, BlankChunks
-from recallspark.llm.rows import batches, texts
+from recallspark.llm.chunks import Memory, byte_letters
+from recallspark.llm.rows import batches, texts, together
+from recallspark.llm.token_files import tokenizer
 
 #: Pre-tokens, or words with what hangs on them, of one leaf; the tree is laid out anew where an edit would
 #: put more than ``CROWD`` times as many into one.
@@ -43,17 +44,14 @@ LEAF, CROWD = 32, 8
 
 
 class Counter:
-    """Byte pairs, and a table of how many tokens chunks between blanks come to."""
+    """The library's tokenizer for whole columns of texts, and its model for single pieces, with a table of their counts."""
 
     def __init__(self, path: str):
-        self.pairs = byte_pairs(path, REMEMBERED)
-        self.counts = BlankChunks(self.ordinary, len, sum, self.pairs.piece)
+        self.pairs, self.columns = byte_pairs(path), tokenizer(path)
+        self.model, self.known = self.columns.coder.model, Memory()
+        self.letters = dict(enumerate(byte_letters()))
         self.longest = max(map(len, self.pairs.added), default=0)
 
-    def ordinary(self, text: str) -> list[int]:
-        """Ids of a text by its pieces, added tokens among them."""
-        return [i for piece, _ in self.cuts(text, 0) for i in self.ids(piece)]
-
     def cuts(self, text: str, at: int) -> Iterator[tuple[str, int]]:
         """Pieces from a cut on, each with the place where it ends."""
         pairs = self.pairs
@@ -65,9 +63,12 @@ class Counter:
         for found in pairs.pattern.finditer(text, at):
             yield found[0], found.end()
 
-    def ids(self, piece: str) -> tuple[int, ...]:
-        added = self.pairs.added.get(piece)
-        return self.pairs.piece(piece) if added is None else (added,)
+    def count(self, piece: str) -> int:
+        """How many tokens a piece comes to."""
+        if (found := self.known.get(piece)) is None:
+            found = 1 if piece in self.pairs.added else len(self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters)))
+            self.known.put(piece, found)
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -127,17 +128,27 @@ def dealt(pieces: list[tuple[int, int]], parts: int) -> tuple[list[int], list[in
 
 
 def leaves_of(text: str, counter: Counter) -> tuple[list[int], list[int]]:
-    """Leaves end where a pre-token ends: at a certain blank, or else as the pattern cuts."""
-    counts = counter.counts.parts(text)
-    if counts is None:
-        pieces = [(len(p), len(counter.ids(p))) for p, _ in counter.cuts(text, 0)]
-    else:
-        sizes = [len(x) + 1 for x in text.split(" ")]
-        sizes[0] -= 1
-        pieces = list(zip(sizes, counts))
+    """Leaves of one text, which end where the pattern cuts."""
+    pieces = [(len(p), counter.count(p)) for p, _ in counter.cuts(text, 0)]
     return dealt(pieces, max(1, -(-len(pieces) // LEAF)))
 
 
+def leaves_of_column(texts: pa.Array, counter: Counter) -> tuple[list[Sequence[int]], list[Sequence[int]]]:
+    """Leaves of each text: they end at certain blanks, or as the pattern cuts where white space stands beside blanks or there are none."""
+    parts = counter.columns.parts(texts)
+    if not len(texts):
+        return [], []
+    pieces = np.diff(parts.bounds)
+    leaves = -(-pieces // LEAF)
+    ends = np.cumsum(leaves)
+    k = np.arange(ends[-1]) - np.repeat(ends - leaves, leaves)
+    starts = np.repeat(parts.bounds[:-1], leaves) + np.repeat(pieces, leaves) * k // np.repeat(leaves, leaves)
+    chars, tokens = ([x.tolist() for x in np.split(np.add.reduceat(of[parts.codes], starts), ends[:-1])] for of in (parts.sizes, parts.counts))
+    for d in parts.coarse.tolist():
+        chars[d], tokens[d] = leaves_of(texts[d].as_py() or "", counter)
+    return chars, tokens
+
+
 class CountedText:
     """A text with its tree; ``encoded`` counts the characters that edits have had encoded."""
 
@@ -164,7 +175,7 @@ class CountedText:
         at = begin
         if begin < len(text):
             for piece, stop in self.counter.cuts(text, begin):
-                made.append((len(piece), len(self.counter.ids(piece))))
+                made.append((len(piece), self.counter.count(piece)))
                 at = stop
                 while last < tree.n and end + shift < at:
                     end += size(last)
@@ -191,7 +202,7 @@ EDIT = "struct<start:long,removed:long,inserted:string>"
 KEPT = [T.StructField("leaf_chars", T.ArrayType(T.IntegerType())), T.StructField("leaf_tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
+def _lists(rows: Sequence[Sequence[int]]) -> pa.Array:
     offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array([x for row in rows for x in row], pa.int32()))
 
@@ -203,10 +214,13 @@ def built(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = coder(path)
-        for batch in found:
-            made = [leaves_of(said, counter) for said in texts(batch, text)]
-            columns = [_lists([c for c, _ in made]), _lists([t for _, t in made]), pa.array([sum(t) for _, t in made], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, *added])
+        for some in together(found):
+            chars, tokens = leaves_of_column(pa.concat_arrays([x.column(text) for x in some]), counter)
+            row = 0
+            for batch in some:
+                here = slice(row, row := row + batch.num_rows)
+                columns = [_lists(chars[here]), _lists(tokens[here]), pa.array([sum(t) for t in tokens[here]], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, *added])
 
     return batches(kept).mapInArrow(run, T.StructType([*kept.schema.fields, *KEPT]))
 
@@ -233,6 +247,7 @@ def edited(trees: DataFrame, path: str, *, text: str = "text") -> DataFrame:
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = coder(path)
+        counter.columns.known = {}  # a worker that built trees still has its table of chunks
         for batch in found:
             done = []
             for said, edits, chars, tokens in zip(texts(batch, text), *(batch.column(c).to_pylist() for c in ("edits", "leaf_chars", "leaf_tokens"))):

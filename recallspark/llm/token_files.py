@@ -21,33 +21,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallspark.llm.chunks import ColumnChunks, packed
-from recallspark.llm.rows import batches
+from recallspark.llm.rows import batches, together
 
 SCHEMA = "doc_id long, row long, start_in_file long, n_tokens long, ids array<int>"
 
 
-#: Arrow batches, and about how many bytes of them, that are encoded together; each goes back to the JVM by itself,
-#: where large ones take room.
-BATCHES_A_COLUMN, BYTES_A_COLUMN = 8, 8 << 20
-
-
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> ColumnChunks:
     """The library's tokenizer, one a process, giving ids as 32-bit integers."""
     return ColumnChunks(path)
 
 
-def together(found: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    held: list[pa.RecordBatch] = []
-    for batch in found:
-        held.append(batch)
-        if len(held) == BATCHES_A_COLUMN or sum(x.nbytes for x in held) >= BYTES_A_COLUMN:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, *, stripe_bytes: int = 16 << 20, rows_a_group: int = 1000) -> None:
     """Encodes each text, appends ``end_id`` and writes the files.
 

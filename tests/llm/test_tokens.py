@@ -227,6 +227,30 @@ def test_counts_follow_edits(seed):
             assert sum(counted.tree.leaves()[0]) == len(counted.text)
 
 
+def test_trees_of_a_column_ask_the_library_for_new_chunks_many_at_a_time():
+    counter = edit_counts.Counter(BYTE_BPE)
+    counter.columns, given = chunks.ColumnChunks(BYTE_BPE), []
+    counter.columns.coder, counter.columns.model, counter.model = Counted(counter.columns.coder, given), Counted(counter.columns.model, given), None
+    texts = [" ".join(f"{chr(97 + i)}{chr(97 + k // 26)}{chr(97 + k % 26)}." for k in range(500)) for i in range(4)]
+    made = edit_counts.leaves_of_column(pa.array(texts), counter)
+    assert len(given) <= 4 + 2000 // chunks.RUN
+    for text, chars, tokens in zip(texts, *made):
+        assert sum(chars) == len(text) and sum(tokens) == len(ids(text)) and len(chars) == len(tokens) == 16
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_counts_follow_edits_of_trees_made_by_columns(seed):
+    r = random.Random(seed)
+    said = [None, "", *("".join(r.choice([*PARTS, "so ", "be, "]) for _ in range(r.choice([1, 5, 200, 900]))) for _ in range(20)), *(" ".join(r.choice(["so", "it's", "Größe,", "<|endoftext|>", "x\ny", "漢字"]) for _ in range(r.choice([2, 31, 65, 700]))) for _ in range(20))]
+    for text, chars, tokens in zip(said, *edit_counts.leaves_of_column(pa.array(said, pa.string()), COUNTER)):
+        counted = edit_counts.CountedText(text or "", COUNTER, chars, tokens)
+        assert counted.tree.total == len(ids(counted.text)) and sum(chars) == len(counted.text)
+        for _ in range(5):
+            counted.edit(r.randrange(-2, len(counted.text) + 3), r.choice([0, 1, 40]), "".join(r.choice(PARTS) for _ in range(r.choice([0, 2, 50]))))
+            assert counted.tree.total == len(ids(counted.text))
+            assert sum(counted.tree.leaves()[0]) == len(counted.text)
+
+
 def test_names_made_and_broken_by_edits():
     before = "a few words here and there " * 20
     counted = counted_text(before + "<|endof" + "text|> and more " * 3)
