@@ -2,11 +2,12 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from recallspark.functions import filters, recurrence
+from recallspark.functions import calendar, filters, recurrence
 from recallspark.operators import intervals, rollups
 from recallspark.plans import conditions, timeline
 
@@ -112,3 +113,20 @@ def test_conditions_that_are_not_asked_for_leave_no_trace(spark, sf):
     with pytest.raises(ValueError, match="layer"):
         filters.thoughts(rows, layer="team:x")
     assert len(filters.thoughts(rows, 10_000, active=False).collect()) == 100
+
+
+def test_a_rule_takes_only_steps_of_its_range(spark):
+    """Forty thousand monthly rules over two months: taking 500 steps of each took minutes."""
+    began = time.monotonic()
+    start = F.lit("1980-01-31 09:30:00").cast("timestamp_ntz") + F.make_dt_interval((F.col("id") % 400).cast("int"))
+    low, high, none = (F.lit(t).cast("timestamp_ntz") for t in ("1999-01-01", "1999-03-01", None))
+    times = calendar.occurrences(F.lit("MONTHLY"), (F.col("id") % 3 + 1).cast("int"), F.lit(None).cast("int"), none, F.lit(None).cast("array<int>"), start, low, high)
+    got = {(r["step"], r["start"]): r["times"] for r in spark.range(0, 40_000, 1, 4).select((F.col("id") % 3 + 1).alias("step"), start.alias("start"), times.alias("times")).distinct().collect()}
+    assert time.monotonic() - began < 20 and len(got) == 1200
+    for (step, at), found in got.items():
+        want = []
+        while at < dt.datetime(1999, 3, 1):
+            want += [at] * (at >= dt.datetime(1999, 1, 1))
+            month = at.year * 12 + at.month - 1 + step
+            at = dt.datetime(month // 12, month % 12 + 1, 1, 9, 30) + (at.day - 1) * DAY
+        assert found == want
