@@ -27,11 +27,26 @@ def search_or_newest(summaries: DataFrame, wanted: Sequence[str], k: int, fallba
     return found.unionByName(other.join(F.broadcast(none), F.lit(True)).drop("_"))
 
 
+#: Texts, or labels, of a run of words that are sent in one row. A row's pairs are in memory together: 262,144 at most, about.
+CHUNK = 512
+
+
+def _chunks(rows: DataFrame, held: str) -> DataFrame:
+    """``rows`` (run, ``held``, times) as lists of at most about ``CHUNK``, of equal times."""
+    sizes = rows.groupBy("run").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64(held), F.col("parts"))
+    # By way of structs, as lists of bare values leave out nulls.
+    values = F.transform(F.collect_list(F.struct(held)), lambda x: x[held])
+    return rows.join(sizes, "run").groupBy("run", F.col("times").alias(f"{held}_times"), part.alias(f"{held}_part")).agg(values.alias(f"{held}s"))
+
+
 def label_hits(texts: DataFrame, labels: DataFrame, limit: int | None = None) -> DataFrame:
     """Labels that texts name: one word as a word, several as words in a row.
 
     Texts are exploded to runs of as many words as some label has, and met by equality; the number of
-    different lengths is small, as labels are.
+    different lengths is small, as labels are. Where very many texts have a run that very many labels are, the
+    result is their product: lists of both meet, are dealt out evenly, and only then become pairs, which are
+    neither moved nor added up. Only entities with several labels need a sum over pairs.
     """
     words = labels.withColumn("words", t.tokens(F.col("label"))).where(F.size("words") > 0).select(F.col("id").alias("entity_id"), F.array_join("words", " ").alias("run"), F.size("words").alias("n"))
     lengths = [r[0] for r in words.select("n").distinct().collect()]
@@ -47,7 +62,16 @@ def label_hits(texts: DataFrame, labels: DataFrame, limit: int | None = None) ->
         runs = part if runs is None else runs.unionByName(part)
     if runs is None:
         return texts.sparkSession.createDataFrame([], "id long, entity_id long, hits long")
-    found = runs.join(words, "run").groupBy("id", "entity_id").agg(F.count("*").alias("hits"))
+    own = words.groupBy("entity_id", "run").agg(F.count("*").alias("times")).groupBy("entity_id").agg(F.collect_list(F.struct("run", "times")).alias("runs"))
+    of = lambda rows: rows.select("entity_id", F.inline("runs"))
+    one, several = of(own.where(F.size("runs") == 1)), of(own.where(F.size("runs") > 1))
+    told = runs.join(words.select("run").distinct(), "run", "left_semi").groupBy("run", "id").agg(F.count("*").alias("times"))
+    met = _chunks(told, "id").join(_chunks(one, "entity_id"), "run")
+    # As many parts as the session shuffles to, of which a large result needs each.
+    spread = met.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "run", "id_part", "entity_id_part", "id_times", "entity_id_times")
+    pairs = spread.select(F.explode("ids").alias("id"), "entity_ids", (F.col("id_times") * F.col("entity_id_times")).alias("hits")).select("id", F.explode("entity_ids").alias("entity_id"), "hits")
+    summed = told.join(several.withColumnRenamed("times", "label_times"), "run").groupBy("id", "entity_id").agg(F.sum(F.col("times") * F.col("label_times")).alias("hits"))
+    found = pairs.unionByName(summed)
     return found if limit is None else found.orderBy("id", "entity_id").limit(limit)
 
 

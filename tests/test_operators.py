@@ -348,6 +348,24 @@ def test_label_hints(spark):
     assert lexical.label_hints(texts, labels.limit(0)).collect() == []
 
 
+def test_pairs_of_a_common_name_are_not_shuffled(spark):
+    """2,000 texts and 2,000 labels of one name, ten of them with a second label: four million pairs."""
+    texts = spark.range(2000).select("id", F.lit("Red ring").alias("text"))
+    labels = spark.range(2010).select((F.col("id") % 2000).alias("id"), F.when(F.col("id") < 2000, "red ring").otherwise("ring").alias("label"))
+    found = lexical.label_hits(texts, labels)
+    got = found.groupBy("hits").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum("entity_id").alias("entities")).collect()
+    assert {tuple(r) for r in got} == {(1, 2000 * 1990, 1990 * 1999000, 2000 * (1999000 - 45)), (2, 2000 * 10, 10 * 1999000, 2000 * 45)}
+    before = shuffled_records(spark)
+    found.write.format("noop").mode("overwrite").save()
+    assert shuffled_records(spark) - before < 100_000
+
+
+def shuffled_records(spark):
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = store.stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
 def test_kinds_go_with_their_relations(spark):
     kinds = spark.createDataFrame([("a", False), ("b", False), ("c", True)], "kind string, protected boolean")
     relations = spark.createDataFrame([("a", "c"), ("a", "b"), ("b", "c"), (None, "c")], "from_kind string, to_kind string")
