@@ -139,6 +139,29 @@ def test_week_plan(spark):
     assert got == [(1, "y", "01 09:00", "09:30"), (1, "x", "01 10:00", "11:00")]
 
 
+def test_weeks_of_many_users(spark):
+    """Twenty thousand users, whose rows go to Python in batches: a call for each user took minutes."""
+    import time
+
+    from recallspark.operators import planner
+
+    undated = spark.range(0, 60_000, 1, 4).selectExpr("id % 20000 AS user_id", "concat('e', id) AS event_id", "cast(30 + id % 5 * 30 AS int) AS minutes", "id AS focus")
+    undated = undated.unionByName(spark.sql("SELECT null AS user_id, 'none' AS event_id, null AS minutes, 1 AS focus"))
+    hour = lambda h: f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast({h} AS int))"
+    busy = spark.range(0, 10_000, 1, 4).selectExpr("id * 2 AS user_id", f"{hour('9 + id % 3')} AS start_at", f"{hour('10 + id % 3')} AS end_at")
+    began = time.monotonic()
+    got = {}
+    for r in planner.plan_week(undated, busy, "2024-01-01").collect():
+        at = lambda t: (t.day - 1) * planner.DAY + t.hour * 60 + t.minute
+        got.setdefault(r["user_id"], []).append((r["event_id"], at(r["start_at"]), at(r["end_at"])))
+    assert time.monotonic() - began < 15
+    assert got.pop(None) == [("none", 540, 600)]
+    for user in range(20_000):
+        taken = [(60 * (9 + user // 2 % 3), 60 * (10 + user // 2 % 3))] if user % 2 == 0 else []
+        items = [(f"e{i}", 30 + i % 5 * 30) for i in range(user, 60_000, 20_000)]
+        assert sorted(got[user]) == sorted(planner.placed(items, taken, 480))
+
+
 def test_entity_resolution_takes_every_mention(spark):
     d = "/root/testdata/sf0.01"
     label = {r["p_partkey"]: r["p_name"].lower() for r in spark.read.parquet(f"{d}/part.parquet").collect()}
