@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,22 @@ def test_queue_changes_of_whole_tables(spark, sf):
     assert any(w[2] == "pending" and w[4] for w in want) and any(w[2] == "completed" for w in want)
 
 
+def test_a_long_queue_is_not_looked_through_at_each_command():
+    """Thirty thousand open jobs of one tenant: a look at all of them for each command took minutes."""
+    began, hour = time.monotonic(), 3_600_000_000
+    jobs = queues.Jobs({}, hour, 2)
+    for n in range(30_000):
+        jobs.take("put", n, n, n)
+    for n in range(30_000):
+        jobs.take("claim", None, hour + n, 30_000 + n)
+    for n in range(10_000):
+        jobs.take("done", None, hour + 40_000, 60_000 + n)
+    jobs.expire(3 * hour)
+    assert time.monotonic() - began < 5
+    assert jobs.changes[60_000:70_000] == [(n, "completed", hour + 40_000, 1) for n in range(10_000)]
+    assert jobs.changes[70_000:] == [(n, "pending", 2 * hour + n, 1) for n in range(10_000, 30_000)]
+
+
 def test_rows_late_by_23_and_25_hours(spark):
     hour = lambda h: BEGAN + datetime.timedelta(hours=h)
     batches = [[(1, hour(100))], [(2, hour(77)), (3, hour(76)), (4, hour(75)), (5, None)], [(6, hour(130)), (7, hour(80))], [(8, hour(105)), (9, hour(107))]]
